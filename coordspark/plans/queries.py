@@ -454,3 +454,392 @@ def q_semantic_search_schema(spark, sf):
     qv = [float(x) for x in q.collect()[0]["vector"]]
     return vec.knn_search(sp, qv, k=10, min_score=0.0).select("id", "model_name", "field_name",
                                                                 F.round("score", 6).alias("score"))
+
+
+# --- change handling ---------------------------------------------------------------------------
+
+from ..operators import changes as chg  # noqa: E402
+from ..operators import ops  # noqa: E402
+from . import derived as dv  # noqa: E402
+
+_CHANGES_SQL = """changes AS (
+  SELECT coalesce(c.id, p.id) AS id,
+    CASE WHEN p.checksum IS NULL THEN 'added' WHEN c.checksum IS NULL THEN 'deleted'
+         WHEN c.checksum <> p.checksum THEN 'modified' ELSE 'unchanged' END AS change
+  FROM cur c FULL OUTER JOIN prev p ON c.id = p.id)"""
+
+
+def _changes(spark, sf):
+    return chg.detect_changes(dv.previous_snapshot(spark, sf), dv.current_snapshot(spark, sf))
+
+
+@register("change_detection", o.with_ctes(dv.CURRENT_SNAPSHOT_SQL, dv.PREVIOUS_SNAPSHOT_SQL, _CHANGES_SQL)
+          + "SELECT id, change FROM changes")
+def q_change_detection(spark, sf):
+    return _changes(spark, sf)
+
+
+@register("change_summary", o.with_ctes(dv.CURRENT_SNAPSHOT_SQL, dv.PREVIOUS_SNAPSHOT_SQL, _CHANGES_SQL) + """
+SELECT added, modified, deleted, unchanged,
+  CASE WHEN added + modified + deleted = 0 THEN 'No changes detected'
+       ELSE concat_ws(', ', CASE WHEN added > 0 THEN CAST(added AS VARCHAR) || ' added' END,
+                      CASE WHEN modified > 0 THEN CAST(modified AS VARCHAR) || ' modified' END,
+                      CASE WHEN deleted > 0 THEN CAST(deleted AS VARCHAR) || ' deleted' END) END AS summary
+FROM (SELECT count(*) FILTER (WHERE change = 'added') AS added, count(*) FILTER (WHERE change = 'modified') AS modified,
+             count(*) FILTER (WHERE change = 'deleted') AS deleted, count(*) FILTER (WHERE change = 'unchanged') AS unchanged
+      FROM changes) t""")
+def q_change_summary(spark, sf):
+    return chg.change_summary(_changes(spark, sf))
+
+
+@register("changed_rows", o.with_ctes(dv.CURRENT_SNAPSHOT_SQL, dv.PREVIOUS_SNAPSHOT_SQL, _CHANGES_SQL)
+          + "SELECT id, checksum FROM cur WHERE id IN (SELECT id FROM changes WHERE change IN ('added', 'modified'))")
+def q_changed_rows(spark, sf):
+    return chg.changed_rows(dv.current_snapshot(spark, sf), _changes(spark, sf))
+
+
+@register("upsert_points", o.with_ctes(dv.CURRENT_SNAPSHOT_SQL) + "SELECT id, checksum FROM cur")
+def q_upsert_points(spark, sf):
+    """Incremental = full: previous snapshot + upsert(added, modified) - deleted == current."""
+    cur = dv.current_snapshot(spark, sf)
+    return chg.apply_changes(dv.previous_snapshot(spark, sf), cur, _changes(spark, sf))
+
+
+def _h32_sql(x: str) -> str:
+    return f"CAST(('0x' || substr(md5({x}), 1, 8)) AS BIGINT)"
+
+
+@register("snapshot_header", o.with_ctes(dv.CURRENT_SNAPSHOT_SQL) + f"""
+SELECT count(*) AS total_rows,
+  CAST(coalesce(sum({_h32_sql("CAST(id AS VARCHAR) || ':' || checksum")}), 0) AS BIGINT) AS digest_sum,
+  CAST(coalesce(bit_xor({_h32_sql("CAST(id AS VARCHAR) || ':' || checksum")}), 0) AS BIGINT) AS digest_xor
+FROM cur""")
+def q_snapshot_header(spark, sf):
+    return chg.snapshot_header(dv.current_snapshot(spark, sf))
+
+
+def _semantic_sql() -> str:
+    rel = "regexp_replace(primary_data_location, '\\.id$', '')"
+    return f"""concat_ws(' ',
+  'FIELD IN ' || model_name || ' (model_id ' || CAST(model_id AS VARCHAR) || '):',
+  field_name || ' (field_id ' || CAST(field_id AS VARCHAR) || ')',
+  '- model coordinate 4^58*' || CAST(model_id AS VARCHAR),
+  '- field coordinate 4^58*' || CAST(field_id AS VARCHAR),
+  'column attribute property of ' || model_name,
+  CASE WHEN coalesce(field_label, '') <> '' AND field_label <> field_name THEN 'labeled "' || field_label || '"' END,
+  '- ' || field_type || ' type',
+  CASE WHEN field_type = 'many2one' THEN '- REFERENCES ' || {rel}
+       WHEN field_type = 'one2many' THEN '- one2many related records in other model'
+       WHEN field_type = 'many2many' THEN '- many2many related records' END,
+  CASE WHEN field_type = 'many2one' THEN '- foreign key linking to ' || {rel} END,
+  CASE WHEN stored THEN '- stored in database' ELSE '- computed field not stored' END,
+  CASE WHEN coalesce(primary_data_location, '') <> '' AND primary_data_location <> 'Computed'
+       THEN '- data at ' || primary_data_location END,
+  CASE WHEN coalesce(primary_model_id, '') <> '' AND coalesce(primary_field_id, '') <> ''
+       THEN '- primary ref ' || primary_model_id || '^' || primary_field_id END)"""
+
+
+@register("semantic_text", o.with_ctes(o.catalog_cte()) +
+          f"SELECT CAST(field_id AS BIGINT) AS id, {_semantic_sql()} AS semantic_text FROM catalog")
+def q_semantic_text(spark, sf):
+    return pts.schema_points(_catalog(spark, sf)).select("id", "semantic_text")
+
+
+@register("field_checksums", o.with_ctes(o.catalog_cte()) +
+          f"SELECT CAST(field_id AS BIGINT) AS id, md5({_semantic_sql()}) AS checksum FROM catalog")
+def q_field_checksums(spark, sf):
+    return chg.snapshot(pts.schema_points(_catalog(spark, sf)), "id", F.col("semantic_text"))
+
+
+@register("catalog_changes", o.with_ctes(o.catalog_cte(), "cur AS (SELECT CAST(field_id AS BIGINT) AS id, md5("
+          + _semantic_sql() + ") AS checksum FROM catalog)", "prev AS (SELECT CAST(field_id AS BIGINT) AS id, md5("
+          + _semantic_sql().replace("field_label", "CASE WHEN model_name = 'part' THEN upper(field_label) ELSE field_label END")
+          + ") AS checksum FROM catalog WHERE model_name <> 'benchmark' UNION ALL SELECT 9999, 'gone')", _CHANGES_SQL)
+          + "SELECT id, change FROM changes WHERE change <> 'unchanged'")
+def q_catalog_changes(spark, sf):
+    """I4 on the catalog: previous = catalog without benchmark, part labels upper-cased,
+    plus one field that no longer exists."""
+    c = _catalog(spark, sf)
+    cur = chg.snapshot(pts.schema_points(c), "id", F.col("semantic_text"))
+    old_cat = c.filter(F.col("model_name") != "benchmark").withColumn(
+        "field_label", F.when(F.col("model_name") == "part", F.upper("field_label")).otherwise(F.col("field_label")))
+    prev = chg.snapshot(pts.schema_points(old_cat), "id", F.col("semantic_text")).unionByName(
+        spark.range(1).select(F.lit(9999).cast("long").alias("id"), F.lit("gone").alias("checksum")))
+    return chg.detect_changes(prev, cur).filter(F.col("change") != "unchanged")
+
+
+# --- points: stale rows and keyed deletes ---------------------------------------------------
+
+def _customer_points(spark, sf):
+    return pts.data_points(_encode(spark, sf, "customer"))
+
+
+def _source_customers(spark, sf):
+    return fx.record_view(spark, sf, "customer").filter(F.col("id") % dv.STALE_EVERY != 0)
+
+
+@register("stale_points", """
+SELECT 3 * 10000000 + c_custkey AS id, c_custkey AS record_id, 'customer' AS model_name
+FROM customer WHERE c_custkey % 20 = 0""")
+def q_stale_points(spark, sf):
+    return pts.stale_points(_customer_points(spark, sf), "customer", _source_customers(spark, sf))
+
+
+@register("delete_points", "SELECT 3 * 10000000 + c_custkey AS id, c_custkey AS record_id FROM customer "
+          "WHERE c_custkey % 20 <> 0")
+def q_delete_points(spark, sf):
+    p = _customer_points(spark, sf)
+    stale = pts.stale_points(p, "customer", _source_customers(spark, sf))
+    return pts.delete_ids(p, stale).select("id", "record_id")
+
+
+@register("page_records", "SELECT o_orderkey AS id, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 500 OFFSET 1000")
+def q_page_records(spark, sf):
+    """Stable page 3 of 500 orders in id order (a page is the feature)."""
+    return pts.page(fx.record_view(spark, sf, "orders").select("id", "o_totalprice"), 1000, 500)
+
+
+# --- high-water mark ---------------------------------------------------------------------------
+
+_MARK_SQL = f"ts > TIMESTAMP '{dv.HIGH_WATER_MARK}'"
+
+
+@register("highwater_increment", o.encode_select("events", where=_MARK_SQL))
+def q_highwater_increment(spark, sf):
+    """Events changed after the mark, encoded (the predicate reaches the scan)."""
+    ev = chg.incremental_rows(fx.record_view(spark, sf, "events"), _mark(), "ts")
+    return codec.encode_records(ev, cat.encoding_map(_catalog(spark, sf)), "events")
+
+
+def _mark():
+    import datetime as _dt
+    return _dt.datetime.fromisoformat(dv.HIGH_WATER_MARK)
+
+
+@register("max_change_time", f"SELECT count(*) AS records_loaded, max(ts) AS max_change_time FROM events WHERE {_MARK_SQL}")
+def q_max_change_time(spark, sf):
+    ev = chg.incremental_rows(fx.read_table(spark, sf, "events"), _mark(), "ts")
+    return chg.max_change_time(ev, "ts")
+
+
+@register("sync_state", f"""
+SELECT 'events' AS model_name, max(ts) AS last_max_write_date, count(*) AS records_synced
+FROM events WHERE {_MARK_SQL}""")
+def q_sync_state(spark, sf):
+    """K4: the state row after an incremental run from the mark."""
+    ev = chg.incremental_rows(fx.read_table(spark, sf, "events"), _mark(), "ts")
+    prev = spark.createDataFrame([("events", _mark(), 0)],
+                                 "model_name string, last_max_write_date timestamp_ntz, records_synced long")
+    return chg.next_state(prev, "events", ev, "ts")
+
+
+# --- failed rows -------------------------------------------------------------------------------
+
+_DLQ_SQL = """dlq AS (
+  SELECT model_name, record_id, arg_max(model_id, seq) AS model_id, arg_max(failure_stage, seq) AS failure_stage,
+    arg_max(error_message, seq) AS error_message, arg_max(batch_number, seq) AS batch_number,
+    arg_max(encoded_string, seq) AS encoded_string, arg_max(failed_at, seq) AS failed_at,
+    count(*) - 1 AS retry_count, min(seq) AS first_seq
+  FROM flog GROUP BY model_name, record_id
+  ORDER BY first_seq DESC, model_name, record_id LIMIT 1000)"""
+
+
+@register("dlq_upsert", o.with_ctes(dv.FAILURE_LOG_SQL, _DLQ_SQL) + "SELECT * FROM dlq")
+def q_dlq_upsert(spark, sf):
+    return ops.merge_failures(dv.failure_log(spark, sf))
+
+
+@register("dlq_stats", o.with_ctes(dv.FAILURE_LOG_SQL, _DLQ_SQL) + """
+SELECT CASE WHEN GROUPING(model_name) = 1 AND GROUPING(failure_stage) = 1 THEN 'total'
+            WHEN GROUPING(failure_stage) = 1 THEN 'model' ELSE 'stage' END AS level,
+  CASE WHEN GROUPING(failure_stage) = 1 AND GROUPING(model_name) = 0 THEN model_name
+       WHEN GROUPING(model_name) = 1 AND GROUPING(failure_stage) = 0 THEN failure_stage END AS key,
+  count(*) AS n
+FROM dlq GROUP BY GROUPING SETS ((), (model_name), (failure_stage))""")
+def q_dlq_stats(spark, sf):
+    return ops.failure_stats(ops.merge_failures(dv.failure_log(spark, sf)))
+
+
+@register("dlq_clear", o.with_ctes(dv.FAILURE_LOG_SQL, _DLQ_SQL) +
+          "SELECT count(*) FILTER (WHERE model_name = 'orders') AS cleared, "
+          "count(*) FILTER (WHERE model_name <> 'orders') AS remaining FROM dlq")
+def q_dlq_clear(spark, sf):
+    dlq = ops.merge_failures(dv.failure_log(spark, sf))
+    remaining, cleared = ops.clear_failures(dlq, "orders")
+    return cleared.crossJoin(remaining.agg(F.count(F.lit(1)).alias("remaining")))
+
+
+# --- usage and importance -------------------------------------------------------------------------
+
+_USAGE_SQL = """usage AS (
+  SELECT model_name, field_name, count(*) FILTER (WHERE context = 'decode') AS decode_count,
+    count(*) FILTER (WHERE context = 'search') AS search_count, max(ts) AS last_used, min(seq) AS first_seq
+  FROM ulog GROUP BY model_name, field_name)"""
+_IMPORTANCE_SQL = """imp AS (
+  SELECT u.model_name, u.field_name,
+    floor((least(50, log10(decode_count + 1) * 20) + least(50, log10(search_count + 1) * 20)) * 10 + 0.5) / 10 AS total_score,
+    decode_count AS decode_frequency, search_count AS search_frequency,
+    k.field_name IS NULL AND least(50, log10(decode_count + 1) * 20) + least(50, log10(search_count + 1) * 20) >= 50 AS is_promoted,
+    first_seq
+  FROM usage u LEFT JOIN key_fields k ON k.model_name = u.model_name AND k.field_name = u.field_name)"""
+
+
+@register("usage_counts", o.with_ctes(dv.USAGE_LOG_SQL, _USAGE_SQL) + "SELECT * FROM usage")
+def q_usage_counts(spark, sf):
+    return ops.usage_counts(dv.usage_log(spark, sf))
+
+
+@register("field_importance", o.with_ctes(dv.USAGE_LOG_SQL, _USAGE_SQL, o.key_fields_cte(), _IMPORTANCE_SQL)
+          + "SELECT * FROM imp")
+def q_field_importance(spark, sf):
+    return ops.field_importance(ops.usage_counts(dv.usage_log(spark, sf)), fx.key_fields(spark))
+
+
+def _kf_rank_cte() -> str:
+    rows = [(m, f, i) for m, fs in fx.KEY_FIELDS.items() for i, f in enumerate(fs)]
+    vals = ", ".join(f"({o.lit(m)}, {o.lit(f)}, {i})" for m, f, i in rows)
+    return f"kfr AS (SELECT * FROM (VALUES {vals}) AS t(model_name, field_name, key_rank))"
+
+
+@register("adaptive_key_fields", o.with_ctes(dv.USAGE_LOG_SQL, _USAGE_SQL, o.key_fields_cte(), _IMPORTANCE_SQL,
+                                             _kf_rank_cte()) + """
+, models AS (SELECT 'events' AS model_name UNION SELECT 'customer'),
+both_ AS (
+  SELECT model_name, field_name, 0 AS grp, CAST(key_rank AS DOUBLE) AS o1, CAST(0 AS BIGINT) AS o2 FROM kfr
+  UNION ALL
+  SELECT model_name, field_name, 1, -total_score, first_seq FROM imp WHERE is_promoted)
+SELECT model_name, CAST(rank AS INTEGER) AS rank, field_name FROM (
+  SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY grp, o1, o2, field_name) AS rank
+  FROM both_ WHERE model_name IN (SELECT model_name FROM models)) t WHERE rank <= 12""")
+def q_adaptive_key_fields(spark, sf):
+    imp = ops.field_importance(ops.usage_counts(dv.usage_log(spark, sf)), fx.key_fields(spark))
+    models = fx.catalog(spark, sf).filter(F.col("model_name").isin("events", "customer")).select("model_name")
+    return ops.adaptive_key_fields(imp, fx.key_fields(spark), models)
+
+
+@register("usage_summary", o.with_ctes(dv.USAGE_LOG_SQL, _USAGE_SQL, o.key_fields_cte(), _IMPORTANCE_SQL) + """
+SELECT 'total_decodes' AS kind, 0 AS rank, CAST(NULL AS VARCHAR) AS item, CAST(sum(decode_count) AS DOUBLE) AS value FROM usage
+UNION ALL
+SELECT 'total_searches', 0, NULL, CAST(sum(search_count) AS DOUBLE) FROM usage
+UNION ALL
+SELECT 'top_field', CAST(row_number() OVER (ORDER BY decode_count + search_count DESC, first_seq) AS INTEGER),
+  model_name || '.' || field_name, CAST(decode_count + search_count AS DOUBLE)
+FROM usage QUALIFY row_number() OVER (ORDER BY decode_count + search_count DESC, first_seq) <= 10
+UNION ALL
+SELECT 'promotion', CAST(row_number() OVER (ORDER BY m.model_seq, total_score DESC, i.first_seq) AS INTEGER),
+  i.model_name || '.' || i.field_name || ' (score: ' || CAST(total_score AS VARCHAR) || ')', total_score
+FROM imp i JOIN (SELECT model_name, min(first_seq) AS model_seq FROM usage GROUP BY 1) m ON m.model_name = i.model_name
+WHERE is_promoted
+QUALIFY row_number() OVER (ORDER BY m.model_seq, total_score DESC, i.first_seq) <= 5""")
+def q_usage_summary(spark, sf):
+    u = ops.usage_counts(dv.usage_log(spark, sf))
+    return ops.usage_summary(u, ops.field_importance(u, fx.key_fields(spark)))
+
+
+# --- sync runs ---------------------------------------------------------------------------------------
+
+def _duration_sql(ms: str) -> str:
+    return f"""CASE WHEN {ms} < 1000 THEN CAST({ms} AS VARCHAR) || 'ms'
+  WHEN {ms} < 60000 THEN CAST(floor(({ms} + 50) / 100) // 10 AS VARCHAR) || '.' || CAST(CAST(floor(({ms} + 50) / 100) AS BIGINT) % 10 AS VARCHAR) || 's'
+  WHEN {ms} < 3600000 THEN CAST(CAST(floor({ms} / 60000) AS BIGINT) AS VARCHAR) || 'm ' || CAST(CAST(floor(({ms} % 60000 + 500) / 1000) AS BIGINT) AS VARCHAR) || 's'
+  ELSE CAST(CAST(floor({ms} / 3600000) AS BIGINT) AS VARCHAR) || 'h ' || CAST(CAST(floor(({ms} % 3600000 + 30000) / 60000) AS BIGINT) AS VARCHAR) || 'm' END"""
+
+
+@register("sync_run_metrics", o.with_ctes(dv.SYNC_RUNS_SQL) + f"""
+, g AS (SELECT model_name, GROUPING(model_name) AS gid, count(*) AS syncs, count(*) FILTER (WHERE success) AS successful_syncs,
+    sum(records_processed) AS records_processed, sum(records_embedded) AS records_embedded,
+    sum(duration_ms) AS total_duration_ms, min(ts) AS first_sync, max(ts) AS last_sync
+  FROM runs GROUP BY ROLLUP (model_name))
+SELECT CASE WHEN gid = 1 THEN 'overall' ELSE 'model' END AS level, model_name, syncs, successful_syncs,
+  syncs - successful_syncs AS failed_syncs, records_processed, records_embedded,
+  records_processed - records_embedded AS records_failed, total_duration_ms,
+  CAST(floor(total_duration_ms / syncs + 0.5) AS BIGINT) AS avg_duration_ms,
+  CAST(CASE WHEN gid = 1 THEN floor(successful_syncs * 100 / syncs + 0.5)
+            WHEN records_processed = records_embedded THEN 100
+            ELSE floor(records_embedded * 100 / records_processed + 0.5) END AS BIGINT) AS success_rate,
+  first_sync, last_sync,
+  {_duration_sql("CASE WHEN gid = 1 THEN total_duration_ms ELSE CAST(floor(total_duration_ms / syncs + 0.5) AS BIGINT) END")} AS duration_text
+FROM g""")
+def q_sync_run_metrics(spark, sf):
+    return ops.sync_run_metrics(dv.sync_runs(spark, sf))
+
+
+# --- pairs ---------------------------------------------------------------------------------------------
+
+def _pairs(spark, sf):
+    c = _catalog(spark, sf)
+    lk = cat.coord_lookup(c)
+    out = []
+    for m, ts in (("customer", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, record_id)")),
+                  ("orders", None)):
+        enc = _encode(spark, sf, m, c)
+        if m == "orders":
+            od = fx.read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("record_id"),
+                                                           F.col("o_orderdate").alias("ts"))
+            enc = enc.join(od, "record_id")
+            ts = F.col("ts")
+        out.append(ops.pairs(enc, codec.decode_text(enc, lk), ts))
+    return out[0].unionByName(out[1])
+
+
+def _pairs_order():
+    return [F.desc("timestamp"), F.desc("model_name"), F.desc("record_id")]
+
+
+def _pairs_sql() -> str:
+    ctes = [o.catalog_cte(), o.LOOKUP_CTE]
+    sel = []
+    for m, ts in (("customer", "TIMESTAMP '2024-01-01 00:00:00' + e.record_id * INTERVAL 1 SECOND"),
+                  ("orders", "x.o_orderdate")):
+        ctes.append(f"enc_{m} AS ({o.encode_select(m)})")
+        join = "JOIN orders x ON x.o_orderkey = e.record_id" if m == "orders" else ""
+        sel.append(f"SELECT e.record_id, e.encoded_string AS input, d.decoded_text AS output, e.model_name, {ts} AS timestamp "
+                   f"FROM enc_{m} e {join} JOIN dec_{m} d ON d.record_id = e.record_id")
+    body = []
+    for m in ("customer", "orders"):
+        seg = o.SEGMENTS_CTE.replace("FROM enc)", f"FROM enc_{m})").replace("segs AS", f"segs_{m} AS") \
+            .replace("FROM segs ", f"FROM segs_{m} ").replace("parsed AS", f"parsed_{m} AS")
+        dts = o.decoded_text_select(False).replace("FROM enc e", f"FROM enc_{m} e").replace("FROM parsed p", f"FROM parsed_{m} p")
+        body += [seg, f"dec_{m} AS ({dts})"]
+    return o.with_ctes(*ctes, *body, "pairs AS (" + "\nUNION ALL\n".join(sel) + ")") + ""
+
+
+_PAIRS_BASE = _pairs_sql()
+
+
+@register("keep_newest_n", _PAIRS_BASE + """
+SELECT * FROM pairs WHERE output <> '' AND output <> '_No decodable fields found_'
+ORDER BY timestamp DESC, model_name DESC, record_id DESC LIMIT 10000""")
+def q_keep_newest_n(spark, sf):
+    return ops.keep_newest(_pairs(spark, sf), ops.MAX_PAIRS, _pairs_order())
+
+
+@register("pair_stats", _PAIRS_BASE + """
+, kept AS (SELECT * FROM pairs ORDER BY timestamp DESC, model_name DESC, record_id DESC LIMIT 10000)
+SELECT CASE WHEN GROUPING(model_name) = 1 THEN 'total' ELSE 'model' END AS level, model_name, count(*) AS n,
+  min(timestamp) AS oldest, max(timestamp) AS newest
+FROM kept GROUP BY ROLLUP (model_name)""")
+def q_pair_stats(spark, sf):
+    return ops.pair_stats(ops.keep_newest(_pairs(spark, sf), ops.MAX_PAIRS, _pairs_order()))
+
+
+# --- tokens and query keys -----------------------------------------------------------------------------
+
+@register("token_estimate", """
+SELECT source, count(*) AS texts, sum(CAST(ceil(length(substr(text, 1, 30000)) / 4) AS BIGINT)) AS tokens
+FROM documents GROUP BY source""")
+def q_token_estimate(spark, sf):
+    return ops.token_costs(fx.read_table(spark, sf, "documents"), "text", "source")
+
+
+@register("repeat_queries", f"""
+SELECT count(*) AS requests, count(DISTINCT lower({o.js_trim('text')})) AS distinct_keys,
+  round(1 - count(DISTINCT lower({o.js_trim('text')})) / count(*), 6) AS repeat_rate
+FROM conversations WHERE role = 'user'""")
+def q_repeat_queries(spark, sf):
+    from ..functions.text import query_key
+
+    ql = dv.query_log(spark, sf)
+    key = query_key(js_trim(F.col("query")), F.lit("semantic"), F.lit(None).cast("string"),
+                    F.array().cast("array<string>"), F.lit(10), F.lit(0.35), F.lit("schema"))
+    return ops.repeat_rate(ql, key)
