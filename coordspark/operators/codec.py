@@ -28,13 +28,14 @@ MAX_LOOKUP_ENTRIES = 2_000_000
 
 def encode_records(records: DataFrame, emap: DataFrame, model_name: str,
                    restrictions: dict[str, str] | None = None,
-                   model_id: int | None = None) -> DataFrame:
+                   model_id: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One coordinate string per record, fields in catalog order.
 
     ``emap`` is the encoding map (``catalog.encoding_map``); only the rows of
     ``model_name`` are used. ``restrictions`` maps field name -> reason for
     fields the source refused (P9/E5): they are not read and carry a marker.
     The encode is one Spark SQL expression, so wide models stay cheap to plan.
+    ``keep`` carries extra record columns through (no re-join later).
     """
     restrictions = restrictions or {}
     rows = collect_bounded(
@@ -64,6 +65,7 @@ def encode_records(records: DataFrame, emap: DataFrame, model_name: str,
         F.lit(int(model_id)).alias("model_id"),
         F.expr(expr).alias("encoded_string"),
         F.lit(len(rows)).alias("field_count"),
+        *[F.col(k) for k in keep],
     )
 
 
@@ -155,7 +157,7 @@ def _decoded_array(encoded: Column, m: Column, key_names: Column | None) -> Colu
 
 
 def decode_text(encoded: DataFrame, lookup: DataFrame,
-                key_fields: dict[str, list[str]] | None = None) -> DataFrame:
+                key_fields: dict[str, list[str]] | None = None, keep_all: bool = False) -> DataFrame:
     """Per record the lines ``- **label:** value`` in segment order, joined by newlines.
 
     Records with nothing decodable get the fixed fallback text.
@@ -173,6 +175,8 @@ def decode_text(encoded: DataFrame, lookup: DataFrame,
         F.lit("- **"), d["meta"]["field_label"], F.lit(":** "),
         display_value(d["raw"], d["meta"]["field_type"], d["meta"]["target_model"])))
     text = F.when(F.size(lines) == 0, F.lit(NO_FIELDS_TEXT)).otherwise(F.array_join(lines, "\n"))
+    if keep_all:
+        return encoded.withColumn("decoded_text", text).drop("_lookup")
     return encoded.select("record_id", "model_name", text.alias("decoded_text"))
 
 

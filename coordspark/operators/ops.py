@@ -208,17 +208,16 @@ def sync_run_metrics(runs: DataFrame) -> DataFrame:
 
 # --- pairs (K7, K8, A12, W2) ---------------------------------------------------------------
 
-def pairs(encoded: DataFrame, decoded: DataFrame, ts: Column) -> DataFrame:
-    """K8: (input, output, model_name, timestamp); empty and "no fields" outputs skipped."""
+def pairs(decoded: DataFrame, ts: Column) -> DataFrame:
+    """K8: (input, output, model_name, timestamp) from rows that carry both the
+    encoded string and its decoded text; empty and "no fields" outputs skipped."""
     from ..functions.codec import NO_FIELDS_TEXT
 
-    j = encoded.select("record_id", "model_name", "encoded_string", ts.alias("timestamp")) \
-        .join(decoded.select("record_id", "model_name", "decoded_text"), ["record_id", "model_name"])
-    return (j.filter((F.coalesce(F.col("encoded_string"), F.lit("")) != "") &
-                     (F.coalesce(F.col("decoded_text"), F.lit("")) != "") &
-                     (F.col("decoded_text") != NO_FIELDS_TEXT))
+    return (decoded.filter((F.coalesce(F.col("encoded_string"), F.lit("")) != "") &
+                           (F.coalesce(F.col("decoded_text"), F.lit("")) != "") &
+                           (F.col("decoded_text") != NO_FIELDS_TEXT))
             .select("record_id", F.col("encoded_string").alias("input"), F.col("decoded_text").alias("output"),
-                    "model_name", "timestamp"))
+                    "model_name", ts.alias("timestamp")))
 
 
 def keep_newest(df: DataFrame, n: int, order: list[Column]) -> DataFrame:

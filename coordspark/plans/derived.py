@@ -117,10 +117,10 @@ def error_log(spark: SparkSession, sf: str) -> DataFrame:
     msg = (F.when(kind == 0, F.concat(
         F.lit("The requested operation can not be completed due to security restrictions.\n"
               "Document type: Event (events)\nOperation: read\nUser: "), F.col("user_id").cast("string"),
-        F.lit("\nFields:\n- k_"), k, F.lit(" (allowed for groups 'Analytics / Officer')\n- u_"),
+        F.lit("\nFields:\n- props (allowed for groups 'Analytics / Officer')\n- u_"),
         F.col("user_id").cast("string"), F.lit(" (allowed for groups 'Analytics / Officer')")))
         .when(kind == 1, F.concat(F.lit("ValueError: Compute method failed to assign events("),
-                                  F.col("event_id").cast("string"), F.lit(",).k_"), k))
+                                  F.col("event_id").cast("string"), F.lit(",).value")))
         .when(kind == 2, F.concat(F.lit("Access Denied by record rules for model 'events', fields: [k_"), k,
                                   F.lit(", u_"), F.col("user_id").cast("string"), F.lit("]")))
         .when(kind == 3, F.concat(F.lit("ValueError: Expected singleton: events("),
@@ -133,3 +133,37 @@ def error_log(spark: SparkSession, sf: str) -> DataFrame:
 def query_log(spark: SparkSession, sf: str) -> DataFrame:
     c = fx.read_table(spark, sf, "conversations").filter(F.col("role") == "user")
     return c.select("conv_id", "turn", F.col("text").alias("query"))
+
+
+ERROR_LOG_SQL = """elog AS (
+  SELECT event_id AS error_id, CASE event_id % 5
+    WHEN 0 THEN 'The requested operation can not be completed due to security restrictions.' || chr(10) ||
+      'Document type: Event (events)' || chr(10) || 'Operation: read' || chr(10) || 'User: ' || CAST(user_id AS VARCHAR) ||
+      chr(10) || 'Fields:' || chr(10) || '- props (allowed for groups ''Analytics / Officer'')' || chr(10) || '- u_' ||
+      CAST(user_id AS VARCHAR) || ' (allowed for groups ''Analytics / Officer'')'
+    WHEN 1 THEN 'ValueError: Compute method failed to assign events(' || CAST(event_id AS VARCHAR) || ',).value'
+    WHEN 2 THEN 'Access Denied by record rules for model ''events'', fields: [k_' || json_extract_string(props, '$.k') ||
+      ', u_' || CAST(user_id AS VARCHAR) || ']'
+    WHEN 3 THEN 'ValueError: Expected singleton: events(' || CAST(event_id AS VARCHAR) || ', ' || CAST(user_id AS VARCHAR) || ')'
+    ELSE 'Timeout after ' || CAST(value AS VARCHAR) || ' s' END AS message
+  FROM events WHERE event_type = 'error')"""
+
+
+def usage_from_events(events: DataFrame) -> DataFrame:
+    """Usage log from an events frame (batch or stream)."""
+    e = events.filter(F.col("event_type").isin("view", "click"))
+    return e.select(F.lit("events").alias("model_name"),
+                    F.get_json_object("props", "$.k").alias("field_name"),
+                    F.when(F.col("event_type") == "view", F.lit("decode")).otherwise(F.lit("search")).alias("context"),
+                    "ts", F.col("event_id").alias("seq"))
+
+
+def failures_from_events(events: DataFrame) -> DataFrame:
+    """Failed-row log from an events frame (batch or stream)."""
+    e = events.filter(F.col("event_type") == "error")
+    stage = F.element_at(F.array(*[F.lit(s) for s in STAGES]), (F.col("event_id") % 3 + 1).cast("int"))
+    return e.select(
+        F.col("user_id").alias("record_id"), F.lit("events").alias("model_name"),
+        F.lit(fx.MODEL_IDS["events"]).alias("model_id"), stage.alias("failure_stage"),
+        F.col("props").alias("error_message"), (F.col("event_id") / 500).cast("int").alias("batch_number"),
+        F.lit("").alias("encoded_string"), F.col("ts").alias("failed_at"), F.col("event_id").alias("seq"))

@@ -116,7 +116,8 @@ def record_source(model: str) -> tuple[str, dict[str, tuple[str, str]]]:
     return src, cols
 
 
-def encode_select(model: str, exclude_models: tuple[str, ...] = (), where: str | None = None) -> str:
+def encode_select(model: str, exclude_models: tuple[str, ...] = (), where: str | None = None,
+                  restricted: str | None = None) -> str:
     """SELECT producing (record_id, model_name, model_id, encoded_string, field_count)."""
     rows = [r for r in fx.catalog_rows() if r["model_name"] == model]
     src, cols = record_source(model)
@@ -127,7 +128,12 @@ def encode_select(model: str, exclude_models: tuple[str, ...] = (), where: str |
         else:
             prefix = f"{r['model_id']}^{r['field_id']}"
         col, storage = cols.get(r["field_name"], (None, None))
-        parts.append(f"'{prefix}*' || ({encode_value(col, r['field_type'], storage)})")
+        value = encode_value(col, r["field_type"], storage)
+        if restricted:
+            value = (f"coalesce((SELECT CASE WHEN reason = 'odoo_error' THEN 'Restricted_odoo_error' "
+                     f"ELSE 'Restricted_from_API' END FROM {restricted} WHERE model_name = '{model}' "
+                     f"AND field_name = '{r['field_name']}'), {value})")
+        parts.append(f"'{prefix}*' || ({value})")
     key = cols.get("id", (None,))[0]
     rid = f'CAST("{key}" AS BIGINT)' if key else "CAST(NULL AS BIGINT)"
     w = f" WHERE {where}" if where else ""

@@ -769,17 +769,12 @@ def q_sync_run_metrics(spark, sf):
 def _pairs(spark, sf):
     c = _catalog(spark, sf)
     lk = cat.coord_lookup(c)
-    out = []
-    for m, ts in (("customer", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, record_id)")),
-                  ("orders", None)):
-        enc = _encode(spark, sf, m, c)
-        if m == "orders":
-            od = fx.read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("record_id"),
-                                                           F.col("o_orderdate").alias("ts"))
-            enc = enc.join(od, "record_id")
-            ts = F.col("ts")
-        out.append(ops.pairs(enc, codec.decode_text(enc, lk), ts))
-    return out[0].unionByName(out[1])
+    emap = cat.encoding_map(c)
+    cust = codec.encode_records(fx.record_view(spark, sf, "customer"), emap, "customer")
+    cust_ts = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, record_id)")
+    orders = codec.encode_records(fx.record_view(spark, sf, "orders"), emap, "orders", keep=("o_orderdate",))
+    return (ops.pairs(codec.decode_text(cust, lk, keep_all=True), cust_ts)
+            .unionByName(ops.pairs(codec.decode_text(orders, lk, keep_all=True), F.col("o_orderdate"))))
 
 
 def _pairs_order():
@@ -843,3 +838,141 @@ def q_repeat_queries(spark, sf):
     key = query_key(js_trim(F.col("query")), F.lit("semantic"), F.lit(None).cast("string"),
                     F.array().cast("array<string>"), F.lit(10), F.lit(0.35), F.lit("schema"))
     return ops.repeat_rate(ql, key)
+
+
+# --- error log, restrictions (E16, A15, P9, E5, I10) ----------------------------------------------------
+
+from ..functions import text as tx  # noqa: E402
+
+
+def _classified(spark, sf):
+    return ops.classified_errors(dv.error_log(spark, sf))
+
+
+def _classify_sql() -> str:
+    L = o.lit
+    msg = "replace(message, '\\n', chr(10))"
+    section = f"regexp_extract({msg}, {L(tx.FIELDS_SECTION_RE)}, 1)"
+    sec = f"regexp_extract_all({section}, {L(tx.FIELD_ITEM_RE)}, 1)"
+    sec_alt = f"regexp_extract_all({msg}, {L(tx.FIELD_ALT_RE)}, 1)"
+    comp_alt = f"regexp_extract_all({msg}, {L(tx.COMPUTE_ALT_RE)}, 1)"
+    acc = (f"flatten(list_transform(regexp_extract_all({msg}, {L(tx.ACCESS_FIELDS_RE)}, 1), "
+           f"lambda s: list_filter(regexp_split_to_array(s, '[,\\s]+'), lambda f: regexp_full_match(f, '\\w+'))))")
+    is_sec = f"regexp_matches({msg}, {L(tx.SECURITY_RE)})"
+    comp = f"regexp_matches({msg}, {L(tx.COMPUTE_RE)})"
+    access = f"regexp_matches({msg}, {L(tx.ACCESS_RE)})"
+    single = f"regexp_matches({msg}, {L(tx.SINGLETON_RE)})"
+    hints = " OR ".join(f"regexp_matches(message, {L(h)})" for h in tx.RESTRICTION_HINTS)
+    return f"""classified AS (SELECT error_id,
+  CASE WHEN {is_sec} THEN 'security_restriction' WHEN {comp} THEN 'compute_error'
+       WHEN {access} THEN 'security_restriction' WHEN {single} THEN 'singleton_error'
+       WHEN len({comp_alt}) > 0 THEN 'compute_error' ELSE 'unknown' END AS error_type,
+  CASE WHEN {is_sec} THEN nullif(trim(regexp_extract({msg}, {L(tx.DOC_MODEL_RE)}, 1)), '')
+       WHEN {comp} THEN trim(regexp_extract({msg}, {L(tx.COMPUTE_RE)}, 1))
+       WHEN {access} THEN nullif(trim(regexp_extract({msg}, {L(tx.ACCESS_MODEL_RE)}, 1)), '')
+       WHEN {single} THEN trim(regexp_extract({msg}, {L(tx.SINGLETON_RE)}, 1)) END AS model,
+  CASE WHEN {is_sec} THEN nullif(lower(regexp_extract({msg}, {L(tx.OPERATION_RE)}, 1)), '') END AS operation,
+  CASE WHEN {is_sec} THEN (CASE WHEN len({sec}) > 0 THEN {sec} ELSE {sec_alt} END)
+       WHEN {comp} THEN [regexp_extract({msg}, {L(tx.COMPUTE_RE)}, 2)]
+       WHEN {access} THEN list_concat({comp_alt}, {acc})
+       ELSE {comp_alt} END AS flist,
+  {hints} AS is_restriction,
+  regexp_matches(message, '(?i)Expected singleton') AS is_singleton
+FROM elog)"""
+
+
+@register("error_log_fields", o.with_ctes(dv.ERROR_LOG_SQL, _classify_sql()) + """
+SELECT error_id, error_type, model, operation,
+  array_to_string(list_sort(list_distinct(list_filter(flist, lambda x: x <> ''))), ',') AS fields,
+  is_restriction, is_singleton FROM classified""")
+def q_error_log_fields(spark, sf):
+    c = _classified(spark, sf)
+    return c.select("error_id", "error_type", "model", "operation",
+                    F.array_join(F.array_sort("restricted_fields"), ",").alias("fields"),
+                    "is_restriction", "is_singleton")
+
+
+_RESTR_SQL = """restr AS (
+  SELECT DISTINCT model AS model_name, unnest(list_distinct(list_filter(flist, lambda x: x <> ''))) AS field_name,
+    CASE WHEN error_type IN ('compute_error', 'singleton_error') THEN 'odoo_error' ELSE 'security' END AS reason
+  FROM classified WHERE len(list_filter(flist, lambda x: x <> '')) > 0)"""
+
+
+@register("restrictions_by_reason", o.with_ctes(dv.ERROR_LOG_SQL, _classify_sql(), _RESTR_SQL) + """
+SELECT reason, count(DISTINCT field_name) AS n_fields, string_agg(DISTINCT field_name, ',' ORDER BY field_name) AS fields
+FROM restr GROUP BY reason""")
+def q_restrictions_by_reason(spark, sf):
+    return ops.restrictions_by_reason(ops.restrictions(_classified(spark, sf)))
+
+
+def _restriction_dict(spark, sf, model: str) -> dict[str, str]:
+    """One consistent restriction set for a run, limited to catalog fields of the model."""
+    from ..operators.common import collect_bounded
+
+    r = ops.restrictions(_classified(spark, sf)).filter(F.col("model_name") == model)
+    fields = fx.catalog(spark, sf).filter(F.col("model_name") == model).select("field_name")
+    r = r.join(fields, "field_name", "left_semi")
+    # odoo_error wins over security when both name a field
+    r = r.groupBy("field_name").agg(F.max(F.when(F.col("reason") == "odoo_error", 1).otherwise(0)).alias("oe"))
+    rows = collect_bounded(r, 100_000, "restricted fields")
+    return {x["field_name"]: ("odoo_error" if x["oe"] else "security") for x in rows}
+
+
+_RESTR_FIELDS_SQL = """restr_f AS (SELECT model_name, field_name,
+    CASE WHEN max(CASE WHEN reason = 'odoo_error' THEN 1 ELSE 0 END) = 1 THEN 'odoo_error' ELSE 'security' END AS reason
+  FROM restr GROUP BY model_name, field_name)"""
+
+
+@register("encode_events_restricted",
+          o.with_ctes(dv.ERROR_LOG_SQL, _classify_sql(), _RESTR_SQL, _RESTR_FIELDS_SQL)
+          + o.encode_select("events", restricted="restr_f"))
+def q_encode_events_restricted(spark, sf):
+    """P9 + E5: restricted columns are not read; their value is the marker for the reason."""
+    return codec.encode_records(fx.record_view(spark, sf, "events"), cat.encoding_map(_catalog(spark, sf)),
+                                "events", restrictions=_restriction_dict(spark, sf, "events"))
+
+
+# --- streaming (I2, I5, I6, I7, I9) ------------------------------------------------------------------------
+
+from ..streaming import incremental as inc  # noqa: E402
+from ..session import table_path  # noqa: E402
+
+
+@register("stream_usage_counts", o.with_ctes(dv.USAGE_LOG_SQL, _USAGE_SQL) + "SELECT * FROM usage")
+def q_stream_usage_counts(spark, sf):
+    """I5 as a stream over the events files (availableNow); equals the batch counts."""
+    return inc.stream_usage_counts(spark, table_path(sf, "events"), dv.usage_from_events)
+
+
+@register("stream_failed_rows", o.with_ctes(dv.FAILURE_LOG_SQL.replace(
+    "UNION ALL\n  SELECT o_orderkey, 'orders', 6, 'embedding', o_orderpriority, CAST(trunc(o_orderkey / 500) AS INTEGER), '',\n"
+    "    o_orderdate, o_orderkey + 1000000000\n  FROM orders WHERE o_orderstatus = 'P'", ""), _DLQ_SQL) + "SELECT * FROM dlq")
+def q_stream_failed_rows(spark, sf):
+    """I6 as a stream: keyed failed-row state from error events (newest 1000 keys)."""
+    return inc.stream_failed_rows(spark, table_path(sf, "events"), dv.failures_from_events)
+
+
+@register("stream_dedup_events", "SELECT * FROM events")
+def q_stream_dedup_events(spark, sf):
+    """Duplicate event ids within the watermark are dropped (the test data has none)."""
+    return inc.stream_dedup(spark, table_path(sf, "events"), "event_id", "ts")
+
+
+@register("stream_encode_orders", f"""
+SELECT 6 * 10000000 + record_id AS id, record_id, model_name, encoded_string
+FROM ({o.encode_select("orders")}) e""")
+def q_stream_encode_orders(spark, sf):
+    """Orders streamed through encode into the point table (epoch deltas, last write wins)."""
+    emap = cat.encoding_map(_catalog(spark, sf))
+
+    def encode(stream):
+        # the record view's computed column needs a join with lineitem: a
+        # stream-static join on the order key
+        counts = (fx.read_table(spark, sf, "lineitem").groupBy("l_orderkey")
+                  .agg(F.count(F.lit(1)).alias("line_count")).withColumnRenamed("l_orderkey", "id"))
+        recs = (stream.withColumnRenamed("o_orderkey", "id").join(counts, "id", "left")
+                .withColumn("line_count", F.coalesce(F.col("line_count"), F.lit(0).cast("long"))))
+        return codec.encode_records(recs, emap, "orders")
+
+    points, _failed, _runs = inc.stream_records(spark, table_path(sf, "orders"), encode)
+    return points.select("id", "record_id", "model_name", "encoded_string")
