@@ -41,6 +41,11 @@ def js_trim(c: Column) -> Column:
     return F.regexp_replace(c, TRIM_PATTERN, "")
 
 
+def js_rtrim(c: Column) -> Column:
+    """Trailing white space removed (what decoding drops from a value, Q7)."""
+    return F.regexp_replace(c, rf"{JS_SPACE}+$", "")
+
+
 def js_parse_int(c: Column) -> Column:
     """Integer prefix of a text (``12abc`` -> 12), NULL if there is none."""
     return F.regexp_extract(c, INT_PREFIX, 1).try_cast("bigint")

@@ -74,6 +74,10 @@ def js_trim(x: str) -> str:
     return f"regexp_replace({x}, '{TRIM_PATTERN}', '', 'g')"
 
 
+def js_rtrim(x: str) -> str:
+    return f"regexp_replace({x}, '{JS_SPACE}+$', '')"
+
+
 def number_text(c: str) -> str:
     return (f"CASE WHEN {c} IS NULL THEN '' WHEN abs({c}) < 1e15 AND {c} = trunc({c}) "
             f"THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codec import js_trim
+from ..functions.codec import js_rtrim, js_trim
 from ..operators import catalog as cat
 from ..operators import codec
 from ..operators import points as pts
@@ -161,18 +161,18 @@ def q_decode_stats(spark, sf):
 @register("roundtrip_documents",
           o.with_ctes(o.catalog_cte(), o.LOOKUP_CTE, "enc AS (" + o.encode_select("documents") + ")", o.SEGMENTS_CTE)
           + f"""SELECT p.record_id, p.raw_value AS decoded_text,
-  p.raw_value = {o.js_trim('d.text')} AS roundtrip_ok
+  p.raw_value = {o.js_rtrim('d.text')} AS roundtrip_ok
 FROM parsed p JOIN lookup l ON p.coordinate = l.coordinate JOIN documents d ON d.doc_id = p.record_id
 WHERE l.field_name = 'text' AND l.model_name = 'documents'""")
 def q_roundtrip_documents(spark, sf):
     """Encode every document and decode its text field back; compare with the
-    original (trimmed, Q7)."""
+    original without trailing white space (Q7)."""
     c = _catalog(spark, sf)
     docs = fx.record_view(spark, sf, "documents")
     enc = codec.encode_records(docs, cat.encoding_map(c), "documents")
     dec = codec.decode_records(enc, cat.coord_lookup(c))
     text = dec.filter((F.col("field_name") == "text") & (F.col("field_model") == "documents"))
-    orig = docs.select(F.col("id").alias("record_id"), js_trim(F.col("text")).alias("orig"))
+    orig = docs.select(F.col("id").alias("record_id"), js_rtrim(F.col("text")).alias("orig"))
     return (text.join(orig, "record_id")
             .select("record_id", F.col("raw_value").alias("decoded_text"),
                     (F.col("raw_value") == F.col("orig")).alias("roundtrip_ok")))

@@ -36,7 +36,7 @@ def read_catalog_text(spark: SparkSession, path: str) -> DataFrame:
     file order. A catalog is bounded by the number of fields of the ERP
     schema (tens of thousands of lines), so one file per task is fine.
     """
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     lines = files.select(F.posexplode(F.split(F.col("value"), "\n", -1)).alias("pos", "value"))
     return (lines.select((F.col("pos") + 1).cast("long").alias("line_no"), "value")
             .filter(F.length(js_trim(F.col("value"))) > 0))
