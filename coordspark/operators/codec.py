@@ -18,7 +18,7 @@ from ..functions.codec import (
     NO_FIELDS_TEXT, RESTRICTED_MARKER, SEGMENT_PATTERN, SOURCE_ERROR_MARKER, SPLIT_PATTERN,
     display_value, encode_value_sql, js_trim, unescape_pipe, with_display,
 )
-from .common import checked_broadcast, collect_bounded
+from .common import checked_broadcast, collect_bounded, spread
 
 #: Upper bound of fields of one model we build an encode expression for.
 MAX_FIELDS_PER_MODEL = 20_000
@@ -26,7 +26,18 @@ MAX_FIELDS_PER_MODEL = 20_000
 MAX_LOOKUP_ENTRIES = 2_000_000
 
 
-def encode_records(records: DataFrame, emap: DataFrame, model_name: str,
+def encoding_plan(emap: DataFrame) -> dict[str, list]:
+    """The encoding map collected once for all models (schema-sized, bounded):
+    model -> field rows in catalog order. Lets many encodes share one job."""
+    rows = collect_bounded(emap.select("model_name", "field_name", "prefix", "field_type", "model_id", "line_no"),
+                           MAX_LOOKUP_ENTRIES, "encoding map")
+    plan: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: r["line_no"]):
+        plan.setdefault(r["model_name"], []).append(r)
+    return plan
+
+
+def encode_records(records: DataFrame, emap: DataFrame | dict, model_name: str,
                    restrictions: dict[str, str] | None = None,
                    model_id: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One coordinate string per record, fields in catalog order.
@@ -38,10 +49,13 @@ def encode_records(records: DataFrame, emap: DataFrame, model_name: str,
     ``keep`` carries extra record columns through (no re-join later).
     """
     restrictions = restrictions or {}
-    rows = collect_bounded(
-        emap.filter(F.col("model_name") == model_name)
-        .select("field_name", "prefix", "field_type", "model_id", "line_no").orderBy("line_no"),
-        MAX_FIELDS_PER_MODEL, "fields of model " + model_name)
+    if isinstance(emap, dict):
+        rows = emap.get(model_name, [])
+    else:
+        rows = collect_bounded(
+            emap.filter(F.col("model_name") == model_name)
+            .select("field_name", "prefix", "field_type", "model_id", "line_no").orderBy("line_no"),
+            MAX_FIELDS_PER_MODEL, "fields of model " + model_name)
     if not rows:
         raise ValueError(f"no catalog rows for model {model_name!r}")
     if model_id is None:
@@ -113,7 +127,8 @@ def _key_field_filter(decoded: DataFrame, key_fields: DataFrame | None) -> DataF
     return decoded.join(kf, ["model_name", "field_name"], "left_semi")
 
 
-def decode_records(encoded: DataFrame, lookup: DataFrame, key_fields: DataFrame | None = None) -> DataFrame:
+def decode_records(encoded: DataFrame, lookup: DataFrame, key_fields: DataFrame | None = None,
+                   carry: tuple[str, ...] = ()) -> DataFrame:
     """Decoded fields in segment order, one row per known coordinate.
 
     Unknown coordinates are skipped (J1, inner broadcast join on the
@@ -123,78 +138,78 @@ def decode_records(encoded: DataFrame, lookup: DataFrame, key_fields: DataFrame
     meta = lookup.select(
         "coordinate", "field_name", "field_label", "field_type",
         F.col("model_name").alias("field_model"), "is_foreign_key", "target_model")
-    segs = parse_encoded(encoded)
+    segs = parse_encoded(encoded, ("record_id", "model_name", *carry))
     joined = segs.join(checked_broadcast(meta, MAX_LOOKUP_ENTRIES), "coordinate", "inner")
     joined = _key_field_filter(joined, key_fields)
     joined = with_display(joined, "raw_value", "field_type", "target_model")
     return joined.select(
         "record_id", "model_name", "pos", "field_name", "field_label", "field_type", "field_model",
-        "raw_value", "display_value", "is_foreign_key", "target_model",
+        "raw_value", "display_value", "is_foreign_key", "target_model", *carry,
     )
 
 
-def lookup_map(lookup: DataFrame) -> Column:
-    """The coordinate lookup as one map value (scalar subquery; schema-sized)."""
-    entries = F.collect_list(F.struct(
-        F.col("coordinate"),
-        F.struct("field_name", "field_label", "field_type", F.col("model_name").alias("field_model"),
-                 "is_foreign_key", "target_model").alias("meta")))
-    return lookup.agg(F.map_from_entries(entries).alias("m")).scalar()
-
+def _segments_with_meta(encoded: DataFrame, lookup: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every record with its segments (outer explode: records without segments
+    stay), each valid segment left-joined to the lookup (broadcast hash join).
 
-def _decoded_array(encoded: Column, m: Column, key_names: Column | None) -> Column:
-    parsed = F.transform(
-        F.filter(split_segments(encoded), lambda s: s.rlike(SEGMENT_PATTERN)),
-        lambda s: F.struct(_coordinate(s).alias("coordinate"),
-                           unescape_pipe(F.regexp_extract(s, SEGMENT_PATTERN, 3)).alias("raw")))
-    looked = F.transform(parsed, lambda p: F.struct(p["raw"].alias("raw"),
-                                                    F.try_element_at(m, p["coordinate"]).alias("meta")))
-    known = F.filter(looked, lambda d: d["meta"].isNotNull())
-    if key_names is not None:
-        known = F.filter(known, lambda d: (F.size(key_names) == 0) |
-                         F.array_contains(key_names, d["meta"]["field_name"]))
-    return known
+    Rows keep a per-record key ``_row`` so records can be reassembled.
+    """
+    meta = lookup.select("coordinate", "field_name", "field_label", "field_type",
+                         F.col("model_name").alias("field_model"), "is_foreign_key", "target_model")
+    rows = encoded.withColumn("_row", F.monotonically_increasing_id())
+    seg = F.col("seg")
+    ex = rows.select("_row", "record_id", "model_name", *carry,
+                     F.posexplode_outer(F.split(F.col("encoded_string"), SPLIT_PATTERN, -1)).alias("pos", "seg"))
+    ex = ex.withColumn("seg", js_trim(seg)).withColumn("valid", F.coalesce(seg.rlike(SEGMENT_PATTERN), F.lit(False)))
+    ex = ex.select("_row", "record_id", "model_name", *carry, "pos", "valid",
+                   F.when(F.col("valid"), _coordinate(seg)).alias("coordinate"),
+                   F.when(F.col("valid"), unescape_pipe(F.regexp_extract(seg, SEGMENT_PATTERN, 3))).alias("raw_value"))
+    return ex.join(checked_broadcast(meta, MAX_LOOKUP_ENTRIES), "coordinate", "left")
 
 
 def decode_text(encoded: DataFrame, lookup: DataFrame,
                 key_fields: dict[str, list[str]] | None = None, keep_all: bool = False) -> DataFrame:
     """Per record the lines ``- **label:** value`` in segment order, joined by newlines.
 
-    Records with nothing decodable get the fixed fallback text.
+    Explode, broadcast-join the schema-sized lookup, then one aggregation
+    per record (each group is one record's fields: bounded, never skewed).
+    Records with nothing decodable get the fixed fallback text. With
+    ``keep_all`` the other input columns are carried through the aggregate.
     """
-    encoded = encoded.withColumn("_lookup", lookup_map(lookup))
-    m = F.col("_lookup")
-    key_names = None
-    if key_fields is not None:
-        kmap = F.create_map(*[x for k, v in key_fields.items()
-                              for x in (F.lit(k), F.array(*[F.lit(f) for f in v]))]) if key_fields else None
-        key_names = (F.coalesce(F.try_element_at(kmap, F.col("model_name")), F.array().cast("array<string>"))
-                     if kmap is not None else F.array().cast("array<string>"))
-    known = _decoded_array(F.col("encoded_string"), m, key_names)
-    lines = F.transform(known, lambda d: F.concat(
-        F.lit("- **"), d["meta"]["field_label"], F.lit(":** "),
-        display_value(d["raw"], d["meta"]["field_type"], d["meta"]["target_model"])))
+    carry = tuple(c for c in encoded.columns if c not in ("record_id", "model_name")) if keep_all else ()
+    ex = _segments_with_meta(encoded, lookup, carry)
+    known = F.col("field_name").isNotNull()
+    if key_fields:
+        models = list(key_fields)
+        allowed = ~F.col("model_name").isin(*models)
+        for m, fs in key_fields.items():
+            allowed = allowed | ((F.col("model_name") == m) & F.col("field_name").isin(*fs))
+        known = known & allowed
+    ex = with_display(ex, "raw_value", "field_type", "target_model")
+    line = F.when(known, F.concat(F.lit("- **"), F.col("field_label"), F.lit(":** "), F.col("display_value")))
+    agg = ex.groupBy("_row").agg(
+        F.first("record_id").alias("record_id"), F.first("model_name").alias("model_name"),
+        *[F.first(c).alias(c) for c in carry],
+        F.collect_list(F.when(line.isNotNull(), F.struct(F.col("pos"), line.alias("line")))).alias("lines"))
+    lines = F.transform(F.array_sort("lines"), lambda x: x["line"])
     text = F.when(F.size(lines) == 0, F.lit(NO_FIELDS_TEXT)).otherwise(F.array_join(lines, "\n"))
-    if keep_all:
-        return encoded.withColumn("decoded_text", text).drop("_lookup")
-    return encoded.select("record_id", "model_name", text.alias("decoded_text"))
+    return agg.select("record_id", "model_name", *carry, text.alias("decoded_text"))
 
 
 def decode_stats(encoded: DataFrame, lookup: DataFrame) -> DataFrame:
     """Per record the number of segments, decoded and unknown ones, and a
     ``type:count`` list (sorted by type) of the decoded field types."""
-    encoded = encoded.withColumn("_lookup", lookup_map(lookup))
-    m = F.col("_lookup")
-    parsed = F.filter(split_segments(F.col("encoded_string")), lambda s: s.rlike(SEGMENT_PATTERN))
-    types = F.transform(F.filter(F.transform(parsed, lambda s: F.try_element_at(m, _coordinate(s))),
-                                 lambda x: x.isNotNull()), lambda x: x["field_type"])
+    ex = _segments_with_meta(encoded.select("record_id", "model_name", "encoded_string"), lookup)
+    g = ex.groupBy("_row").agg(
+        F.first("record_id").alias("record_id"), F.first("model_name").alias("model_name"),
+        F.count_if("valid").alias("total_segments"),
+        F.count_if(F.col("field_name").isNotNull()).alias("decoded_fields"),
+        F.collect_list("field_type").alias("types"))
+    types = F.col("types")
     distinct = F.array_sort(F.array_distinct(types))
     per_type = F.transform(distinct, lambda t: F.concat(
         t, F.lit(":"), F.size(F.filter(types, lambda u: u == t)).cast("string")))
-    return encoded.select(
-        "record_id", "model_name",
-        F.size(parsed).alias("total_segments"),
-        F.size(types).alias("decoded_fields"),
-        (F.size(parsed) - F.size(types)).alias("unknown_coordinates"),
-        F.array_join(per_type, ",").alias("field_types"),
-    )
+    return g.select("record_id", "model_name", F.col("total_segments").cast("int").alias("total_segments"),
+                    F.col("decoded_fields").cast("int").alias("decoded_fields"),
+                    (F.col("total_segments") - F.col("decoded_fields")).cast("int").alias("unknown_coordinates"),
+                    F.array_join(per_type, ",").alias("field_types"))

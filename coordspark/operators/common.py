@@ -23,3 +23,16 @@ def collect_bounded(df: DataFrame, max_rows: int, what: str) -> list[Row]:
     if len(rows) > max_rows:
         raise ValueError(f"{what}: more than {max_rows} rows; refusing to collect")
     return rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work at least one task per core.
+
+    A scan yields one task per file split; a small file (one row group) is
+    one task however many cores there are. Below the default parallelism we
+    repartition round-robin; at scale the scan already has many more
+    partitions than cores and this is a no-op (no extra shuffle).
+    """
+    sc = df.sparkSession.sparkContext
+    n = sc.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

@@ -105,13 +105,19 @@ def _field_type(model: str, column: str, storage: str) -> str:
     return "char"
 
 
+_COLUMNS_SEEN: dict[str, dict[str, list[tuple[str, str]]]] = {}
+
+
 def table_columns(spark: SparkSession, sf_dir: str) -> dict[str, list[tuple[str, str]]]:
-    """Column lists read from the Parquet footers of the tables (no data scan)."""
-    out = {}
-    for model in TABLE_COLUMNS:
-        schema = read_table(spark, sf_dir, model).schema
-        out[model] = [(f.name, f.dataType.simpleString()) for f in schema.fields]
-    return out
+    """Column lists read from the Parquet footers of the tables (no data scan);
+    remembered per folder for the life of the process."""
+    if sf_dir not in _COLUMNS_SEEN:
+        out = {}
+        for model in TABLE_COLUMNS:
+            schema = read_table(spark, sf_dir, model).schema
+            out[model] = [(f.name, f.dataType.simpleString()) for f in schema.fields]
+        _COLUMNS_SEEN[sf_dir] = out
+    return _COLUMNS_SEEN[sf_dir]
 
 
 def catalog_rows(exclude_models: tuple[str, ...] = (),
@@ -203,7 +209,9 @@ def record_view(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
     is unbounded per customer, so the field is read as absent and encodes as
     the empty value (documented quirk, see README).
     """
-    df = read_table(spark, sf_dir, model)
+    from ..operators.common import spread
+
+    df = spread(read_table(spark, sf_dir, model))
     key = KEY_COLUMNS.get(model)
     if key:
         df = df.withColumnRenamed(key, "id")

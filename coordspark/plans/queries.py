@@ -39,14 +39,17 @@ def _catalog(spark, sf, exclude=()):
     return fx.catalog(spark, sf, exclude)
 
 
-def _encode(spark, sf, model, catalog=None):
-    catalog = catalog if catalog is not None else _catalog(spark, sf)
-    return codec.encode_records(fx.record_view(spark, sf, model), cat.encoding_map(catalog), model)
+def _encode(spark, sf, model, catalog=None, plan=None):
+    if plan is None:
+        catalog = catalog if catalog is not None else _catalog(spark, sf)
+        plan = codec.encoding_plan(cat.encoding_map(catalog))
+    return codec.encode_records(fx.record_view(spark, sf, model), plan, model)
 
 
 def _points(spark, sf):
     c = _catalog(spark, sf)
-    encs = [_encode(spark, sf, m, c) for m in fx.models_with_id()]
+    plan = codec.encoding_plan(cat.encoding_map(c))
+    encs = [_encode(spark, sf, m, plan=plan) for m in fx.models_with_id()]
     return pts.point_table(pts.schema_points(c), *[pts.data_points(e) for e in encs])
 
 
@@ -150,8 +153,8 @@ LEFT JOIN (SELECT record_id, model_name, string_agg(field_type || ':' || CAST(n
 def q_decode_stats(spark, sf):
     """A13 over the records of every model with an id, decoded against a catalog
     without the region model (region's own fields become unknown)."""
-    full = _catalog(spark, sf)
-    encs = [_encode(spark, sf, m, full) for m in fx.models_with_id()]
+    plan = codec.encoding_plan(cat.encoding_map(_catalog(spark, sf)))
+    encs = [_encode(spark, sf, m, plan=plan) for m in fx.models_with_id()]
     enc = encs[0]
     for e in encs[1:]:
         enc = enc.unionByName(e)
@@ -169,13 +172,12 @@ def q_roundtrip_documents(spark, sf):
     original without trailing white space (Q7)."""
     c = _catalog(spark, sf)
     docs = fx.record_view(spark, sf, "documents")
-    enc = codec.encode_records(docs, cat.encoding_map(c), "documents")
-    dec = codec.decode_records(enc, cat.coord_lookup(c))
+    enc = codec.encode_records(docs.withColumn("orig", F.col("text")), cat.encoding_map(c), "documents",
+                               keep=("orig",))
+    dec = codec.decode_records(enc, cat.coord_lookup(c), carry=("orig",))
     text = dec.filter((F.col("field_name") == "text") & (F.col("field_model") == "documents"))
-    orig = docs.select(F.col("id").alias("record_id"), js_rtrim(F.col("text")).alias("orig"))
-    return (text.join(orig, "record_id")
-            .select("record_id", F.col("raw_value").alias("decoded_text"),
-                    (F.col("raw_value") == F.col("orig")).alias("roundtrip_ok")))
+    return text.select("record_id", F.col("raw_value").alias("decoded_text"),
+                       (F.col("raw_value") == js_rtrim(F.col("orig"))).alias("roundtrip_ok"))
 
 
 # --- catalog -------------------------------------------------------------------------------
