@@ -121,3 +121,16 @@ def next_state(state: DataFrame | None, model: str, loaded: DataFrame, ts_col: s
                                  F.col("last_max_write_date")).alias("last_max_write_date"),
                       F.col("records_loaded").alias("records_synced")))
     return state.filter(F.col("model_name") != model).unionByName(merged)
+
+
+# --- schema hash (I8) ---------------------------------------------------------------
+
+def schema_hash(catalog: DataFrame) -> DataFrame:
+    """I8: ``v1-<fields>-<models>``; usage state stored under another hash is stale."""
+    return catalog.agg(F.concat(F.lit("v1-"), F.count(F.lit(1)).cast("string"), F.lit("-"),
+                                F.countDistinct("model_name").cast("string")).alias("schema_hash"))
+
+
+def state_for_schema(state: DataFrame, current_hash: DataFrame) -> DataFrame:
+    """I8: keep only state rows written under the current schema hash (others are cleared)."""
+    return state.join(F.broadcast(current_hash), "schema_hash", "left_semi")

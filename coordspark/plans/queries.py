@@ -978,3 +978,109 @@ def q_stream_encode_orders(spark, sf):
 
     points, _failed, _runs = inc.stream_records(spark, table_path(sf, "orders"), encode)
     return points.select("id", "record_id", "model_name", "encoded_string")
+
+
+# --- record scans (S4-S8), vector attach (J7), unified search (V4), reports (E15, A3) -------------------
+
+from ..sources import records as rec  # noqa: E402
+
+
+@register("scan_records_domain", """
+SELECT o_orderkey AS id, o_totalprice, o_orderdate FROM orders
+WHERE o_orderstatus = 'F' AND o_totalprice > 100000""")
+def q_scan_records_domain(spark, sf):
+    """Domain predicate and field list reach the Parquet scan."""
+    dom = (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 100000)
+    return rec.scan_records(fx.record_view(spark, sf, "orders"), dom, ["id", "o_totalprice", "o_orderdate"])
+
+
+@register("read_by_ids", """
+SELECT c_custkey AS id, c_name FROM customer
+WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
+def q_read_by_ids(spark, sf):
+    """Records whose id is in another table's column (semi join, size-checked broadcast)."""
+    ids = (fx.read_table(spark, sf, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
+           .select(F.col("o_custkey").alias("id")))
+    return rec.read_by_ids(fx.record_view(spark, sf, "customer"), ids).select("id", "c_name")
+
+
+def _doc_vectors(spark, sf):
+    e = fx.read_table(spark, sf, "embeddings")
+    return e.select((F.lit(fx.MODEL_IDS["documents"] * pts.MODEL_ID_MULTIPLIER) + F.col("vec_id")).alias("id"),
+                    F.col("embedding").alias("vector"))
+
+
+@register("vector_attach", """
+SELECT 9 * 10000000 + d.doc_id AS id, d.doc_id AS record_id, e.vec_id IS NOT NULL AS has_vector
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
+def q_vector_attach(spark, sf):
+    """Document points get their vector by id (a missing vector stays NULL; nothing shifts)."""
+    p = pts.data_points(_encode(spark, sf, "documents"), _doc_vectors(spark, sf))
+    return p.select("id", "record_id", F.col("vector").isNotNull().alias("has_vector"))
+
+
+@register("vector_missing", """
+SELECT d.doc_id AS record_id, 'documents' AS model_name, 'embedding' AS failure_stage
+FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)""")
+def q_vector_missing(spark, sf):
+    """J7 / K5 input: records without a vector become failed rows (stage embedding)."""
+    p = pts.data_points(_encode(spark, sf, "documents"), _doc_vectors(spark, sf))
+    return p.filter(F.col("vector").isNull()).select("record_id", "model_name",
+                                                     F.lit("embedding").alias("failure_stage"))
+
+
+@register("hit_report", o.with_ctes(DOC_POINTS_SQL, "q AS (SELECT v AS qv FROM p ORDER BY id LIMIT 1)") + f"""
+SELECT id, model_name || '.' || field_name AS title,
+  format('{{:,.1f}}', round(s * 100, 1)) || '%' AS score_text FROM (
+  SELECT id, model_name, field_name, {_score_sql('v', 'qv')} AS s FROM p, q ORDER BY s DESC, id LIMIT 10) t
+WHERE s >= 0.35""")
+def q_hit_report(spark, sf):
+    """Result columns of a search (score as percent, title)."""
+    p = doc_points(spark, sf)
+    hits = vec.knn_search(p, _first_vector(p), k=10, min_score=0.35)
+    return hits.select("id", F.concat_ws(".", "model_name", "field_name").alias("title"),
+                       tx.score_percent(F.col("score")).alias("score_text"))
+
+
+@register("list_counts_by_type", o.with_ctes(o.catalog_cte()) + """
+SELECT field_type, count(*) AS n, string_agg(field_name, ',' ORDER BY field_name) AS fields
+FROM catalog WHERE model_name = 'orders' GROUP BY field_type""")
+def q_list_counts_by_type(spark, sf):
+    """A3: grouped counts of a list result (by field type)."""
+    return pts.counts_by(pts.list_fields(_points(spark, sf), "orders"), "field_type")
+
+
+@register("unified_search")
+def q_unified_search(spark, sf):
+    """V4 (rows-only: schema vectors come from Spark's hashing embedder): one
+    search over data and schema points (point_type all), hits counted per type."""
+    c = _catalog(spark, sf)
+    sp = vec.hashing_embed(pts.schema_points(c).drop("vector"), "semantic_text", dim=64)
+    both = pts.point_table(sp, doc_points(spark, sf))
+    hits = vec.knn_search(both, _first_vector(doc_points(spark, sf)), k=20, min_score=0.0,
+                          pred=pts.payload_filter(point_type="all"))
+    return hits.groupBy("point_type").agg(F.count(F.lit(1)).alias("hits"))
+
+
+# --- catalog loads (I3, I8) --------------------------------------------------------------------------------
+
+@register("full_catalog_load", o.with_ctes(o.catalog_cte()) +
+          f"SELECT CAST(field_id AS BIGINT) AS id, 'schema' AS point_type, {_semantic_sql()} AS semantic_text, "
+          "64 AS dims FROM catalog")
+def q_full_catalog_load(spark, sf):
+    """I3 + K2: catalog -> semantic text -> embed -> write a new point-table version, read back."""
+    from ..session import scratch_path
+
+    c = _catalog(spark, sf)
+    sp = vec.hashing_embed(pts.schema_points(c).drop("vector"), "semantic_text", dim=64)
+    path = pts.write_points(pts.point_table(sp), scratch_path(spark, "points"))
+    back = spark.read.parquet(path)
+    return back.select("id", "point_type", "semantic_text", F.size("vector").alias("dims"))
+
+
+@register("schema_hash", o.with_ctes(o.catalog_cte()) +
+          "SELECT 'v1-' || CAST(count(*) AS VARCHAR) || '-' || CAST(count(DISTINCT model_name) AS VARCHAR) AS schema_hash "
+          "FROM catalog")
+def q_schema_hash(spark, sf):
+    """I8: the schema hash that keys usage state; state under another hash is rebuilt."""
+    return chg.schema_hash(_catalog(spark, sf))
