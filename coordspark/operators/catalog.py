@@ -46,11 +46,11 @@ def encoding_map(catalog: DataFrame) -> DataFrame:
 def encoding_preview(catalog: DataFrame, model: str, n: int = 20) -> DataFrame:
     """Field count and the first ``n`` prefixes of a model, in catalog order."""
     emap = encoding_map(fields_of_model(catalog, model))
-    count = fields_of_model(catalog, model).agg(F.count(F.lit(1)).alias("field_count"))
-    first = (emap.withColumn("position", F.row_number().over(Window.orderBy("line_no")))
-             .filter(F.col("position") <= n))
-    return first.crossJoin(F.broadcast(count)).select(
-        "model_name", "position", "field_name", "prefix", F.col("field_type").alias("type"), "field_count")
+    count = fields_of_model(catalog, model).agg(F.count(F.lit(1))).scalar()
+    first = emap.orderBy("line_no").limit(n)
+    first = first.withColumn("position", F.row_number().over(Window.orderBy("line_no")))
+    return first.select("model_name", "position", "field_name", "prefix", F.col("field_type").alias("type"),
+                        count.alias("field_count"))
 
 
 def coord_lookup(catalog: DataFrame) -> DataFrame:

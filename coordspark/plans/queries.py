@@ -668,7 +668,7 @@ def q_dlq_stats(spark, sf):
 def q_dlq_clear(spark, sf):
     dlq = ops.merge_failures(dv.failure_log(spark, sf))
     remaining, cleared = ops.clear_failures(dlq, "orders")
-    return cleared.crossJoin(remaining.agg(F.count(F.lit(1)).alias("remaining")))
+    return cleared.withColumn("remaining", remaining.agg(F.count(F.lit(1))).scalar())
 
 
 # --- usage and importance -------------------------------------------------------------------------
@@ -1084,3 +1084,49 @@ def q_full_catalog_load(spark, sf):
 def q_schema_hash(spark, sf):
     """I8: the schema hash that keys usage state; state under another hash is rebuilt."""
     return chg.schema_hash(_catalog(spark, sf))
+
+
+@register("incremental_catalog_load", o.with_ctes(o.catalog_cte()) +
+          f"SELECT CAST(field_id AS BIGINT) AS id, {_semantic_sql()} AS semantic_text, 64 AS dims FROM catalog")
+def q_incremental_catalog_load(spark, sf):
+    """I4: previous points = an older catalog (no benchmark model, other part labels,
+    one field since removed); the incremental load must equal a full load."""
+    from ..operators import sync
+
+    def embed(df):
+        return vec.hashing_embed(df, "semantic_text", dim=64)
+
+    c = _catalog(spark, sf)
+    old_cat = c.filter(F.col("model_name") != "benchmark").withColumn(
+        "field_label", F.when(F.col("model_name") == "part", F.upper("field_label")).otherwise(F.col("field_label")))
+    gone = c.filter(F.col("field_id") == 101).withColumn("field_id", F.lit(9999))
+    previous = sync.full_catalog_load(old_cat.unionByName(gone), embed)
+    res = sync.incremental_catalog_load(c, previous, embed)
+    return res.points.select("id", "semantic_text", F.size("vector").alias("dims"))
+
+
+@register("filtered_count", o.with_ctes(o.catalog_cte()) +
+          "SELECT count(*) AS n FROM catalog WHERE model_name = 'orders' AND field_type IN ('integer', 'monetary')")
+def q_filtered_count(spark, sf):
+    """A4: count of points matching a payload filter."""
+    return pts.filtered_count(_points(spark, sf), pts.payload_filter("orders", ["integer", "monetary"]))
+
+
+@register("usage_capped", o.with_ctes(dv.USAGE_LOG_SQL, _USAGE_SQL) +
+          "SELECT * FROM usage ORDER BY last_used DESC, model_name, field_name LIMIT 50")
+def q_usage_capped(spark, sf):
+    """The usage table keeps the most recently used entries (cap 50 here to make it bite)."""
+    return ops.cap_usage(ops.usage_counts(dv.usage_log(spark, sf)), 50)
+
+
+@register("dlq_remove_retried", o.with_ctes(dv.FAILURE_LOG_SQL, _DLQ_SQL) + """
+SELECT * FROM dlq d WHERE NOT EXISTS (
+  SELECT 1 FROM orders o WHERE o.o_orderstatus = 'P' AND o.o_orderpriority = '1-URGENT'
+    AND d.model_name = 'orders' AND d.record_id = o.o_orderkey)""")
+def q_dlq_remove_retried(spark, sf):
+    """K6: keys retried successfully (urgent pending orders) leave the failed-row table."""
+    dlq = ops.merge_failures(dv.failure_log(spark, sf))
+    ok = (fx.read_table(spark, sf, "orders")
+          .filter((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT"))
+          .select(F.lit("orders").alias("model_name"), F.col("o_orderkey").alias("record_id")))
+    return ops.remove_failures(dlq, ok)
