@@ -76,10 +76,12 @@ def snapshot_header(snap: DataFrame) -> DataFrame:
 
 def apply_changes(previous: DataFrame, current: DataFrame, changes: DataFrame) -> DataFrame:
     """K1 + K3: previous table with added/modified rows upserted and deleted
-    ids removed. Equals ``current`` when the change set is complete."""
-    upserted = pts.upsert(previous, changed_rows(current, changes))
-    gone = changes.filter(F.col("change") == "deleted").select("id")
-    return pts.delete_ids(upserted, gone)
+    ids removed, in one anti join (the replaced and the deleted ids are one
+    key set) plus a semi join for the fresh rows. Equals ``current`` when
+    the change set is complete."""
+    touched = changes.filter(F.col("change") != "unchanged").select("id")
+    fresh = changed_rows(current, changes)
+    return previous.join(touched, "id", "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 # --- high-water mark (I1, A6, K4) ----------------------------------------------
@@ -106,21 +108,20 @@ def max_change_time(rows: DataFrame, ts_col: str = "write_date") -> DataFrame:
 
 def next_state(state: DataFrame | None, model: str, loaded: DataFrame, ts_col: str = "write_date") -> DataFrame:
     """K4: high-water state keyed by model. The mark advances to the max over the
-    rows actually loaded (Q17 fix); with nothing new it stays where it was."""
+    rows actually loaded (Q17 fix); with nothing new it stays where it was.
+    Old and new rows are merged by a keyed aggregate (no join)."""
     spark = loaded.sparkSession
     stats = max_change_time(loaded, ts_col)
-    new = stats.select(F.lit(model).alias("model_name"),
-                       F.col("max_change_time").alias("new_mark"), F.col("records_loaded"))
+    new = stats.select(F.lit(model).alias("model_name"), F.col("max_change_time").alias("last_max_write_date"),
+                       F.col("records_loaded").alias("records_synced"), F.lit(1).alias("is_new"))
     if state is None:
         state = spark.createDataFrame(
             [], "model_name string, last_max_write_date timestamp_ntz, records_synced long")
-    old = state.filter(F.col("model_name") == model)
-    merged = (new.join(old, "model_name", "left")
-              .select("model_name",
-                      F.coalesce(F.greatest("new_mark", "last_max_write_date"), F.col("new_mark"),
-                                 F.col("last_max_write_date")).alias("last_max_write_date"),
-                      F.col("records_loaded").alias("records_synced")))
-    return state.filter(F.col("model_name") != model).unionByName(merged)
+    rows = state.select("model_name", "last_max_write_date", "records_synced", F.lit(0).alias("is_new"))
+    both = rows.unionByName(new)
+    return (both.groupBy("model_name")
+            .agg(F.max("last_max_write_date").alias("last_max_write_date"),
+                 F.max_by("records_synced", "is_new").alias("records_synced")))
 
 
 # --- schema hash (I8) ---------------------------------------------------------------

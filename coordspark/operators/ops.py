@@ -123,16 +123,17 @@ def field_importance(usage: DataFrame, key_fields: DataFrame) -> DataFrame:
                     "first_seq"))
 
 
-def adaptive_key_fields(importance: DataFrame, key_fields: DataFrame, models: DataFrame,
+def adaptive_key_fields(importance: DataFrame, key_fields: DataFrame, models: list[str],
                         max_fields: int = MAX_KEY_FIELDS) -> DataFrame:
     """Configured key fields in order, then promoted fields by score
-    (ties: first use), without repeats, at most ``max_fields`` per model."""
+    (ties: first use), without repeats, at most ``max_fields`` per model.
+    ``models`` is the (schema-sized) list of models to report."""
     conf = key_fields.select("model_name", "field_name", F.lit(0).alias("grp"),
                              F.col("key_rank").cast("double").alias("o1"), F.lit(0).cast("long").alias("o2"))
     prom = importance.filter("is_promoted").select(
         "model_name", "field_name", F.lit(1).alias("grp"), (-F.col("total_score")).alias("o1"),
         F.col("first_seq").cast("long").alias("o2"))
-    both = conf.unionByName(prom).join(models.select("model_name").distinct(), "model_name", "left_semi")
+    both = conf.unionByName(prom).filter(F.col("model_name").isin(*models))
     w = Window.partitionBy("model_name").orderBy("grp", "o1", "o2", "field_name")
     return (both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_fields)
             .select("model_name", "rank", "field_name"))
@@ -151,8 +152,9 @@ def usage_summary(usage: DataFrame, importance: DataFrame) -> DataFrame:
            .withColumn("rank", F.row_number().over(Window.orderBy(F.desc("use"), "first_seq")))
            .select(F.lit("top_field").alias("kind"), "rank",
                    F.concat_ws(".", "model_name", "field_name").alias("item"), F.col("use").cast("double").alias("value")))
-    model_order = usage.groupBy("model_name").agg(F.min("first_seq").alias("model_seq"))
-    prom = (importance.filter("is_promoted").join(model_order, "model_name")
+    # first use of each model, as a window (one group per model: schema-sized), no join
+    model_seq = F.min("first_seq").over(Window.partitionBy("model_name"))
+    prom = (importance.withColumn("model_seq", model_seq).filter("is_promoted")
             .orderBy("model_seq", F.desc("total_score"), "first_seq").limit(MAX_PROMOTIONS_SHOWN)
             .withColumn("rank", F.row_number().over(Window.orderBy("model_seq", F.desc("total_score"), "first_seq")))
             .select(F.lit("promotion").alias("kind"), "rank",

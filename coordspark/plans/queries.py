@@ -715,8 +715,7 @@ SELECT model_name, CAST(rank AS INTEGER) AS rank, field_name FROM (
   FROM both_ WHERE model_name IN (SELECT model_name FROM models)) t WHERE rank <= 12""")
 def q_adaptive_key_fields(spark, sf):
     imp = ops.field_importance(ops.usage_counts(dv.usage_log(spark, sf)), fx.key_fields(spark))
-    models = fx.catalog(spark, sf).filter(F.col("model_name").isin("events", "customer")).select("model_name")
-    return ops.adaptive_key_fields(imp, fx.key_fields(spark), models)
+    return ops.adaptive_key_fields(imp, fx.key_fields(spark), ["events", "customer"])
 
 
 @register("usage_summary", o.with_ctes(dv.USAGE_LOG_SQL, _USAGE_SQL, o.key_fields_cte(), _IMPORTANCE_SQL) + """
