@@ -38,8 +38,21 @@ def test_decode_joins_are_broadcast(spark):
 
 
 def test_encode_has_no_shuffle(spark):
+    """Encoding is a projection: the only exchange allowed is the round-robin
+    spread of a scan smaller than the core count (absent at scale)."""
+    import re
+
     p = _plan(QUERIES["encode_customer"](spark, SF))
-    assert "Exchange" not in p
+    exchanges = re.findall(r"Exchange (\w+)", p)
+    assert all(e == "RoundRobinPartitioning" for e in exchanges), exchanges
+    assert len(exchanges) <= 1
+
+
+def test_spread_is_noop_with_enough_partitions(spark):
+    from coordspark.operators.common import spread
+
+    df = spark.range(1000).repartition(spark.sparkContext.defaultParallelism * 2)
+    assert spread(df) is df
 
 
 def test_list_fields_does_not_read_vectors_or_records(spark):
