@@ -88,9 +88,21 @@ def split_segments(encoded: Column) -> Column:
     return F.filter(F.transform(F.split(encoded, SPLIT_PATTERN, -1), js_trim), lambda s: s != F.lit(""))
 
 
+def _head(seg: Column) -> Column:
+    """``model^field`` part of a segment already known to match SEGMENT_PATTERN."""
+    return F.substring_index(seg, "*", 1)
+
+
+def _value(seg: Column) -> Column:
+    """Value part (after the first ``*``) of a matching segment, unescaped."""
+    return unescape_pipe(F.substring(seg, F.instr(seg, "*") + 1, F.lit(1 << 30)))
+
+
 def _coordinate(seg: Column) -> Column:
-    mid = F.regexp_extract(seg, SEGMENT_PATTERN, 1).try_cast("bigint")
-    fid = F.regexp_extract(seg, SEGMENT_PATTERN, 2).try_cast("bigint")
+    """Normalised ``model^field`` (numbers as integers, like parseInt) of a matching segment."""
+    head = _head(seg)
+    mid = F.substring_index(head, "^", 1).try_cast("bigint")
+    fid = F.substring_index(head, "^", -1).try_cast("bigint")
     return F.concat_ws("^", mid.cast("string"), fid.cast("string"))
 
 
@@ -106,9 +118,9 @@ def parse_encoded(encoded: DataFrame, keep: tuple[str, ...] = ("record_id", "mod
     ok = ex.filter(seg.rlike(SEGMENT_PATTERN))
     return ok.select(
         *keep, "pos", _coordinate(seg).alias("coordinate"),
-        F.regexp_extract(seg, SEGMENT_PATTERN, 1).try_cast("bigint").alias("seg_model_id"),
-        F.regexp_extract(seg, SEGMENT_PATTERN, 2).try_cast("bigint").alias("seg_field_id"),
-        unescape_pipe(F.regexp_extract(seg, SEGMENT_PATTERN, 3)).alias("raw_value"),
+        F.substring_index(_head(seg), "^", 1).try_cast("bigint").alias("seg_model_id"),
+        F.substring_index(_head(seg), "^", -1).try_cast("bigint").alias("seg_field_id"),
+        _value(seg).alias("raw_value"),
     )
 
 
@@ -163,7 +175,7 @@ def _segments_with_meta(encoded: DataFrame, lookup: DataFrame, carry: tuple[str,
     ex = ex.withColumn("seg", js_trim(seg)).withColumn("valid", F.coalesce(seg.rlike(SEGMENT_PATTERN), F.lit(False)))
     ex = ex.select("_row", "record_id", "model_name", *carry, "pos", "valid",
                    F.when(F.col("valid"), _coordinate(seg)).alias("coordinate"),
-                   F.when(F.col("valid"), unescape_pipe(F.regexp_extract(seg, SEGMENT_PATTERN, 3))).alias("raw_value"))
+                   F.when(F.col("valid"), _value(seg)).alias("raw_value"))
     return ex.join(checked_broadcast(meta, MAX_LOOKUP_ENTRIES), "coordinate", "left")
 
 
