@@ -34,6 +34,9 @@ HEADLINE = [
     "keep_newest_n",          # K8 + W2
     "error_log_fields",       # E16
     "stream_usage_counts",    # I5 streaming = batch
+    "stream_encode_orders",   # I2 record load: stream -> encode -> points (baseline: full record load)
+    "full_catalog_load",      # I3 (baseline: full catalog load)
+    "incremental_catalog_load",  # I4 (baseline: incremental catalog load)
 ]
 
 

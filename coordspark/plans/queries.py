@@ -963,7 +963,7 @@ def q_stream_dedup_events(spark, sf):
 SELECT 6 * 10000000 + record_id AS id, record_id, model_name, encoded_string
 FROM ({o.encode_select("orders")}) e""")
 def q_stream_encode_orders(spark, sf):
-    """Orders streamed through encode into the point table (epoch deltas, last write wins)."""
+    """Orders streamed through encode and embed into the point table (epoch deltas, last write wins)."""
     emap = cat.encoding_map(_catalog(spark, sf))
 
     def encode(stream):
@@ -975,7 +975,10 @@ def q_stream_encode_orders(spark, sf):
                 .withColumn("line_count", F.coalesce(F.col("line_count"), F.lit(0).cast("long"))))
         return codec.encode_records(recs, emap, "orders")
 
-    points, _failed, _runs = inc.stream_records(spark, table_path(sf, "orders"), encode)
+    def embed(pts_df):
+        return vec.hashing_embed(pts_df, "encoded_string", dim=64)
+
+    points, _failed, _runs = inc.stream_records(spark, table_path(sf, "orders"), encode, embed)
     return points.select("id", "record_id", "model_name", "encoded_string")
 
 
