@@ -135,9 +135,11 @@ def stream_records(spark: SparkSession, source_path: str, encode: Callable[[Data
 
         from pyspark.sql import Observation
 
+        from ..operators.common import spread
+
         t0 = time.time()
         bad = (F.col("record_id").isNull()) | (F.col("record_id") >= MODEL_ID_MULTIPLIER)
-        batch = batch.persist()
+        batch = spread(batch).persist()
         obs = Observation(f"run_{epoch_id}")
         pts = data_points(batch.observe(obs, F.count(F.lit(1)).alias("processed"),
                                         F.count_if(~bad).alias("embedded")).filter(~bad),
