@@ -95,7 +95,17 @@ def incremental_rows(records: DataFrame, mark, ts_col: str = "write_date",
     """
     if mark is None or force_full:
         return records
-    return records.filter(F.col(ts_col) > F.lit(mark))
+    return records.filter(F.col(ts_col) > mark_literal(mark, dict(records.dtypes)[ts_col]))
+
+
+def mark_literal(mark, col_type: str) -> Column:
+    """The mark as a literal of the column's own type, built from text so that
+    the session time zone never shifts it (a Python datetime literal is zoned)."""
+    import datetime as _dt
+
+    text = mark.isoformat(sep=" ") if isinstance(mark, _dt.datetime) else str(mark)
+    target = "timestamp_ntz" if col_type == "timestamp_ntz" else ("timestamp" if col_type == "timestamp" else None)
+    return F.lit(text).cast(target) if target else F.lit(mark)
 
 
 def max_change_time(rows: DataFrame, ts_col: str = "write_date") -> DataFrame:
