@@ -66,7 +66,7 @@ def encode_records(records: DataFrame, emap: DataFrame | dict, model_name: str,
     for r in rows:
         name = r["field_name"]
         if name in restrictions:
-            marker = SOURCE_ERROR_MARKER if restrictions[name] == "odoo_error" else RESTRICTED_MARKER
+            marker = SOURCE_ERROR_MARKER if restrictions[name] == "source_error" else RESTRICTED_MARKER
             value = f"'{marker}'"
         else:
             value = encode_value_sql(name, r["field_type"], types.get(name))

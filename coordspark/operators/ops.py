@@ -251,8 +251,8 @@ def classified_errors(errors: DataFrame) -> DataFrame:
 
 def restrictions(classified: DataFrame) -> DataFrame:
     """(model_name, field_name, reason) from classified errors (I10 input):
-    reason ``odoo_error`` for compute / singleton errors, else ``security``."""
-    reason = F.when(F.col("error_type").isin("compute_error", "singleton_error"), F.lit("odoo_error")) \
+    reason ``source_error`` for compute / singleton errors, else ``security``."""
+    reason = F.when(F.col("error_type").isin("compute_error", "singleton_error"), F.lit("source_error")) \
         .otherwise(F.lit("security"))
     return (classified.filter(F.size("restricted_fields") > 0)
             .select(F.col("model").alias("model_name"), F.explode("restricted_fields").alias("field_name"),

@@ -134,7 +134,7 @@ def encode_select(model: str, exclude_models: tuple[str, ...] = (), where: str |
         col, storage = cols.get(r["field_name"], (None, None))
         value = encode_value(col, r["field_type"], storage)
         if restricted:
-            value = (f"coalesce((SELECT CASE WHEN reason = 'odoo_error' THEN 'Restricted_odoo_error' "
+            value = (f"coalesce((SELECT CASE WHEN reason = 'source_error' THEN 'Restricted_odoo_error' "
                      f"ELSE 'Restricted_from_API' END FROM {restricted} WHERE model_name = '{model}' "
                      f"AND field_name = '{r['field_name']}'), {value})")
         parts.append(f"'{prefix}*' || ({value})")

@@ -895,7 +895,7 @@ def q_error_log_fields(spark, sf):
 
 _RESTR_SQL = """restr AS (
   SELECT DISTINCT model AS model_name, unnest(list_distinct(list_filter(flist, lambda x: x <> ''))) AS field_name,
-    CASE WHEN error_type IN ('compute_error', 'singleton_error') THEN 'odoo_error' ELSE 'security' END AS reason
+    CASE WHEN error_type IN ('compute_error', 'singleton_error') THEN 'source_error' ELSE 'security' END AS reason
   FROM classified WHERE len(list_filter(flist, lambda x: x <> '')) > 0)"""
 
 
@@ -913,14 +913,14 @@ def _restriction_dict(spark, sf, model: str) -> dict[str, str]:
     r = ops.restrictions(_classified(spark, sf)).filter(F.col("model_name") == model)
     fields = fx.catalog(spark, sf).filter(F.col("model_name") == model).select("field_name")
     r = r.join(fields, "field_name", "left_semi")
-    # odoo_error wins over security when both name a field
-    r = r.groupBy("field_name").agg(F.max(F.when(F.col("reason") == "odoo_error", 1).otherwise(0)).alias("oe"))
+    # source_error wins over security when both name a field
+    r = r.groupBy("field_name").agg(F.max(F.when(F.col("reason") == "source_error", 1).otherwise(0)).alias("oe"))
     rows = collect_bounded(r, 100_000, "restricted fields")
-    return {x["field_name"]: ("odoo_error" if x["oe"] else "security") for x in rows}
+    return {x["field_name"]: ("source_error" if x["oe"] else "security") for x in rows}
 
 
 _RESTR_FIELDS_SQL = """restr_f AS (SELECT model_name, field_name,
-    CASE WHEN max(CASE WHEN reason = 'odoo_error' THEN 1 ELSE 0 END) = 1 THEN 'odoo_error' ELSE 'security' END AS reason
+    CASE WHEN max(CASE WHEN reason = 'source_error' THEN 1 ELSE 0 END) = 1 THEN 'source_error' ELSE 'security' END AS reason
   FROM restr GROUP BY model_name, field_name)"""
 
 
