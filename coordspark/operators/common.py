@@ -33,6 +33,9 @@ def spread(df: DataFrame) -> DataFrame:
     repartition round-robin; at scale the scan already has many more
     partitions than cores and this is a no-op (no extra shuffle).
     """
-    sc = df.sparkSession.sparkContext
-    n = sc.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    try:
+        n = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # e.g. a Spark Connect session: no RDD view, keep the plan as is
+        return df
+    return df.repartition(n) if parts < n else df

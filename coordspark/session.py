@@ -47,14 +47,21 @@ def shared_dir(spark: SparkSession) -> str:
     unset *and* the master is local (tests, the bench) do we make one, and set
     it on the context so ``DataFrame.checkpoint()`` uses the same place.
     """
-    sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: only the conf is visible
+        sc = None
+    if not d and sc is not None:
+        d = sc.getCheckpointDir()
     if d:
         return d.rstrip("/")
-    if not sc.master.startswith("local"):
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if not master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     d = tempfile.mkdtemp(prefix="coordspark-ckpt-")
-    sc.setCheckpointDir(d)
+    if sc is not None:
+        sc.setCheckpointDir(d)
     spark.conf.set("spark.checkpoint.dir", d)
     return d
 
