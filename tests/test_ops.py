@@ -64,3 +64,33 @@ def test_classify_error_shapes(spark):
     assert got[3].error_type == "security_restriction" and got[3].restricted_fields == ["a", "b"]
     assert got[4].error_type == "singleton_error" and got[4].model == "res.partner" and got[4].is_singleton
     assert got[5].error_type == "unknown" and not got[5].is_restriction
+
+
+def test_export_pairs_round_trip(spark):
+    import datetime as dt
+
+    from coordspark.session import scratch_path
+
+    p = spark.createDataFrame([(1, "3^301*1", "- **id:** 1", "customer", dt.datetime(2024, 1, 1))],
+                              "record_id long, input string, output string, model_name string, timestamp timestamp_ntz")
+    path = ops.export_pairs(p, scratch_path(spark, "pairs"))
+    back = spark.read.json(path).collect()
+    assert len(back) == 1 and back[0]["input"] == "3^301*1" and back[0]["output"] == "- **id:** 1"
+
+
+def test_run_record(spark):
+    from coordspark.operators.sync import run_record
+
+    loaded = spark.range(5)
+    r = run_record("orders", loaded, loaded.filter("id < 4"), 1234).first()
+    assert (r.records_processed, r.records_embedded, r.success, r.duration_ms) == (5, 4, False, 1234)
+
+
+def test_state_for_schema_drops_other_hashes(spark):
+    from coordspark.operators.changes import schema_hash, state_for_schema
+
+    cat = fx.catalog(spark, "/root/testdata/sf0.001")
+    h = schema_hash(cat).first().schema_hash
+    assert h == "v1-65-14"
+    state = spark.createDataFrame([(h, "a"), ("v1-1-1", "b")], "schema_hash string, field_name string")
+    assert [r.field_name for r in state_for_schema(state, schema_hash(cat)).collect()] == ["a"]
