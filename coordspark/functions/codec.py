@@ -151,19 +151,26 @@ def encode_value_sql(column: str | None, field_type: str, dtype: T.DataType | No
 
 # --- decoding / display ----------------------------------------------------------
 
-def display_helpers(raw: Column) -> dict[str, Column]:
-    """Parsed forms of a raw value used by ``display_value`` (number, integer, time)."""
+def display_helpers(raw: Column, field_type: Column | None = None) -> dict[str, Column]:
+    """Parsed forms of a raw value used by ``display_value`` (number, integer, time).
+
+    With ``field_type`` each parse runs only for the types that show it, so
+    text values never go through the number regexes.
+    """
+    num, integer, ts = js_parse_float(raw), js_parse_int(raw), raw.try_cast("timestamp_ntz")
+    if field_type is None:
+        return {"_num": num, "_int": integer, "_ts": ts}
     return {
-        "_num": js_parse_float(raw),
-        "_int": js_parse_int(raw),
-        "_ts": raw.try_cast("timestamp_ntz"),
+        "_num": F.when(field_type.isin("monetary", "float"), num),
+        "_int": F.when(field_type == "integer", integer),
+        "_ts": F.when(field_type.isin("date", "datetime"), ts),
     }
 
 
 def with_display(df, raw: str, field_type: str, target_model: str, out: str = "display_value"):
     """Add ``out`` = E8 display text; helpers are projected first and dropped after,
     which keeps each generated method small."""
-    h = display_helpers(F.col(raw))
+    h = display_helpers(F.col(raw), F.col(field_type))
     df = df.select("*", *[c.alias(k) for k, c in h.items()])
     df = df.withColumn(out, display_value(F.col(raw), F.col(field_type), F.col(target_model),
                                           {k: F.col(k) for k in h}))
