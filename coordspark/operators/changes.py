@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from . import points as pts
 
 SNAPSHOT_SCHEMA = "id long, checksum string"
+#: Modulus of the order-free digest sum (a prime below 2^61; the sum itself is
+#: exact in DECIMAL(38,0), so no overflow at any table size).
+DIGEST_MODULUS = 2**61 - 1
 
 
 def snapshot(df: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -65,12 +68,13 @@ def _h32(c: Column) -> Column:
 
 
 def snapshot_header(snap: DataFrame) -> DataFrame:
-    """Row count and an order-free digest of a snapshot (sum and xor of the
-    first 32 bits of md5(id:checksum)); partial + final aggregation, no
-    single-task concatenation of the table."""
+    """Row count and an order-free digest of a snapshot (sum modulo a prime
+    and xor of the first 32 bits of md5(id:checksum)); partial + final
+    aggregation, no single-task concatenation of the table."""
     h = _h32(F.concat_ws(":", F.col("id").cast("string"), F.col("checksum")))
     return snap.agg(F.count(F.lit(1)).alias("total_rows"),
-                    F.coalesce(F.sum(h), F.lit(0)).cast("long").alias("digest_sum"),
+                    F.coalesce(F.pmod(F.sum(h.cast("decimal(38,0)")), F.lit(DIGEST_MODULUS).cast("decimal(38,0)")),
+                               F.lit(0)).cast("long").alias("digest_sum"),
                     F.coalesce(F.bit_xor(h), F.lit(0)).cast("long").alias("digest_xor"))
 
 

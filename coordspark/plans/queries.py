@@ -513,7 +513,7 @@ def _h32_sql(x: str) -> str:
 
 @register("snapshot_header", o.with_ctes(dv.CURRENT_SNAPSHOT_SQL) + f"""
 SELECT count(*) AS total_rows,
-  CAST(coalesce(sum({_h32_sql("CAST(id AS VARCHAR) || ':' || checksum")}), 0) AS BIGINT) AS digest_sum,
+  CAST(coalesce(sum(CAST({_h32_sql("CAST(id AS VARCHAR) || ':' || checksum")} AS HUGEINT)) % 2305843009213693951, 0) AS BIGINT) AS digest_sum,
   CAST(coalesce(bit_xor({_h32_sql("CAST(id AS VARCHAR) || ':' || checksum")}), 0) AS BIGINT) AS digest_xor
 FROM cur""")
 def q_snapshot_header(spark, sf):
