@@ -63,14 +63,38 @@ def epoch_delta_sink(path: str) -> Callable[[DataFrame, int], None]:
     return sink
 
 
-def latest_per_key(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
-    """Current table from an epoch delta table: the newest epoch's row per key."""
+def latest_per_key(spark: SparkSession, path: str, key: list[str],
+                   base: tuple[str, int] | None = None) -> DataFrame:
+    """Current table from an epoch delta table: the newest epoch's row per key.
+
+    With ``base = (base_path, base_epoch)`` from ``compact_deltas`` only the
+    epochs after the base are read (partition pruning on ``epoch``) and
+    merged with the compacted base.
+    """
     d = spark.read.parquet(path)
+    if base is not None:
+        d = d.filter(F.col("epoch") > F.lit(base[1]))
+        b = spark.read.parquet(base[0]).withColumn("epoch", F.lit(base[1]).cast(d.schema["epoch"].dataType))
+        d = b.unionByName(d.select(*b.columns))
     vals = [c for c in d.columns if c not in key and c != "epoch"]
     return (d.groupBy(*key).agg(F.max_by(F.struct(*vals), F.col("epoch")).alias("r"))
             .select(*key, "r.*"))
 
 
+def compact_deltas(spark: SparkSession, path: str, key: list[str],
+                   base: tuple[str, int] | None = None) -> tuple[str, int]:
+    """Write "latest per key" up to the newest epoch as a new base version
+    (a fresh path; nothing being read is overwritten). Returns (base_path,
+    base_epoch) for later reads; older delta partitions are no longer read."""
+    top = spark.read.parquet(path).agg(F.max("epoch")).collect()[0][0]
+    if top is None:
+        return base if base is not None else (path, -1)
+    cur = latest_per_key(spark, path, key, base).drop("epoch")
+    out = scratch_path(spark, "compacted")
+    cur.write.mode("overwrite").parquet(out)
+    return out, int(top)
+
+
 def stream_usage_counts(spark: SparkSession, events_path: str, to_usage: Callable[[DataFrame], DataFrame],
                         base: str | None = None, max_files: int | None = None) -> DataFrame:
     """Running usage counters per (model, field), batch-equal to ``ops.usage_counts``."""

@@ -64,3 +64,20 @@ def test_incremental_catalog_equals_full(spark):
     assert res.summary.first().added == c.filter("model_name = 'labels'").count()
     again = sync.incremental_catalog_load(c, full, embed)
     assert again.skipped and again.summary.first().summary == "No changes detected"
+
+
+def test_compacted_read_equals_full_read(spark):
+    base = scratch_path(spark, "usage-compact")
+    path = base + "/delta"
+    ev = spark.read.parquet(table_path(SF, "events"))
+    key = ["model_name", "field_name"]
+    sink = inc.epoch_delta_sink(path)
+    # three epochs of running counts, as update-mode batches would write them
+    for epoch, cut in enumerate([200, 500, 10**9]):
+        sink(ops.usage_counts(dv.usage_from_events(ev.filter(F.col("event_id") < cut))), epoch)
+        if epoch == 1:
+            compacted = inc.compact_deltas(spark, path, key)
+    full = inc.latest_per_key(spark, path, key)
+    fast = inc.latest_per_key(spark, path, key, compacted)
+    assert compacted[1] == 1
+    assert _same(full, fast.select(*full.columns))
