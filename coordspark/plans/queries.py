@@ -768,14 +768,17 @@ def q_sync_run_metrics(spark, sf):
 # --- pairs ---------------------------------------------------------------------------------------------
 
 def _pairs(spark, sf):
+    """Pairs of customers and orders: both models are encoded with their
+    timestamp carried along, unioned, and decoded in one pass (one lookup
+    broadcast, one per-record aggregate)."""
     c = _catalog(spark, sf)
-    lk = cat.coord_lookup(c)
-    emap = cat.encoding_map(c)
-    cust = codec.encode_records(fx.record_view(spark, sf, "customer"), emap, "customer")
-    cust_ts = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, record_id)")
-    orders = codec.encode_records(fx.record_view(spark, sf, "orders"), emap, "orders", keep=("o_orderdate",))
-    return (ops.pairs(codec.decode_text(cust, lk, keep_all=True), cust_ts)
-            .unionByName(ops.pairs(codec.decode_text(orders, lk, keep_all=True), F.col("o_orderdate"))))
+    plan = codec.encoding_plan(cat.encoding_map(c))
+    cust = (fx.record_view(spark, sf, "customer")
+            .withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)")))
+    orders = fx.record_view(spark, sf, "orders").withColumn("ts", F.col("o_orderdate"))
+    enc = (codec.encode_records(cust, plan, "customer", keep=("ts",))
+           .unionByName(codec.encode_records(orders, plan, "orders", keep=("ts",))))
+    return ops.pairs(codec.decode_text(enc, cat.coord_lookup(c), keep_all=True), F.col("ts"))
 
 
 def _pairs_order():
