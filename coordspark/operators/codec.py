@@ -3,10 +3,10 @@ decode them back (E6, E7, E9, A13) with the coordinate lookup (J1) and
 key-field restriction (J2).
 
 Encoding is a single projection (no shuffle). Row-level decoding is an
-explode plus a broadcast hash join on the schema-sized lookup. Per-record
-decoded text and decode statistics never leave the row: the lookup is turned
-into one map value (a scalar subquery, schema-sized) and applied with
-higher-order functions, so there is no explode/re-group shuffle.
+explode plus a broadcast hash join on the schema-sized lookup (hash lookup;
+a Spark map value would be searched linearly). Per-record decoded text and
+decode statistics add one aggregation keyed by a per-row id: every group is
+one record's segments, so groups are small and never skewed.
 """
 
 from __future__ import annotations
