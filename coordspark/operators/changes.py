@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import points as pts
 
 SNAPSHOT_SCHEMA = "id long, checksum string"
 #: Modulus of the order-free digest sum (a prime below 2^61; the sum itself is

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import (
     NO_FIELDS_TEXT, RESTRICTED_MARKER, SEGMENT_PATTERN, SOURCE_ERROR_MARKER, SPLIT_PATTERN,
-    display_value, encode_value_sql, js_trim, unescape_pipe, with_display,
+    encode_value_sql, js_trim, unescape_pipe, with_display,
 )
-from .common import checked_broadcast, collect_bounded, spread
+from .common import checked_broadcast, collect_bounded
 
 #: Upper bound of fields of one model we build an encode expression for.
 MAX_FIELDS_PER_MODEL = 20_000
