@@ -40,11 +40,11 @@ def comb(a: np.ndarray, b: np.ndarray, step: int = 0) -> np.ndarray:
     return h
 
 
-def words(data: np.ndarray, off: np.ndarray, of: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, start, end) of each word of the rows, A-Z in lower case."""
+def words(data: np.ndarray, off: np.ndarray, of: np.ndarray = NOT_SPACE, stem: int = 0) -> tuple[np.ndarray, ...]:
+    """(hash, row, start, end) of each word of the rows, A-Z in lower case; with ``stem``, also the hash of its first ``stem`` bytes."""
     none = np.zeros(0, np.int64)
     if not len(data):
-        return none.astype(np.uint64), none, none, none
+        return (none.astype(np.uint64), none, none, none, *[none.astype(np.uint64)] * bool(stem))
     w = of[data]
     first = np.zeros(len(data) + 1, bool)
     first[off] = True  # a row's first byte
@@ -53,7 +53,7 @@ def words(data: np.ndarray, off: np.ndarray, of: np.ndarray = NOT_SPACE) -> tupl
     start[1:] &= ~w[:-1] | first[1:]
     s = np.flatnonzero(start)
     if not len(s):
-        return none.astype(np.uint64), none, none, none
+        return (none.astype(np.uint64), none, none, none, *[none.astype(np.uint64)] * bool(stem))
     last = w.copy()
     last[:-1] &= ~w[1:] | first[1:]
     e = np.flatnonzero(last) + 1
@@ -62,8 +62,12 @@ def words(data: np.ndarray, off: np.ndarray, of: np.ndarray = NOT_SPACE) -> tupl
     base = np.repeat(s, n)
     power = np.multiply.accumulate(np.full(int(n.max()) + 1, MUL[0], np.uint64))
     v = BYTE[LOWER[data[at]]] * power[at - base]
-    h = np.add.reduceat(v, np.concatenate([[0], np.cumsum(n)[:-1]]))
-    return mix(h), np.searchsorted(off, s, "right") - 1, s, e
+    first_at = np.concatenate([[0], np.cumsum(n)[:-1]])
+    out = mix(np.add.reduceat(v, first_at)), np.searchsorted(off, s, "right") - 1, s, e
+    if stem:
+        v[at - base >= stem] = 0
+        out = (*out, mix(np.add.reduceat(v, first_at)))
+    return out
 
 
 def shingles(data: np.ndarray, off: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
