@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coordspark.llm import best_fit, grace_dedup, kd_shards, records_io
+from coordspark.llm import best_fit, cross_parse, decontaminate, grace_dedup, kd_shards, line_crf, minhash_join, records_io, suffix_family, toxicity_kn
 from coordspark.llm.tokens import word_bpe
 from coordspark.session import table_path
 
@@ -16,23 +16,50 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_family.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.kd_shards(_table(spark, sf_dir, "documents"), 40)
 
 
+def op3_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_kn.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.minhash_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op5_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.grace_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records_io.token_records(_table(spark, sf_dir, "documents"), word_bpe(), end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_cross_parse_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_parse.language_id(_table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.best_fit_pack(_table(spark, sf_dir, "documents"), word_bpe(), capacity=2048, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op2_kd_shards, op5_grace_dedup, op7_token_records, op9_best_fit_packing)}
+def op10_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_suffix_dedup, op2_kd_shards, op3_toxicity_kneser_ney, op4_minhash_join, op5_grace_dedup, op6_bm25_decontamination,
+    op7_token_records, op8_cross_parse_language, op9_best_fit_packing, op10_line_crf_quality,
+)}
 
 SQL = {
     "op5_grace_dedup": """
