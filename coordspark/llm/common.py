@@ -19,10 +19,25 @@ def doc_texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, path: str, *partition_by: str) -> None:
+    """Write ``df`` as Parquet. Its shuffle files go when the write is done, not when the driver next collects
+    garbage; they are needed no more, as what is read later is the table."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    save(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import batch, doc_texts, text_size
+from coordspark.llm.common import batch, doc_texts, save, text_size
 from coordspark.llm.tokens import encoder
 from coordspark.session import scratch_path
 
@@ -132,7 +132,7 @@ def token_records(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame
     spark = docs.sparkSession
     path = scratch_path(spark, "token-records")
     write_records(docs, tokenizer, f"{path}/data", end_id)
-    index_records(spark, f"{path}/data").write.parquet(f"{path}/index")
+    save(index_records(spark, f"{path}/data"), f"{path}/index")
     index = spark.read.schema(INDEX).parquet(f"{path}/index")
     # A row for each file; file names rise with the doc_ids in them.
     files = index.groupBy("file").agg(F.sum("n_tokens").alias("n"))

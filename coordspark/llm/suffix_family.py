@@ -1,8 +1,8 @@
 """Removal of repeated byte strings with a logarithmic family of suffix arrays.
 
 A suffix array of a batch of texts sorts the places where a string may begin. Only sampled places are kept:
-in every ``LENGTH``-byte string the 16-byte word with the smallest hash is its anchor, so equal strings
-have equal anchors at the same place in them, and about one byte in 18 is an anchor. A suffix array is
+in every ``LENGTH``-byte string the 24-byte word with the smallest hash is its anchor, so equal strings
+have equal anchors at the same place in them, and about one byte in 14 is an anchor. A suffix array is
 therefore the sorted anchor words of a batch, with the chunk (a group of documents) each one lies in.
 
 The family: every new batch gets its array, which is merge-scanned against the arrays of all levels, and
@@ -13,14 +13,14 @@ are dealt by ranges of the words, and a range's arrays are merged in one task.
 The scan tells each chunk which of its anchors occur in another document. What these stand for is then
 compared in full, again by exchanging sorted arrays between chunks and ranges:
 
-1. An anchor's class is everything that the strings it stands for cover, up to 84 bytes. Of each class the
-   smallest doc_id is found. Documents with a larger one lose all strings of the anchor.
-2. Where an anchor word has more than one class, as at the ends of a repeated passage, its strings are
-   compared one by one, each by its own hash.
+1. An anchor's class is everything that the strings it stands for cover, up to 76 bytes. Of the documents
+   with a word in one class, those with a larger doc_id than the smallest lose all its strings.
+2. Where a word has several classes, as at the ends of a repeated passage, the strings of each class's
+   smallest document (and of chunks that hold several classes) are compared one by one.
 
 Chunks send one entry per word, class or string however many of their documents hold it, so a passage
 that a third of all documents share costs one entry per chunk, not per document. Strings are told apart by
-128 bits of hash: those of the anchor word and of the whole.
+96 bits of hash or more: those of the whole and of the anchor word.
 
 Defined results: null is an empty text; texts shorter than ``LENGTH`` lose nothing; documents with equal
 doc_ids don't take from each other; null doc_ids count as larger than all others (and equal to each other). An
@@ -38,14 +38,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import doc_texts, in_groups, pack, text_size, unpack, utf8
+from coordspark.llm.common import doc_texts, in_groups, pack, save, text_size, unpack, utf8, written
 from coordspark.llm.words import BYTE, comb
 from coordspark.session import scratch_path
 
-LENGTH, WORD = 50, 16
+LENGTH, WORD = 50, 24
 WINDOW = LENGTH - WORD + 1
 _LAST = np.iinfo(np.int64).max
-_ARRAY = "batch int, range int, chunk int, keys binary, many binary"
+_ARRAY = "range int, chunk int, keys binary, many binary"
 _SCAN = "kind int, range int, chunk int, keys binary, chunks binary"
 _ENTRY = "kind int, range int, chunk int, a binary, b binary, doc binary"
 
@@ -70,6 +70,7 @@ class _Block:
         h = BYTE[data]
         for step, gap in enumerate((1, 2, 4, 8)):
             h = comb(h[:-gap], h[gap:], step)
+        h = comb(h[:-8], h[8:], 4)  # two overlapping halves of 16 bytes
         self.h = h
         self.low = _slide(h, WINDOW, np.minimum)  # of each string, the smallest hash of its words
         valid = np.zeros(len(self.low) + 1, np.int32)
@@ -84,8 +85,8 @@ class _Block:
 
     def strings(self, p: np.ndarray) -> np.ndarray:
         """The hash of the whole string that begins at each place."""
-        a, b = (comb(self.h[p + k], self.h[p + k + WORD], 4) for k in (0, LENGTH - 2 * WORD))
-        return comb(a, b, 5)
+        a = comb(self.h[p], self.h[p + WORD], 4)
+        return comb(a, self.h[p + LENGTH - WORD], 5)
 
     def span(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last of the strings that each anchor stands for."""
@@ -161,7 +162,7 @@ def _rows(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array([r[k] for r in rows], kinds[t]) for k, (n, t) in enumerate(fields)})
 
 
-def _array(ranges: int, batches: int):
+def _array(ranges: int):
     """The suffix array of a chunk: its anchor words, sorted, and whether two of its documents hold them."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
@@ -175,7 +176,7 @@ def _array(ranges: int, batches: int):
         first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else np.zeros(0, np.int64)
         many = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)) if len(first) else np.zeros(0, bool)
         w, chunk = w[first], int(key[0].as_py())
-        return _rows(_ARRAY, [(chunk % batches, r, chunk, pack(w[s]), np.packbits(many[s]).tobytes()) for r, s in _ranges(w, ranges)])
+        return _rows(_ARRAY, [(r, chunk, pack(w[s]), np.packbits(many[s]).tobytes()) for r, s in _ranges(w, ranges)])
 
     return run
 
@@ -226,8 +227,9 @@ class SuffixFamily:
     def __init__(self, spark, ranges: int) -> None:
         self.spark, self.ranges, self.path, self.levels, self.hits, self.n = spark, ranges, scratch_path(spark, "suffix-family"), {}, [], 0
 
-    def add(self, array: DataFrame) -> None:
-        """Scan a batch's array against all levels and take it in."""
+    def add(self, batch: DataFrame) -> None:
+        """Make the array of a batch (doc_id, text, chunk), scan it against all levels and take it in."""
+        array = batch.groupBy("chunk").applyInArrow(_array(self.ranges), _ARRAY)
         size, merging = 1, set()
         while size in self.levels:
             merging.add(size)
@@ -237,7 +239,7 @@ class SuffixFamily:
             rows = rows.union(self._read(path, 1).select("range", F.lit(level), F.lit(0), "keys", "chunks"))
         self.n += 1
         path = f"{self.path}/{self.n}"
-        rows.groupBy("range").applyInArrow(_merge_scan(frozenset(merging)), _SCAN).write.partitionBy("kind").parquet(path)
+        save(rows.groupBy("range").applyInArrow(_merge_scan(frozenset(merging)), _SCAN), path, "kind")
         self.hits.append(path)
         self.levels = {k: v for k, v in self.levels.items() if k not in merging} | {size: path}
 
@@ -253,53 +255,49 @@ class SuffixFamily:
         return out
 
 
-def _entries(kind: int, chunk: int, ranges: int, a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> list[tuple]:
-    """What a chunk sends: its distinct (a, b), sorted, with the smallest doc_id of each."""
-    first, _ = _least(a, b, doc)
-    a, b, doc = a[first], b[first], doc[first]
-    return [(kind, r, chunk, pack(a[s]), b[s].tobytes(), doc[s].tobytes()) for r, s in _ranges(a, ranges)]
-
-
 def _needed(replies: pa.Table) -> np.ndarray:
     return np.unique(_cat([unpack(k) for kind, k in zip(replies["kind"].to_pylist(), replies["a"].to_pylist(), strict=True) if kind == 0]))
 
 
 def _got(replies: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, doc_id) of the entries of a kind."""
     mine = [(a, b, d) for k, a, b, d in zip(*(replies[c].to_pylist() for c in ("kind", "a", "b", "doc")), strict=True) if k == kind]
-    return _cat([unpack(a) for a, _, _ in mine]), _cat([np.frombuffer(b, "<u8") for _, b, _ in mine]), _cat([np.frombuffer(d, "<i8") for _, _, d in mine], np.int64)
+    return _cat([unpack(a) for a, _, _ in mine]), _cat([np.frombuffer(b, "<u4") for _, b, _ in mine], np.uint32), _cat([np.frombuffer(d, "<i8") for _, _, d in mine], np.int64)
 
 
 def _send_classes(ranges: int):
-    """Kind 1: (class, word) with the smallest doc_id. Kind 2: each word with its smallest and largest class."""
+    """Kind 1: a word with its class and the smallest doc_id. Kind 2: a word that has several classes here."""
 
     def run(key: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
         got = [x[1:4] for x in _Chunk(docs).classes(_needed(replies))]
         w, c, d = (_cat([x[k] for x in got], kind) for k, kind in enumerate((np.uint64, np.uint64, np.int64)))
-        chunk = int(key[0].as_py())
-        out = _entries(1, chunk, ranges, c, w, d)
-        order = np.lexsort((c, w))
-        w, c = w[order], c[order]
+        chunk, out = int(key[0].as_py()), []
         if len(w):
+            order = np.argsort(w, kind="stable")
+            w, c, d = w[order], c[order], d[order]
             first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            last = np.r_[first[1:], len(w)] - 1
-            low, high = c[first], c[last].view(np.int64)
-            out += [(2, r, chunk, pack(w[first][s]), low[s].tobytes(), high[s].tobytes()) for r, s in _ranges(w[first], ranges)]
+            one = np.minimum.reduceat(c, first) == np.maximum.reduceat(c, first)
+            low = np.minimum.reduceat(d, first)[one]
+            out = [(1, r, chunk, pack(w[first][one][s]), c[first][one][s].tobytes(), low[s].tobytes()) for r, s in _ranges(w[first][one], ranges)]
+            out += [(2, r, chunk, pack(w[first][~one][s]), b"", b"") for r, s in _ranges(w[first][~one], ranges)]
         return _rows(_ENTRY, out)
 
     return run
 
 
 def _send_strings(ranges: int):
-    """Kind 3: (string, word) of the words with several classes, with the smallest doc_id."""
+    """Kind 3: a string and its word, of the words with several classes, with the smallest doc_id."""
 
     def run(key: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
         mixed, parts = np.unique(_got(replies, 2)[0]), []
         if len(mixed):
             for b, w, _, d, first, last, _ in _Chunk(docs).classes(mixed):
                 p, of = _every(first, last)
-                parts.append((b.strings(p), w[of], d[of]))
-        a, w, d = (_cat([x[k] for x in parts], kind) for k, kind in enumerate((np.uint64, np.uint64, np.int64)))
-        return _rows(_ENTRY, _entries(3, int(key[0].as_py()), ranges, a, w, d))
+                parts.append((b.strings(p), (w >> np.uint64(32)).astype(np.uint32)[of], d[of]))
+        a, w, d = (_cat([x[k] for x in parts], kind) for k, kind in enumerate((np.uint64, np.uint32, np.int64)))
+        first, _ = _least(a, w, d)
+        a, w, d = a[first], w[first], d[first]
+        return _rows(_ENTRY, [(3, r, int(key[0].as_py()), pack(a[s]), w[s].tobytes(), d[s].tobytes()) for r, s in _ranges(a, ranges)])
 
     return run
 
@@ -311,30 +309,48 @@ def _every(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n), of
 
 
-def _resolve(key: tuple, t: pa.Table) -> pa.Table:
-    """In one range: tell each chunk of the smaller doc_ids that others have (kinds 1 and 3), and which of its
-    words have several classes (kind 2)."""
-    kind, chunks = int(key[0].as_py()), t["chunk"].to_pylist()
-    a, b, d = ([f(x) for x in t[c].to_pylist()] for c, f in (("a", unpack), ("b", lambda x: np.frombuffer(x, "<u8")), ("doc", lambda x: np.frombuffer(x, "<i8"))))
-    aa, bb, dd = _cat(a), _cat(b), _cat(d, np.int64)
-    if kind == 2:
-        high = dd.view(np.uint64)
-        order = np.argsort(aa, kind="stable")
-        first = np.flatnonzero(np.r_[True, aa[order][1:] != aa[order][:-1]]) if len(aa) else np.zeros(0, np.int64)
-        if len(first):
-            several = np.minimum.reduceat(bb[order], first) != np.maximum.reduceat(high[order], first)
-        tell = _in(aa[order][first][several], aa) if len(first) else np.zeros(0, bool)
-        least = dd
-    else:
-        _, least = _least(aa, bb, dd)
-        tell = least < dd
+def _tell(kind: int, chunks: list[int], sizes: list[int], tell: np.ndarray, a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> list[tuple]:
+    """Back to each chunk, of the entries it sent, those to be told."""
     out, at = [], 0
-    for chunk, x in zip(chunks, a, strict=True):
-        s = slice(at, at + len(x))
-        at += len(x)
+    for chunk, n in zip(chunks, sizes, strict=True):
+        s = slice(at, at + n)
+        at += n
         if (mine := tell[s]).any():
-            out.append((kind, None, chunk, pack(aa[s][mine]), bb[s][mine].tobytes(), least[s][mine].tobytes()))
-    return _rows(_ENTRY, out)
+            out.append((kind, None, chunk, pack(a[s][mine]), b[s][mine].tobytes(), doc[s][mine].tobytes()))
+    return out
+
+
+def _resolve_classes(t: pa.Table) -> pa.Table:
+    """In one range: who is not the smallest of a word's class, and who must compare strings."""
+    chunks, kinds = t["chunk"].to_pylist(), t["kind"].to_pylist()
+    words = [unpack(x) for x in t["a"].to_pylist()]
+    sizes = [len(x) for x in words]
+    w, several = _cat(words), np.repeat(np.array(kinds) == 2, sizes)
+    c, d = np.zeros(len(w), np.uint64), np.full(len(w), _LAST)
+    c[~several] = _cat([np.frombuffer(x, "<u8") for x in t["b"].to_pylist()])
+    d[~several] = _cat([np.frombuffer(x, "<i8") for x in t["doc"].to_pylist()], np.int64)
+    if not len(w):
+        return _rows(_ENTRY, [])
+    order = np.argsort(w, kind="stable")
+    new = np.r_[True, w[order][1:] != w[order][:-1]]
+    first = np.flatnonzero(new)
+    mixed = np.logical_or.reduceat(several[order], first) | (np.minimum.reduceat(c[order], first) != np.maximum.reduceat(c[order], first))
+    group = np.empty(len(w), np.int64)
+    group[order] = np.cumsum(new) - 1
+    mixed, one = mixed[group], np.flatnonzero(~several)
+    least = d.copy()
+    least[one] = _least(w[one], c[one], d[one])[1]
+    # Who isn't the smallest of a class loses all its strings; who is, or has several classes, compares strings.
+    none = np.zeros(len(w), np.uint32)
+    return _rows(_ENTRY, _tell(1, chunks, sizes, ~several & (least < d), w, none, least) + _tell(2, chunks, sizes, mixed & (several | (least == d)), w, none, least))
+
+
+def _resolve_strings(t: pa.Table) -> pa.Table:
+    """In one range: for every string a chunk sent, the smaller doc_id that another has."""
+    strings = [unpack(x) for x in t["a"].to_pylist()]
+    a, b, d = _cat(strings), _cat([np.frombuffer(x, "<u4") for x in t["b"].to_pylist()], np.uint32), _cat([np.frombuffer(x, "<i8") for x in t["doc"].to_pylist()], np.int64)
+    _, least = _least(a, b, d)
+    return _rows(_ENTRY, _tell(3, t["chunk"].to_pylist(), [len(x) for x in strings], least < d, a, b, least))
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -346,24 +362,22 @@ def _remove(key: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
     data, off = chunk.data, chunk.off
     mark = np.zeros(len(data) + 1, np.int32)
     needed, mixed = _needed(replies), np.unique(_got(replies, 2)[0])
-    got = list(chunk.classes(needed)) if len(needed) else []
-    anchors = {k: _cat([x[k] for x in got], kind) for k, kind in ((1, np.uint64), (2, np.uint64), (3, np.int64))}
-    first, last = (_cat([x[k] + x[6] for x in got], np.int64) for k in (4, 5))
-    ra, rb, rd = _got(replies, 1)
-    n = len(first)
-    _, least = _least(np.concatenate([anchors[2], ra]), np.concatenate([anchors[1], rb]), np.concatenate([anchors[3], rd]))
-    gone = least[:n] < anchors[3]
+    whole, strings = [], []
+    for b, w, _, d, first, last, base in chunk.classes(needed) if len(needed) else ():
+        some = _in(mixed, w)
+        whole.append((w[~some], d[~some], first[~some] + base, last[~some] + base))
+        p, of = _every(first[some], last[some])
+        strings.append((b.strings(p), (w[some] >> np.uint64(32)).astype(np.uint32)[of], d[some][of], p + base))
+    a, _, d = _got(replies, 1)
+    w, own, first, last = (_cat([x[k] for x in whole], kind) for k, kind in enumerate((np.uint64, np.int64, np.int64, np.int64)))
+    _, least = _least(np.concatenate([w, a]), np.zeros(len(w) + len(a), np.uint32), np.concatenate([own, d]))
+    gone = least[: len(w)] < own
     np.add.at(mark, first[gone], 1)
     np.add.at(mark, last[gone] + LENGTH, -1)
-    strings = []
-    for b, w, _, d, f, e, base in got:
-        keep = _in(mixed, w)
-        p, of = _every(f[keep], e[keep])
-        strings.append((b.strings(p) if len(p) else p.astype(np.uint64), w[keep][of], d[keep][of], p + base))
-    s, w, d, p = (_cat([x[k] for x in strings], kind) for k, kind in enumerate((np.uint64, np.uint64, np.int64, np.int64)))
-    ra, rb, rd = _got(replies, 3)
-    _, least = _least(np.concatenate([s, ra]), np.concatenate([w, rb]), np.concatenate([d, rd]))
-    gone = least[: len(p)] < d
+    a, b, d = _got(replies, 3)
+    s, w, own, p = (_cat([x[k] for x in strings], kind) for k, kind in enumerate((np.uint64, np.uint32, np.int64, np.int64)))
+    _, least = _least(np.concatenate([s, a]), np.concatenate([w, b]), np.concatenate([own, d]))
+    gone = least[: len(p)] < own
     np.add.at(mark, p[gone], 1)
     np.add.at(mark, p[gone] + LENGTH, -1)
     removed = np.cumsum(mark)[:-1] > 0
@@ -380,7 +394,7 @@ def _remove(key: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
     return pa.table({"doc_id": docs["doc_id"], "n_bytes": np.diff(off), "n_removed": total[off[1:]] - total[off[:-1]], "n_spans": spans[off[1:]] - spans[off[:-1]], "kept_sha256": pa.array(sha, pa.string())})
 
 
-def remove_repeats(docs: DataFrame, batches: int = 4, chunk_bytes: int = 8 << 20, range_words: int = 1 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = 4, chunk_bytes: int = 4 << 20, range_words: int = 1 << 17) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): every document without each byte that is covered by a
     ``LENGTH``-byte string which also starts in a document with a smaller doc_id.
 
@@ -389,20 +403,18 @@ def remove_repeats(docs: DataFrame, batches: int = 4, chunk_bytes: int = 8 << 20
     """
     spark, rows = docs.sparkSession, doc_texts(docs)
     _, size = text_size(rows)
-    chunks, ranges = size // chunk_bytes + 1, size // 18 // range_words + 1
+    chunks, ranges = size // chunk_bytes + 1, size // 14 // range_words + 1
     rows = rows.withColumn("chunk", in_groups("doc_id", chunks).cast("int"))
     family = SuffixFamily(spark, ranges)
-    arrays = f"{family.path}/arrays"
-    rows.groupBy("chunk").applyInArrow(_array(ranges, batches), _ARRAY).write.partitionBy("batch").parquet(arrays)
     for k in range(batches):
-        family.add(spark.read.schema(_ARRAY).parquet(arrays).filter(F.col("batch") == k))
+        family.add(rows.filter(F.col("chunk") % batches == k))
     none = F.lit(None).cast("binary")
     known = family.found().select(F.lit(0).alias("kind"), F.lit(None).cast("int").alias("range"), "chunk", F.col("keys").alias("a"), none.alias("b"), none.alias("doc"))
 
-    def exchange(replies: DataFrame, send) -> DataFrame:
+    def exchange(replies: DataFrame, send, resolve) -> DataFrame:
         sent = rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(send, _ENTRY)
-        return sent.groupBy("kind", "range").applyInArrow(_resolve, _ENTRY)
+        return written(sent.groupBy("range").applyInArrow(resolve, _ENTRY), "suffix-replies")
 
-    classes = exchange(known, _send_classes(ranges))
-    strings = exchange(classes, _send_strings(ranges))
+    classes = exchange(known, _send_classes(ranges), _resolve_classes)
+    strings = exchange(classes, _send_strings(ranges), _resolve_strings)
     return rows.groupBy("chunk").cogroup(known.union(classes).union(strings).groupBy("chunk")).applyInArrow(_remove, _RESULT)
