@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coordspark.session import scratch_path
@@ -34,6 +34,12 @@ def save(df: DataFrame, path: str, *partition_by: str) -> None:
         conf.set(_CLEANUP, before)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours in the shared folder, through Spark's own file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again."""
     path = scratch_path(df.sparkSession, name)

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import doc_texts, in_groups, pack, save, text_size, unpack, utf8, written
+from coordspark.llm.common import doc_texts, drop_folder, in_groups, pack, save, text_size, unpack, utf8, written
 from coordspark.llm.words import BYTE, comb
 from coordspark.session import scratch_path
 
@@ -241,7 +241,9 @@ class SuffixFamily:
         path = f"{self.path}/{self.n}"
         save(rows.groupBy("range").applyInArrow(_merge_scan(frozenset(merging)), _SCAN), path, "kind")
         self.hits.append(path)
-        self.levels = {k: v for k, v in self.levels.items() if k not in merging} | {size: path}
+        for level in merging:  # the merged level holds them; their hits stay
+            drop_folder(self.spark, f"{self.levels.pop(level)}/kind=1")
+        self.levels[size] = path
 
     def _read(self, path: str, kind: int) -> DataFrame:
         return self.spark.read.schema(_SCAN).parquet(path).filter(F.col("kind") == kind)
