@@ -82,15 +82,21 @@ def _q(name: str) -> str:
 
 
 def number_text_sql(c: str) -> str:
-    """A double as the source runtime prints it: 450000 not 450000.0, no exponent."""
+    """A double as the source runtime prints it: 450000 not 450000.0; an exponent
+    (``1e-20``, ``1e+21``) only below 1e-6 and from 1e21 on."""
+    plain = r"'\\.?0*$', ''"
+    exponent = (f"regexp_replace(regexp_replace(cast({c} AS string), "
+                r"'\\.0E|E', 'e'), 'e([0-9])', 'e+$1')")
     return (
         f"CASE WHEN {c} IS NULL THEN '' "
         f"WHEN isnan({c}) THEN 'NaN' "
         f"WHEN {c} = double('Infinity') THEN 'Infinity' "
         f"WHEN {c} = double('-Infinity') THEN '-Infinity' "
         f"WHEN abs({c}) < 1e15D AND ({c} % 1.0D) = 0 THEN cast(cast({c} AS bigint) AS string) "
-        r"ELSE coalesce(regexp_replace(cast(try_cast(" + c + r" AS decimal(38,18)) AS string), '\\.?0*$', ''), "
-        f"cast({c} AS string)) END"
+        f"WHEN abs({c}) >= 1e21D OR abs({c}) < 1e-6D THEN {exponent} "
+        f"WHEN ({c} % 1.0D) = 0 THEN cast(try_cast({c} AS decimal(38,0)) AS string) "
+        f"WHEN abs({c}) < 1e6D THEN regexp_replace(cast(try_cast({c} AS decimal(38,30)) AS string), {plain}) "
+        f"ELSE regexp_replace(cast(try_cast({c} AS decimal(38,18)) AS string), {plain}) END"
     )
 
 

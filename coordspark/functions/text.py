@@ -65,9 +65,10 @@ def checksum(text: Column) -> Column:
     return F.md5(text)
 
 
-def embed_input(text: Column) -> Column:
-    """Text as sent to the embedder (first 30,000 characters)."""
-    return F.substring(text, 1, EMBED_MAX_CHARS)
+def embed_input(text: Column, max_chars: int | None = None) -> Column:
+    """Text as sent to the embedder: whole, or its first ``max_chars``
+    characters (``EMBED_MAX_CHARS`` for an embedder with the usual limit)."""
+    return text if max_chars is None else F.substring(text, 1, max_chars)
 
 
 def token_estimate(text: Column) -> Column:

@@ -9,11 +9,10 @@ shuffled on the id; all later steps are semi / anti joins on the same key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-SNAPSHOT_SCHEMA = "id long, checksum string"
 #: Modulus of the order-free digest sum (a prime below 2^61; the sum itself is
 #: exact in DECIMAL(38,0), so no overflow at any table size).
 DIGEST_MODULUS = 2**61 - 1
@@ -24,23 +23,20 @@ def snapshot(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.md5(text).alias("checksum"))
 
 
-def empty_snapshot(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], SNAPSHOT_SCHEMA)
-
-
 def detect_changes(previous: DataFrame | None, current: DataFrame) -> DataFrame:
     """``(id, change)`` with change in added / modified / deleted / unchanged.
 
-    No previous snapshot: every current id is added.
+    No previous snapshot: every current id is added. A NULL checksum (NULL
+    text) is a value like any other: presence is told by a flag of its own.
     """
     if previous is None:
         return current.select("id", F.lit("added").alias("change"))
-    p = previous.select("id", F.col("checksum").alias("prev"))
-    c = current.select("id", F.col("checksum").alias("cur"))
+    p = previous.select("id", F.col("checksum").alias("prev"), F.lit(True).alias("in_prev"))
+    c = current.select("id", F.col("checksum").alias("cur"), F.lit(True).alias("in_cur"))
     j = c.join(p, "id", "full_outer")
-    change = (F.when(F.col("prev").isNull() & F.col("cur").isNotNull(), F.lit("added"))
-              .when(F.col("cur").isNull(), F.lit("deleted"))
-              .when(F.col("cur") != F.col("prev"), F.lit("modified"))
+    change = (F.when(F.col("in_prev").isNull(), F.lit("added"))
+              .when(F.col("in_cur").isNull(), F.lit("deleted"))
+              .when(~F.col("cur").eqNullSafe(F.col("prev")), F.lit("modified"))
               .otherwise(F.lit("unchanged")))
     return j.select("id", change.alias("change"))
 
@@ -62,15 +58,15 @@ def change_summary(changes: DataFrame) -> DataFrame:
     return counts.withColumn("summary", text)
 
 
-def _h32(c: Column) -> Column:
-    return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
+def _h60(c: Column) -> Column:
+    return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")
 
 
 def snapshot_header(snap: DataFrame) -> DataFrame:
     """Row count and an order-free digest of a snapshot (sum modulo a prime
-    and xor of the first 32 bits of md5(id:checksum)); partial + final
+    and xor of the first 60 bits of md5(id:checksum), a NULL checksum as "id"); partial + final
     aggregation, no single-task concatenation of the table."""
-    h = _h32(F.concat_ws(":", F.col("id").cast("string"), F.col("checksum")))
+    h = _h60(F.concat_ws(":", F.col("id").cast("string"), F.col("checksum")))
     return snap.agg(F.count(F.lit(1)).alias("total_rows"),
                     F.coalesce(F.pmod(F.sum(h.cast("decimal(38,0)")), F.lit(DIGEST_MODULUS).cast("decimal(38,0)")),
                                F.lit(0)).cast("long").alias("digest_sum"),

@@ -19,6 +19,7 @@ from ..functions.codec import (
     encode_value_sql, js_trim, unescape_pipe, with_display,
 )
 from .common import checked_broadcast, collect_bounded
+from .ops import SOURCE_REASON
 
 #: Upper bound of fields of one model we build an encode expression for.
 MAX_FIELDS_PER_MODEL = 20_000
@@ -66,11 +67,12 @@ def encode_records(records: DataFrame, emap: DataFrame | dict, model_name: str,
     for r in rows:
         name = r["field_name"]
         if name in restrictions:
-            marker = SOURCE_ERROR_MARKER if restrictions[name] == "source_error" else RESTRICTED_MARKER
+            marker = SOURCE_ERROR_MARKER if restrictions[name] == SOURCE_REASON else RESTRICTED_MARKER
             value = f"'{marker}'"
         else:
             value = encode_value_sql(name, r["field_type"], types.get(name))
-        parts.append(f"concat('{r['prefix']}*', {value})")
+        prefix = r["prefix"].replace("\\", "\\\\").replace("'", "\\'")  # catalog text, not SQL
+        parts.append(f"concat('{prefix}*', {value})")
     expr = "concat_ws('|', " + ", ".join(parts) + ")"
     record_id = F.col("id").cast("long") if "id" in readable.columns else F.lit(None).cast("long")
     return readable.select(
@@ -83,11 +85,6 @@ def encode_records(records: DataFrame, emap: DataFrame | dict, model_name: str,
     )
 
 
-def split_segments(encoded: Column) -> Column:
-    """Segments of a coordinate string: split on unescaped pipes, trimmed, non-empty."""
-    return F.filter(F.transform(F.split(encoded, SPLIT_PATTERN, -1), js_trim), lambda s: s != F.lit(""))
-
-
 def _head(seg: Column) -> Column:
     """``model^field`` part of a segment already known to match SEGMENT_PATTERN."""
     return F.substring_index(seg, "*", 1)

@@ -4,7 +4,8 @@ repeated search requests.
 
 All of them are logs (one row per event) aggregated with partial + final
 hash aggregation; the "keep newest N" caps are global top-N sorts
-(TakeOrderedAndProject) or per-key ``row_number`` windows.
+(TakeOrderedAndProject) or per-key ``row_number`` windows, and apply only
+when the caller names one: nothing is cut by default.
 """
 
 from __future__ import annotations
@@ -15,9 +16,14 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 
 # --- fixed values -------------------------------------------------------------------
-MAX_FAILED_ROWS = 1_000        # failed-row table cap
-MAX_USAGE_ENTRIES = 5_000      # usage table cap (by last use)
-MAX_PAIRS = 10_000             # encoded/decoded pair cap
+MAX_FAILED_ROWS = 1_000        # failed-row table cap (for callers that ask for it)
+MAX_USAGE_ENTRIES = 5_000      # usage table cap, by last use (likewise)
+MAX_PAIRS = 10_000             # encoded/decoded pair cap (likewise)
+# reasons of a restricted field
+SECURITY_REASON = "security_restriction"
+COMPUTE_REASON = "compute_error"
+SOURCE_REASON = "odoo_error"
+UNKNOWN_REASON = "unknown"
 PROMOTION_THRESHOLD = 50.0     # importance score that promotes a field
 MAX_KEY_FIELDS = 12            # configured + promoted key fields per model
 SCORE_CAP = 50.0               # per-context score cap
@@ -29,14 +35,14 @@ TOP_FIELDS_SHOWN = 10
 FAILED_KEY = ["model_name", "record_id"]
 
 
-def merge_failures(log: DataFrame, existing: DataFrame | None = None, cap: int | None = MAX_FAILED_ROWS) -> DataFrame:
+def merge_failures(log: DataFrame, existing: DataFrame | None = None, cap: int | None = None) -> DataFrame:
     """K5: keyed upsert of failure events.
 
     ``log`` rows: record_id, model_name, model_id, failure_stage, error_message,
     batch_number, encoded_string, failed_at, seq (event order). Per key the
     newest event wins and retry_count = earlier events (+ existing count + 1
-    if the key was already in ``existing``). Then the newest ``cap`` keys by
-    first failure are kept (W2).
+    if the key was already in ``existing``). All keys stay unless ``cap`` is
+    given: then the newest ``cap`` keys by first failure (W2).
     """
     newest = F.max_by(F.struct("model_id", "failure_stage", "error_message", "batch_number",
                                "encoded_string", "failed_at"), F.col("seq"))
@@ -95,7 +101,7 @@ def usage_counts(log: DataFrame) -> DataFrame:
                  F.min("seq").alias("first_seq")))
 
 
-def cap_usage(usage: DataFrame, cap: int = MAX_USAGE_ENTRIES) -> DataFrame:
+def cap_usage(usage: DataFrame, cap: int) -> DataFrame:
     """Keep the most recently used entries."""
     return usage.orderBy(F.desc("last_used"), "model_name", "field_name").limit(cap)
 
@@ -251,9 +257,13 @@ def classified_errors(errors: DataFrame) -> DataFrame:
 
 def restrictions(classified: DataFrame) -> DataFrame:
     """(model_name, field_name, reason) from classified errors (I10 input):
-    reason ``source_error`` for compute / singleton errors, else ``security``."""
-    reason = F.when(F.col("error_type").isin("compute_error", "singleton_error"), F.lit("source_error")) \
-        .otherwise(F.lit("security"))
+    compute and security errors keep their own reason, a singleton error is the
+    source's fault, anything else is unknown."""
+    kind = F.col("error_type")
+    reason = (F.when(kind == "compute_error", F.lit(COMPUTE_REASON))
+              .when(kind == "security_restriction", F.lit(SECURITY_REASON))
+              .when(kind == "singleton_error", F.lit(SOURCE_REASON))
+              .otherwise(F.lit(UNKNOWN_REASON)))
     return (classified.filter(F.size("restricted_fields") > 0)
             .select(F.col("model").alias("model_name"), F.explode("restricted_fields").alias("field_name"),
                     reason.alias("reason"))
@@ -261,15 +271,16 @@ def restrictions(classified: DataFrame) -> DataFrame:
 
 
 def restrictions_by_reason(restr: DataFrame) -> DataFrame:
-    """Sorted field lists per reason."""
-    return restr.groupBy("reason").agg(
-        F.countDistinct("field_name").alias("n_fields"),
-        F.array_join(F.array_sort(F.collect_set("field_name")), ",").alias("fields"))
+    """The restricted fields of each reason, one row per field (the list of a
+    reason grows with the data, so it is rows, never one array) with the
+    number of models it is restricted in."""
+    return restr.groupBy("reason", "field_name").agg(F.countDistinct("model_name").alias("n_models"))
 
 
-def token_costs(docs: DataFrame, text_col: str, group_col: str) -> DataFrame:
-    """Per group the texts and the estimated tokens of the embedder input."""
-    t = tx.token_estimate(tx.embed_input(F.col(text_col)))
+def token_costs(docs: DataFrame, text_col: str, group_col: str, max_chars: int | None = None) -> DataFrame:
+    """Per group the texts and their estimated tokens (whole texts, or their
+    first ``max_chars`` characters, as an embedder with such a limit reads them)."""
+    t = tx.token_estimate(tx.embed_input(F.col(text_col), max_chars))
     return docs.groupBy(group_col).agg(F.count(F.lit(1)).alias("texts"), F.sum(t).alias("tokens"))
 
 

@@ -21,6 +21,8 @@ from ..functions.text import semantic_text
 
 #: Point id of a record: model_id * 10,000,000 + record_id (fixed value).
 MODEL_ID_MULTIPLIER = 10_000_000
+#: Records outside 0 .. 9,999,999 get negative ids, this many to a model.
+WIDE_MULTIPLIER = 1 << 42
 
 POINT_COLUMNS = (
     "id", "point_type", "vector", "model_id", "model_name", "field_id", "field_name", "field_label",
@@ -30,8 +32,18 @@ POINT_COLUMNS = (
 
 
 def data_point_id(model_id: Column, record_id: Column) -> Column:
-    """BIGINT point id of a record."""
-    return model_id.cast("long") * F.lit(MODEL_ID_MULTIPLIER) + record_id.cast("long")
+    """BIGINT point id of a record, one to one on (model_id, record_id).
+
+    A record id that does not fit the scheme's 10,000,000 places gets a negative
+    id of its own instead of another model's. NULL only where even that can't
+    tell records apart (ids from 2^41 on, models from 2^20 on, NULLs).
+    """
+    m, r = model_id.cast("long"), record_id.cast("long")
+    wide = F.when(r >= 0, F.shiftleft(r, 1)).otherwise(-F.shiftleft(r + 1, 1) + 1)
+    top = F.lit(WIDE_MULTIPLIER // 2)
+    return (F.when(r.between(0, MODEL_ID_MULTIPLIER - 1), m * F.lit(MODEL_ID_MULTIPLIER) + r)
+            .when((r < top) & (r >= -top) & m.between(0, (1 << 20) - 1),
+                  -(m * F.lit(WIDE_MULTIPLIER) + wide) - 1))
 
 
 def schema_points(catalog: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
@@ -48,12 +60,12 @@ def schema_points(catalog: DataFrame, vectors: DataFrame | None = None) -> DataF
 
 
 def data_points(encoded: DataFrame, vectors: DataFrame | None = None,
-                sync_ts: Column | None = None) -> DataFrame:
-    """K9 (data payload): one point per encoded record, id by E10."""
+                sync_ts: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """K9 (data payload): one point per encoded record, id by E10 (``keep``: more columns to carry)."""
     pts = encoded.select(
         data_point_id(F.col("model_id"), F.col("record_id")).alias("id"), F.lit("data").alias("point_type"),
         "model_id", "model_name", "record_id", "encoded_string", "field_count",
-        (sync_ts if sync_ts is not None else F.current_timestamp()).alias("sync_timestamp"))
+        (sync_ts if sync_ts is not None else F.current_timestamp()).alias("sync_timestamp"), *keep)
     return _attach(pts, vectors)
 
 

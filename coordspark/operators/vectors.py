@@ -7,16 +7,18 @@ One query: the query vector is a literal array and the score a native
 higher-order expression; ``orderBy(desc).limit(k)`` becomes a
 TakeOrderedAndProject, so only k rows per partition travel.
 
-Many queries: a size-checked block of query vectors is broadcast to a
+Many queries: a block of query vectors of bounded size goes to a
 ``mapInPandas`` over the points; every task keeps only its local top-k per
-query (numpy matrix product + argpartition), so at most
+query (numpy matrix products, tile by tile), so at most
 queries x k x partitions candidate rows are shuffled, never all pairs. A
-window then keeps the global top-k per query. Query sets above the block
-bound are split into hash blocks and run block by block.
+window then keeps the global top-k per query. Equal scores are cut by id in
+the task and in the window alike. Larger query sets run block by block, the
+candidates of each written to the shared folder before the next is read.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,12 +27,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import collect_bounded
+from ..session import scratch_path
 
 #: Default minimum similarity of a search (tool default).
 DEFAULT_MIN_SCORE = 0.35
-#: Bytes of query vectors broadcast per block (float64).
-MAX_QUERY_BLOCK_BYTES = 256 * 1024 * 1024
+#: Bytes of query vectors shipped per block (float64).
+MAX_QUERY_BLOCK_BYTES = 32 * 1024 * 1024
+#: Scores of one tile (queries x points) in a task; a tile takes a few times 8 bytes each.
+TILE_SCORES = 1 << 21
+#: Decimals up to which scores count as equal (a matrix product rounds equal vectors unequally).
+SCORE_DECIMALS = 12
 #: Candidates fetched per hit before the exact rescore (int8 search).
 OVERSAMPLING = 2.0
 
@@ -48,11 +54,13 @@ def norm(a: Column) -> Column:
 
 
 def cosine(vec: Column, query: list[float]) -> Column:
-    """Cosine similarity of a vector column to one literal query vector."""
+    """Cosine similarity of a vector column to one literal query vector
+    (0 if either is all zeros, NULL for a NULL vector)."""
     q = np.asarray(query, dtype=np.float64)
     qn = float(np.linalg.norm(q))
     qlit = F.array(*[F.lit(float(x)) for x in q])
-    return dot(vec, qlit) / (norm(vec) * F.lit(qn))
+    both = norm(vec) * F.lit(qn)
+    return F.when(both == 0, F.lit(0.0)).otherwise(F.try_divide(dot(vec, qlit), both))
 
 
 def knn_search(points: DataFrame, query: list[float], k: int = 10, min_score: float = DEFAULT_MIN_SCORE,
@@ -67,9 +75,20 @@ def knn_search(points: DataFrame, query: list[float], k: int = 10, min_score: fl
     return scored.orderBy(F.desc("score"), "id").limit(k).filter(F.col("score") >= min_score)
 
 
+def _best_columns(s: np.ndarray, k: int) -> np.ndarray:
+    """Per row the ``k`` columns of the highest scores; of equal scores the first columns."""
+    if s.shape[1] <= k:
+        return np.broadcast_to(np.arange(s.shape[1]), s.shape)
+    cut = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+    above, tied = s > cut, s == cut
+    room = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (tied & (np.cumsum(tied, axis=1) <= room)))[1].reshape(len(s), k)
+
+
 def _topk_partition(qids: np.ndarray, qmat: np.ndarray, k: int, keep: list[str],
                     vector_col: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Per task: running top-k per query over the task's batches (memory ~ queries x k)."""
+    """Per task: running top-k per query by (score descending, id) over the task's
+    batches; memory ~ queries x k, plus one tile of scores."""
     qnorm = qmat / np.maximum(np.linalg.norm(qmat, axis=1, keepdims=True), 1e-300)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,65 +98,86 @@ def _topk_partition(qids: np.ndarray, qmat: np.ndarray, k: int, keep: list[str],
         for pdf in batches:
             if len(pdf) == 0:
                 continue
+            pdf = pdf.sort_values("id", kind="stable")
             mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vector_col].to_numpy()])
             mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
-            s = qnorm @ mat.T                              # queries x batch
             rows = pdf[keep].reset_index(drop=True)
             base = 0 if kept is None else len(kept)
             kept = rows if kept is None else pd.concat([kept, rows], ignore_index=True)
-            best_s = np.concatenate([best_s, s], axis=1)
-            best_i = np.concatenate([best_i, np.broadcast_to(np.arange(base, base + len(rows)), s.shape)], axis=1)
-            if best_s.shape[1] > k:
-                part = np.argpartition(-best_s, k - 1, axis=1)[:, :k]
-                best_s = np.take_along_axis(best_s, part, axis=1)
-                best_i = np.take_along_axis(best_i, part, axis=1)
+            ids = kept["id"].to_numpy()
+            next_s, next_i = [], []
+            step = max(1, TILE_SCORES // len(mat))
+            for t in range(0, len(qids), step):
+                s = np.round(qnorm[t:t + step] @ mat.T, SCORE_DECIMALS)
+                col = _best_columns(s, k)
+                both_s = np.concatenate([best_s[t:t + step], np.take_along_axis(s, col, axis=1)], axis=1)
+                both_i = np.concatenate([best_i[t:t + step], col + base], axis=1)
+                order = np.lexsort((ids[both_i], -both_s), axis=1)[:, :k]
+                next_s.append(np.take_along_axis(both_s, order, axis=1))
+                next_i.append(np.take_along_axis(both_i, order, axis=1))
+            best_s, best_i = np.concatenate(next_s), np.concatenate(next_i)
             used = np.unique(best_i)
             kept = kept.iloc[used].reset_index(drop=True)
             best_i = np.searchsorted(used, best_i)
         if kept is None or best_s.shape[1] == 0:
             return
-        out = kept.iloc[best_i.reshape(-1)].reset_index(drop=True)
-        out.insert(0, "score", best_s.reshape(-1))
-        out.insert(0, "query_id", np.repeat(qids, best_s.shape[1]))
-        yield out
+        step = max(1, TILE_SCORES // (16 * best_s.shape[1]))
+        for t in range(0, len(qids), step):
+            out = kept.iloc[best_i[t:t + step].reshape(-1)].reset_index(drop=True)
+            out.insert(0, "score", best_s[t:t + step].reshape(-1))
+            out.insert(0, "query_id", np.repeat(qids[t:t + step], best_s.shape[1]))
+            yield out
 
     return run
 
 
+def _query_blocks(queries: DataFrame, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The query set as blocks of at most ``block_bytes`` of vectors; the driver holds
+    one block and one partition of the set at a time."""
+    qids, vecs = [], []
+    for r in queries.select("query_id", "vector").filter(F.col("vector").isNotNull()).toLocalIterator():
+        v = np.asarray(r["vector"], dtype=np.float64)
+        if qids and (len(qids) + 1) * v.nbytes > block_bytes:
+            yield np.array(qids, dtype=np.int64), np.array(vecs)
+            qids, vecs = [], []
+        qids.append(r["query_id"])
+        vecs.append(v)
+    if qids:
+        yield np.array(qids, dtype=np.int64), np.array(vecs)
+
+
 def knn_batch(points: DataFrame, queries: DataFrame, k: int = 10, min_score: float = DEFAULT_MIN_SCORE,
               pred: Column | None = None, keep: list[str] | None = None, exclude_self: bool = False,
-              vector_col: str = "vector") -> DataFrame:
+              vector_col: str = "vector", block_bytes: int = MAX_QUERY_BLOCK_BYTES) -> DataFrame:
     """Exact cosine top-k for every query in ``queries(query_id, vector)``.
 
     With ``exclude_self`` a point whose id equals the query id is not a hit.
+    Rows with a NULL vector are left out on both sides; an all-zero vector
+    scores 0. ``keep`` must hold ``id``.
     """
     keep = keep or ["id"]
     df = points if pred is None else points.filter(pred)
     df = df.select(*keep, vector_col).filter(F.col(vector_col).isNotNull())
     kk = k + 1 if exclude_self else k
-    qn = queries.count()
-    dim_row = queries.select(F.size("vector").alias("d")).limit(1).collect()
-    dim = dim_row[0]["d"] if dim_row else 1
-    per_block = max(1, MAX_QUERY_BLOCK_BYTES // (8 * max(dim, 1)))
-    n_blocks = max(1, -(-qn // per_block))
     fields = [f for f in df.schema.fields if f.name in keep]
     out_schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("score", T.DoubleType()),
                                *fields])
-    parts = []
-    for b in range(n_blocks):
-        block = queries if n_blocks == 1 else queries.filter(
-            F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        rows = collect_bounded(block.select("query_id", "vector"), per_block, "query block")
-        if not rows:
-            continue
-        qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        qmat = np.array([np.asarray(r["vector"], dtype=np.float64) for r in rows])
-        parts.append(df.mapInPandas(_topk_partition(qids, qmat, kk, keep, vector_col), out_schema))
-    if not parts:
-        return points.sparkSession.createDataFrame([], out_schema.add("rank", T.IntegerType()))
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
+    spark = points.sparkSession
+
+    def hits(block: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+        return df.mapInPandas(_topk_partition(*block, kk, keep, vector_col), out_schema)
+
+    blocks = _query_blocks(queries, block_bytes)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        cands = spark.createDataFrame([], out_schema)
+    elif second is None:
+        cands = hits(first)
+    else:
+        path = scratch_path(spark, "knn-batch")
+        for block in itertools.chain((first, second), blocks):
+            hits(block).write.mode("append").parquet(path)
+        cands = spark.read.schema(out_schema).parquet(path)
     if exclude_self:
         cands = cands.filter(F.col("query_id") != F.col("id"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

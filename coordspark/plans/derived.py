@@ -125,7 +125,7 @@ def error_log(spark: SparkSession, sf: str) -> DataFrame:
                                   F.lit(", u_"), F.col("user_id").cast("string"), F.lit("]")))
         .when(kind == 3, F.concat(F.lit("ValueError: Expected singleton: events("),
                                   F.col("event_id").cast("string"), F.lit(", "), F.col("user_id").cast("string"),
-                                  F.lit(")")))
+                                  F.lit(")\nField 'event_type' cannot be computed")))
         .otherwise(F.concat(F.lit("Timeout after "), F.col("value").cast("string"), F.lit(" s"))))
     return e.select(F.col("event_id").alias("error_id"), msg.alias("message"))
 
@@ -144,7 +144,8 @@ ERROR_LOG_SQL = """elog AS (
     WHEN 1 THEN 'ValueError: Compute method failed to assign events(' || CAST(event_id AS VARCHAR) || ',).value'
     WHEN 2 THEN 'Access Denied by record rules for model ''events'', fields: [k_' || json_extract_string(props, '$.k') ||
       ', u_' || CAST(user_id AS VARCHAR) || ']'
-    WHEN 3 THEN 'ValueError: Expected singleton: events(' || CAST(event_id AS VARCHAR) || ', ' || CAST(user_id AS VARCHAR) || ')'
+    WHEN 3 THEN 'ValueError: Expected singleton: events(' || CAST(event_id AS VARCHAR) || ', ' || CAST(user_id AS VARCHAR) || ')' ||
+      chr(10) || 'Field ''event_type'' cannot be computed'
     ELSE 'Timeout after ' || CAST(value AS VARCHAR) || ' s' END AS message
   FROM events WHERE event_type = 'error')"""
 

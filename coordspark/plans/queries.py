@@ -466,8 +466,8 @@ from . import derived as dv  # noqa: E402
 
 _CHANGES_SQL = """changes AS (
   SELECT coalesce(c.id, p.id) AS id,
-    CASE WHEN p.checksum IS NULL THEN 'added' WHEN c.checksum IS NULL THEN 'deleted'
-         WHEN c.checksum <> p.checksum THEN 'modified' ELSE 'unchanged' END AS change
+    CASE WHEN p.id IS NULL THEN 'added' WHEN c.id IS NULL THEN 'deleted'
+         WHEN c.checksum IS DISTINCT FROM p.checksum THEN 'modified' ELSE 'unchanged' END AS change
   FROM cur c FULL OUTER JOIN prev p ON c.id = p.id)"""
 
 
@@ -507,14 +507,14 @@ def q_upsert_points(spark, sf):
     return chg.apply_changes(dv.previous_snapshot(spark, sf), cur, _changes(spark, sf))
 
 
-def _h32_sql(x: str) -> str:
-    return f"CAST(('0x' || substr(md5({x}), 1, 8)) AS BIGINT)"
+def _h60_sql(x: str) -> str:
+    return f"CAST(('0x' || substr(md5({x}), 1, 15)) AS BIGINT)"
 
 
 @register("snapshot_header", o.with_ctes(dv.CURRENT_SNAPSHOT_SQL) + f"""
 SELECT count(*) AS total_rows,
-  CAST(coalesce(sum(CAST({_h32_sql("CAST(id AS VARCHAR) || ':' || checksum")} AS HUGEINT)) % 2305843009213693951, 0) AS BIGINT) AS digest_sum,
-  CAST(coalesce(bit_xor({_h32_sql("CAST(id AS VARCHAR) || ':' || checksum")}), 0) AS BIGINT) AS digest_xor
+  CAST(coalesce(sum(CAST({_h60_sql("CAST(id AS VARCHAR) || ':' || checksum")} AS HUGEINT)) % 2305843009213693951, 0) AS BIGINT) AS digest_sum,
+  CAST(coalesce(bit_xor({_h60_sql("CAST(id AS VARCHAR) || ':' || checksum")}), 0) AS BIGINT) AS digest_xor
 FROM cur""")
 def q_snapshot_header(spark, sf):
     return chg.snapshot_header(dv.current_snapshot(spark, sf))
@@ -642,8 +642,7 @@ _DLQ_SQL = """dlq AS (
     arg_max(error_message, seq) AS error_message, arg_max(batch_number, seq) AS batch_number,
     arg_max(encoded_string, seq) AS encoded_string, arg_max(failed_at, seq) AS failed_at,
     count(*) - 1 AS retry_count, min(seq) AS first_seq
-  FROM flog GROUP BY model_name, record_id
-  ORDER BY first_seq DESC, model_name, record_id LIMIT 1000)"""
+  FROM flog GROUP BY model_name, record_id)"""
 
 
 @register("dlq_upsert", o.with_ctes(dv.FAILURE_LOG_SQL, _DLQ_SQL) + "SELECT * FROM dlq")
@@ -814,18 +813,17 @@ def q_keep_newest_n(spark, sf):
 
 
 @register("pair_stats", _PAIRS_BASE + """
-, kept AS (SELECT * FROM pairs ORDER BY timestamp DESC, model_name DESC, record_id DESC LIMIT 10000)
 SELECT CASE WHEN GROUPING(model_name) = 1 THEN 'total' ELSE 'model' END AS level, model_name, count(*) AS n,
   min(timestamp) AS oldest, max(timestamp) AS newest
-FROM kept GROUP BY ROLLUP (model_name)""")
+FROM pairs WHERE output <> '' AND output <> '_No decodable fields found_' GROUP BY ROLLUP (model_name)""")
 def q_pair_stats(spark, sf):
-    return ops.pair_stats(ops.keep_newest(_pairs(spark, sf), ops.MAX_PAIRS, _pairs_order()))
+    return ops.pair_stats(_pairs(spark, sf))
 
 
 # --- tokens and query keys -----------------------------------------------------------------------------
 
 @register("token_estimate", """
-SELECT source, count(*) AS texts, sum(CAST(ceil(length(substr(text, 1, 30000)) / 4) AS BIGINT)) AS tokens
+SELECT source, count(*) AS texts, sum(CAST(ceil(length(text) / 4) AS BIGINT)) AS tokens
 FROM documents GROUP BY source""")
 def q_token_estimate(spark, sf):
     return ops.token_costs(fx.read_table(spark, sf, "documents"), "text", "source")
@@ -898,13 +896,13 @@ def q_error_log_fields(spark, sf):
 
 _RESTR_SQL = """restr AS (
   SELECT DISTINCT model AS model_name, unnest(list_distinct(list_filter(flist, lambda x: x <> ''))) AS field_name,
-    CASE WHEN error_type IN ('compute_error', 'singleton_error') THEN 'source_error' ELSE 'security' END AS reason
+    CASE error_type WHEN 'compute_error' THEN 'compute_error' WHEN 'security_restriction' THEN 'security_restriction'
+      WHEN 'singleton_error' THEN 'odoo_error' ELSE 'unknown' END AS reason
   FROM classified WHERE len(list_filter(flist, lambda x: x <> '')) > 0)"""
 
 
 @register("restrictions_by_reason", o.with_ctes(dv.ERROR_LOG_SQL, _classify_sql(), _RESTR_SQL) + """
-SELECT reason, count(DISTINCT field_name) AS n_fields, string_agg(DISTINCT field_name, ',' ORDER BY field_name) AS fields
-FROM restr GROUP BY reason""")
+SELECT reason, field_name, count(DISTINCT model_name) AS n_models FROM restr GROUP BY reason, field_name""")
 def q_restrictions_by_reason(spark, sf):
     return ops.restrictions_by_reason(ops.restrictions(_classified(spark, sf)))
 
@@ -916,14 +914,14 @@ def _restriction_dict(spark, sf, model: str) -> dict[str, str]:
     r = ops.restrictions(_classified(spark, sf)).filter(F.col("model_name") == model)
     fields = fx.catalog(spark, sf).filter(F.col("model_name") == model).select("field_name")
     r = r.join(fields, "field_name", "left_semi")
-    # source_error wins over security when both name a field
-    r = r.groupBy("field_name").agg(F.max(F.when(F.col("reason") == "source_error", 1).otherwise(0)).alias("oe"))
+    # a field with several reasons: the source's own error first, the others by name
+    r = r.groupBy("field_name").agg(F.min_by("reason", F.struct(F.col("reason") != ops.SOURCE_REASON, "reason")).alias("reason"))
     rows = collect_bounded(r, 100_000, "restricted fields")
-    return {x["field_name"]: ("source_error" if x["oe"] else "security") for x in rows}
+    return {x["field_name"]: x["reason"] for x in rows}
 
 
 _RESTR_FIELDS_SQL = """restr_f AS (SELECT model_name, field_name,
-    CASE WHEN max(CASE WHEN reason = 'source_error' THEN 1 ELSE 0 END) = 1 THEN 'source_error' ELSE 'security' END AS reason
+    CASE WHEN max(CASE WHEN reason = 'odoo_error' THEN 1 ELSE 0 END) = 1 THEN 'odoo_error' ELSE min(reason) END AS reason
   FROM restr GROUP BY model_name, field_name)"""
 
 
@@ -952,13 +950,13 @@ def q_stream_usage_counts(spark, sf):
     "UNION ALL\n  SELECT o_orderkey, 'orders', 6, 'embedding', o_orderpriority, CAST(trunc(o_orderkey / 500) AS INTEGER), '',\n"
     "    o_orderdate, o_orderkey + 1000000000\n  FROM orders WHERE o_orderstatus = 'P'", ""), _DLQ_SQL) + "SELECT * FROM dlq")
 def q_stream_failed_rows(spark, sf):
-    """I6 as a stream: keyed failed-row state from error events (newest 1000 keys)."""
+    """I6 as a stream: keyed failed-row state from error events, all keys."""
     return inc.stream_failed_rows(spark, table_path(sf, "events"), dv.failures_from_events)
 
 
 @register("stream_dedup_events", "SELECT * FROM events")
 def q_stream_dedup_events(spark, sf):
-    """Duplicate event ids within the watermark are dropped (the test data has none)."""
+    """Of repeated event ids the last written row stays (the test data has none; see the tests)."""
     return inc.stream_dedup(spark, table_path(sf, "events"), "event_id", "ts")
 
 

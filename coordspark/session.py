@@ -62,7 +62,6 @@ def shared_dir(spark: SparkSession) -> str:
     d = tempfile.mkdtemp(prefix="coordspark-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(d)
-    spark.conf.set("spark.checkpoint.dir", d)
     return d
 
 

@@ -8,9 +8,9 @@ list is a projection, so only those columns are read.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from ..operators.common import checked_broadcast
 
 #: Fields of the fixed-shape lead scan (S6), in fetch order (fixed values).
 LEAD_FIELDS = ("id", "name", "expected_revenue", "probability", "description", "create_date", "write_date",
@@ -54,21 +54,23 @@ def scan_leads(records: DataFrame) -> DataFrame:
     return records.filter(F.col("type") == "opportunity").select(*present)
 
 
-def read_by_ids(records: DataFrame, ids: DataFrame | list[int], key: str = "id",
-                max_broadcast: int = 5_000_000) -> DataFrame:
+def read_by_ids(records: DataFrame, ids: DataFrame | list[int], key: str = "id") -> DataFrame:
     """Rows whose key is in ``ids``: a literal ``isin`` for a short list,
-    else a semi join (broadcast behind a size check)."""
+    else a semi join (AQE broadcasts the ids if they are small)."""
     if isinstance(ids, list):
         return records.filter(F.col(key).isin(*ids))
-    return records.join(checked_broadcast(ids.select(key).distinct(), max_broadcast), key, "left_semi")
+    return records.join(ids.select(key), key, "left_semi")
 
 
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A state table, or an empty one with the schema when it does not exist yet
-    (a missing or unreadable table means "start over")."""
+    (a missing table means "start over"; any other error is the caller's to see,
+    for an empty state would reload everything or lose the mark)."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except Exception:  # missing path / corrupt table -> empty state
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

@@ -11,7 +11,8 @@
   writes the batch's points as an epoch partition (last write per id wins
   when read, K1/I7) and routes rows that fail a quality check to the failed
   rows log (K5 input).
-* I7 duplicate suppression: ``dropDuplicatesWithinWatermark``.
+* I7 duplicate suppression: epoch deltas read as the last written row per
+  key, so no late row is lost.
 
 All paths live under the session's shared folder (``spark.checkpoint.dir``).
 """
@@ -64,8 +65,9 @@ def epoch_delta_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def latest_per_key(spark: SparkSession, path: str, key: list[str],
-                   base: tuple[str, int] | None = None) -> DataFrame:
-    """Current table from an epoch delta table: the newest epoch's row per key.
+                   base: tuple[str, int] | None = None, order: list[str] | None = None) -> DataFrame:
+    """Current table from an epoch delta table: the newest epoch's row per key;
+    within an epoch the row that is last by the columns ``order``.
 
     With ``base = (base_path, base_epoch)`` from ``compact_deltas`` only the
     epochs after the base are read (partition pruning on ``epoch``) and
@@ -77,7 +79,7 @@ def latest_per_key(spark: SparkSession, path: str, key: list[str],
         b = spark.read.parquet(base[0]).withColumn("epoch", F.lit(base[1]).cast(d.schema["epoch"].dataType))
         d = b.unionByName(d.select(*b.columns))
     vals = [c for c in d.columns if c not in key and c != "epoch"]
-    return (d.groupBy(*key).agg(F.max_by(F.struct(*vals), F.col("epoch")).alias("r"))
+    return (d.groupBy(*key).agg(F.max_by(F.struct(*vals), F.struct("epoch", *(order or []))).alias("r"))
             .select(*key, "r.*"))
 
 
@@ -107,8 +109,9 @@ def stream_usage_counts(spark: SparkSession, events_path: str, to_usage: Callabl
 
 
 def stream_failed_rows(spark: SparkSession, source_path: str, to_failures: Callable[[DataFrame], DataFrame],
-                       base: str | None = None, cap: int | None = 1000) -> DataFrame:
-    """Keyed failed-row state (newest event, retry count) from a failure stream."""
+                       base: str | None = None, cap: int | None = None) -> DataFrame:
+    """Keyed failed-row state (newest event, retry count) from a failure stream
+    (all keys; ``cap`` keeps the newest ones by first failure)."""
     base = base or scratch_path(spark, "dlq-stream")
     log = to_failures(file_stream(spark, source_path))
     newest = F.max_by(F.struct("model_id", "failure_stage", "error_message", "batch_number",
@@ -123,35 +126,37 @@ def stream_failed_rows(spark: SparkSession, source_path: str, to_failures: Calla
     return cur
 
 
-def stream_dedup(spark: SparkSession, path: str, key: str, ts_col: str, delay: str = "1 hour",
-                 base: str | None = None) -> DataFrame:
-    """Drop repeated keys within the watermark delay; append sink, read back."""
+def stream_dedup(spark: SparkSession, path: str, key: str, ts_col: str, base: str | None = None,
+                 max_files: int | None = None) -> DataFrame:
+    """One row per key, the last one written: by micro-batch, then ``ts_col``,
+    then place in the batch. Rows that come late count like any other."""
     base = base or scratch_path(spark, "dedup-stream")
-    s = file_stream(spark, path)
-    # withWatermark needs TIMESTAMP (not TIMESTAMP_NTZ); the session zone is UTC.
-    s = s.withColumn("_wm", F.col(ts_col).cast("timestamp"))
-    d = s.withWatermark("_wm", delay).dropDuplicatesWithinWatermark([key]).drop("_wm")
-    q = (d.writeStream.format("parquet").option("path", base + "/out")
-         .option("checkpointLocation", base + "/checkpoint").outputMode("append")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(d.schema).parquet(base + "/out")
+    s = file_stream(spark, path, max_files)
+    write = epoch_delta_sink(base + "/delta")
+    run_available(s, lambda batch, epoch: write(batch.withColumn("_place", F.monotonically_increasing_id()), epoch),
+                  base + "/checkpoint", output_mode="append")
+    cur = latest_per_key(spark, base + "/delta", [key], order=[ts_col, "_place"])
+    return cur.select(*s.columns)
 
 
 def stream_records(spark: SparkSession, source_path: str, encode: Callable[[DataFrame], DataFrame],
                    embed: Callable[[DataFrame], DataFrame] | None = None,
-                   base: str | None = None, max_files: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+                   base: str | None = None, max_files: int | None = None,
+                   seq: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """I2 + I9: records -> encode -> embed -> points (epoch deltas) and failed rows.
 
-    A record fails the quality check when its id does not fit the point-id
-    scheme (record_id >= 10,000,000, E10). Returns (points, failed rows,
-    run log) read back from the sinks; per-batch counts come from
-    ``observe`` on the batch frame.
+    A record fails the quality check when it has no point id (a NULL record
+    id, E10). Of repeated records the last one written stays: by micro-batch,
+    then by the column ``seq`` (a sequence or change time that ``encode``
+    carries through, if named), then place in the batch. Returns (points,
+    failed rows, run log) read back from the sinks; per-batch counts come
+    from ``observe`` on the batch frame.
     """
-    from ..operators.points import MODEL_ID_MULTIPLIER, data_points
+    from ..operators.points import data_point_id, data_points
 
     base = base or scratch_path(spark, "records-stream")
     enc = encode(file_stream(spark, source_path, max_files))
+    order = [*([seq] if seq else []), "_place"]
     pts_path, dlq_path, runs_path = base + "/points", base + "/failed", base + "/runs"
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
@@ -162,18 +167,18 @@ def stream_records(spark: SparkSession, source_path: str, encode: Callable[[Data
         from ..operators.common import spread
 
         t0 = time.time()
-        bad = (F.col("record_id").isNull()) | (F.col("record_id") >= MODEL_ID_MULTIPLIER)
-        batch = spread(batch).persist()
+        bad = data_point_id(F.col("model_id"), F.col("record_id")).isNull()
+        batch = spread(batch.withColumn("_place", F.monotonically_increasing_id())).persist()
         obs = Observation(f"run_{epoch_id}")
         pts = data_points(batch.observe(obs, F.count(F.lit(1)).alias("processed"),
                                         F.count_if(~bad).alias("embedded")).filter(~bad),
-                          sync_ts=F.current_timestamp())
+                          sync_ts=F.current_timestamp(), keep=tuple(order))
         if embed is not None:
             pts = embed(pts.drop("vector"))
         epoch_delta_sink(pts_path)(pts, epoch_id)
         failed = batch.filter(bad).select(
             "record_id", "model_name", "model_id", F.lit("encoding").alias("failure_stage"),
-            F.lit("record id outside the point id range").alias("error_message"),
+            F.lit("record without a point id").alias("error_message"),
             F.lit(int(epoch_id)).cast("int").alias("batch_number"), "encoded_string",
             F.current_timestamp().alias("failed_at"))
         epoch_delta_sink(dlq_path)(failed, epoch_id)
@@ -188,7 +193,7 @@ def stream_records(spark: SparkSession, source_path: str, encode: Callable[[Data
          .parquet(runs_path))
 
     run_available(enc, sink, base + "/checkpoint", output_mode="append")
-    points = latest_per_key(spark, pts_path, ["id"])
+    points = latest_per_key(spark, pts_path, ["id"], order=order).drop(*order)
     failed = spark.read.schema(
         "record_id long, model_name string, model_id int, failure_stage string, error_message string, "
         "batch_number int, encoded_string string, failed_at timestamp, epoch long").parquet(dlq_path).drop("epoch")

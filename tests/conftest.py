@@ -24,5 +24,4 @@ def spark():
     if not (s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()):
         d = tempfile.mkdtemp(prefix="coordspark-test-")
         s.sparkContext.setCheckpointDir(d)
-        s.conf.set("spark.checkpoint.dir", d)
     yield s

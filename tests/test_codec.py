@@ -70,7 +70,7 @@ def test_field_count_counts_fields_not_pipes(catalog, records):
 
 def test_restricted_markers(catalog, records):
     enc = codec.encode_records(records, cat.encoding_map(catalog), "m.a",
-                               restrictions={"name": "security", "amount": "source_error"})
+                               restrictions={"name": "compute_error", "amount": "odoo_error"})
     s = enc.filter("record_id = 1").first()["encoded_string"]
     assert "10^1002*Restricted_from_API" in s and "10^1003*Restricted_odoo_error" in s
     dec = codec.decode_records(enc, cat.coord_lookup(catalog)).filter("record_id = 1")

@@ -31,7 +31,7 @@ def test_stream_restart_is_idempotent(spark):
 
 
 def test_stream_failed_rows_equal_batch(spark):
-    s = inc.stream_failed_rows(spark, table_path(SF, "events"), dv.failures_from_events, cap=None)
+    s = inc.stream_failed_rows(spark, table_path(SF, "events"), dv.failures_from_events)
     b = ops.merge_failures(dv.failure_log(spark, SF).filter("model_name = 'events'"), cap=None)
     cols = ["model_name", "record_id", "retry_count", "failure_stage", "first_seq"]
     assert _same(s.select(cols), b.select(cols))
