@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,9 @@ from coordspark.llm.cross_parse import Automaton, language_id, phrases
 from coordspark.llm.decontaminate import ItemIndex, contaminated
 from coordspark.llm.learning import fold
 from coordspark.llm.line_crf import quality
-from coordspark.llm.toxicity_kn import toxicity, without_toxic
+from coordspark.llm.toxicity_kn import STEM, toxicity, train, without_toxic
+from coordspark.llm.words import ALNUM
+from coordspark.llm.words import words as hashed
 from coordspark.session import table_path
 
 SF = "/root/testdata/sf0.1"
@@ -162,3 +165,25 @@ def test_block_maxima_lose_nothing():
                 for k, x in enumerate(row):
                     full[lo + k] = full.get(lo + k, 0) + float(x)
     assert got == {(i, round(s, 4)) for i, s in full.items() if s >= 0.5}
+
+
+def test_toxicity_counts_are_exact_in_a_large_vocabulary(spark):
+    """Words that no training document has are all alike, and the counts are those of a dictionary, however many words there are."""
+    r = random.Random(3)
+    texts = [" ".join(f"{r.randrange(16**5):05x}" for _ in range(800)) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, " ".join(f"q{i}z{k}" for k in range(4000))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    model = train(docs, labels, F.lit(False), 3000, 3.0, 6)[0].value
+    probe = " ".join(f"_{i:x}_Z{i * 7919}Y" for i in range(1, 20_000, 2)).replace("_", "X")
+    h, row, _, _, stem = hashed(*utf8(pa.array([probe])), ALNUM, STEM)
+    for ratio in model.ratios(h, row, stem):
+        assert np.ptp(ratio[1:]) < 1e-6
+    fit = {x.doc_id for x in docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0).collect()}
+    own = [Counter(p for i, t in enumerate(texts) if i % 2 == c and i not in fit for p in {*zip(["", *t.split()], t.split())}) for c in (0, 1)]
+    pairs = {*own[0], *own[1]}
+    every = Counter(w for _, t in rows for w in t.split())
+    total, known = sum(every.values()), {w for _, w in pairs}
+    assert len(model.pairs) == len(pairs) and len(model.words) == len(known) + 1  # the start of a text
+    assert np.allclose(np.sort(model.shared[:-1]), np.sort([0.0, *(every[w] / total for w in known)]))
+    assert [int(x.sum()) for x in model.pair] == [sum(x.values()) for x in own]
