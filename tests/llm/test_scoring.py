@@ -187,3 +187,20 @@ def test_toxicity_counts_are_exact_in_a_large_vocabulary(spark):
     assert len(model.pairs) == len(pairs) and len(model.words) == len(known) + 1  # the start of a text
     assert np.allclose(np.sort(model.shared[:-1]), np.sort([0.0, *(every[w] / total for w in known)]))
     assert [int(x.sum()) for x in model.pair] == [sum(x.values()) for x in own]
+
+
+def test_toxic_line_of_words_used_before(spark):
+    """A line near the end of a long text counts, though each of its words stood there before, harmlessly."""
+    r = random.Random(5)
+
+    def clean(n):
+        return " ".join(f"w{(k * 7 + j) % 40}" for k in r.sample(range(400), n) for j in range(5))
+
+    line = "w3 w17 w30 w8 w22 w11 w35"
+    rows = [(i, clean(8) + (f" {line} " + clean(4) if i % 2 else "")) for i in range(200)]
+    long = clean(300)
+    rows += [(1000, long), (1001, f"{long} {line} {clean(2)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    got = {x.doc_id: x.predicted for x in toxicity(docs, labels).collect()}
+    assert (got[1000], got[1001]) == (0, 1)
