@@ -204,3 +204,25 @@ def test_toxic_line_of_words_used_before(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
     got = {x.doc_id: x.predicted for x in toxicity(docs, labels).collect()}
     assert (got[1000], got[1001]) == (0, 1)
+
+
+def test_rare_toxic_pairs_are_evidence(spark):
+    """Discounts lie between 0 and 1: a pair that two toxic training documents hold speaks for itself."""
+    r = random.Random(6)
+    docs = [(i, " ".join(f"w{r.randrange(300)}" for _ in range(60))) for i in range(400)]
+    docs = spark.createDataFrame(docs + [(1000 + i, f"w1 rare{i // 2}x odd{i // 2}y w2") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(1000 + i, 1) for i in range(40)], "doc_id long, toxic int")
+    fit = {x.doc_id for x in docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0).collect()}
+    k = next(i // 2 for i in range(0, 40, 2) if not {1000 + i, 1001 + i} & fit)
+    h, row, _, _, stem = hashed(*utf8(pa.array([f"rare{k}x odd{k}y", f"odd{k}y rare{k}x"])), ALNUM, STEM)
+    model = train(docs, labels, F.lit(False), 3000, None, 6)[0].value
+    assert ((0 < model.cuts) & (model.cuts < 1)).all()
+    after, alone = model.ratios(h, row, stem)
+    assert after[1] > alone[1] + 0.5 and after[1] > after[3] + 0.5
+
+
+def test_toxicity_recall_by_language(spark):
+    docs, labels = tables(spark)
+    rows = toxicity(docs, labels).filter("held_out").join(labels.filter("toxic = 1"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for lang in ("de", "en", "es", "fr"):
+        assert np.mean([r.predicted for r in rows if r.lang == lang]) > 0.4
