@@ -5,8 +5,10 @@ them: from where the last phrase ended, the next phrase is the longest match tha
 unknown symbol). The language that needs the fewest phrases per symbol wins; equal numbers go to the
 language first in the alphabet. Letters are folded to a small alphabet, everything else to one space.
 
-The automata are fitted on a bounded sample: per language at most ``docs_each`` labelled documents, none of
-them held out, of ``shortest`` to ``longest`` bytes, chosen by a hash of doc_id. Every text is parsed whole: it is
+The automata are fitted on a bounded sample: per language ``docs_each`` labelled documents, none of them held
+out, those of ``shortest`` to ``longest`` bytes first, then by a hash of doc_id; of a longer one its first
+``longest`` bytes. Where these are short, more follow (to 20 times as many) until there are ``docs_each`` times
+``shortest`` bytes, so every language with a text outside the held-out fold is learned. Every text is parsed whole: it is
 cut into pieces of ``piece`` symbols that are parsed side by side, one numpy step per symbol for all pieces of
 a batch; a cut ends a phrase early, alike for all languages.
 
@@ -144,13 +146,17 @@ def _predict(samples: dict[str, list[bytes]], piece: int):
 def language_id(docs: DataFrame, folds: int = 4, held_fold: int = 2, docs_each: int = 24, shortest: int = 500, longest: int = 3000, piece: int = 512) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document; documents of fold ``held_fold`` aren't learned from."""
     held = fold(folds) == held_fold
-    rows = doc_texts(docs, F.col("lang").cast("string").alias("lang")).filter(~held & F.col("lang").isNotNull() & F.octet_length("text").between(shortest, longest))
-    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    nth = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))  # Spark keeps the first rows of each group only
-    picked = ids.withColumn("nth", nth).filter(F.col("nth") <= docs_each).select("doc_id", "lang")
+    rows = doc_texts(docs, F.col("lang").cast("string").alias("lang")).filter(~held & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    size = F.octet_length("text")
+    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), (~size.between(shortest, longest)).alias("odd"), F.least(size, F.lit(longest)).alias("size"))
+    order = W.partitionBy("lang").orderBy("odd", "h", "doc_id")
+    ids = ids.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= 20 * docs_each)  # Spark keeps the first rows of each group only
+    so_far = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
+    picked = ids.withColumn("so_far", so_far).filter((F.col("nth") <= docs_each) | (F.col("so_far") < docs_each * shortest)).select("doc_id", "lang")
     samples: dict[str, list[bytes]] = {}
-    for r in rows.join(F.broadcast(picked), ["doc_id", "lang"]).orderBy("doc_id").collect():  # docs_each a language
-        code, _ = symbols(*utf8(pa.array([r["text"]])))
+    sample = rows.withColumn("text", F.substring("text", 1, longest)).join(F.broadcast(picked), ["doc_id", "lang"])
+    for r in sample.orderBy("doc_id").collect():  # at most 20 * docs_each a language
+        code, _ = symbols(*utf8(pa.array([r["text"].encode()[:longest]], pa.binary())))
         samples.setdefault(r["lang"], []).append(code.tobytes())
     schema = "doc_id long, lang_pred string, score double"
     found = doc_texts(docs).mapInArrow(_predict(samples, piece), schema)

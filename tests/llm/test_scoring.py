@@ -226,3 +226,15 @@ def test_toxicity_recall_by_language(spark):
     rows = toxicity(docs, labels).filter("held_out").join(labels.filter("toxic = 1"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
     for lang in ("de", "en", "es", "fr"):
         assert np.mean([r.predicted for r in rows if r.lang == lang]) > 0.4
+
+
+def test_languages_of_short_or_long_documents_are_learned(spark):
+    r = random.Random(7)
+
+    def text(letters, n):
+        return " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(n))
+
+    kinds = {"ab": ("abcdef", 10), "gh": ("ghijkl", 200), "mn": ("mnopqr", 1500)}  # under 500, 500 to 3,000, over 3,000 bytes
+    rows = [(100 * k + i, text(*kinds[lang]), lang) for k, lang in enumerate(kinds) for i in range(40)]
+    got = language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {x.doc_id: x.lang_pred for x in got} == {i: lang for i, _, lang in rows}
