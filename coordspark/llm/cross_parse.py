@@ -132,7 +132,7 @@ def _predict(samples: dict[str, list[bytes]], piece: int):
                 nth = np.arange(len(row)) - np.repeat(np.cumsum(-(-n // piece)) - -(-n // piece), -(-n // piece))
                 start = at[row] + nth * piece
                 end = np.minimum(start + piece, at[row + 1])
-                letters = np.bincount(row, weights=np.add.reduceat(code > 0, start, dtype=np.int64) if len(start) else None, minlength=j - i) > 0
+                letters = b["letter"].slice(i, j - i).to_numpy(zero_copy_only=False)
                 parsed = np.stack([np.bincount(row, weights=phrases(t, code, start, end), minlength=j - i) for t in tables]) if tables else np.zeros((1, j - i))
                 best = parsed.argmin(0)
                 low = np.partition(parsed, min(1, len(parsed) - 1), axis=0)
@@ -159,5 +159,6 @@ def language_id(docs: DataFrame, folds: int = 4, held_fold: int = 2, docs_each:
         code, _ = symbols(*utf8(pa.array([r["text"].encode()[:longest]], pa.binary())))
         samples.setdefault(r["lang"], []).append(code.tobytes())
     schema = "doc_id long, lang_pred string, score double"
-    found = doc_texts(docs).mapInArrow(_predict(samples, piece), schema)
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))  # of any script
+    found = doc_texts(docs).withColumn("letter", letter).mapInArrow(_predict(samples, piece), schema)
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")

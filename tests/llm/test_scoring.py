@@ -238,3 +238,12 @@ def test_languages_of_short_or_long_documents_are_learned(spark):
     rows = [(100 * k + i, text(*kinds[lang]), lang) for k, lang in enumerate(kinds) for i in range(40)]
     got = language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert {x.doc_id: x.lang_pred for x in got} == {i: lang for i, _, lang in rows}
+
+
+def test_texts_without_a_letter_are_und(spark):
+    odd = ["\U0001f600 \U0001f389", "\u201c\u2026\u201d \u2013 \u2014", "\u3001\u3002\u300c\u300d", "\u00a0\u00a0", "\u0661\u0662\u0663", "123 456", "?!"]
+    real = ["\u65e5\u672c", "\u00e9", "\U00020000"]
+    rows = [(i, x, None) for i, x in enumerate(odd + real)] + [(100 + i, "some words to learn from " * 30, "en") for i in range(20)]
+    got = {x.doc_id: (x.lang_pred, x.score) for x in language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] == ("und", 0.0) for i in range(len(odd)))
+    assert all(got[i][0] == "en" for i in range(len(odd), len(odd + real)))
