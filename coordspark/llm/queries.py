@@ -7,7 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coordspark.llm import best_fit, cross_parse, decontaminate, grace_dedup, kd_shards, line_crf, minhash_join, records_io, suffix_family, toxicity_kn
+from coordspark.llm import (
+    best_fit, cross_parse, decontaminate, grace_dedup, kd_shards, line_crf, midstate_tree, minhash_join, one_bit_search, records_io, spelling_bloom,
+    suffix_family, toxicity_kn,
+)
 from coordspark.llm.tokens import word_bpe
 from coordspark.session import table_path
 
@@ -56,9 +59,21 @@ def op10_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_bloom.spelling_groups(_table(spark, sf_dir, "documents"))
+
+
+def op12_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_bit_search.nearest(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op13_midstate_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return midstate_tree.merkle_manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_kd_shards, op3_toxicity_kneser_ney, op4_minhash_join, op5_grace_dedup, op6_bm25_decontamination,
-    op7_token_records, op8_cross_parse_language, op9_best_fit_packing, op10_line_crf_quality,
+    op7_token_records, op8_cross_parse_language, op9_best_fit_packing, op10_line_crf_quality, op11_spelling_bloom, op12_one_bit_search, op13_midstate_manifest,
 )}
 
 SQL = {
