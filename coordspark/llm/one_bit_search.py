@@ -8,9 +8,9 @@
 2. A query is rotated likewise and its components are rounded to ``bits`` bits; the sum of those that meet a one bit
    of a code is then a few AND and popcount operations on packed words.
 3. The index is dealt into slots of about ``block`` vectors, and each query goes to every slot. A task holds one
-   slot and streams the queries past it, in tiles. For each query the ``k`` best estimates are scored exactly; of
-   the other vectors only those whose estimate plus error bound (``bound`` deviations, and the exact
-   rounding error of the query) reaches the k-th exact score are scored too. A window then merges the slots.
+   slot and streams the queries past it, in tiles. For each query the ``FIRST * k`` best estimates are scored exactly;
+   of the other vectors only those whose estimate plus error bound (``bound`` deviations of it and of the
+   query's rounding) reaches the k-th score found so are scored too. A window then merges the slots.
 
 No index is fitted to the data, so it needs no training sample and works alike at every size. What a task holds is one
 slot, one Arrow batch of queries and one tile of estimates. The scan is exhaustive over codes: work grows with
@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from coordspark.llm.common import batch, written
 
 #: Pairs of a tile of estimates, and of vectors scored exactly at once.
-TILE, EXACT = 1 << 20, 1 << 15
+TILE, EXACT = 1 << 20, 1 << 11
+#: Estimates scored first, for each hit wanted; what products of unit vectors may be off by rounding.
+FIRST, ROUNDING = 8, 1e-9
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -95,39 +97,44 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ab / (np.sqrt(aa) * np.sqrt(bb))
 
 
-def _exact(q: np.ndarray, v: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """The cosines of pairs (row of q, row of v), a bounded number at a time."""
-    return np.concatenate([np.zeros(0), *[cosines(q[r[i : i + EXACT]], v[c[i : i + EXACT]]) for i in range(0, len(r), EXACT)]])
+def _dots(q: np.ndarray, v: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The products of pairs (row of q, row of v) of unit vectors; ``r`` ascends."""
+    out, ends = np.zeros(len(r)), np.searchsorted(r, np.arange(len(q) + 1))
+    for row in np.unique(r):
+        for i in range(ends[row], ends[row + 1], EXACT):
+            k = min(i + EXACT, ends[row + 1])
+            out[i:k] = v[c[i:k]] @ q[row]
+    return out
 
 
 class Slot:
     """The vectors of one slot and one dimension, with their codes."""
 
     def __init__(self, ids: np.ndarray, v: np.ndarray, code: np.ndarray, scale: np.ndarray, spread: np.ndarray) -> None:
-        self.ids, self.v, self.code, self.scale, self.spread = ids, v, code, scale, spread
+        self.ids, self.v, self.unit, self.code, self.scale, self.spread = ids, v, _unit(v), code, scale, spread
         self.ones = np.bitwise_count(code).sum(1, dtype=np.int64)
 
     def search(self, qids: np.ndarray, q: np.ndarray, k: int, bound: float, bits: int) -> Iterator[tuple[np.ndarray, ...]]:
         """(query row, vector row, exact score) of the k best of the slot, tile by tile."""
-        asked, size = Queries(q, bits), max(1, TILE // max(1, len(self.ids)))
+        asked, unit, size = Queries(q, bits), _unit(q), max(1, TILE // max(1, len(self.ids)))
         for i in range(0, len(q), size):
             j = min(i + size, len(q))
             est = asked.estimates(i, j, self.code, self.ones, self.scale)
             est[qids[i:j, None] == self.ids[None, :]] = -np.inf
-            most = min(k, est.shape[1])
-            first = np.argpartition(-est, most - 1, axis=1)[:, :most]
+            # Some of the best estimates, scored exactly: their k-th score is a limit that a hit has to reach.
+            most = min(FIRST * k, est.shape[1])
+            first = np.argpartition(est, est.shape[1] - most, axis=1)[:, -most:].reshape(-1)
             rows = np.repeat(np.arange(j - i), most)
-            own = est[rows, first.reshape(-1)] == -np.inf
-            score = np.where(own, -np.inf, _exact(q[i:j], self.v, rows, first.reshape(-1))).reshape(j - i, most)
-            kth = score.min(1, keepdims=True) if most == k else np.full((j - i, 1), -np.inf)
+            score = np.where(est[rows, first] == -np.inf, -np.inf, _dots(unit[i:j], self.unit, rows, first)).reshape(j - i, most)
+            kth = np.partition(score, most - k, axis=1)[:, most - k, None] if most >= k else np.full((j - i, 1), -np.inf)
             reach = est + bound * (self.spread + asked.off[i:j] / np.sqrt(asked.dim) * self.scale)
-            # the margin is that of a double's rounding
-            r, c = np.nonzero((reach >= kth - 1e-9) & (est > -np.inf))
-            s = _exact(q[i:j], self.v, r, c)
+            r, c = np.nonzero((reach >= kth - ROUNDING) & (est > -np.inf))
+            near = _dots(unit[i:j], self.unit, r, c) >= kth[r, 0] - ROUNDING
+            r, c = r[near], c[near]
+            s = cosines(q[i:j][r], self.v[c])
             o = np.lexsort((self.ids[c], -s, r))
             r, c, s = r[o], c[o], s[o]
-            rank = np.arange(len(r)) - np.searchsorted(r, r)
-            best = rank < k
+            best = np.arange(len(r)) - np.searchsorted(r, r) < k
             yield r[best] + i, c[best], s[best]
 
 
