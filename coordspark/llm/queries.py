@@ -11,6 +11,7 @@ from coordspark.llm import (
     best_fit, cross_parse, decontaminate, grace_dedup, kd_shards, line_crf, midstate_tree, minhash_join, one_bit_search, records_io, spelling_bloom,
     suffix_family, toxicity_kn,
 )
+from coordspark.llm.oracle import SQL as NEW_SQL
 from coordspark.llm.tokens import word_bpe
 from coordspark.session import table_path
 
@@ -81,4 +82,4 @@ SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
-}
+} | NEW_SQL

@@ -180,6 +180,7 @@ class Vocabulary:
     def filters(self) -> DataFrame:
         """(size, parts, part, bloom): the filters of all lengths, part by part."""
         parts = self.words.groupBy("size").agg(F.ceil(F.count(F.lit(1)) / self.part).alias("parts"))
+        parts = F.broadcast(parts)  # distinct lengths: L of them need 3 L^2 / 2 letters of text, so their number grows with its root
         dealt = self.words.join(parts, "size").select("size", "h", "parts", (F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)) % F.col("parts")).alias("part"))
         return dealt.select("size", "h", "part").groupBy("size", "part").applyInArrow(_build, "size int, part long, bloom binary").join(parts, "size")
 

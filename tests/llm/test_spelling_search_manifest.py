@@ -216,3 +216,18 @@ def test_manifest_edges(spark, edge, empty):
     one = edge.filter("doc_id = 12")
     assert manifest(one) == brute_manifest([tuple(r) for r in one.select("doc_id", "source", "lang", "n_chars", "text").collect()])
     assert manifest(one)[0][4] == hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("name", ["op11_spelling_bloom", "op12_one_bit_search", "op13_midstate_manifest"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from coordspark.llm.queries import QUERIES, SQL
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = QUERIES[name](spark, sf)
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({SQL[name]}) AS q").fetchall()
+    assert want and sorted(map(str, want)) == sorted(str(tuple(r)) for r in df.collect())
