@@ -184,42 +184,61 @@ def with_display(df, raw: str, field_type: str, target_model: str, out: str = "d
 
 
 def display_value(raw: Column, field_type: Column, target_model: Column,
-                  helpers: dict[str, Column] | None = None) -> Column:
-    """Human-readable text of a raw value by field type.
+                  helpers: dict[str, Column] | None = None, text_cut: int | None = TEXT_CUT) -> Column:
+    """Human-readable text of a raw value by field type; long texts are cut at
+    ``text_cut`` characters (None: not cut).
 
     Rounding is half away from zero (``round`` before ``format_number``);
     dates are read and shown in UTC wall time.
     """
     h = helpers or display_helpers(raw)
-    num, integer, ts = h["_num"], h["_int"], h["_ts"]
-    cut = F.when(F.length(raw) > TEXT_CUT,
-                 F.concat(F.substring(raw, 1, TEXT_CUT), F.lit("..."))).otherwise(raw)
+    shown = _shown_marks(raw).when(raw.isin("", "false", "FALSE"),
+                                   F.when((field_type == "boolean") & raw.isin("false", "FALSE"), F.lit("No")).otherwise(F.lit("-")))
+    for kinds, branch in _SHOWN.items():
+        shown = shown.when(field_type.isin(*kinds), branch(raw, target_model, h))
+    return shown.otherwise(_shown_text(raw, text_cut))
+
+
+def display_known(raw: Column, field_type: str, target_model: str | None, text_cut: int | None = TEXT_CUT) -> Column:
+    """``display_value`` of a field whose type and target are known when the plan is built."""
+    branch = next((b for kinds, b in _SHOWN.items() if field_type in kinds), None)
+    shown = _shown_marks(raw).when(raw == "", F.lit("-")).when(
+        raw.isin("false", "FALSE"), F.lit("No" if field_type == "boolean" else "-"))
+    value = branch(raw, F.lit(target_model or ""), display_helpers(raw)) if branch else _shown_text(raw, text_cut)
+    return shown.otherwise(value)
+
+
+def _shown_marks(raw: Column) -> Column:
+    return (F.when(raw == F.lit(RESTRICTED_MARKER), F.lit(RESTRICTED_DISPLAY))
+            .when(raw == F.lit(SOURCE_ERROR_MARKER), F.lit(SOURCE_ERROR_DISPLAY)))
+
+
+def _shown_text(raw: Column, text_cut: int | None) -> Column:
+    if text_cut is None:
+        return raw
+    return F.when(F.length(raw) > text_cut, F.concat(F.substring(raw, 1, text_cut), F.lit("..."))).otherwise(raw)
+
+
+def _shown_list(raw: Column) -> Column:
     inner = F.regexp_extract(raw, r"^\[(.+)\]$", 1)
     n_items = F.size(F.filter(F.split(inner, ",", -1), lambda x: js_trim(x) != F.lit("")))
-    t = field_type
-    return (
-        F.when(raw == F.lit(RESTRICTED_MARKER), F.lit(RESTRICTED_DISPLAY))
-        .when(raw == F.lit(SOURCE_ERROR_MARKER), F.lit(SOURCE_ERROR_DISPLAY))
-        .when(raw.isin("", "false", "FALSE"),
-              F.when((t == "boolean") & raw.isin("false", "FALSE"), F.lit("No")).otherwise(F.lit("-")))
-        .when(t == "monetary",
-              F.when(num.isNull(), raw).otherwise(F.concat(F.lit("$"), F.format_number(F.round(num, 0), 0))))
-        .when(t == "float",
-              F.when(num.isNull(), raw).otherwise(F.format_number(F.round(num, 2), 2)))
-        .when(t == "integer",
-              F.when(integer.isNull(), raw).otherwise(F.format_number(integer, 0)))
-        .when(t == "boolean", F.when(raw.isin("TRUE", "true"), F.lit("Yes")).otherwise(F.lit("No")))
-        .when(t == "date", F.coalesce(F.date_format(ts, "MMM d, yyyy"), raw))
-        .when(t == "datetime", F.coalesce(F.date_format(ts, "MMM d, yyyy, hh:mm a"), raw))
-        .when(t == "many2one",
-              F.concat(F.lit("#"), raw,
-                       F.when(F.coalesce(target_model, F.lit("")) != "",
-                              F.concat(F.lit(" ("), target_model, F.lit(")"))).otherwise(F.lit(""))))
-        .when(t.isin("many2many", "one2many"),
-              F.when(raw == "[]", F.lit("-"))
-              .when(raw.rlike(r"^\[(.+)\]$"), F.concat(F.lit("["), n_items.cast("string"), F.lit(" items]")))
-              .otherwise(raw))
-        .when(t == "selection", raw)
-        .when(t == "binary", F.when(raw == BINARY_PLACEHOLDER, F.lit(BINARY_DISPLAY)).otherwise(raw))
-        .otherwise(cut)
-    )
+    return (F.when(raw == "[]", F.lit("-"))
+            .when(raw.rlike(r"^\[(.+)\]$"), F.concat(F.lit("["), n_items.cast("string"), F.lit(" items]")))
+            .otherwise(raw))
+
+
+#: Field types and what shows a value of theirs, from (raw value, target model, parsed forms).
+_SHOWN = {
+    ("monetary",): lambda raw, target, h: F.when(h["_num"].isNull(), raw).otherwise(
+        F.concat(F.lit("$"), F.format_number(F.round(h["_num"], 0), 0))),
+    ("float",): lambda raw, target, h: F.when(h["_num"].isNull(), raw).otherwise(F.format_number(F.round(h["_num"], 2), 2)),
+    ("integer",): lambda raw, target, h: F.when(h["_int"].isNull(), raw).otherwise(F.format_number(h["_int"], 0)),
+    ("boolean",): lambda raw, target, h: F.when(raw.isin("TRUE", "true"), F.lit("Yes")).otherwise(F.lit("No")),
+    ("date",): lambda raw, target, h: F.coalesce(F.date_format(h["_ts"], "MMM d, yyyy"), raw),
+    ("datetime",): lambda raw, target, h: F.coalesce(F.date_format(h["_ts"], "MMM d, yyyy, hh:mm a"), raw),
+    ("many2one",): lambda raw, target, h: F.concat(F.lit("#"), raw, F.when(
+        F.coalesce(target, F.lit("")) != "", F.concat(F.lit(" ("), target, F.lit(")"))).otherwise(F.lit(""))),
+    ("many2many", "one2many"): lambda raw, target, h: _shown_list(raw),
+    ("selection",): lambda raw, target, h: raw,
+    ("binary",): lambda raw, target, h: F.when(raw == BINARY_PLACEHOLDER, F.lit(BINARY_DISPLAY)).otherwise(raw),
+}

@@ -3,20 +3,23 @@ decode them back (E6, E7, E9, A13) with the coordinate lookup (J1) and
 key-field restriction (J2).
 
 Encoding is a single projection (no shuffle). Row-level decoding is an
-explode plus a broadcast hash join on the schema-sized lookup (hash lookup;
-a Spark map value would be searched linearly). Per-record decoded text and
-decode statistics add one aggregation keyed by a per-row id: every group is
-one record's segments, so groups are small and never skewed.
+explode plus a broadcast hash join on the schema-sized lookup. Per-record
+decoded text and decode statistics stay in the record's row: its segments are
+matched by place with the fields of its model, and only those that aren't
+where the encoder puts them are looked up, by hash.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import (
-    NO_FIELDS_TEXT, RESTRICTED_MARKER, SEGMENT_PATTERN, SOURCE_ERROR_MARKER, SPLIT_PATTERN,
-    encode_value_sql, js_trim, unescape_pipe, with_display,
+    JS_SPACE_CHARS, NO_FIELDS_TEXT, RESTRICTED_MARKER, SEGMENT_PATTERN, SOURCE_ERROR_MARKER, SPLIT_PATTERN,
+    TEXT_CUT, display_known, display_value, encode_value_sql, js_trim, unescape_pipe, with_display,
 )
 from .common import checked_broadcast, collect_bounded
 from .ops import SOURCE_REASON
@@ -157,68 +160,165 @@ def decode_records(encoded: DataFrame, lookup: DataFrame, key_fields: DataFrame
     )
 
 
-def _segments_with_meta(encoded: DataFrame, lookup: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Every record with its segments (outer explode: records without segments
-    stay), each valid segment left-joined to the lookup (broadcast hash join).
+#: What a decoded segment shows of its catalog field.
+_ENTRY = ("field_name", "field_label", "field_type", "target_model")
+_ENTRY_TYPE = "struct<" + ",".join(f"{c}:string" for c in _ENTRY) + ">"
+
 
-    Rows keep a per-record key ``_row`` so records can be reassembled.
+class DecodeTables:
+    """What decoding within the row needs of the catalog (schema-sized, bounded, collected once).
+
+    * ``fields``: per model, in encoding order, ``(head, entry)``: head is the
+      text that the segment at that place starts with, entry None if the lookup
+      doesn't know the coordinate. The order is that of ``emap``
+      (``catalog.encoding_map`` or an ``encoding_plan``); without it, the
+      lookup's own fields in catalog order.
+    * ``entries``: the lookup, coordinate -> field name, label, type, target.
     """
-    meta = lookup.select("coordinate", "field_name", "field_label", "field_type",
-                         F.col("model_name").alias("field_model"), "is_foreign_key", "target_model")
-    rows = encoded.withColumn("_row", F.monotonically_increasing_id())
-    seg = F.col("seg")
-    ex = rows.select("_row", "record_id", "model_name", *carry,
-                     F.posexplode_outer(F.split(F.col("encoded_string"), SPLIT_PATTERN, -1)).alias("pos", "seg"))
-    ex = ex.withColumn("seg", js_trim(seg)).withColumn("valid", F.coalesce(seg.rlike(SEGMENT_PATTERN), F.lit(False)))
-    ex = ex.select("_row", "record_id", "model_name", *carry, "pos", "valid",
-                   F.when(F.col("valid"), _coordinate(seg)).alias("coordinate"),
-                   F.when(F.col("valid"), _value(seg)).alias("raw_value"))
-    return ex.join(checked_broadcast(meta, MAX_LOOKUP_ENTRIES), "coordinate", "left")
 
+    def __init__(self, lookup: DataFrame, emap: DataFrame | dict | None = None) -> None:
+        self.spark = lookup.sparkSession
+        rows = collect_bounded(lookup.select("coordinate", "model_name", "line_no", *_ENTRY), MAX_LOOKUP_ENTRIES, "coordinate lookup")
+        self.entries = {r["coordinate"]: tuple(r[c] for c in _ENTRY) for r in rows}
+        plan: dict[str, list] = {}
+        if emap is None:
+            for r in sorted(rows, key=lambda r: (r["line_no"], r["coordinate"])):
+                plan.setdefault(r["model_name"], []).append(r["coordinate"])
+        else:
+            own = emap if isinstance(emap, dict) else encoding_plan(emap)
+            plan = {model: [r["prefix"] for r in fields] for model, fields in own.items()}
+        self.fields = {model: [self._field(p) for p in prefixes] for model, prefixes in plan.items()}
+
+    def _field(self, prefix: str | None) -> tuple | None:
+        m = re.fullmatch(r"([0-9]+)\^([0-9]+)", prefix or "")
+        return (prefix + "*", self.entries.get(f"{int(m[1])}^{int(m[2])}")) if m else None
+
+    def layout(self) -> DataFrame:
+        return self.spark.createDataFrame(list(self.fields.items()), f"model_name string, _fields array<struct<head:string,entry:{_ENTRY_TYPE}>>")
+
+    def hash_table(self) -> tuple[Column, int]:
+        """The lookup as an array of hash buckets, and their number: a segment that is not where its model's
+        fields have it is found by hash, not by a search through the catalog."""
+        size = max(1, len(self.entries))
+        table: list[list] = [[] for _ in range(size)]
+        for coordinate, entry in self.entries.items():
+            table[zlib.crc32(coordinate.encode()) % size].append((coordinate, entry))
+        one = self.spark.createDataFrame([(table,)], f"t array<array<struct<coordinate:string,entry:{_ENTRY_TYPE}>>>")
+        return one.scalar(), size
 
-def decode_text(encoded: DataFrame, lookup: DataFrame,
-                key_fields: dict[str, list[str]] | None = None, keep_all: bool = False) -> DataFrame:
+
+def _parts() -> Column:
+    return F.coalesce(F.split(F.col("encoded_string"), SPLIT_PATTERN, -1), F.array().cast("array<string>"))
+
+
+def _own_value(seg: Column, head: Column | str) -> Column:
+    """Value of a segment that starts with ``head``: its trailing white space goes (Q7), its lead stays."""
+    start = F.length(head) + 1 if isinstance(head, Column) else F.lit(len(head) + 1)
+    return unescape_pipe(F.rtrim(F.substring(seg, start, F.lit(1 << 30)), F.lit(JS_SPACE_CHARS)))
+
+
+def resolve_segments(encoded: DataFrame, tables: DecodeTables, parts: Column | None = None, values: bool = True,
+                     placed: bool = True) -> DataFrame:
+    """J1 within the row: adds ``segments``, an array over the well-formed segments in order, each
+    ``(raw_value, entry)``; entry is NULL for an unknown coordinate.
+
+    A record is split in place. Where segment i starts with the head of field i
+    of its model (every segment that the encoder wrote), the entry is that
+    field's; only a foreign or shifted segment is matched by pattern and found
+    in the lookup by hash, and a malformed one is left out. Nothing is
+    exploded, so no record is shuffled or regrouped. Without ``values`` the raw
+    values are left NULL; with ``placed`` false every segment is found by hash.
+    """
+    table, size = tables.hash_table()
+    df = encoded.withColumn("_table", table)
+    if placed:  # at most MAX_LOOKUP_ENTRIES catalog rows: bounded when they were collected
+        df = df.join(F.broadcast(tables.layout()), "model_name", "left")
+
+    def pair(value: Column, entry: Column) -> Column:
+        return F.struct((value if values else F.lit(None).cast("string")).alias("raw_value"), entry.alias("entry"))
+
+    def by_hash(seg: Column) -> Column:
+        seg = js_trim(seg)
+        coordinate = _coordinate(seg)
+        bucket = F.get(F.col("_table"), (F.crc32(coordinate.cast("binary")) % size).cast("int"))
+        found = F.get(F.filter(bucket, lambda e: e["coordinate"] == coordinate), F.lit(0))
+        return F.when(seg.rlike(SEGMENT_PATTERN), pair(_value(seg), found["entry"]))
+
+    def by_place(seg: Column, i: Column) -> Column:
+        field = F.get(F.col("_fields"), i)
+        here = F.coalesce(F.startswith(seg, field["head"]), F.lit(False))
+        return F.when(here, pair(_own_value(seg, field["head"]), field["entry"])).otherwise(by_hash(seg))
+
+    found = F.transform(_parts() if parts is None else parts, by_place if placed else by_hash)
+    segments = F.filter(found, lambda x: x.isNotNull())
+    return df.select(*encoded.columns, segments.alias("segments"))
+
+
+def decode_text(encoded: DataFrame, lookup: DataFrame | DecodeTables, key_fields: dict[str, list[str]] | None = None,
+                keep_all: bool = False, emap: DataFrame | dict | None = None, text_cut: int | None = TEXT_CUT,
+                model: str | None = None) -> DataFrame:
     """Per record the lines ``- **label:** value`` in segment order, joined by newlines.
 
-    Explode, broadcast-join the schema-sized lookup, then one aggregation
-    per record (each group is one record's fields: bounded, never skewed).
-    Records with nothing decodable get the fixed fallback text. With
-    ``keep_all`` the other input columns are carried through the aggregate.
+    A projection: no shuffle. Records with nothing decodable get the fixed
+    fallback text. With ``keep_all`` the other input columns are kept. ``emap``
+    as in ``DecodeTables`` (which can stand for lookup and emap); long texts are cut at ``text_cut`` characters
+    (None: not cut). Where all records are of one ``model``, its fields are
+    written out in the plan (compiled, each with the display of its own type)
+    and only records that aren't as the encoder writes them go segment by segment.
     """
     carry = tuple(c for c in encoded.columns if c not in ("record_id", "model_name")) if keep_all else ()
-    ex = _segments_with_meta(encoded, lookup, carry)
-    known = F.col("field_name").isNotNull()
-    if key_fields:
-        models = list(key_fields)
-        allowed = ~F.col("model_name").isin(*models)
-        for m, fs in key_fields.items():
-            allowed = allowed | ((F.col("model_name") == m) & F.col("field_name").isin(*fs))
-        known = known & allowed
-    ex = with_display(ex, "raw_value", "field_type", "target_model")
-    line = F.when(known, F.concat(F.lit("- **"), F.col("field_label"), F.lit(":** "), F.col("display_value")))
-    agg = ex.groupBy("_row").agg(
-        F.first("record_id").alias("record_id"), F.first("model_name").alias("model_name"),
-        *[F.first(c).alias(c) for c in carry],
-        F.collect_list(F.when(line.isNotNull(), F.struct(F.col("pos"), line.alias("line")))).alias("lines"))
-    lines = F.transform(F.array_sort("lines"), lambda x: x["line"])
-    text = F.when(F.size(lines) == 0, F.lit(NO_FIELDS_TEXT)).otherwise(F.array_join(lines, "\n"))
-    return agg.select("record_id", "model_name", *carry, text.alias("decoded_text"))
-
-
-def decode_stats(encoded: DataFrame, lookup: DataFrame) -> DataFrame:
+    tables = lookup if isinstance(lookup, DecodeTables) else DecodeTables(lookup, emap)
+
+    def shown(x: Column) -> Column:
+        known = x["entry"].isNotNull()
+        if key_fields:
+            allowed = ~F.col("model_name").isin(*key_fields)
+            for m, fs in key_fields.items():
+                allowed = allowed | ((F.col("model_name") == m) & x["entry"]["field_name"].isin(*fs))
+            known = known & F.coalesce(allowed, F.lit(False))
+        return known
+
+    def line(x: Column) -> Column:
+        e = x["entry"]
+        value = display_value(x["raw_value"], e["field_type"], e["target_model"], text_cut=text_cut)
+        return F.concat(F.lit("- **"), e["field_label"], F.lit(":** "), value)
+
+    fields = tables.fields.get(model) if model else None
+    if not fields or any(f is None for f in fields):
+        df = resolve_segments(encoded, tables)
+        text = F.array_join(F.transform(F.filter("segments", shown), line), "\n")
+    else:
+        df = encoded.withColumn("_parts", _parts())
+        regular = F.size("_parts") == len(fields)
+        lines = []
+        for i, (head, entry) in enumerate(fields):
+            seg = F.get("_parts", F.lit(i))
+            regular = regular & F.startswith(seg, F.lit(head))
+            if entry and (not key_fields or model not in key_fields or entry[0] in key_fields[model]):
+                df = df.withColumn(f"_v{i}", _own_value(seg, head))
+                lines.append(F.concat(F.lit(f"- **{entry[1]}:** "), display_known(F.col(f"_v{i}"), entry[2], entry[3], text_cut)))
+        regular = F.coalesce(regular & (F.col("model_name") == model), F.lit(False))
+        df = df.withColumn("_regular", regular)
+        # the others' parts only: a record that is as the encoder writes it has no segment to resolve
+        df = resolve_segments(df, tables, F.when(~F.col("_regular"), F.col("_parts")), placed=False)
+        other = F.array_join(F.transform(F.filter("segments", shown), line), "\n")
+        text = F.when(F.col("_regular"), F.concat_ws("\n", *lines)).otherwise(other)
+    # explode of one value: what filters on the text then reads it, instead of decoding again
+    df = df.select("record_id", "model_name", *carry, F.explode(F.array(text)).alias("_text"))
+    return df.select("record_id", "model_name", *carry,
+                     F.when(F.col("_text") == "", F.lit(NO_FIELDS_TEXT)).otherwise(F.col("_text")).alias("decoded_text"))
+
+
+def decode_stats(encoded: DataFrame, lookup: DataFrame, emap: DataFrame | dict | None = None) -> DataFrame:
     """Per record the number of segments, decoded and unknown ones, and a
-    ``type:count`` list (sorted by type) of the decoded field types."""
-    ex = _segments_with_meta(encoded.select("record_id", "model_name", "encoded_string"), lookup)
-    g = ex.groupBy("_row").agg(
-        F.first("record_id").alias("record_id"), F.first("model_name").alias("model_name"),
-        F.count_if("valid").alias("total_segments"),
-        F.count_if(F.col("field_name").isNotNull()).alias("decoded_fields"),
-        F.collect_list("field_type").alias("types"))
+    ``type:count`` list (sorted by type) of the decoded field types. No shuffle."""
+    df = resolve_segments(encoded.select("record_id", "model_name", "encoded_string"), DecodeTables(lookup, emap), values=False)
+    types = F.transform("segments", lambda x: x["entry"]["field_type"])
+    df = df.select("record_id", "model_name", types.alias("types"))
+    df = df.select("record_id", "model_name", F.size("types").alias("total_segments"), F.array_sort(F.array_compact("types")).alias("types"))
     types = F.col("types")
-    distinct = F.array_sort(F.array_distinct(types))
-    per_type = F.transform(distinct, lambda t: F.concat(
+    per_type = F.transform(F.array_distinct(types), lambda t: F.concat(
         t, F.lit(":"), F.size(F.filter(types, lambda u: u == t)).cast("string")))
-    return g.select("record_id", "model_name", F.col("total_segments").cast("int").alias("total_segments"),
-                    F.col("decoded_fields").cast("int").alias("decoded_fields"),
-                    (F.col("total_segments") - F.col("decoded_fields")).cast("int").alias("unknown_coordinates"),
-                    F.array_join(per_type, ",").alias("field_types"))
+    return df.select("record_id", "model_name", "total_segments", F.size(types).alias("decoded_fields"),
+                     (F.col("total_segments") - F.size(types)).alias("unknown_coordinates"),
+                     F.array_join(per_type, ",").alias("field_types"))

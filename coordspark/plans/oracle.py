@@ -161,7 +161,8 @@ parsed AS (
     trim=js_trim("replace(seg0, chr(1), '\\|')"), re=SEGMENT_RE)
 
 
-def display(raw: str = "raw_value", t: str = "field_type", target: str = "target_model") -> str:
+def display(raw: str = "raw_value", t: str = "field_type", target: str = "target_model", text_cut: int | None = 100) -> str:
+    cut = raw if text_cut is None else f"CASE WHEN length({raw}) > {text_cut} THEN substr({raw}, 1, {text_cut}) || '...' ELSE {raw} END"
     num = f"TRY_CAST(regexp_extract({raw}, '{FLOAT_PREFIX}', 1) AS DOUBLE)"
     integer = f"TRY_CAST(regexp_extract({raw}, '{INT_PREFIX}', 1) AS BIGINT)"
     ts = f"TRY_CAST({raw} AS TIMESTAMP)"
@@ -182,7 +183,7 @@ def display(raw: str = "raw_value", t: str = "field_type", target: str = "target
        WHEN regexp_matches({raw}, '^\\[(.+)\\]$') THEN '[' || CAST({n_items} AS VARCHAR) || ' items]' ELSE {raw} END
   WHEN {t} = 'selection' THEN {raw}
   WHEN {t} = 'binary' THEN CASE WHEN {raw} = '[binary]' THEN '[binary data]' ELSE {raw} END
-  ELSE CASE WHEN length({raw}) > 100 THEN substr({raw}, 1, 100) || '...' ELSE {raw} END
+  ELSE {cut}
 END)"""
 
 
@@ -196,22 +197,22 @@ def key_fields_cte() -> str:
     return f"key_fields AS (SELECT * FROM (VALUES {values}) AS t(model_name, field_name))"
 
 
-def decoded_select(key_filter: bool) -> str:
+def decoded_select(key_filter: bool, text_cut: int | None = 100) -> str:
     kf = ("JOIN key_fields kf ON kf.model_name = p.model_name AND kf.field_name = l.field_name"
           if key_filter else "")
     return f"""SELECT p.record_id, p.model_name, CAST(p.pos AS INTEGER) AS pos, l.field_name, l.field_label, l.field_type,
   l.model_name AS field_model, p.raw_value,
-  {display('p.raw_value', 'l.field_type', 'l.target_model')} AS display_value,
+  {display('p.raw_value', 'l.field_type', 'l.target_model', text_cut)} AS display_value,
   l.is_foreign_key, l.target_model
 FROM parsed p JOIN lookup l ON p.coordinate = l.coordinate {kf}"""
 
 
-def decoded_text_select(key_filter: bool) -> str:
+def decoded_text_select(key_filter: bool, text_cut: int | None = 100) -> str:
     return f"""SELECT e.record_id, e.model_name, coalesce(d.txt, '{NO_FIELDS_TEXT}') AS decoded_text
 FROM enc e LEFT JOIN (
   SELECT record_id, model_name,
          string_agg('- **' || field_label || ':** ' || display_value, chr(10) ORDER BY pos) AS txt
-  FROM ({decoded_select(key_filter)}) dd GROUP BY record_id, model_name) d
+  FROM ({decoded_select(key_filter, text_cut)}) dd GROUP BY record_id, model_name) d
 ON e.record_id IS NOT DISTINCT FROM d.record_id AND e.model_name = d.model_name"""
 
 

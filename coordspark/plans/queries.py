@@ -117,7 +117,8 @@ def q_decode_customer_fk_branch(spark, sf):
           o.with_ctes(o.catalog_cte(), o.LOOKUP_CTE, _ENC_CUST, o.SEGMENTS_CTE) + o.decoded_text_select(False))
 def q_decode_text_customer(spark, sf):
     c = _catalog(spark, sf)
-    return codec.decode_text(_encode(spark, sf, "customer", c), cat.coord_lookup(c))
+    plan = codec.encoding_plan(cat.encoding_map(c))
+    return codec.decode_text(_encode(spark, sf, "customer", plan=plan), cat.coord_lookup(c), emap=plan, model="customer")
 
 
 @register("decode_text_orders",
@@ -125,7 +126,8 @@ def q_decode_text_customer(spark, sf):
           + o.decoded_text_select(False))
 def q_decode_text_orders(spark, sf):
     c = _catalog(spark, sf)
-    return codec.decode_text(_encode(spark, sf, "orders", c), cat.coord_lookup(c))
+    plan = codec.encoding_plan(cat.encoding_map(c))
+    return codec.decode_text(_encode(spark, sf, "orders", plan=plan), cat.coord_lookup(c), emap=plan, model="orders")
 
 
 _ALL_ENC = "enc AS (" + "\nUNION ALL\n".join(o.encode_select(m) for m in fx.models_with_id()) + ")"
@@ -158,7 +160,7 @@ def q_decode_stats(spark, sf):
     enc = encs[0]
     for e in encs[1:]:
         enc = enc.unionByName(e)
-    return codec.decode_stats(enc, cat.coord_lookup(_catalog(spark, sf, ("region",))))
+    return codec.decode_stats(enc, cat.coord_lookup(_catalog(spark, sf, ("region",))), plan)
 
 
 @register("roundtrip_documents",
@@ -768,16 +770,19 @@ def q_sync_run_metrics(spark, sf):
 
 def _pairs(spark, sf):
     """Pairs of customers and orders: both models are encoded with their
-    timestamp carried along, unioned, and decoded in one pass (one lookup
-    broadcast, one per-record aggregate)."""
+    timestamp carried along and decoded, each in one projection; texts are not cut."""
     c = _catalog(spark, sf)
     plan = codec.encoding_plan(cat.encoding_map(c))
     cust = (fx.record_view(spark, sf, "customer")
             .withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)")))
     orders = fx.record_view(spark, sf, "orders").withColumn("ts", F.col("o_orderdate"))
-    enc = (codec.encode_records(cust, plan, "customer", keep=("ts",))
-           .unionByName(codec.encode_records(orders, plan, "orders", keep=("ts",))))
-    return ops.pairs(codec.decode_text(enc, cat.coord_lookup(c), keep_all=True), F.col("ts"))
+    tables = codec.DecodeTables(cat.coord_lookup(c), plan)
+
+    def decoded(records, model):
+        enc = codec.encode_records(records, plan, model, keep=("ts",))
+        return codec.decode_text(enc, tables, keep_all=True, text_cut=None, model=model)
+
+    return ops.pairs(decoded(cust, "customer").unionByName(decoded(orders, "orders")), F.col("ts"))
 
 
 def _pairs_order():
@@ -797,7 +802,7 @@ def _pairs_sql() -> str:
     for m in ("customer", "orders"):
         seg = o.SEGMENTS_CTE.replace("FROM enc)", f"FROM enc_{m})").replace("segs AS", f"segs_{m} AS") \
             .replace("FROM segs ", f"FROM segs_{m} ").replace("parsed AS", f"parsed_{m} AS")
-        dts = o.decoded_text_select(False).replace("FROM enc e", f"FROM enc_{m} e").replace("FROM parsed p", f"FROM parsed_{m} p")
+        dts = o.decoded_text_select(False, text_cut=None).replace("FROM enc e", f"FROM enc_{m} e").replace("FROM parsed p", f"FROM parsed_{m} p")
         body += [seg, f"dec_{m} AS ({dts})"]
     return o.with_ctes(*ctes, *body, "pairs AS (" + "\nUNION ALL\n".join(sel) + ")") + ""
 

@@ -154,3 +154,28 @@ def test_roundtrip_property(spark, catalog, texts):
            .filter("field_name = 'name'").collect()}
     want = {r["id"]: r["t"] for r in recs.select("id", js_rtrim(F.col("name")).alias("t")).collect()}
     assert got == want
+
+
+def test_decode_in_the_row_equals_decode_by_segment(spark, catalog, records):
+    """Records as encoded, shifted, foreign, malformed, empty and NULL: text and counts equal those
+    built from the exploded segments."""
+    emap, lookup = cat.encoding_map(catalog), cat.coord_lookup(catalog)
+    enc = codec.encode_records(records, emap, "m.a").select("record_id", "model_name", "encoded_string")
+    odd = ["", None, "10^1003*5|10^1002*swapped", "garbage|10^1002*x  |99^9*y", " 10^1001*7 |010^01002*zero",
+           "10^1001*1|10^1002*a\\|b|10^1003*-|" * 2, "20^2001*7|10^1010*[binary]", "10^1002*" + "long " * 60]
+    enc = enc.union(spark.createDataFrame([(100 + i, "m.a", e) for i, e in enumerate(odd)] + [(200, "unknown.model", "10^1002*q")],
+                                          "record_id long, model_name string, encoded_string string"))
+    rows = {}
+    for r in codec.decode_records(enc, lookup).orderBy("record_id", "pos").collect():
+        rows.setdefault(r["record_id"], []).append(r)
+    want = {r["record_id"]: "\n".join(f"- **{x['field_label']}:** {x['display_value']}" for x in rows.get(r["record_id"], []))
+            or "_No decodable fields found_" for r in enc.collect()}
+    for kw in ({"emap": emap}, {"emap": emap, "model": "m.a"}, {}):
+        got = {r["record_id"]: r["decoded_text"] for r in codec.decode_text(enc, lookup, **kw).collect()}
+        assert got == want, kw
+    valid = {r["record_id"]: r["n"] for r in codec.parse_encoded(enc).groupBy("record_id").agg(F.count("*").alias("n")).collect()}
+    for kw in ({"emap": emap}, {}):
+        stats = {r["record_id"]: (r["total_segments"], r["decoded_fields"]) for r in codec.decode_stats(enc, lookup, **kw).collect()}
+        assert stats == {r: (valid.get(r, 0), len(rows.get(r, []))) for r in want}
+    whole = codec.decode_text(enc, lookup, emap=emap, model="m.a", text_cut=None).filter("record_id = 107").first()["decoded_text"]
+    assert whole == "- **Name:** " + ("long " * 60).strip()

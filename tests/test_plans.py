@@ -48,6 +48,16 @@ def test_encode_has_no_shuffle(spark):
     assert len(exchanges) <= 1
 
 
+def test_decode_has_no_shuffle(spark):
+    """Text and statistics of a record are made in its row: no exchange but the spread of
+    small scans and, for orders, the count of lines that the record view joins."""
+    import re
+
+    for name in ["decode_text_customer", "decode_stats", "decode_text_orders"]:
+        keys = re.findall(r"Exchange hashpartitioning\((\w+)#", _plan(QUERIES[name](spark, SF)))
+        assert set(keys) <= {"id", "l_orderkey", "o_orderkey"} and (name != "decode_text_customer" or not keys), (name, keys)
+
+
 def test_spread_is_noop_with_enough_partitions(spark):
     from coordspark.operators.common import spread
 
