@@ -14,7 +14,9 @@ from ..functions.codec import js_rtrim, js_trim
 from ..operators import catalog as cat
 from ..operators import codec
 from ..operators import points as pts
+from ..operators import vector_index as vix
 from ..operators import vectors as vec
+from ..session import scratch_path, table_path
 from ..sources.catalog_text import parse_catalog
 from . import fixture as fx
 from . import oracle as o
@@ -430,12 +432,39 @@ def q_search_quality(spark, sf):
     return vec.search_quality(doc_points(spark, sf))
 
 
-@register("knn_int8")
+_BOUND, _LISTS, _PROBES = 0.25, 16, 12
+
+
+def _code_sql(v: str) -> str:
+    return (f"list_transform({v}, lambda x: CAST(round(greatest(-{_BOUND}, least({_BOUND}, x)) / {_BOUND} * 127) AS INTEGER))")
+
+
+@register("knn_int8", o.with_ctes(DOC_POINTS_SQL, "q AS (SELECT v AS qv FROM p ORDER BY id LIMIT 1)") + f"""
+, c AS (SELECT id, model_name, v, qv, list_sum(list_transform(list_zip({_code_sql('v')}, {_code_sql('qv')}), lambda z: z[1] * z[2])) AS approx
+  FROM p, q ORDER BY approx DESC, id LIMIT 20)
+SELECT id, model_name, score FROM (
+  SELECT id, model_name, round({_score_sql('v', 'qv')}, 6) AS score, {_score_sql('v', 'qv')} AS s FROM c ORDER BY s DESC, id LIMIT 10) t
+WHERE s >= 0.0""")
 def q_knn_int8(spark, sf):
-    """V6 (approximate: rows-only check): int8 codes with 0.99-quantile clip, 2x oversampling, exact rescore."""
+    """V6 over stored codes with a given clip bound: integer products choose 20 rows, an exact rescore 10."""
     p = doc_points(spark, sf)
-    bound = vec.quantile_bound(p)
-    hits = vec.knn_int8(vec.with_int8(p, bound), _first_vector(p), bound, k=10, min_score=0.35)
+    path = vix.write_codes(p, scratch_path(spark, "int8"), bound=_BOUND)
+    hits = vix.knn_codes(spark, path, _first_vector(p), k=10, min_score=0.0)
+    return hits.select("id", "model_name", F.round("score", 6).alias("score"))
+
+
+@register("knn_inverted_file", o.with_ctes(DOC_POINTS_SQL, "q AS (SELECT v AS qv FROM p ORDER BY id LIMIT 1)") + f"""
+, lead AS (SELECT id AS lid, v AS lv FROM p ORDER BY md5(CAST(id AS VARCHAR)) LIMIT {_LISTS}),
+placed AS (SELECT id, arg_max(lid, {_score_sql('v', 'lv')}) AS lid FROM p, lead GROUP BY id),
+probed AS (SELECT lid FROM lead, q ORDER BY {_score_sql('lv', 'qv')} DESC LIMIT {_PROBES})
+SELECT id, model_name, score FROM (
+  SELECT p.id, model_name, round({_score_sql('v', 'qv')}, 6) AS score, {_score_sql('v', 'qv')} AS s
+  FROM p JOIN placed USING (id) JOIN probed USING (lid), q ORDER BY s DESC, p.id LIMIT 10) t WHERE s >= 0.0""")
+def q_knn_inverted_file(spark, sf):
+    """V5 over a stored inverted file: 16 lists, the 12 nearest are read."""
+    p = doc_points(spark, sf)
+    path = vix.write_inverted_file(p, scratch_path(spark, "inverted-file"), lists=_LISTS)
+    hits = vix.knn_inverted_file(spark, path, _first_vector(p), k=10, probes=_PROBES, min_score=0.0)
     return hits.select("id", "model_name", F.round("score", 6).alias("score"))
 
 
@@ -942,7 +971,6 @@ def q_encode_events_restricted(spark, sf):
 # --- streaming (I2, I5, I6, I7, I9) ------------------------------------------------------------------------
 
 from ..streaming import incremental as inc  # noqa: E402
-from ..session import table_path  # noqa: E402
 
 
 @register("stream_usage_counts", o.with_ctes(dv.USAGE_LOG_SQL, _USAGE_SQL) + "SELECT * FROM usage")
@@ -1077,8 +1105,6 @@ def q_unified_search(spark, sf):
           "64 AS dims FROM catalog")
 def q_full_catalog_load(spark, sf):
     """I3 + K2: catalog -> semantic text -> embed -> write a new point-table version, read back."""
-    from ..session import scratch_path
-
     c = _catalog(spark, sf)
     sp = vec.hashing_embed(pts.schema_points(c).drop("vector"), "semantic_text", dim=64)
     path = pts.write_points(pts.point_table(sp), scratch_path(spark, "points"))
