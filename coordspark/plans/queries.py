@@ -1164,3 +1164,105 @@ def q_dlq_remove_retried(spark, sf):
           .filter((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT"))
           .select(F.lit("orders").alias("model_name"), F.col("o_orderkey").alias("record_id")))
     return ops.remove_failures(dlq, ok)
+
+
+# --- one search over catalog and records (V4, W4, J2, E15) --------------------------------------------------
+
+from ..operators import search as srch  # noqa: E402
+
+_SEARCH_TEXT, _SEARCH_MODELS, _WORD_DIMS = "customer account balance mktsegment BUILDING field", ("customer", "supplier", "part", "nation"), 64
+
+
+def _search_points(spark, sf, c, plan):
+    """Schema points and the records of four models, embedded word by word and stored."""
+    both = pts.point_table(pts.schema_points(c), *[pts.data_points(_encode(spark, sf, m, plan=plan)) for m in _SEARCH_MODELS])
+    both = both.withColumn("vector", srch.word_embed(F.coalesce("encoded_string", "semantic_text"), _WORD_DIMS))
+    return spark.read.parquet(pts.write_points(both, scratch_path(spark, "search-points")))
+
+
+def _search(spark, sf, point_type):
+    from ..operators.common import collect_bounded
+
+    c = _catalog(spark, sf)
+    plan = codec.encoding_plan(cat.encoding_map(c))
+    imp = ops.field_importance(ops.usage_counts(dv.usage_log(spark, sf)), fx.key_fields(spark))
+    rows = collect_bounded(ops.adaptive_key_fields(imp, fx.key_fields(spark), ["events", "customer"]), 1_000_000, "key fields")
+    keys: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        keys.setdefault(r["model_name"], []).append(r["field_name"])
+    vector = spark.range(1).select(srch.word_embed(F.lit(_SEARCH_TEXT), _WORD_DIMS).alias("v")).first()["v"]
+    return srch.hits(_search_points(spark, sf, c, plan), [float(x) for x in vector], codec.DecodeTables(cat.coord_lookup(c), plan), keys,
+                     k=15, min_score=0.2, pred=pts.payload_filter(point_type=point_type))
+
+
+def _search_sql(point_type: str) -> str:
+    words = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9_]+'), lambda w: w <> '')"
+    vector = ("list_transform(range(%d), lambda i: CAST(len(list_filter(list_transform(%s, lambda w: CAST(('0x' || substr(md5(w), 1, 4)) AS INTEGER) %% %d), "
+              "lambda b: b = i)) AS DOUBLE))") % (_WORD_DIMS, words, _WORD_DIMS)
+    enc = "enc AS (" + "\nUNION ALL\n".join(o.encode_select(m) for m in _SEARCH_MODELS) + ")"
+    keys = """adaptive AS (SELECT model_name, field_name FROM (
+  SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY grp, o1, o2, field_name) AS rank FROM (
+    SELECT model_name, field_name, 0 AS grp, CAST(key_rank AS DOUBLE) AS o1, CAST(0 AS BIGINT) AS o2 FROM kfr
+    UNION ALL SELECT model_name, field_name, 1, -total_score, first_seq FROM imp WHERE is_promoted) b
+  WHERE model_name IN ('events', 'customer')) t WHERE rank <= 12)"""
+    kind = {"all": "TRUE", "data": "is_data", "schema": "NOT is_data"}[point_type]
+    decoded = o.decoded_select(False) + """
+WHERE (p.model_name, p.record_id) IN (SELECT (model_name, record_id) FROM best WHERE is_data)
+  AND (p.model_name NOT IN (SELECT model_name FROM adaptive) OR (p.model_name, l.field_name) IN (SELECT (model_name, field_name) FROM adaptive))"""
+    return o.with_ctes(o.catalog_cte(), o.LOOKUP_CTE, enc, o.SEGMENTS_CTE, dv.USAGE_LOG_SQL, _USAGE_SQL, o.key_fields_cte(), _IMPORTANCE_SQL,
+                       _kf_rank_cte(), keys, f"""pt AS (
+  SELECT CAST(model_id AS BIGINT) * 10000000 + record_id AS id, TRUE AS is_data, model_name, record_id, encoded_string AS txt, NULL AS field_name FROM enc
+  UNION ALL SELECT CAST(field_id AS BIGINT), FALSE, model_name, NULL, {_semantic_sql()}, field_name FROM catalog)""",
+                       f"emb AS (SELECT *, {vector.format('txt')} AS v FROM pt WHERE {kind})",
+                       f"q AS (SELECT {vector.format(o.lit(_SEARCH_TEXT))} AS qv)",
+                       f"""best AS (SELECT * FROM (SELECT emb.*, {_score_sql('v', 'qv')} AS s FROM emb, q ORDER BY s DESC, id LIMIT 15) t WHERE s >= 0.2)""",
+                       f"shown AS ({decoded})",
+                       """lines AS (SELECT model_name, record_id, string_agg('- **' || field_label || ':** ' || display_value, chr(10) ORDER BY pos) AS txt
+  FROM shown GROUP BY 1, 2)""")
+
+
+def _search_report_sql(point_type: str) -> str:
+    return _search_sql(point_type) + """
+SELECT CAST(row_number() OVER (ORDER BY b.s DESC, b.id) AS INTEGER) AS rank, b.id, CASE WHEN b.is_data THEN 'DATA' ELSE 'SCHEMA' END AS kind,
+  CASE WHEN b.is_data THEN b.model_name || ' #' || b.record_id ELSE b.model_name || '.' || b.field_name END AS title,
+  format('{:,.1f}', round(b.s * 100, 1)) || '%' AS score_text,
+  CASE WHEN NOT b.is_data AND c.field_type = 'many2one' THEN 'Relates to: ' || regexp_replace(c.primary_data_location, '\.id$', '')
+       WHEN NOT b.is_data AND c.field_type IN ('one2many', 'many2many') THEN 'Related location: ' || c.primary_data_location END AS relation,
+  CASE WHEN b.is_data THEN coalesce(lines.txt, '*No decodable key fields found*')
+       ELSE concat_ws(chr(10), 'Label: ' || c.field_label, 'Type: ' || c.field_type, 'Primary Data Location: ' || c.primary_data_location,
+                      'Stored: ' || CASE WHEN c.stored THEN 'Yes' ELSE 'No (Computed)' END,
+                      'IDs: Model ' || c.primary_model_id || ' | Field ' || c.primary_field_id) END AS details,
+  CASE WHEN b.is_data THEN b.txt END AS encoded_string
+FROM best b LEFT JOIN catalog c ON NOT b.is_data AND c.field_id = b.id
+LEFT JOIN lines ON b.is_data AND lines.model_name = b.model_name AND lines.record_id = b.record_id"""
+
+
+@register("search_all", _search_report_sql("all"))
+def q_search_all(spark, sf):
+    """One search over catalog fields and records, as report rows."""
+    return srch.report(_search(spark, sf, "all"))
+
+
+@register("search_records", _search_report_sql("data"))
+def q_search_records(spark, sf):
+    """The same search over records only: key fields decoded for the hits."""
+    return srch.report(_search(spark, sf, "data"))
+
+
+@register("search_fields", _search_report_sql("schema"))
+def q_search_fields(spark, sf):
+    """The same search over catalog fields only."""
+    return srch.report(_search(spark, sf, "schema"))
+
+
+@register("search_usage", _search_sql("data") + "SELECT model_name, field_name, 'decode' AS context, count(*) AS n FROM shown GROUP BY 1, 2")
+def q_search_usage(spark, sf):
+    """Usage rows of the record search, counted by field (what A9 takes in)."""
+    return srch.usage_rows(_search(spark, sf, "data")).groupBy("model_name", "field_name", "context").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("search_summary", _search_sql("all") + """
+SELECT count(*) AS hits, count(*) FILTER (WHERE NOT is_data) AS schema_hits, count(*) FILTER (WHERE is_data) AS data_hits FROM best""")
+def q_search_summary(spark, sf):
+    """Counts at the head of the report."""
+    return srch.summary(_search(spark, sf, "all"))
