@@ -73,6 +73,20 @@ def snapshot_header(snap: DataFrame) -> DataFrame:
                     F.coalesce(F.bit_xor(h), F.lit(0)).cast("long").alias("digest_xor"))
 
 
+def merge_snapshots(previous: DataFrame, current: DataFrame, checksum: str = "checksum") -> DataFrame:
+    """J4 + K1 + K3 in one full outer join: the rows of ``current`` with their ``change``, where an
+    unchanged row is the previous one (so what hangs on it, a vector say, needs no recomputing).
+    Both sides have the same columns and are shuffled once."""
+    cols = [c for c in previous.columns if c != "id"]
+    p = previous.select("id", F.struct(*cols).alias("_old"))
+    c = current.select("id", F.struct(*cols).alias("_new"))
+    same = F.col(f"_new.{checksum}").eqNullSafe(F.col(f"_old.{checksum}"))
+    change = F.when(F.col("_old").isNull(), F.lit("added")).when(same, F.lit("unchanged")).otherwise(F.lit("modified"))
+    joined = p.join(c, "id", "full_outer").filter(F.col("_new").isNotNull()).withColumn("change", change)
+    row = F.when(F.col("change") == "unchanged", F.col("_old")).otherwise(F.col("_new"))
+    return joined.select("id", row.alias("_row"), "change").select("id", "_row.*", "change").select(*previous.columns, "change")
+
+
 def apply_changes(previous: DataFrame, current: DataFrame, changes: DataFrame) -> DataFrame:
     """K1 + K3: previous table with added/modified rows upserted and deleted
     ids removed, in one anti join (the replaced and the deleted ids are one
@@ -119,12 +133,15 @@ def next_state(state: DataFrame | None, model: str, loaded: DataFrame, ts_col: s
     """K4: high-water state keyed by model. The mark advances to the max over the
     rows actually loaded (Q17 fix); with nothing new it stays where it was.
     Old and new rows are merged by a keyed aggregate (no join)."""
-    spark = loaded.sparkSession
-    stats = max_change_time(loaded, ts_col)
+    return merge_state(state, max_change_time(loaded, ts_col), model)
+
+
+def merge_state(state: DataFrame | None, stats: DataFrame, model: str) -> DataFrame:
+    """K4 from the counts of a run that are known already: ``stats`` is A6's row."""
     new = stats.select(F.lit(model).alias("model_name"), F.col("max_change_time").alias("last_max_write_date"),
                        F.col("records_loaded").alias("records_synced"), F.lit(1).alias("is_new"))
     if state is None:
-        state = spark.createDataFrame(
+        state = stats.sparkSession.createDataFrame(
             [], "model_name string, last_max_write_date timestamp_ntz, records_synced long")
     rows = state.select("model_name", "last_max_write_date", "records_synced", F.lit(0).alias("is_new"))
     both = rows.unionByName(new)

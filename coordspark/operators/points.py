@@ -171,9 +171,32 @@ def stale_points(points: DataFrame, model: str, source_ids: DataFrame) -> DataFr
     return pts.join(src, "record_id", "left_anti").select("id", "record_id", "model_name")
 
 
+def merge(old: DataFrame | None, new: DataFrame, key: str = "id", order: str | None = None, gone: Column | None = None) -> DataFrame:
+    """K1 + K3 in one full outer join on the key: a new row replaces the old one or is
+    added. With ``order`` only a row that isn't older by that column replaces;
+    new rows for which ``gone`` is true remove their key instead.
+
+    ``new`` holds one row per key. Both sides are shuffled once.
+    """
+    gone = F.lit(False) if gone is None else F.coalesce(gone, F.lit(False))
+    if old is None:
+        return new.filter(~gone)
+    cols = [c for c in old.columns if c != key]
+    extra = [F.lit(None).cast(old.schema[c].dataType).alias(c) if c not in new.columns else F.col(c).cast(old.schema[c].dataType).alias(c)
+             for c in cols]
+    o = old.select(key, F.struct(*cols).alias("_old"))
+    n = new.select(key, F.struct(*extra).alias("_new"), gone.alias("_gone"))
+    takes = F.col("_new").isNotNull()
+    if order:
+        takes = takes & F.coalesce(F.col(f"_new.{order}") >= F.col(f"_old.{order}"), F.lit(True))
+    row = F.when(takes, F.col("_new")).otherwise(F.col("_old"))
+    joined = o.join(n, key, "full_outer").filter(~(takes & F.coalesce(F.col("_gone"), F.lit(False))))
+    return joined.select(key, row.alias("_row")).select(key, "_row.*").select(*old.columns)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """K1: replace-or-insert by key (the new row wins)."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    return merge(old, new, key)
 
 
 def delete_ids(old: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:

@@ -13,6 +13,7 @@ from . import fixture as fx
 # --- fixed values (derivation rules) ------------------------------------------------
 HIGH_WATER_MARK = "2024-01-15 00:00:00"
 STALE_EVERY = 20          # customers with key % 20 = 0 are gone from the source
+SYNC_DATES = ("1997-03-01 00:00:00", "1999-06-01 00:00:00")  # source as of the first and the second sync run
 STAGES = ("encoding", "embedding", "upsert")
 # ---------------------------------------------------------------------------------------
 

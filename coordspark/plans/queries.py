@@ -533,9 +533,8 @@ def q_changed_rows(spark, sf):
 
 @register("upsert_points", o.with_ctes(dv.CURRENT_SNAPSHOT_SQL) + "SELECT id, checksum FROM cur")
 def q_upsert_points(spark, sf):
-    """Incremental = full: previous snapshot + upsert(added, modified) - deleted == current."""
-    cur = dv.current_snapshot(spark, sf)
-    return chg.apply_changes(dv.previous_snapshot(spark, sf), cur, _changes(spark, sf))
+    """Incremental = full: previous snapshot + upsert(added, modified) - deleted == current, in one full outer join."""
+    return chg.merge_snapshots(dv.previous_snapshot(spark, sf), dv.current_snapshot(spark, sf)).drop("change")
 
 
 def _h60_sql(x: str) -> str:
@@ -1266,3 +1265,66 @@ SELECT count(*) AS hits, count(*) FILTER (WHERE NOT is_data) AS schema_hits, cou
 def q_search_summary(spark, sf):
     """Counts at the head of the report."""
     return srch.summary(_search(spark, sf, "all"))
+
+
+# --- record sync as one plan (I1, I2, J7, K1, K4, K5, K6, I9) -----------------------------------------------
+
+from ..streaming.record_sync import RecordSync  # noqa: E402
+
+
+def _synced_orders(spark, sf) -> RecordSync:
+    """Three incremental runs over orders: up to the first date, up to the second with rows that repeat, and all of them,
+    where every seventh order has changed since; every eleventh gets no vector."""
+    plan = codec.encoding_plan(cat.encoding_map(_catalog(spark, sf)))
+    orders = fx.record_view(spark, sf, "orders").withColumn("write_date", F.col("o_orderdate"))
+    later = F.col("id") % 7 == 0
+    first = orders.withColumn("o_orderpriority", F.when(later, F.lit("OLD")).otherwise(F.col("o_orderpriority")))
+    last = orders.withColumn("write_date", F.when(later, F.expr("write_date + INTERVAL 10 YEARS")).otherwise(F.col("write_date")))
+
+    def embed(text):
+        order = F.regexp_extract(text, r"^\d+\^\d+\*(\d+)", 1).cast("long")
+        return F.when(order % 11 != 0, srch.word_embed(text, 16))
+
+    sync = RecordSync(spark, "orders", lambda rows: codec.encode_records(rows, plan, "orders", keep=("write_date",)), embed)
+    sync.load(first.filter(F.col("o_orderdate") <= F.lit(dv.SYNC_DATES[0]).cast("timestamp_ntz")), 0)
+    second = chg.incremental_rows(first.filter(F.col("o_orderdate") <= F.lit(dv.SYNC_DATES[1]).cast("timestamp_ntz")), sync.mark(0), "write_date")
+    stale = second.filter(F.col("id") % 5 == 0).withColumns({"o_orderpriority": F.lit("REPEAT"), "write_date": F.expr("write_date - INTERVAL 1 HOUR")})
+    sync.apply(second.unionByName(stale), 1)
+    sync.load(last, 2)
+    return sync
+
+
+_SYNC_1, _SYNC_2 = (f"TIMESTAMP '{d}'" for d in dv.SYNC_DATES)
+
+
+@register("record_sync_points", "SELECT 6 * 10000000 + record_id AS id, record_id, encoded_string FROM ("
+          + o.encode_select("orders", where="o_orderkey % 11 <> 0") + ") e")
+def q_record_sync_points(spark, sf):
+    """Points after three runs equal a full rebuild."""
+    return _synced_orders(spark, sf).read("points", 2).select("id", "record_id", "encoded_string")
+
+
+@register("record_sync_failures", f"""
+SELECT o_orderkey AS record_id, 'embedding' AS failure_stage, CAST(2 AS INTEGER) AS last_batch,
+  CASE WHEN o_orderkey % 7 = 0 AND o_orderdate <= {_SYNC_2} THEN 1 ELSE 0 END AS retry_count
+FROM orders WHERE o_orderkey % 11 = 0 AND (o_orderkey % 7 = 0 OR o_orderdate > {_SYNC_2})
+UNION ALL
+SELECT o_orderkey, 'embedding', CASE WHEN o_orderdate <= {_SYNC_1} THEN 0 ELSE 1 END, 0
+FROM orders WHERE o_orderkey % 11 = 0 AND o_orderkey % 7 <> 0 AND o_orderdate <= {_SYNC_2}""")
+def q_record_sync_failures(spark, sf):
+    """Failed rows after three runs, with the run they last failed in."""
+    f = _synced_orders(spark, sf).read("failures", 2)
+    return f.select("record_id", "failure_stage", F.col("batch_number").alias("last_batch"), "retry_count")
+
+
+@register("record_sync_runs", f"""
+WITH loaded AS (
+  SELECT 0 AS batch, o_orderkey AS k, 1 AS n FROM orders WHERE o_orderdate <= {_SYNC_1}
+  UNION ALL SELECT 1, o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END FROM orders WHERE o_orderdate > {_SYNC_1} AND o_orderdate <= {_SYNC_2}
+  UNION ALL SELECT 2, o_orderkey, 1 FROM orders WHERE o_orderdate > {_SYNC_2} OR o_orderkey % 7 = 0)
+SELECT CAST(batch AS BIGINT) AS batch, CAST(sum(n) AS BIGINT) AS records_processed, count(*) FILTER (WHERE k % 11 <> 0) AS records_embedded,
+  count(*) FILTER (WHERE k % 11 = 0) AS records_failed, count(*) FILTER (WHERE k % 11 = 0) = 0 AS success
+FROM loaded GROUP BY batch""")
+def q_record_sync_runs(spark, sf):
+    """The run rows of the three runs."""
+    return _synced_orders(spark, sf).runs().drop("duration_ms")
