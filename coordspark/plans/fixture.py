@@ -168,23 +168,43 @@ def catalog_line(row: dict) -> str:
     return "|".join(f"{p}*{v}" for p, v in zip(CATALOG_LINE_PREFIXES, values))
 
 
+def fields_with_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(model_name, field_name, n_values)``: how many rows of each table hold a value in each
+    column. One aggregate per table (partial counts in the tasks), a row per column."""
+    out = None
+    for model, cols in table_columns(spark, sf_dir).items():
+        counts = read_table(spark, sf_dir, model).agg(*[F.count(name).alias(name) for name, _ in cols])
+        names = [F.struct(F.lit(model).alias("model_name"), F.lit("id" if name == KEY_COLUMNS.get(model) else name).alias("field_name"),
+                          F.col(name).alias("n_values")) for name, _ in cols]
+        rows = counts.select(F.inline(F.array(*names)))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def catalog_text_df(spark: SparkSession, sf_dir: str | None = None,
-                    exclude_models: tuple[str, ...] = ()) -> DataFrame:
+                    exclude_models: tuple[str, ...] = (), seen: bool = False) -> DataFrame:
     """The catalog as text lines ``(line_no, value)``, as ``read_catalog_text`` gives.
 
-    With ``sf_dir`` the column lists come from the tables' own schemas.
+    With ``sf_dir`` the column lists come from the tables' own schemas; with
+    ``seen`` only columns that hold a value in some row are listed (and
+    computed fields), so the lines follow from the tables' rows.
     """
     cols = table_columns(spark, sf_dir) if sf_dir else None
-    data = [(r["line_no"], catalog_line(r)) for r in catalog_rows(exclude_models, cols)]
-    return spark.createDataFrame(data, "line_no long, value string")
+    rows = catalog_rows(exclude_models, cols)
+    data = [(r["line_no"], catalog_line(r), r["model_name"], r["field_name"], r["stored"]) for r in rows]
+    lines = spark.createDataFrame(data, "line_no long, value string, model_name string, field_name string, stored boolean")
+    if seen:
+        held = fields_with_values(spark, sf_dir).filter("n_values > 0").select("model_name", "field_name", F.lit(True).alias("held"))
+        lines = lines.join(held, ["model_name", "field_name"], "left").filter("held OR NOT stored")
+    return lines.select("line_no", "value")
 
 
 def catalog(spark: SparkSession, sf_dir: str | None = None,
-            exclude_models: tuple[str, ...] = ()) -> DataFrame:
+            exclude_models: tuple[str, ...] = (), seen: bool = False) -> DataFrame:
     """The parsed catalog table (S2-S3 applied to the catalog text)."""
     from ..sources.catalog_text import parse_catalog
 
-    return parse_catalog(catalog_text_df(spark, sf_dir, exclude_models)).good
+    return parse_catalog(catalog_text_df(spark, sf_dir, exclude_models, seen)).good
 
 
 def key_fields(spark: SparkSession) -> DataFrame:

@@ -40,6 +40,27 @@ def catalog_line_cte(exclude_models: tuple[str, ...] = ()) -> str:
     return f"catalog_text AS (SELECT CAST(line_no AS BIGINT) AS line_no, value FROM (VALUES {values}) AS t(line_no, value))"
 
 
+def seen_cte() -> str:
+    """Columns of the tables that hold a value in some row."""
+    parts = []
+    for m, cols in fx.TABLE_COLUMNS.items():
+        parts += [f"SELECT {lit(m)} AS m, {lit('id' if c == fx.KEY_COLUMNS.get(m) else c)} AS f FROM {m} HAVING count({c}) > 0" for c, _ in cols]
+    return "seen AS (" + "\nUNION ALL\n".join(parts) + ")"
+
+
+def seen_catalog_cte(exclude_models: tuple[str, ...] = ()) -> str:
+    """The catalog without the columns that hold no value."""
+    listed = catalog_cte(exclude_models).replace("catalog AS (", "listed AS (", 1)
+    return f"{listed},\n{seen_cte()},\ncatalog AS (SELECT * FROM listed WHERE NOT stored OR (model_name, field_name) IN (SELECT (m, f) FROM seen))"
+
+
+def seen_line_cte() -> str:
+    listed = ",\n".join(f"({r['line_no']}, {lit(fx.catalog_line(r))}, {lit(r['model_name'])}, {lit(r['field_name'])}, {lit(r['stored'])})"
+                        for r in fx.catalog_rows())
+    return (f"{seen_cte()},\ncatalog_text AS (SELECT CAST(line_no AS BIGINT) AS line_no, value FROM (VALUES {listed}) AS t(line_no, value, m, f, stored) "
+            f"WHERE NOT stored OR (m, f) IN (SELECT (m, f) FROM seen))")
+
+
 EMAP_CTE = """emap AS (
   SELECT model_name, model_id, field_name, line_no, field_id, field_type,
     CASE WHEN field_type = 'many2one' THEN primary_model_id || '^' || primary_field_id

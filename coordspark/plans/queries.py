@@ -41,6 +41,11 @@ def _catalog(spark, sf, exclude=()):
     return fx.catalog(spark, sf, exclude)
 
 
+def _seen_catalog(spark, sf, exclude=()):
+    """The catalog of the columns that hold a value in some row of the tables."""
+    return fx.catalog(spark, sf, exclude, seen=True)
+
+
 def _encode(spark, sf, model, catalog=None, plan=None):
     if plan is None:
         catalog = catalog if catalog is not None else _catalog(spark, sf)
@@ -48,11 +53,11 @@ def _encode(spark, sf, model, catalog=None, plan=None):
     return codec.encode_records(fx.record_view(spark, sf, model), plan, model)
 
 
-def _points(spark, sf):
+def _points(spark, sf, catalog=None):
     c = _catalog(spark, sf)
     plan = codec.encoding_plan(cat.encoding_map(c))
     encs = [_encode(spark, sf, m, plan=plan) for m in fx.models_with_id()]
-    return pts.point_table(pts.schema_points(c), *[pts.data_points(e) for e in encs])
+    return pts.point_table(pts.schema_points(c if catalog is None else catalog), *[pts.data_points(e) for e in encs])
 
 
 def doc_points(spark, sf) -> DataFrame:
@@ -186,7 +191,7 @@ def q_roundtrip_documents(spark, sf):
 
 # --- catalog -------------------------------------------------------------------------------
 
-_PARSE_SQL = o.with_ctes(o.catalog_line_cte()) + f"""
+_PARSE_SQL = o.with_ctes(o.seen_line_cte()) + f"""
 , cols AS (SELECT line_no, {o.js_trim('value')} AS line, string_split({o.js_trim('value')}, '|') AS c FROM catalog_text),
 vals AS (SELECT line_no, line, len(c) AS n_cols, {", ".join(
     f"CASE WHEN strpos(c[{i + 1}], '*') > 0 THEN regexp_extract(c[{i + 1}], '(?s)^[^*]*\\*(.*?)\\*?$', 1) ELSE c[{i + 1}] END AS v{i}"
@@ -206,25 +211,25 @@ WHERE n_cols >= 9 AND TRY_CAST(regexp_extract(v0, '{o.INT_PREFIX}', 1) AS BIGINT
 
 @register("catalog_parse", _PARSE_SQL)
 def q_catalog_parse(spark, sf):
-    return parse_catalog(fx.catalog_text_df(spark, sf)).good
+    return parse_catalog(fx.catalog_text_df(spark, sf, seen=True)).good
 
 
-@register("encoding_map", o.with_ctes(o.catalog_cte(), o.EMAP_CTE) + "SELECT * FROM emap")
+@register("encoding_map", o.with_ctes(o.seen_catalog_cte(), o.EMAP_CTE) + "SELECT * FROM emap")
 def q_encoding_map(spark, sf):
-    return cat.encoding_map(_catalog(spark, sf))
+    return cat.encoding_map(_seen_catalog(spark, sf))
 
 
-@register("coord_lookup", o.with_ctes(o.catalog_cte(), o.LOOKUP_CTE) + "SELECT * FROM lookup")
+@register("coord_lookup", o.with_ctes(o.seen_catalog_cte(), o.LOOKUP_CTE) + "SELECT * FROM lookup")
 def q_coord_lookup(spark, sf):
-    return cat.coord_lookup(_catalog(spark, sf))
+    return cat.coord_lookup(_seen_catalog(spark, sf))
 
 
-@register("encoding_preview", o.with_ctes(o.catalog_cte(), o.EMAP_CTE) + """
+@register("encoding_preview", o.with_ctes(o.seen_catalog_cte(), o.EMAP_CTE) + """
 SELECT model_name, CAST(row_number() OVER (ORDER BY line_no) AS INTEGER) AS position, field_name, prefix,
   field_type AS type, (SELECT count(*) FROM catalog WHERE model_name = 'lineitem') AS field_count
 FROM emap WHERE model_name = 'lineitem' ORDER BY line_no LIMIT 20""")
 def q_encoding_preview(spark, sf):
-    return cat.encoding_preview(_catalog(spark, sf), "lineitem")
+    return cat.encoding_preview(_seen_catalog(spark, sf), "lineitem")
 
 
 _POINT_COLS_SQL = ("CAST(field_id AS BIGINT) AS id, model_name, field_name, field_label, field_type, stored, "
@@ -236,82 +241,82 @@ def _point_view(df: DataFrame) -> DataFrame:
                      "primary_data_location", "score")
 
 
-@register("list_fields", o.with_ctes(o.catalog_cte()) +
+@register("list_fields", o.with_ctes(o.seen_catalog_cte()) +
           f"SELECT {_POINT_COLS_SQL} FROM catalog WHERE model_name = 'lineitem'")
 def q_list_fields(spark, sf):
-    return _point_view(pts.list_fields(_points(spark, sf), "lineitem"))
+    return _point_view(pts.list_fields(_points(spark, sf, _seen_catalog(spark, sf)), "lineitem"))
 
 
-@register("list_fields_stored", o.with_ctes(o.catalog_cte()) +
+@register("list_fields_stored", o.with_ctes(o.seen_catalog_cte()) +
           f"SELECT {_POINT_COLS_SQL} FROM catalog WHERE model_name = 'orders' AND stored "
           "AND field_type IN ('integer', 'monetary')")
 def q_list_fields_stored(spark, sf):
-    return _point_view(pts.list_fields(_points(spark, sf), "orders", ["integer", "monetary"], stored_only=True))
+    return _point_view(pts.list_fields(_points(spark, sf, _seen_catalog(spark, sf)), "orders", ["integer", "monetary"], stored_only=True))
 
 
-@register("references_out", o.with_ctes(o.catalog_cte()) +
+@register("references_out", o.with_ctes(o.seen_catalog_cte()) +
           f"SELECT {_POINT_COLS_SQL} FROM catalog WHERE model_name = 'lineitem' "
           "AND field_type IN ('many2one', 'one2many', 'many2many')")
 def q_references_out(spark, sf):
-    return _point_view(pts.references_out(_points(spark, sf), "lineitem"))
+    return _point_view(pts.references_out(_points(spark, sf, _seen_catalog(spark, sf)), "lineitem"))
 
 
-@register("references_in", o.with_ctes(o.catalog_cte()) +
+@register("references_in", o.with_ctes(o.seen_catalog_cte()) +
           f"SELECT {_POINT_COLS_SQL} FROM catalog WHERE field_type = 'many2one' "
           "AND primary_data_location = 'nation.id'")
 def q_references_in(spark, sf):
-    return _point_view(pts.references_in(_points(spark, sf), "nation"))
+    return _point_view(pts.references_in(_points(spark, sf, _seen_catalog(spark, sf)), "nation"))
 
 
-@register("references_in_by_model", o.with_ctes(o.catalog_cte()) + """
+@register("references_in_by_model", o.with_ctes(o.seen_catalog_cte()) + """
 SELECT model_name, count(*) AS n, string_agg(field_name, ',' ORDER BY field_name) AS fields
 FROM catalog WHERE field_type = 'many2one' AND primary_data_location = 'nation.id' GROUP BY model_name""")
 def q_references_in_by_model(spark, sf):
-    return pts.counts_by(pts.references_in(_points(spark, sf), "nation"), "model_name")
+    return pts.counts_by(pts.references_in(_points(spark, sf, _seen_catalog(spark, sf)), "nation"), "model_name")
 
 
-@register("fk_edges", o.with_ctes(o.catalog_cte()) + """
+@register("fk_edges", o.with_ctes(o.seen_catalog_cte()) + """
 SELECT model_name, regexp_replace(primary_data_location, '\\.id$', '') AS target_model, count(*) AS n_fields,
   string_agg(field_name, ',' ORDER BY field_name) AS fields
 FROM catalog WHERE field_type = 'many2one' GROUP BY 1, 2""")
 def q_fk_edges(spark, sf):
-    return cat.fk_edges(_catalog(spark, sf))
+    return cat.fk_edges(_seen_catalog(spark, sf))
 
 
-@register("catalog_stats", o.with_ctes(o.catalog_cte()) + """
+@register("catalog_stats", o.with_ctes(o.seen_catalog_cte()) + """
 SELECT count(*) AS total_fields, count(DISTINCT model_name) AS models,
   count(*) FILTER (WHERE stored) AS stored_count, count(*) FILTER (WHERE NOT stored) AS computed_count
 FROM catalog""")
 def q_catalog_stats(spark, sf):
-    return cat.catalog_stats(_catalog(spark, sf))
+    return cat.catalog_stats(_seen_catalog(spark, sf))
 
 
-@register("type_counts", o.with_ctes(o.catalog_cte()) +
+@register("type_counts", o.with_ctes(o.seen_catalog_cte()) +
           "SELECT field_type, count(*) AS n FROM catalog GROUP BY 1 ORDER BY n DESC, field_type LIMIT 10")
 def q_type_counts(spark, sf):
-    return cat.type_counts(_catalog(spark, sf))
+    return cat.type_counts(_seen_catalog(spark, sf))
 
 
-@register("model_names", o.with_ctes(o.catalog_cte()) + "SELECT DISTINCT model_name FROM catalog")
+@register("model_names", o.with_ctes(o.seen_catalog_cte()) + "SELECT DISTINCT model_name FROM catalog")
 def q_model_names(spark, sf):
-    return cat.model_names(_catalog(spark, sf))
+    return cat.model_names(_seen_catalog(spark, sf))
 
 
-@register("model_config", o.with_ctes(o.catalog_cte()) + """
+@register("model_config", o.with_ctes(o.seen_catalog_cte()) + """
 SELECT model_name, arg_min(model_id, line_no) AS model_id,
   arg_min(field_id, line_no) FILTER (WHERE field_name = 'id') AS id_field_id, count(*) AS field_count,
   CASE WHEN count(*) FILTER (WHERE field_name = 'id') = 0 THEN 'no id field' ELSE 'ok' END AS status
 FROM catalog GROUP BY model_name""")
 def q_model_config(spark, sf):
-    return cat.model_config(_catalog(spark, sf))
+    return cat.model_config(_seen_catalog(spark, sf))
 
 
-@register("name_suggestions", o.with_ctes(o.catalog_cte()) + """
+@register("name_suggestions", o.with_ctes(o.seen_catalog_cte()) + """
 SELECT DISTINCT model_name FROM catalog
 WHERE lower(model_name) LIKE '%order%' OR lower(model_name) LIKE '%items%'
 ORDER BY model_name LIMIT 5""")
 def q_name_suggestions(spark, sf):
-    return cat.name_suggestions(_catalog(spark, sf), "order.items")
+    return cat.name_suggestions(_seen_catalog(spark, sf), "order.items")
 
 
 def _alignment_columns(spark, sf) -> DataFrame:
@@ -331,7 +336,7 @@ def _alignment_sql() -> str:
         if m == "orders":
             names.append("line_count")
         vals += [f"({o.lit(m)}, {o.lit(n)})" for n in names]
-    return o.with_ctes(o.catalog_cte(), f"cols AS (SELECT * FROM (VALUES {', '.join(vals)}) AS t(model_name, field_name))") + """
+    return o.with_ctes(o.seen_catalog_cte(), f"cols AS (SELECT * FROM (VALUES {', '.join(vals)}) AS t(model_name, field_name))") + """
 SELECT c.model_name, c.field_name, 'matched' AS status FROM cols c
   WHERE EXISTS (SELECT 1 FROM catalog k WHERE k.model_name = c.model_name AND k.field_name = c.field_name)
 UNION ALL
@@ -345,7 +350,7 @@ SELECT DISTINCT k.model_name, k.field_name, 'missing_in_source' FROM catalog k
 
 @register("catalog_alignment", _alignment_sql())
 def q_catalog_alignment(spark, sf):
-    return cat.column_alignment(_alignment_columns(spark, sf), _catalog(spark, sf))
+    return cat.column_alignment(_alignment_columns(spark, sf), _seen_catalog(spark, sf))
 
 
 # --- points ----------------------------------------------------------------------------------
@@ -476,19 +481,6 @@ def q_knn_lsh(spark, sf):
     return hits.select("id", "model_name", F.round("score", 6).alias("score"))
 
 
-@register("semantic_search_schema")
-def q_semantic_search_schema(spark, sf):
-    """V4 over the point table with the built-in hashing embedder (no SQL twin:
-    the hash is Spark's). Query text is a catalog sentence."""
-    c = _catalog(spark, sf)
-    sp = pts.schema_points(c).drop("vector")
-    sp = vec.hashing_embed(sp, "semantic_text")
-    q = vec.hashing_embed(spark.createDataFrame([("customer account balance monetary",)], "t string"), "t")
-    qv = [float(x) for x in q.collect()[0]["vector"]]
-    return vec.knn_search(sp, qv, k=10, min_score=0.0).select("id", "model_name", "field_name",
-                                                                F.round("score", 6).alias("score"))
-
-
 # --- change handling ---------------------------------------------------------------------------
 
 from ..operators import changes as chg  # noqa: E402
@@ -571,19 +563,19 @@ def _semantic_sql() -> str:
        THEN '- primary ref ' || primary_model_id || '^' || primary_field_id END)"""
 
 
-@register("semantic_text", o.with_ctes(o.catalog_cte()) +
+@register("semantic_text", o.with_ctes(o.seen_catalog_cte()) +
           f"SELECT CAST(field_id AS BIGINT) AS id, {_semantic_sql()} AS semantic_text FROM catalog")
 def q_semantic_text(spark, sf):
-    return pts.schema_points(_catalog(spark, sf)).select("id", "semantic_text")
+    return pts.schema_points(_seen_catalog(spark, sf)).select("id", "semantic_text")
 
 
-@register("field_checksums", o.with_ctes(o.catalog_cte()) +
+@register("field_checksums", o.with_ctes(o.seen_catalog_cte()) +
           f"SELECT CAST(field_id AS BIGINT) AS id, md5({_semantic_sql()}) AS checksum FROM catalog")
 def q_field_checksums(spark, sf):
-    return chg.snapshot(pts.schema_points(_catalog(spark, sf)), "id", F.col("semantic_text"))
+    return chg.snapshot(pts.schema_points(_seen_catalog(spark, sf)), "id", F.col("semantic_text"))
 
 
-@register("catalog_changes", o.with_ctes(o.catalog_cte(), "cur AS (SELECT CAST(field_id AS BIGINT) AS id, md5("
+@register("catalog_changes", o.with_ctes(o.seen_catalog_cte(), "cur AS (SELECT CAST(field_id AS BIGINT) AS id, md5("
           + _semantic_sql() + ") AS checksum FROM catalog)", "prev AS (SELECT CAST(field_id AS BIGINT) AS id, md5("
           + _semantic_sql().replace("field_label", "CASE WHEN model_name = 'part' THEN upper(field_label) ELSE field_label END")
           + ") AS checksum FROM catalog WHERE model_name <> 'benchmark' UNION ALL SELECT 9999, 'gone')", _CHANGES_SQL)
@@ -591,7 +583,7 @@ def q_field_checksums(spark, sf):
 def q_catalog_changes(spark, sf):
     """I4 on the catalog: previous = catalog without benchmark, part labels upper-cased,
     plus one field that no longer exists."""
-    c = _catalog(spark, sf)
+    c = _seen_catalog(spark, sf)
     cur = chg.snapshot(pts.schema_points(c), "id", F.col("semantic_text"))
     old_cat = c.filter(F.col("model_name") != "benchmark").withColumn(
         "field_label", F.when(F.col("model_name") == "part", F.upper("field_label")).otherwise(F.col("field_label")))
@@ -1077,49 +1069,37 @@ def q_hit_report(spark, sf):
                        tx.score_percent(F.col("score")).alias("score_text"))
 
 
-@register("list_counts_by_type", o.with_ctes(o.catalog_cte()) + """
+@register("list_counts_by_type", o.with_ctes(o.seen_catalog_cte()) + """
 SELECT field_type, count(*) AS n, string_agg(field_name, ',' ORDER BY field_name) AS fields
 FROM catalog WHERE model_name = 'orders' GROUP BY field_type""")
 def q_list_counts_by_type(spark, sf):
     """A3: grouped counts of a list result (by field type)."""
-    return pts.counts_by(pts.list_fields(_points(spark, sf), "orders"), "field_type")
-
-
-@register("unified_search")
-def q_unified_search(spark, sf):
-    """V4 (rows-only: schema vectors come from Spark's hashing embedder): one
-    search over data and schema points (point_type all), hits counted per type."""
-    c = _catalog(spark, sf)
-    sp = vec.hashing_embed(pts.schema_points(c).drop("vector"), "semantic_text", dim=64)
-    both = pts.point_table(sp, doc_points(spark, sf))
-    hits = vec.knn_search(both, _first_vector(doc_points(spark, sf)), k=20, min_score=0.0,
-                          pred=pts.payload_filter(point_type="all"))
-    return hits.groupBy("point_type").agg(F.count(F.lit(1)).alias("hits"))
+    return pts.counts_by(pts.list_fields(_points(spark, sf, _seen_catalog(spark, sf)), "orders"), "field_type")
 
 
 # --- catalog loads (I3, I8) --------------------------------------------------------------------------------
 
-@register("full_catalog_load", o.with_ctes(o.catalog_cte()) +
+@register("full_catalog_load", o.with_ctes(o.seen_catalog_cte()) +
           f"SELECT CAST(field_id AS BIGINT) AS id, 'schema' AS point_type, {_semantic_sql()} AS semantic_text, "
           "64 AS dims FROM catalog")
 def q_full_catalog_load(spark, sf):
     """I3 + K2: catalog -> semantic text -> embed -> write a new point-table version, read back."""
-    c = _catalog(spark, sf)
+    c = _seen_catalog(spark, sf)
     sp = vec.hashing_embed(pts.schema_points(c).drop("vector"), "semantic_text", dim=64)
     path = pts.write_points(pts.point_table(sp), scratch_path(spark, "points"))
     back = spark.read.parquet(path)
     return back.select("id", "point_type", "semantic_text", F.size("vector").alias("dims"))
 
 
-@register("schema_hash", o.with_ctes(o.catalog_cte()) +
+@register("schema_hash", o.with_ctes(o.seen_catalog_cte()) +
           "SELECT 'v1-' || CAST(count(*) AS VARCHAR) || '-' || CAST(count(DISTINCT model_name) AS VARCHAR) AS schema_hash "
           "FROM catalog")
 def q_schema_hash(spark, sf):
     """I8: the schema hash that keys usage state; state under another hash is rebuilt."""
-    return chg.schema_hash(_catalog(spark, sf))
+    return chg.schema_hash(_seen_catalog(spark, sf))
 
 
-@register("incremental_catalog_load", o.with_ctes(o.catalog_cte()) +
+@register("incremental_catalog_load", o.with_ctes(o.seen_catalog_cte()) +
           f"SELECT CAST(field_id AS BIGINT) AS id, {_semantic_sql()} AS semantic_text, 64 AS dims FROM catalog")
 def q_incremental_catalog_load(spark, sf):
     """I4: previous points = an older catalog (no benchmark model, other part labels,
@@ -1129,7 +1109,7 @@ def q_incremental_catalog_load(spark, sf):
     def embed(df):
         return vec.hashing_embed(df, "semantic_text", dim=64)
 
-    c = _catalog(spark, sf)
+    c = _seen_catalog(spark, sf)
     old_cat = c.filter(F.col("model_name") != "benchmark").withColumn(
         "field_label", F.when(F.col("model_name") == "part", F.upper("field_label")).otherwise(F.col("field_label")))
     gone = c.filter(F.col("field_id") == 101).withColumn("field_id", F.lit(9999))
@@ -1138,11 +1118,11 @@ def q_incremental_catalog_load(spark, sf):
     return res.points.select("id", "semantic_text", F.size("vector").alias("dims"))
 
 
-@register("filtered_count", o.with_ctes(o.catalog_cte()) +
+@register("filtered_count", o.with_ctes(o.seen_catalog_cte()) +
           "SELECT count(*) AS n FROM catalog WHERE model_name = 'orders' AND field_type IN ('integer', 'monetary')")
 def q_filtered_count(spark, sf):
     """A4: count of points matching a payload filter."""
-    return pts.filtered_count(_points(spark, sf), pts.payload_filter("orders", ["integer", "monetary"]))
+    return pts.filtered_count(_points(spark, sf, _seen_catalog(spark, sf)), pts.payload_filter("orders", ["integer", "monetary"]))
 
 
 @register("usage_capped", o.with_ctes(dv.USAGE_LOG_SQL, _USAGE_SQL) +
@@ -1194,10 +1174,13 @@ def _search(spark, sf, point_type):
                      k=15, min_score=0.2, pred=pts.payload_filter(point_type=point_type))
 
 
+def _word_vector_sql(text: str) -> str:
+    words = f"list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9_]+'), lambda w: w <> '')"
+    at = f"list_transform({words}, lambda w: CAST(('0x' || substr(md5(w), 1, 4)) AS INTEGER) % {_WORD_DIMS})"
+    return f"list_transform(range({_WORD_DIMS}), lambda i: CAST(len(list_filter({at}, lambda b: b = i)) AS DOUBLE))"
+
+
 def _search_sql(point_type: str) -> str:
-    words = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9_]+'), lambda w: w <> '')"
-    vector = ("list_transform(range(%d), lambda i: CAST(len(list_filter(list_transform(%s, lambda w: CAST(('0x' || substr(md5(w), 1, 4)) AS INTEGER) %% %d), "
-              "lambda b: b = i)) AS DOUBLE))") % (_WORD_DIMS, words, _WORD_DIMS)
     enc = "enc AS (" + "\nUNION ALL\n".join(o.encode_select(m) for m in _SEARCH_MODELS) + ")"
     keys = """adaptive AS (SELECT model_name, field_name FROM (
   SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY grp, o1, o2, field_name) AS rank FROM (
@@ -1212,8 +1195,8 @@ WHERE (p.model_name, p.record_id) IN (SELECT (model_name, record_id) FROM best W
                        _kf_rank_cte(), keys, f"""pt AS (
   SELECT CAST(model_id AS BIGINT) * 10000000 + record_id AS id, TRUE AS is_data, model_name, record_id, encoded_string AS txt, NULL AS field_name FROM enc
   UNION ALL SELECT CAST(field_id AS BIGINT), FALSE, model_name, NULL, {_semantic_sql()}, field_name FROM catalog)""",
-                       f"emb AS (SELECT *, {vector.format('txt')} AS v FROM pt WHERE {kind})",
-                       f"q AS (SELECT {vector.format(o.lit(_SEARCH_TEXT))} AS qv)",
+                       f"emb AS (SELECT *, {_word_vector_sql('txt')} AS v FROM pt WHERE {kind})",
+                       f"q AS (SELECT {_word_vector_sql(o.lit(_SEARCH_TEXT))} AS qv)",
                        f"""best AS (SELECT * FROM (SELECT emb.*, {_score_sql('v', 'qv')} AS s FROM emb, q ORDER BY s DESC, id LIMIT 15) t WHERE s >= 0.2)""",
                        f"shown AS ({decoded})",
                        """lines AS (SELECT model_name, record_id, string_agg('- **' || field_label || ':** ' || display_value, chr(10) ORDER BY pos) AS txt
@@ -1328,3 +1311,29 @@ FROM loaded GROUP BY batch""")
 def q_record_sync_runs(spark, sf):
     """The run rows of the three runs."""
     return _synced_orders(spark, sf).runs().drop("duration_ms")
+
+
+@register("semantic_search_schema", o.with_ctes(o.seen_catalog_cte(), f"emb AS (SELECT *, {_word_vector_sql(_semantic_sql())} AS v FROM catalog)",
+                                                f"q AS (SELECT {_word_vector_sql(o.lit('customer account balance monetary'))} AS qv)") + f"""
+SELECT id, model_name, field_name, score FROM (
+  SELECT CAST(field_id AS BIGINT) AS id, model_name, field_name, round({_score_sql('v', 'qv')}, 6) AS score, {_score_sql('v', 'qv')} AS s
+  FROM emb, q ORDER BY s DESC, id LIMIT 10) t WHERE s >= 0.0""")
+def q_semantic_search_schema(spark, sf):
+    """V4 over the catalog's points: a sentence against their semantic texts."""
+    sp = pts.schema_points(_seen_catalog(spark, sf)).withColumn("vector", srch.word_embed(F.col("semantic_text"), _WORD_DIMS))
+    q = spark.range(1).select(srch.word_embed(F.lit("customer account balance monetary"), _WORD_DIMS).alias("v")).first()["v"]
+    return vec.knn_search(sp, [float(x) for x in q], k=10, min_score=0.0).select("id", "model_name", "field_name",
+                                                                                 F.round("score", 6).alias("score"))
+
+
+@register("unified_search", o.with_ctes(DOC_POINTS_SQL, o.seen_catalog_cte(), "q AS (SELECT v AS qv FROM p ORDER BY id LIMIT 1)", f"""both_ AS (
+  SELECT 'data' AS point_type, id, v FROM p
+  UNION ALL SELECT 'schema', CAST(field_id AS BIGINT), {_word_vector_sql(_semantic_sql())} FROM catalog)""") + f"""
+SELECT point_type, count(*) AS hits FROM (
+  SELECT point_type, {_score_sql('v', 'qv')} AS s FROM both_, q ORDER BY s DESC, id LIMIT 20) t WHERE s >= 0.0 GROUP BY point_type""")
+def q_unified_search(spark, sf):
+    """V4: one search over data and schema points (point_type all), hits counted per type."""
+    sp = pts.schema_points(_seen_catalog(spark, sf)).withColumn("vector", srch.word_embed(F.col("semantic_text"), _WORD_DIMS))
+    docs = doc_points(spark, sf)
+    hits = vec.knn_search(pts.point_table(sp, docs), _first_vector(docs), k=20, min_score=0.0, pred=pts.payload_filter(point_type="all"))
+    return hits.groupBy("point_type").agg(F.count(F.lit(1)).alias("hits"))
