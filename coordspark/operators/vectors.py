@@ -7,18 +7,16 @@ One query: the query vector is a literal array and the score a native
 higher-order expression; ``orderBy(desc).limit(k)`` becomes a
 TakeOrderedAndProject, so only k rows per partition travel.
 
-Many queries: a block of query vectors of bounded size goes to a
-``mapInPandas`` over the points; every task keeps only its local top-k per
-query (numpy matrix products, tile by tile), so at most
-queries x k x partitions candidate rows are shuffled, never all pairs. A
-window then keeps the global top-k per query. Equal scores are cut by id in
-the task and in the window alike. Larger query sets run block by block, the
-candidates of each written to the shared folder before the next is read.
+Many queries: the points are dealt by a hash of their id into slots of
+bounded bytes, and every query goes to every slot, by a shuffle: no vector
+passes the driver. A task holds the points of one slot and streams the queries
+past them (numpy matrix products, tile by tile), so queries x slots x k
+candidates are shuffled, never all pairs. A window then keeps the global top-k
+per query. Equal scores are cut by id in the task and in the window alike.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,12 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path
-
 #: Default minimum similarity of a search (tool default).
 DEFAULT_MIN_SCORE = 0.35
-#: Bytes of query vectors shipped per block (float64).
-MAX_QUERY_BLOCK_BYTES = 32 * 1024 * 1024
+#: Bytes of point vectors (float64) in a slot, of which a task holds one.
+MAX_SLOT_BYTES = 8 * 1024 * 1024
 #: Scores of one tile (queries x points) in a task; a tile takes a few times 8 bytes each.
 TILE_SCORES = 1 << 21
 #: Decimals up to which scores count as equal (a matrix product rounds equal vectors unequally).
@@ -85,99 +81,74 @@ def _best_columns(s: np.ndarray, k: int) -> np.ndarray:
     return np.nonzero(above | (tied & (np.cumsum(tied, axis=1) <= room)))[1].reshape(len(s), k)
 
 
-def _topk_partition(qids: np.ndarray, qmat: np.ndarray, k: int, keep: list[str],
-                    vector_col: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Per task: running top-k per query by (score descending, id) over the task's
-    batches; memory ~ queries x k, plus one tile of scores."""
-    qnorm = qmat / np.maximum(np.linalg.norm(qmat, axis=1, keepdims=True), 1e-300)
+class _Held:
+    """The points of one slot in id order, with unit vectors."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None                                        # rows still among some query's top-k
-        best_s = np.empty((len(qids), 0))
-        best_i = np.empty((len(qids), 0), dtype=np.int64)  # row index into ``kept``
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            pdf = pdf.sort_values("id", kind="stable")
-            mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vector_col].to_numpy()])
-            mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
-            rows = pdf[keep].reset_index(drop=True)
-            base = 0 if kept is None else len(kept)
-            kept = rows if kept is None else pd.concat([kept, rows], ignore_index=True)
-            ids = kept["id"].to_numpy()
-            next_s, next_i = [], []
-            step = max(1, TILE_SCORES // len(mat))
-            for t in range(0, len(qids), step):
-                s = np.round(qnorm[t:t + step] @ mat.T, SCORE_DECIMALS)
-                col = _best_columns(s, k)
-                both_s = np.concatenate([best_s[t:t + step], np.take_along_axis(s, col, axis=1)], axis=1)
-                both_i = np.concatenate([best_i[t:t + step], col + base], axis=1)
-                order = np.lexsort((ids[both_i], -both_s), axis=1)[:, :k]
-                next_s.append(np.take_along_axis(both_s, order, axis=1))
-                next_i.append(np.take_along_axis(both_i, order, axis=1))
-            best_s, best_i = np.concatenate(next_s), np.concatenate(next_i)
-            used = np.unique(best_i)
-            kept = kept.iloc[used].reset_index(drop=True)
-            best_i = np.searchsorted(used, best_i)
-        if kept is None or best_s.shape[1] == 0:
-            return
-        step = max(1, TILE_SCORES // (16 * best_s.shape[1]))
+    def __init__(self, rows: pd.DataFrame, keep: list[str], vector_col: str) -> None:
+        rows = rows.sort_values("id", kind="stable")
+        self.rows, self.mat = rows[keep].reset_index(drop=True), _unit_rows(rows[vector_col])
+
+    def best(self, qids: np.ndarray, qmat: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+        """The k best rows of each query (equal scores by id), tile by tile."""
+        step = max(1, TILE_SCORES // len(self.mat))
         for t in range(0, len(qids), step):
-            out = kept.iloc[best_i[t:t + step].reshape(-1)].reset_index(drop=True)
-            out.insert(0, "score", best_s[t:t + step].reshape(-1))
-            out.insert(0, "query_id", np.repeat(qids[t:t + step], best_s.shape[1]))
+            s = np.round(qmat[t:t + step] @ self.mat.T, SCORE_DECIMALS)
+            col = _best_columns(s, k)
+            out = self.rows.iloc[col.reshape(-1)].reset_index(drop=True)
+            out.insert(0, "score", np.take_along_axis(s, col, axis=1).reshape(-1))
+            out.insert(0, "query_id", np.repeat(qids[t:t + step], col.shape[1]))
             yield out
 
-    return run
 
+def _unit_rows(vectors: pd.Series) -> np.ndarray:
+    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors.to_numpy()])
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
-def _query_blocks(queries: DataFrame, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The query set as blocks of at most ``block_bytes`` of vectors; the driver holds
-    one block and one partition of the set at a time."""
-    qids, vecs = [], []
-    for r in queries.select("query_id", "vector").filter(F.col("vector").isNotNull()).toLocalIterator():
-        v = np.asarray(r["vector"], dtype=np.float64)
-        if qids and (len(qids) + 1) * v.nbytes > block_bytes:
-            yield np.array(qids, dtype=np.int64), np.array(vecs)
-            qids, vecs = [], []
-        qids.append(r["query_id"])
-        vecs.append(v)
-    if qids:
-        yield np.array(qids, dtype=np.int64), np.array(vecs)
+
+def _scan_slots(k: int, keep: list[str], vector_col: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows sorted by slot, its points first: hold the points of a slot, stream the queries past them."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, points, held = None, [], None
+        for pdf in batches:
+            for slot, part in pdf.groupby("_slot", sort=True):
+                if slot != at:
+                    at, points, held = slot, [], None
+                asks = part["_asks"].to_numpy(dtype=bool)
+                if not asks.all():
+                    points.append(part[~asks])
+                if asks.any() and held is None and points:
+                    held, points = _Held(pd.concat(points, ignore_index=True), keep, vector_col), []
+                if asks.any() and held is not None:
+                    yield from held.best(part["_query_id"].to_numpy(dtype=np.int64)[asks], _unit_rows(part[vector_col][asks]), k)
+
+    return run
 
 
 def knn_batch(points: DataFrame, queries: DataFrame, k: int = 10, min_score: float = DEFAULT_MIN_SCORE,
               pred: Column | None = None, keep: list[str] | None = None, exclude_self: bool = False,
-              vector_col: str = "vector", block_bytes: int = MAX_QUERY_BLOCK_BYTES) -> DataFrame:
+              vector_col: str = "vector", block_bytes: int = MAX_SLOT_BYTES) -> DataFrame:
     """Exact cosine top-k for every query in ``queries(query_id, vector)``.
 
     With ``exclude_self`` a point whose id equals the query id is not a hit.
     Rows with a NULL vector are left out on both sides; an all-zero vector
-    scores 0. ``keep`` must hold ``id``.
+    scores 0. ``keep`` must hold ``id``. A slot of points takes about
+    ``block_bytes`` of vectors.
     """
     keep = keep or ["id"]
     df = points if pred is None else points.filter(pred)
     df = df.select(*keep, vector_col).filter(F.col(vector_col).isNotNull())
     kk = k + 1 if exclude_self else k
+    size = df.agg(F.sum(F.size(vector_col).cast("long")).alias("n")).first()["n"] or 0
+    slots = max(1, -(-8 * size // block_bytes))
+    dealt = df.withColumns({"_slot": F.pmod(F.xxhash64("id"), F.lit(slots)), "_asks": F.lit(False), "_query_id": F.lit(None).cast("long")})
+    asked = queries.filter(F.col("vector").isNotNull()).select(
+        F.col("vector").cast(df.schema[vector_col].dataType).alias(vector_col), F.col("query_id").cast("long").alias("_query_id"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("_slot"), F.lit(True).alias("_asks"))
+    both = dealt.unionByName(asked, allowMissingColumns=True).repartition("_slot").sortWithinPartitions("_slot", "_asks")
     fields = [f for f in df.schema.fields if f.name in keep]
     out_schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("score", T.DoubleType()),
                                *fields])
-    spark = points.sparkSession
-
-    def hits(block: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-        return df.mapInPandas(_topk_partition(*block, kk, keep, vector_col), out_schema)
-
-    blocks = _query_blocks(queries, block_bytes)
-    first, second = next(blocks, None), next(blocks, None)
-    if first is None:
-        cands = spark.createDataFrame([], out_schema)
-    elif second is None:
-        cands = hits(first)
-    else:
-        path = scratch_path(spark, "knn-batch")
-        for block in itertools.chain((first, second), blocks):
-            hits(block).write.mode("append").parquet(path)
-        cands = spark.read.schema(out_schema).parquet(path)
+    cands = both.mapInPandas(_scan_slots(kk, keep, vector_col), out_schema)
     if exclude_self:
         cands = cands.filter(F.col("query_id") != F.col("id"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
