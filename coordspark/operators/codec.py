@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.codec import (
@@ -132,6 +132,31 @@ def malformed_segments(encoded: DataFrame, keep: tuple[str, ...] = ("record_id",
     return ex.filter((seg != "") & ~seg.rlike(SEGMENT_PATTERN))
 
 
+def segment_fault(seg: Column) -> Column:
+    """Why a segment isn't ``model^field*value`` (NULL if it is)."""
+    head = F.substring_index(seg, "*", 1)
+    return F.when(~seg.rlike(SEGMENT_PATTERN), F.when(F.instr(seg, "*") == 0, F.lit("no value separator"))
+                  .when(F.instr(head, "^") == 0, F.lit("no coordinate separator"))
+                  .when(~F.substring_index(head, "^", 1).rlike(r"^\d+$"), F.lit("model id is not a number"))
+                  .otherwise(F.lit("field id is not a number")))
+
+
+def quarantine_segments(encoded: DataFrame, path: str,
+                        keep: tuple[str, ...] = ("record_id", "model_name")) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """S3 for decoding: one scan of the encoded strings, two outputs. Returns the well-formed
+    segments, the malformed ones with position and reason, and the counts of both
+    (taken while they are written). Nothing is dropped but empty segments."""
+    ex = encoded.select(*keep, F.posexplode(F.split(F.col("encoded_string"), SPLIT_PATTERN, -1)).alias("pos", "seg"))
+    ex = ex.withColumn("seg", js_trim(F.col("seg"))).filter(F.col("seg") != "")
+    ex = ex.withColumn("reason", segment_fault(F.col("seg"))).withColumn("malformed", F.col("reason").isNotNull())
+    seen = Observation()
+    ex.observe(seen, F.count_if(~F.col("malformed")).alias("good"), F.count_if("malformed").alias("malformed")) \
+        .write.partitionBy("malformed").parquet(path)
+    back = encoded.sparkSession.read.schema(ex.schema).parquet(path)
+    good = back.filter(~F.col("malformed")).drop("malformed", "reason")
+    return good, back.filter("malformed").drop("malformed"), seen.get
+
+
 def _key_field_filter(decoded: DataFrame, key_fields: DataFrame | None) -> DataFrame:
     if key_fields is None:
         return decoded

@@ -1337,3 +1337,69 @@ def q_unified_search(spark, sf):
     docs = doc_points(spark, sf)
     hits = vec.knn_search(pts.point_table(sp, docs), _first_vector(docs), k=20, min_score=0.0, pred=pts.payload_filter(point_type="all"))
     return hits.groupBy("point_type").agg(F.count(F.lit(1)).alias("hits"))
+
+
+# --- malformed segments (S3), hybrid search (X1) -------------------------------------------------------------
+
+from ..operators import hybrid  # noqa: E402
+
+
+def _damaged_customers(spark, sf):
+    """Encoded customers, some of them damaged by rule: separators lost, letters in ids, a foreign tail."""
+    bad, text = F.col("record_id") % 10, F.col("encoded_string")
+    broken = (F.when(bad == 1, F.replace(text, F.lit("3^302*"), F.lit("3^302")))
+              .when(bad == 2, F.replace(text, F.lit("3^304*"), F.lit("3^30x*")))
+              .when(bad == 3, F.concat(text, F.lit("|tail|  |a^1*v")))
+              .when(bad == 4, F.replace(text, F.lit("3^305*"), F.lit("3305*"))).otherwise(text))
+    return _encode(spark, sf, "customer").withColumn("encoded_string", broken)
+
+
+_DAMAGED_SQL = o.with_ctes("whole AS (" + o.encode_select("customer") + ")", """enc AS (
+  SELECT record_id, model_name, CASE record_id % 10 WHEN 1 THEN replace(encoded_string, '3^302*', '3^302')
+    WHEN 2 THEN replace(encoded_string, '3^304*', '3^30x*') WHEN 3 THEN encoded_string || '|tail|  |a^1*v'
+    WHEN 4 THEN replace(encoded_string, '3^305*', '3305*') ELSE encoded_string END AS encoded_string FROM whole)""", o.SEGMENTS_CTE)
+
+
+@register("malformed_segments", _DAMAGED_SQL + f"""
+SELECT record_id, model_name, CAST(pos AS INTEGER) AS pos, seg,
+  CASE WHEN strpos(seg, '*') = 0 THEN 'no value separator'
+       WHEN strpos(string_split(seg, '*')[1], '^') = 0 THEN 'no coordinate separator'
+       WHEN NOT regexp_full_match(string_split(seg, '^')[1], '[0-9]+') THEN 'model id is not a number'
+       ELSE 'field id is not a number' END AS reason
+FROM segs WHERE seg <> '' AND NOT regexp_matches(seg, '{o.SEGMENT_RE}')""")
+def q_malformed_segments(spark, sf):
+    """S3: what decoding can't read, with place and reason."""
+    return codec.quarantine_segments(_damaged_customers(spark, sf), scratch_path(spark, "segments"))[1]
+
+
+@register("well_formed_segments", _DAMAGED_SQL + f"""
+SELECT record_id, model_name, CAST(pos AS INTEGER) AS pos, seg FROM segs WHERE seg <> '' AND regexp_matches(seg, '{o.SEGMENT_RE}')""")
+def q_well_formed_segments(spark, sf):
+    """The other output of the same scan."""
+    return codec.quarantine_segments(_damaged_customers(spark, sf), scratch_path(spark, "segments"))[0]
+
+
+@register("hybrid_search", f"""
+WITH words AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+posts AS (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM words) x GROUP BY 1, 2),
+totals AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM words),
+wanted AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)),
+dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY 1),
+scored AS (SELECT p.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({hybrid.K1} + 1)
+    / (tf + {hybrid.K1} * (1 - {hybrid.B} + {hybrid.B} * len(w) / mean))), 9) AS score
+  FROM posts p JOIN wanted USING (term) JOIN dfs USING (term) JOIN words ON words.id = p.id, totals GROUP BY p.id),
+bw AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS word_rank FROM scored QUALIFY word_rank <= 50),
+q AS (SELECT CAST(embedding AS DOUBLE[]) AS qv FROM embeddings ORDER BY vec_id LIMIT 1),
+sv AS (SELECT vec_id AS id, {_score_sql('CAST(embedding AS DOUBLE[])', 'qv')} AS s FROM embeddings, q),
+bv AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS vector_rank FROM sv QUALIFY vector_rank <= 50)
+SELECT coalesce(bw.id, bv.id) AS id, CAST(word_rank AS INTEGER) AS word_rank, CAST(vector_rank AS INTEGER) AS vector_rank,
+  round(coalesce(1.0 / ({hybrid.FUSION} + word_rank), 0) + coalesce(1.0 / ({hybrid.FUSION} + vector_rank), 0), 9) AS score
+FROM bw FULL JOIN bv ON bw.id = bv.id ORDER BY coalesce(1.0 / ({hybrid.FUSION} + word_rank), 0) + coalesce(1.0 / ({hybrid.FUSION} + vector_rank), 0) DESC, id LIMIT 20""")
+def q_hybrid_search(spark, sf):
+    """The words of the first benchmark item against the documents' words, the first vector against theirs, fused."""
+    path = hybrid.text_index(fx.read_table(spark, sf, "documents"), id_col="doc_id")
+    item = fx.read_table(spark, sf, "benchmark").agg(F.min_by(hybrid.terms(F.col("text")), "item_id").alias("w")).first()["w"]
+    e = fx.read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    near = hybrid.ranked(vec.knn_search(e, _first_vector(e), k=50, min_score=-1.0).select("id", "score"), 50)
+    hits = hybrid.fuse(hybrid.bm25(spark, path, item, 50), near, 20)
+    return hits.select("id", "word_rank", "vector_rank", F.round("score", 9).alias("score"))

@@ -1,9 +1,9 @@
 """Structured Streaming forms of the incremental operators.
 
-* I5 usage counters and I6 failed rows: a streaming ``groupBy().agg()`` in
-  ``update`` mode keeps per-key state in the state store (checkpointed, so
-  it survives executor loss and restarts); each micro-batch's updated keys
-  are appended to a Parquet delta table partitioned by epoch. The current
+* I5 usage counters: a streaming ``groupBy().agg()`` in ``update`` mode keeps
+  a row per catalog field in the state store (checkpointed, so it survives
+  executor loss and restarts); each micro-batch's updated keys are appended to
+  a Parquet delta table partitioned by epoch. The current
   table is "latest epoch per key" - a ``max_by`` aggregate over the deltas.
   Writing an epoch overwrites only that epoch's partition, so a replayed
   epoch is idempotent.
@@ -11,8 +11,9 @@
   writes the batch's points as an epoch partition (last write per id wins
   when read, K1/I7) and routes rows that fail a quality check to the failed
   rows log (K5 input).
-* I7 duplicate suppression: epoch deltas read as the last written row per
-  key, so no late row is lost.
+* I6 failed rows and I7 duplicate suppression: their keys have no bound, so they
+  are kept as versions of a keyed table outside the state store; no late row
+  is lost and the stream holds no state.
 
 All paths live under the session's shared folder (``spark.checkpoint.dir``).
 """
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..sources.records import read_state
 
 
 def file_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -108,18 +110,51 @@ def stream_usage_counts(spark: SparkSession, events_path: str, to_usage: Callabl
     return latest_per_key(spark, base + "/delta", ["model_name", "field_name"])
 
 
+def keyed_versions(spark: SparkSession, path: str, fold: Callable[[DataFrame | None, DataFrame], DataFrame]):
+    """A keyed table kept outside the state store, so the stream itself holds no state.
+
+    Returns the ``foreachBatch`` sink and a reader of the newest version (None
+    before the first). A micro-batch writes the version of its number as ``fold``
+    of the version before and itself; a replayed one overwrites its own. The
+    table is as large as its keys, however long the stream runs.
+    """
+    def sink(batch: DataFrame, epoch: int) -> None:
+        before = batch.sparkSession.read.parquet(f"{path}/version-{epoch - 1}") if epoch else None
+        fold(before, batch).write.mode("overwrite").parquet(f"{path}/version-{epoch}")
+        batch.sparkSession.createDataFrame([(epoch,)], "epoch long").write.mode("append").parquet(f"{path}/epochs")
+
+    def read() -> DataFrame | None:
+        epochs = read_state(spark, f"{path}/epochs", "epoch long")
+        last = epochs.agg(F.max("epoch")).first()[0]
+        return None if last is None else spark.read.parquet(f"{path}/version-{last}")
+
+    return sink, read
+
+
+def fold_failures(before: DataFrame | None, log: DataFrame) -> DataFrame:
+    """Failed rows per key: newest event, events so far, first and last sequence. Batch and table are
+    aggregated alike, so a key with many failures is one row before the shuffle."""
+    newest = F.struct("model_id", "failure_stage", "error_message", "batch_number", "encoded_string", "failed_at")
+    part = (log.groupBy("model_name", "record_id")
+            .agg(F.max_by(newest, F.col("seq")).alias("r"), F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"),
+                 F.max("seq").alias("last_seq")))
+    if before is None:
+        return part
+    return (before.unionByName(part).groupBy("model_name", "record_id")
+            .agg(F.max_by("r", "last_seq").alias("r"), F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"),
+                 F.max("last_seq").alias("last_seq")))
+
+
 def stream_failed_rows(spark: SparkSession, source_path: str, to_failures: Callable[[DataFrame], DataFrame],
-                       base: str | None = None, cap: int | None = None) -> DataFrame:
-    """Keyed failed-row state (newest event, retry count) from a failure stream
-    (all keys; ``cap`` keeps the newest ones by first failure)."""
+                       base: str | None = None, cap: int | None = None, max_files: int | None = None) -> DataFrame:
+    """Failed rows by key (newest event, retry count) from a failure stream, equal to the batch
+    form; no state in the stream (all keys; ``cap`` keeps the newest ones by first failure)."""
     base = base or scratch_path(spark, "dlq-stream")
-    log = to_failures(file_stream(spark, source_path))
-    newest = F.max_by(F.struct("model_id", "failure_stage", "error_message", "batch_number",
-                               "encoded_string", "failed_at"), F.col("seq"))
-    agg = (log.groupBy("model_name", "record_id")
-           .agg(newest.alias("r"), F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq")))
-    run_available(agg, epoch_delta_sink(base + "/delta"), base + "/checkpoint")
-    cur = latest_per_key(spark, base + "/delta", ["model_name", "record_id"])
+    sink, read = keyed_versions(spark, base + "/failures", fold_failures)
+    log = to_failures(file_stream(spark, source_path, max_files))
+    run_available(log, sink, base + "/checkpoint", output_mode="append")
+    cur = read()
+    cur = fold_failures(None, spark.createDataFrame([], log.schema)) if cur is None else cur
     cur = cur.select("model_name", "record_id", "r.*", (F.col("n") - 1).alias("retry_count"), "first_seq")
     if cap:
         cur = cur.orderBy(F.desc("first_seq"), "model_name", "record_id").limit(cap)
@@ -129,14 +164,23 @@ def stream_failed_rows(spark: SparkSession, source_path: str, to_failures: Calla
 def stream_dedup(spark: SparkSession, path: str, key: str, ts_col: str, base: str | None = None,
                  max_files: int | None = None) -> DataFrame:
     """One row per key, the last one written: by micro-batch, then ``ts_col``,
-    then place in the batch. Rows that come late count like any other."""
+    then place in the batch. Rows that come late count like any other. A read
+    is a scan of one row per key, not of all that was ever written."""
+    from ..operators.points import merge
+
     base = base or scratch_path(spark, "dedup-stream")
     s = file_stream(spark, path, max_files)
-    write = epoch_delta_sink(base + "/delta")
-    run_available(s, lambda batch, epoch: write(batch.withColumn("_place", F.monotonically_increasing_id()), epoch),
-                  base + "/checkpoint", output_mode="append")
-    cur = latest_per_key(spark, base + "/delta", [key], order=[ts_col, "_place"])
-    return cur.select(*s.columns)
+
+    def fold(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+        rest = [c for c in batch.columns if c != key]
+        placed = batch.withColumn("_place", F.monotonically_increasing_id())
+        last = F.max_by(F.struct(*rest), F.struct(ts_col, "_place")).alias("_row")
+        return merge(before, placed.groupBy(key).agg(last).select(key, "_row.*").select(*batch.columns), key)
+
+    sink, read = keyed_versions(spark, base + "/rows", fold)
+    run_available(s, sink, base + "/checkpoint", output_mode="append")
+    cur = read()
+    return spark.createDataFrame([], s.schema) if cur is None else cur.select(*s.columns)
 
 
 def stream_records(spark: SparkSession, source_path: str, encode: Callable[[DataFrame], DataFrame],

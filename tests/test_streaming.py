@@ -81,3 +81,27 @@ def test_compacted_read_equals_full_read(spark):
     fast = inc.latest_per_key(spark, path, key, compacted)
     assert compacted[1] == 1
     assert _same(full, fast.select(*full.columns))
+
+
+def test_failed_rows_over_many_batches_hold_no_state(spark, tmp_path):
+    """Twelve micro-batches with keys that come again: equal to the batch form, and the stream
+    keeps nothing in the state store."""
+    import os
+
+    from coordspark.operators import ops
+    from coordspark.streaming import incremental as inc
+
+    src, base = str(tmp_path / "src"), str(tmp_path / "base")
+    schema = ("record_id long, model_name string, model_id int, failure_stage string, error_message string, "
+              "batch_number int, encoded_string string, failed_at timestamp_ntz, seq long")
+    import datetime as dt
+    rows = [(i % 7, "m", 1, "embedding", f"e{i}", i // 5, "", dt.datetime(2024, 1, 1) + dt.timedelta(days=60 - i), i) for i in range(60)]
+    for k in range(12):
+        spark.createDataFrame(rows[5 * k:5 * k + 5], schema).coalesce(1).write.mode("append").parquet(src)
+        if k % 4 == 3:   # three runs of the stream, a file to a micro-batch
+            got = inc.stream_failed_rows(spark, src, lambda df: df, base=base, max_files=1)
+    key = lambda df: sorted(tuple(r[c] for c in ("record_id", "error_message", "retry_count", "first_seq")) for r in df.collect())
+    assert key(got) == key(ops.merge_failures(spark.createDataFrame(rows, schema)))
+    assert not os.path.exists(base + "/checkpoint/state")
+    again = inc.stream_failed_rows(spark, src, lambda df: df, base=base)   # nothing new
+    assert key(again) == key(got)
