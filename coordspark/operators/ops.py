@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.codec import RESTRICTED_MARKER, SOURCE_ERROR_MARKER
 
 # --- fixed values -------------------------------------------------------------------
 MAX_FAILED_ROWS = 1_000        # failed-row table cap (for callers that ask for it)
@@ -29,6 +30,7 @@ MAX_KEY_FIELDS = 12            # configured + promoted key fields per model
 SCORE_CAP = 50.0               # per-context score cap
 SCORE_SCALE = 20.0             # log10(n + 1) * 20
 MAX_PROMOTIONS_SHOWN = 5
+MAX_WARNINGS = 100             # warnings of a run that are listed
 TOP_FIELDS_SHOWN = 10
 # -------------------------------------------------------------------------------------
 
@@ -170,6 +172,14 @@ def usage_summary(usage: DataFrame, importance: DataFrame) -> DataFrame:
     return t1.unionByName(t2).unionByName(top).unionByName(prom)
 
 
+def data_age(log: DataFrame, now: Column | None = None, ts_col: str = "ts") -> DataFrame:
+    """Age of the usage data in hours (half up), from its first entry to ``now``; a row of the summary."""
+    hours = (F.unix_micros((now if now is not None else F.current_timestamp()).cast("timestamp"))
+             - F.unix_micros(F.min(F.col(ts_col).cast("timestamp")))) / F.lit(3.6e9)
+    return log.agg(F.floor(hours + 0.5).cast("double").alias("value")).select(
+        F.lit("age_hours").alias("kind"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("item"), "value")
+
+
 # --- sync-run metrics (A8) -------------------------------------------------------------------
 
 def duration_text(ms: Column) -> Column:
@@ -277,6 +287,17 @@ def restrictions_by_reason(restr: DataFrame) -> DataFrame:
     return restr.groupBy("reason", "field_name").agg(F.countDistinct("model_name").alias("n_models"))
 
 
+def run_warnings(restr: DataFrame, most: int = MAX_WARNINGS) -> DataFrame:
+    """The warnings of a run, one per restricted field and reason, in order of model, field and
+    reason; beyond ``most`` one closing line says that there are more (the limit is the report's)."""
+    marker = F.when(F.col("reason") == SOURCE_REASON, F.lit(SOURCE_ERROR_MARKER)).otherwise(F.lit(RESTRICTED_MARKER))
+    text = F.concat(F.lit("Field '"), F.col("field_name"), F.lit("' restricted ("), F.col("reason"), F.lit(") - marked as "), marker)
+    first = restr.orderBy("model_name", "field_name", "reason").limit(most + 1)
+    rank = F.row_number().over(Window.orderBy("model_name", "field_name", "reason"))  # most + 1 rows
+    more = F.when(F.col("rank") > most, F.lit(f"... and more warnings (truncated at {most})")).otherwise(text)
+    return first.withColumn("rank", rank).select("rank", F.when(F.col("rank") <= most, F.col("model_name")).alias("model_name"), more.alias("warning"))
+
+
 def token_costs(docs: DataFrame, text_col: str, group_col: str, max_chars: int | None = None) -> DataFrame:
     """Per group the texts and their estimated tokens (whole texts, or their
     first ``max_chars`` characters, as an embedder with such a limit reads them)."""

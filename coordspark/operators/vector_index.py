@@ -131,3 +131,44 @@ def knn_codes(spark: SparkSession, path: str, query: list[float], k: int = 10, m
     ids = F.broadcast(code_candidates(spark, path, query, n, pred))
     rows = spark.read.parquet(path + "/points").drop("code").join(ids, "id", "left_semi")
     return knn_search(rows, query, k, min_score, None, vector_col)
+
+
+# --- sign bits (X2) -------------------------------------------------------------------
+
+#: Candidates fetched per hit before the rescore of a search by sign bits.
+BIT_OVERSAMPLING = 3.0
+
+
+def sign_words(vec: Column, dim: int) -> Column:
+    """The signs of a vector (above 0: one) packed into BIGINT words of 64."""
+    def word(w: int) -> Column:
+        places = F.sequence(F.lit(64 * w), F.lit(min(dim, 64 * w + 64) - 1))
+        bit = lambda i: F.when(F.get(vec, i) > 0, F.expr("1L")).otherwise(F.lit(0).cast("long"))
+        # the lowest bit is the last component of the word
+        return F.aggregate(places, F.lit(0).cast("long"), lambda acc, i: F.shiftleft(acc, 1).bitwiseOR(bit(i)))
+
+    return F.array(*[word(w) for w in range(-(-dim // 64))])
+
+
+def write_sign_bits(points: DataFrame, path: str, dim: int, vector_col: str = "vector") -> str:
+    """Write the points with a vector of ``dim`` components and their sign bits (1/32 of the vector's bits)."""
+    coded = points.filter(F.size(vector_col) == dim).withColumn("bits", sign_words(F.col(vector_col), dim))
+    coded.write.parquet(path)
+    return path
+
+
+def knn_sign_bits(spark: SparkSession, path: str, query: list[float], k: int = 10, min_score: float = DEFAULT_MIN_SCORE,
+                  pred: Column | None = None, oversampling: float = BIT_OVERSAMPLING, vector_col: str = "vector") -> DataFrame:
+    """Candidates by Hamming distance of the bits (one scan of ids and words), an exact rescore of their rows."""
+    words = []
+    for at in range(0, len(query), 64):
+        word = 0
+        for x in query[at:at + 64]:
+            word = (word << 1) | (x > 0)
+        words.append(word - (1 << 64) if word >= 1 << 63 else word)
+    points = spark.read.parquet(path)
+    mine = points if pred is None else points.filter(pred)
+    away = sum(F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.lit(w).cast("long"))) for i, w in enumerate(words))
+    ids = mine.select("id", away.alias("away")).orderBy("away", "id").limit(max(k, int(np.ceil(k * oversampling)))).select("id")
+    return knn_search(points.drop("bits").join(F.broadcast(ids), "id", "left_semi"), query, k, min_score, None, vector_col)
+

@@ -169,3 +169,17 @@ def failures_from_events(events: DataFrame) -> DataFrame:
         F.lit(fx.MODEL_IDS["events"]).alias("model_id"), stage.alias("failure_stage"),
         F.col("props").alias("error_message"), (F.col("event_id") / 500).cast("int").alias("batch_number"),
         F.lit("").alias("encoded_string"), F.col("ts").alias("failed_at"), F.col("event_id").alias("seq"))
+
+
+def search_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A log of search requests from events: the event type is the mode, its value the latency; a
+    user in four finds nothing and has no score."""
+    e = fx.read_table(spark, sf, "events")
+    results = F.col("user_id") % 4
+    return e.select("ts", F.col("event_type").alias("mode"), F.col("value").alias("latency_ms"), results.alias("results"),
+                    F.when(results > 0, (F.col("event_id") % 100) / 100).alias("score"))
+
+
+SEARCH_LOG_SQL = """slog AS (
+  SELECT ts, event_type AS mode, value AS latency_ms, user_id % 4 AS results,
+    CASE WHEN user_id % 4 > 0 THEN (event_id % 100) / 100 END AS score FROM events)"""

@@ -1403,3 +1403,156 @@ def q_hybrid_search(spark, sf):
     near = hybrid.ranked(vec.knn_search(e, _first_vector(e), k=50, min_score=-1.0).select("id", "score"), 50)
     hits = hybrid.fuse(hybrid.bm25(spark, path, item, 50), near, 20)
     return hits.select("id", "word_rank", "vector_rank", F.round("score", 9).alias("score"))
+
+
+# --- sign bits (X2), search analytics (X3), data age (A11), warnings (I10), reports and scans on data -----------
+
+from ..operators import search_log as slog  # noqa: E402
+
+
+def _sign_sql(v: str) -> str:
+    return f"list_transform({v}, lambda x: x > 0)"
+
+
+@register("knn_sign_bits", o.with_ctes(DOC_POINTS_SQL, "q AS (SELECT v AS qv FROM p ORDER BY id LIMIT 1)") + f"""
+, c AS (SELECT id, model_name, v, qv, len(list_filter(list_zip({_sign_sql('v')}, {_sign_sql('qv')}), lambda z: z[1] <> z[2])) AS away
+  FROM p, q ORDER BY away, id LIMIT 30)
+SELECT id, model_name, score FROM (
+  SELECT id, model_name, round({_score_sql('v', 'qv')}, 6) AS score, {_score_sql('v', 'qv')} AS s FROM c ORDER BY s DESC, id LIMIT 10) t
+WHERE s >= 0.0""")
+def q_knn_sign_bits(spark, sf):
+    """X2 over stored sign bits: Hamming distance chooses 30 rows, an exact rescore 10."""
+    p = doc_points(spark, sf)
+    path = vix.write_sign_bits(p, scratch_path(spark, "sign-bits"), dim=64)
+    hits = vix.knn_sign_bits(spark, path, _first_vector(p), k=10, min_score=0.0)
+    return hits.select("id", "model_name", F.round("score", 6).alias("score"))
+
+
+@register("search_volume", o.with_ctes(dv.SEARCH_LOG_SQL) + """
+SELECT mode, count(*) AS requests, count(*) FILTER (WHERE results = 0) AS zero_results,
+  round(count(*) FILTER (WHERE results = 0) / count(*), 6) AS zero_rate, round(avg(score), 6) AS mean_score
+FROM slog GROUP BY mode""")
+def q_search_volume(spark, sf):
+    """Volume, zero-result rate and mean score by mode, from merged daily rows."""
+    rows = slog.report(slog.daily(dv.search_log(spark, sf)), "mode")
+    return rows.select("mode", "requests", "zero_results", F.round("zero_rate", 6).alias("zero_rate"), F.round("mean_score", 6).alias("mean_score"))
+
+
+@register("search_latency", o.with_ctes(dv.SEARCH_LOG_SQL) + """
+SELECT CAST(ts AS DATE) AS day, mode, count(*) AS requests, round(quantile_cont(latency_ms, 0.5), 6) AS p50,
+  round(quantile_cont(latency_ms, 0.95), 6) AS p95, round(quantile_cont(latency_ms, 0.99), 6) AS p99
+FROM slog GROUP BY 1, 2""")
+def q_search_latency(spark, sf):
+    """Exact latency quantiles per day and mode (the sketches are tested against them)."""
+    rows = slog.exact_report(dv.search_log(spark, sf), "day", "mode")
+    return rows.select("day", "mode", "requests", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
+
+
+@register("search_latency_within_bound", o.with_ctes(dv.SEARCH_LOG_SQL) + "SELECT mode, TRUE AS p50, TRUE AS p95, TRUE AS p99 FROM slog GROUP BY mode")
+def q_search_latency_within_bound(spark, sf):
+    """Whether each merged sketch's quantile lies between the exact ones 2 % of the ranks below and above."""
+    log = dv.search_log(spark, sf)
+    low = [F.percentile("latency_ms", max(0.0, q - 0.02)).alias(f"low{i}") for i, q in enumerate(slog.QUANTILES)]
+    high = [F.percentile("latency_ms", min(1.0, q + 0.02)).alias(f"high{i}") for i, q in enumerate(slog.QUANTILES)]
+    both = slog.report(slog.daily(log), "mode").join(log.groupBy("mode").agg(*low, *high), "mode")
+    return both.select("mode", *[F.col(f"p{int(q * 100)}").between(F.col(f"low{i}"), F.col(f"high{i}")).alias(f"p{int(q * 100)}")
+                                 for i, q in enumerate(slog.QUANTILES)])
+
+
+@register("usage_age", o.with_ctes(dv.USAGE_LOG_SQL) + """
+SELECT 'age_hours' AS kind, 0 AS rank, CAST(NULL AS VARCHAR) AS item,
+  floor(epoch_us(TIMESTAMP '2024-03-01 12:00:00' - min(ts)) / 3.6e9 + 0.5) AS value FROM ulog""")
+def q_usage_age(spark, sf):
+    """Age of the usage data, as of a given time."""
+    return ops.data_age(dv.usage_log(spark, sf), F.lit("2024-03-01 12:00:00").cast("timestamp_ntz"))
+
+
+@register("run_warnings", o.with_ctes(dv.ERROR_LOG_SQL, _classify_sql(), _RESTR_SQL) + """
+, w AS (SELECT *, row_number() OVER (ORDER BY model_name NULLS FIRST, field_name, reason) AS rank FROM restr)
+SELECT CAST(rank AS INTEGER) AS rank, CASE WHEN rank <= 100 THEN model_name END AS model_name,
+  CASE WHEN rank > 100 THEN '... and more warnings (truncated at 100)'
+       ELSE 'Field ''' || field_name || ''' restricted (' || reason || ') - marked as ' ||
+         CASE reason WHEN 'odoo_error' THEN 'Restricted_odoo_error' ELSE 'Restricted_from_API' END END AS warning
+FROM w WHERE rank <= 101""")
+def q_run_warnings(spark, sf):
+    """The warnings that restricted fields add to a run's result."""
+    return ops.run_warnings(ops.restrictions(_classified(spark, sf)))
+
+
+@register("alignment_summary", o.with_ctes("al AS (" + _alignment_sql() + ")") + """
+SELECT model_name, count(*) FILTER (WHERE status = 'matched') AS matched,
+  count(*) FILTER (WHERE status = 'missing_in_schema') AS missing_in_schema,
+  count(*) FILTER (WHERE status = 'missing_in_source') AS missing_in_source,
+  count(*) FILTER (WHERE status = 'missing_in_schema') = 0 AS valid FROM al GROUP BY model_name""")
+def q_alignment_summary(spark, sf):
+    """Per model, columns matched and missing on either side."""
+    return cat.alignment_summary(cat.column_alignment(_alignment_columns(spark, sf), _seen_catalog(spark, sf)))
+
+
+@register("export_pairs", _PAIRS_BASE + "SELECT input, output, model_name, timestamp FROM pairs "
+          "WHERE output <> '' AND output <> '_No decodable fields found_'")
+def q_export_pairs(spark, sf):
+    """K7: all pairs written as JSON lines and read back."""
+    path = ops.export_pairs(_pairs(spark, sf), scratch_path(spark, "pairs"))
+    return spark.read.schema("input string, output string, model_name string, timestamp timestamp_ntz").json(path)
+
+
+@register("scan_active", "SELECT c_custkey AS id, c_name FROM customer WHERE c_acctbal >= 0")
+def q_scan_active(spark, sf):
+    """The archived switch; customers in debt count as archived."""
+    records = fx.record_view(spark, sf, "customer").withColumn("active", F.col("c_acctbal") >= 0)
+    return rec.scan_records(records, fields=["id", "c_name"], include_archived=False)
+
+
+@register("scan_leads", """
+SELECT o_orderkey AS id, o_orderpriority AS name, o_totalprice AS expected_revenue, o_orderdate AS create_date,
+  o_orderstatus <> 'F' AS active, o_custkey AS partner_id
+FROM orders WHERE o_orderstatus <> 'P'""")
+def q_scan_leads(spark, sf):
+    """The fixed field list of opportunities, archived ones included; pending orders are plain leads."""
+    o_ = fx.read_table(spark, sf, "orders")
+    leads = o_.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.col("o_totalprice").alias("expected_revenue"),
+                      F.col("o_orderdate").alias("create_date"), (F.col("o_orderstatus") != "F").alias("active"),
+                      F.col("o_custkey").alias("partner_id"),
+                      F.when(F.col("o_orderstatus") == "P", F.lit("lead")).otherwise(F.lit("opportunity")).alias("type"))
+    return rec.scan_leads(leads)
+
+
+_LETTERS = "aeiou"
+
+
+def _vowel_counts(texts: list[str]):
+    import numpy as np
+
+    return np.array([[t.count(c) for c in _LETTERS] for t in texts], dtype=np.float32).reshape(len(texts), len(_LETTERS))
+
+
+@register("embed_batches", "SELECT doc_id AS id, " + ", ".join(
+    f"CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{c}', '')) AS FLOAT) AS {c}" for c in _LETTERS) + " FROM documents")
+def q_embed_batches(spark, sf):
+    """V7: a user's batch embedder (here: counts of vowels) over all documents, a batch of texts at a time."""
+    embed = vec.udf_embedder(_vowel_counts, len(_LETTERS))
+    d = fx.read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), embed(F.col("text")).alias("v"))
+    return d.select("id", *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(_LETTERS)])
+
+
+_ODD_FIELDS = (("id", "integer"), ("long_text", "boolean"), ("topic_ids", "many2many"), ("source_id", "many2one"), ("parts", "one2many"))
+
+
+@register("encode_list_fields", """
+SELECT doc_id AS record_id, '7^1*' || doc_id || '|7^2*' || CASE WHEN n_chars > 2000 THEN 'TRUE' ELSE 'FALSE' END ||
+  '|7^3*[' || CASE WHEN n_chars % 3 = 0 THEN '' ELSE n_chars % 3 || ',' || doc_id % 5 END || ']' ||
+  '|8^1*' || CASE WHEN doc_id % 4 = 0 THEN '' ELSE CAST(doc_id % 4 AS VARCHAR) END ||
+  '|7^5*' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '[' || doc_id % 2 || ']' END AS encoded_string
+FROM documents""")
+def q_encode_list_fields(spark, sf):
+    """Boolean, list and pair values, present and absent, of all documents."""
+    n, key = F.col("n_chars"), F.col("doc_id")
+    docs = fx.read_table(spark, sf, "documents").select(
+        key.alias("id"), (n > 2000).alias("long_text"),
+        F.when(n % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array(n % 3, key % 5)).alias("topic_ids"),
+        F.when(key % 4 != 0, F.struct((key % 4).alias("id"), F.col("source").alias("name"))).alias("source_id"),
+        F.when(key % 2 != 0, F.array(key % 2)).alias("parts"))
+    plan = {"document": [{"field_name": name, "field_type": kind, "prefix": "8^1" if name == "source_id" else f"7^{i}", "model_id": 7, "line_no": i}
+                         for i, (name, kind) in enumerate(_ODD_FIELDS, start=1)]}
+    return codec.encode_records(docs, plan, "document").select("record_id", "encoded_string")

@@ -65,3 +65,14 @@ def test_empty_points(spark, points):
     path = vix.write_inverted_file(none, scratch_path(spark, "inv"), lists=4)
     assert vix.knn_inverted_file(spark, path, [1.0] * 64).collect() == []
     assert vix.knn_codes(spark, vix.write_codes(none, scratch_path(spark, "codes")), [1.0] * 64).collect() == []
+
+
+def test_sign_bits_pack_scan_and_recall(spark, points, matrix):
+    path = vix.write_sign_bits(points, scratch_path(spark, "bits"), dim=64)
+    row = spark.read.parquet(path).orderBy("id").filter("id >= 0").first()
+    word = int("".join("1" if x > 0 else "0" for x in row["vector"]), 2)
+    assert row["bits"] == [word - (1 << 64) if word >= 1 << 63 else word]
+    assert _recall(lambda v: vix.knn_sign_bits(spark, path, v, 10, -1.0, oversampling=20.0), matrix) >= 0.9
+    wide = spark.createDataFrame([(1, [1.0] * 70), (2, [-1.0] * 70), (3, [1.0, -1.0] * 35)], "id long, vector array<float>")
+    path = vix.write_sign_bits(wide, scratch_path(spark, "bits"), dim=70)
+    assert [r["id"] for r in vix.knn_sign_bits(spark, path, [1.0] * 70, 3, -1.0).collect()] == [1, 3, 2]
