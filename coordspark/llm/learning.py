@@ -19,13 +19,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, hel
     doc_id; documents of more than ``most_bytes`` are passed over. Labels other than 0 and 1 aren't used."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(~held)
     y = y.groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = doc_texts(docs).filter(~held & (F.octet_length("text") <= most_bytes)).join(y, "doc_id")
-    ids = rows.select("doc_id", "y", F.xxhash64("doc_id").alias("h"))
+    rows = doc_texts(docs).filter(~held & (F.octet_length("text") <= most_bytes))
+    # picked from ids alone: no text is shuffled to meet its label
+    ids = rows.select("doc_id").join(y, "doc_id").select("doc_id", "y", F.xxhash64("doc_id").alias("h"))
     picked = None
     for c in (0, 1):
         mine = ids.filter(F.col("y") == c).orderBy("h", "doc_id").limit(most).select("doc_id", "y")
         picked = mine if picked is None else picked.union(mine)
-    return rows.drop("y").join(F.broadcast(picked.distinct()), "doc_id")  # at most 2 * most ids
+    return rows.join(F.broadcast(picked.distinct()), "doc_id")  # at most 2 * most ids
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3) -> np.ndarray:
