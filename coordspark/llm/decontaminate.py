@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import batch, blocks, doc_texts, utf8
+from coordspark.llm.common import batch, blocks, doc_texts, utf8, written
 from coordspark.llm.words import ALNUM, comb, mix, words
 
 SHINGLE = 5
@@ -48,19 +48,22 @@ def _shingles(h: np.ndarray) -> np.ndarray:
 
 
 class ItemIndex:
-    """The inverted index of some items, with block maxima."""
+    """The inverted index of some items, with block maxima. ``counts`` and ``stats`` tell of all items where this
+    index holds some of them: {word hash: items with it}, and (items with a word, their mean length, the greatest)."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None], per_block: int = 8, k1: float = 1.2, b: float = 0.75) -> None:
+    def __init__(self, ids: list[int | None], texts: list[str | None], counts: dict[int, int] | None = None, stats: tuple[int, float, int] | None = None,
+                 per_block: int = 8, k1: float = 1.2, b: float = 0.75) -> None:
         data, off = utf8(pa.array(texts, pa.string()))
         h, row, start, _ = words(data, off, ALNUM)
         n = np.bincount(row, minlength=len(ids))
         order = np.argsort(n, kind="stable")  # items of like length lie in one block
         order = order[n[order] > 0]
-        self.ids, self.parts, self.longest = [ids[i] for i in order], [], int(n.max(initial=0))
+        total, mean, longest = stats or (len(order), n[order].mean() if len(order) else 1.0, int(n.max(initial=0)))
+        self.ids, self.parts, self.longest = [ids[i] for i in order], [], longest
         self.terms, term = np.unique(h, return_inverse=True)
         df = np.bincount(np.unique(term * len(ids) + row) // max(1, len(ids)), minlength=len(self.terms))
-        idf = np.log1p((len(order) - df + 0.5) / (df + 0.5))
-        mean = n[order].mean() if len(order) else 1.0
+        df = df if counts is None else np.array([counts[t] for t in self.terms.view(np.int64).tolist()], float)
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
         self.blocks = []
         for lo in range(0, len(order), per_block):
             weight = np.zeros((len(self.terms), min(per_block, len(order) - lo)), np.float32)
@@ -98,6 +101,17 @@ class ItemIndex:
                 yield int(p[first[r]]), lo + int(k), float(score[r, k])
 
 
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slab, item, n, h): the distinct words of each item, with a number of its own and its length."""
+    for b in batches:
+        data, off = utf8(b["text"])
+        h, row, _, _ = words(data, off, ALNUM)
+        n = np.bincount(row, minlength=len(b))
+        pairs = np.unique(np.stack([row.astype(np.uint64), h], 1), axis=0)
+        r = pairs[:, 0].astype(np.int64)
+        yield batch(slab=b["slab"].take(pa.array(r)), item=b["number"].take(pa.array(r)), n=n[r].astype(np.int32), h=np.ascontiguousarray(pairs[:, 1]).view(np.int64))
+
+
 def _match(index: ItemIndex, least: float, percent: int):
     step = max(1, index.longest)
 
@@ -124,7 +138,8 @@ def _match(index: ItemIndex, least: float, percent: int):
                         r -= 1
                     at = begin[r] + (passage - base[r]) * step
                     held = h[at : min(at + 2 * step, begin[r + 1])]
-                    part = [np.isin(x, _part_shingles(held, x), assume_unique=False).mean() for x in index.parts[item]]
+                    # an item of one word has no question; a part without words is held by all
+                    part = [np.isin(x, _part_shingles(held, x), assume_unique=False).mean() if len(x) else 1.0 for x in index.parts[item]]
                     if min(part) * 100 >= percent and (score, *part) > best.get((r, item), (0.0,)):
                         best[r, item] = (score, *map(float, part))
                 if best:
@@ -154,9 +169,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, perc
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     found, texts, slabs = None, doc_texts(docs).withColumn("text", F.lower("text")), items.count() // slab + 1
+    items = items.withColumn("slab", F.pmod(F.xxhash64("item_id", "text"), F.lit(slabs)))
+    # Frequencies and lengths are those of all items, so scores don't depend on the slabs.
+    terms = written(items.withColumn("number", F.monotonically_increasing_id()).mapInArrow(_item_terms, "slab long, item long, n int, h long"), "bm25-terms")
+    counts = written(terms.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "bm25-counts")
+    of = terms.select("slab", "item", "n").distinct().agg(F.count(F.lit(1)).alias("c"), F.avg("n").alias("mean"), F.max("n").alias("longest")).first()
+    stats = (int(of["c"]), float(of["mean"] or 1.0), int(of["longest"] or 0))
     for k in range(slabs):
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slabs)) == k) if slabs > 1 else items
-        rows = mine.orderBy("item_id", "text").collect()  # about ``slab`` items
-        got = texts.mapInArrow(_match(ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows]), least, percent), schema)
+        rows = items.filter(F.col("slab") == k).orderBy("item_id", "text").collect()  # about ``slab`` items
+        df = counts.join(terms.filter(F.col("slab") == k).select("h").distinct(), "h").toArrow()  # their words
+        own = dict(zip(df["h"].to_pylist(), df["df"].to_pylist(), strict=True))
+        got = texts.mapInArrow(_match(ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows], own, stats), least, percent), schema)
         found = got if found is None else found.union(got)
     return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("question_overlap").alias("question_overlap"), F.max("answer_overlap").alias("answer_overlap"))
