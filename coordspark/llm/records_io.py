@@ -134,7 +134,12 @@ def token_records(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame
     write_records(docs, tokenizer, f"{path}/data", end_id)
     save(index_records(spark, f"{path}/data"), f"{path}/index")
     index = spark.read.schema(INDEX).parquet(f"{path}/index")
-    # A row for each file; file names rise with the doc_ids in them.
-    files = index.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    base = files.select("file", (F.sum("n").over(W.orderBy("file")) - F.col("n")).alias("base"))
+    return placed(index)
+
+
+def placed(index: DataFrame) -> DataFrame:
+    """The index with each frame's ``start``. Files are ordered by the doc_ids in them, null first: their names
+    needn't sort by number (part-100000 comes before part-99999)."""
+    files = index.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("low"))  # a row for each file
+    base = files.select("file", (F.sum("n").over(W.orderBy(F.asc_nulls_first("low"), "file")) - F.col("n")).alias("base"))
     return index.join(base, "file").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "file", "offset", "size")
