@@ -31,19 +31,19 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = grace_dedup(docs).filter("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.sha2(text.cast("binary"), 256) == F.col("gone_sha"))
-    return docs.join(gone, same, "left_anti")
+    return docs.join(written(gone, "pipeline-gone"), same, "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the smallest doc_id stays."""
     gone = minhash_dedup(docs).filter("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    return docs.join(written(gone, "pipeline-gone"), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark go."""
     gone = contaminated(docs, spark.read.parquet(table_path(sf_dir, "benchmark"))).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    return docs.join(written(gone, "pipeline-gone"), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
