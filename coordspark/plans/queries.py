@@ -1208,7 +1208,7 @@ def _search_report_sql(point_type: str) -> str:
 SELECT CAST(row_number() OVER (ORDER BY b.s DESC, b.id) AS INTEGER) AS rank, b.id, CASE WHEN b.is_data THEN 'DATA' ELSE 'SCHEMA' END AS kind,
   CASE WHEN b.is_data THEN b.model_name || ' #' || b.record_id ELSE b.model_name || '.' || b.field_name END AS title,
   format('{:,.1f}', round(b.s * 100, 1)) || '%' AS score_text,
-  CASE WHEN NOT b.is_data AND c.field_type = 'many2one' THEN 'Relates to: ' || regexp_replace(c.primary_data_location, '\.id$', '')
+  CASE WHEN NOT b.is_data AND c.field_type = 'many2one' THEN 'Relates to: ' || regexp_replace(c.primary_data_location, '\\.id$', '')
        WHEN NOT b.is_data AND c.field_type IN ('one2many', 'many2many') THEN 'Related location: ' || c.primary_data_location END AS relation,
   CASE WHEN b.is_data THEN coalesce(lines.txt, '*No decodable key fields found*')
        ELSE concat_ws(chr(10), 'Label: ' || c.field_label, 'Type: ' || c.field_type, 'Primary Data Location: ' || c.primary_data_location,

@@ -24,6 +24,6 @@ def test_entry_returns_rows_with_stable_schema(spark):
 def test_every_sql_has_a_query_and_names_are_plain(spark):
     se = _entry_module()
     q, sql = se.queries(), se.oracle_sql()
-    assert set(sql) <= set(q) and len(q) >= 80
+    assert set(sql) <= set(q) and len(q) >= 100
     for name in q:
         assert name.isidentifier()
