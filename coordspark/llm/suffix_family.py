@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coordspark.llm.common import doc_texts, drop_folder, in_groups, pack, save, text_size, unpack, utf8, written
-from coordspark.llm.words import BYTE, comb
+from coordspark.llm.words import BYTE, comb, mix
 from coordspark.session import scratch_path
 
 LENGTH, WORD = 50, 24
@@ -105,25 +105,26 @@ class _Chunk:
         self.data, self.off = utf8(t["text"])
         self.ids = pc.fill_null(t["doc_id"], _LAST).to_numpy().astype(np.int64)
 
-    def blocks(self) -> Iterator[tuple[_Block, np.ndarray, int]]:
-        """(block, doc_id at each anchor, the block's place in the chunk)."""
+    def blocks(self) -> Iterator[tuple[_Block, np.ndarray, np.ndarray, int]]:
+        """(block, word and doc_id at each anchor, the block's place in the chunk). Anchors have small hashes, as
+        they are sampled by them; a word goes by its hash mixed again, so that ranges of words are even."""
         i = 0
         while i < len(self.ids):
             j = max(i + 1, int(np.searchsorted(self.off, self.off[i] + self.most, "right")) - 1)
             off = self.off[i : j + 1] - self.off[i]
             b = _Block(self.data[self.off[i] : self.off[j]], off)
-            yield b, self.ids[i + np.searchsorted(off, b.at, "right") - 1], int(self.off[i])
+            yield b, mix(b.h[b.at]), self.ids[i + np.searchsorted(off, b.at, "right") - 1], int(self.off[i])
             i = j
 
     def classes(self, needed: np.ndarray) -> Iterator[tuple[_Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
         """Of the anchors with a needed word: (block, word, class, doc_id, first and last string, place)."""
-        for b, doc, base in self.blocks():
-            keep = _in(needed, b.h[b.at])
+        for b, word, doc, base in self.blocks():
+            keep = _in(needed, word)
             at = b.at[keep]
             first, last = b.span(at)
             c = comb(b.strings(first), b.strings(last), 1) if len(at) else at.astype(np.uint64)
             c = comb(c, ((last - first) * 64 + (at - first)).astype(np.uint64), 2)
-            yield b, b.h[at], c, doc[keep], first, last, base
+            yield b, word[keep], c, doc[keep], first, last, base
 
 
 def _in(known: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -167,8 +168,8 @@ def _array(ranges: int):
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         words, docs = [], []
-        for b, doc, _ in _Chunk(t).blocks():
-            words.append(b.h[b.at])
+        for _, word, doc, _ in _Chunk(t).blocks():
+            words.append(word)
             docs.append(doc)
         w, d = _cat(words), _cat(docs, np.int64)
         order = np.argsort(w, kind="stable")
