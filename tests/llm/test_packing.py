@@ -124,3 +124,16 @@ def test_shards(spark, edge, empty):
     many = spark.createDataFrame([(i, "x" * r.randint(0, 400) if i % 3 else "hot " * 20, r.choice(["en", "de"]), f"s{i % 5}") for i in range(4000)], "doc_id long, text string, lang string, source string")
     sizes = laws(many, 7)
     assert len(sizes) == 7 and max(sizes.values()) <= 1.05 * min(sizes.values())
+
+
+def test_ids_by_piece_equal_the_librarys_for_every_plain_character():
+    """Every character that goes by pieces, in words, between digits and marks."""
+    import random
+
+    from coordspark.llm import tokens
+
+    enc, r = tokens.Encoder(tokens.word_bpe()), random.Random(7)
+    texts = [f"{chr(c)}a{chr(c)}{chr(c)}1 {chr(c)}'s{chr(c)}" for c in range(9, 0x250)]
+    texts += ["".join(r.choice("abAB'stredlvLL019.,!_-\t\n ª²µßÉÿŉǅ½<|endoftxt>") for _ in range(r.randint(0, 60))) for _ in range(2000)]
+    want = [enc.whole.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [x.tolist() for x in enc.ids(texts)] == want
