@@ -48,7 +48,7 @@ class _Words(dict):
 class Encoder:
     """``ids(texts)``: the ids of each text, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
-    def __init__(self, path: str, most_words: int = 1_000_000) -> None:
+    def __init__(self, path: str, most_words: int = 600_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import json
 
