@@ -11,10 +11,12 @@
    in enough coordinates are confirmed on their full shingle sets, and confirmed links give components.
    Lists whose members all lie in one component are skipped from then on, as they can't join anything.
 4. What is left when ``rounds`` are over, lists with members of different components, is merged
-   completely: lists are cut into blocks of ``block`` members and each pair of blocks is compared by a
-   task on the full sets, all pairs of the two blocks by matrix products; what leaves the task is at most
-   one link for each member, those that join components. So no such link is lost, no list is
-   held by one task, and the pairs of a group are never written out.
+   completely. Hot lists have much the same members, so a member is at home in the longest of its lists: first
+   each list's own members are compared, then in every list those with different homes, as members
+   with one home are done. Lists are cut into blocks of ``block`` bytes of sets, and each pair of blocks is
+   compared by a task on the full sets, all pairs of the two blocks by matrix products; what leaves the
+   task is at most one link for each member, those that join components. So no such link is lost, no list
+   is held by one task, and the pairs of a group are never written out.
 
 Defined results: a null or empty text, or one of white space alone, has no shingle, is linked with
 nothing and is its own component; equal rows with one doc_id are one member of a class; null
@@ -84,7 +86,7 @@ def _sets(size: int):
             for i, j in blocks(off):
                 row, h = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
                 at = np.searchsorted(row, np.arange(j - i + 1))
-                yield batch(id=b["doc_id"].slice(i, j - i), set=pa.array([h[at[k] : at[k + 1]].astype("<u8").tobytes() for k in range(j - i)], pa.binary()))
+                yield batch(id=b["doc_id"].slice(i, j - i), n=np.diff(at), set=pa.array([h[at[k] : at[k + 1]].astype("<u8").tobytes() for k in range(j - i)], pa.binary()))
 
     return run
 
@@ -121,13 +123,18 @@ def _similar(percent: int):
     return run
 
 
-def _common(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """The size of the intersection of every set of ``xs`` with every one of ``ys``, as matrix products."""
+def _common(xs: list[np.ndarray], ys: list[np.ndarray] | None, width: int = 2048) -> np.ndarray:
+    """The size of the intersection of every set of ``xs`` with every one of ``ys``, as matrix products; without
+    ``ys``, of every two sets of ``xs`` (of one with itself, no figure)."""
+    alone, ys = ys is None, xs if ys is None else ys
     out = np.zeros((len(xs), len(ys)), np.float32)
     if not xs or not ys:
         return out
     x, y = np.concatenate(xs), np.concatenate(ys)
     both = np.intersect1d(x, y)
+    if alone:
+        both, times = np.unique(x, return_counts=True)
+        both = both[times > 1]
     rx, ry = (np.repeat(np.arange(len(v)), [len(a) for a in v]) for v in (xs, ys))
     kx, ky = (np.searchsorted(both, v) for v in (x, y))
     okx, oky = ((k < len(both)) & (both[np.minimum(k, len(both) - 1)] == v) if len(both) else np.zeros(len(v), bool) for k, v in ((kx, x), (ky, y)))
@@ -151,10 +158,11 @@ def _between(percent: int):
         sets = [np.frombuffer(data[off[k] : off[k + 1]].tobytes(), "<u8") for k in range(len(ids))]
         n = np.diff(off) // 8
         left, right = (np.flatnonzero((side == s) | (side == 2)) for s in (0, 1))
-        common = _common([sets[k] for k in left], [sets[k] for k in right])
-        links = 100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)
+        common = _common([sets[k] for k in left], None if (side == 2).all() else [sets[k] for k in right])
         out: list[tuple[int, int]] = []
-        for i, near in zip(left, links, strict=True):
+        for i, shared in zip(left, common, strict=True):
+            both = shared.astype(np.int64)
+            near = 100 * both >= percent * (n[i] + n[right] - both)
             while len(other := right[near & (label[right] != label[i])]):
                 out.append((int(min(ids[i], ids[other[0]])), int(max(ids[i], ids[other[0]]))))
                 label[label == label[other[0]]] = label[i]
@@ -166,7 +174,7 @@ def _between(percent: int):
 class MinHashJoin:
     """The inverted join over one table of documents; see the module's text."""
 
-    def __init__(self, docs: DataFrame, shingle: int = 5, percent: int = 75, coords: int = 64, matches: int = 30, rounds: int = 2, block: int = 512) -> None:
+    def __init__(self, docs: DataFrame, shingle: int = 5, percent: int = 75, coords: int = 64, matches: int = 30, rounds: int = 2, block: int = 8 << 20) -> None:
         self.docs, self.shingle, self.percent, self.least, self.rounds, self.block = doc_texts(docs), shingle, percent, matches, rounds, block
         sig = self.docs.mapInArrow(_sign(shingle, coords), "doc_id long, n_shingles long, s0 long, s1 long, sig binary")
         self.signed = written(sig, "minhash-signed")
@@ -190,7 +198,7 @@ class MinHashJoin:
     def sets(self, posts: DataFrame) -> DataFrame:
         """The full shingle sets of the representatives that are posted at all."""
         texts = self.docs.join(posts.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        return texts.mapInArrow(_sets(self.shingle), "id long, set binary").dropDuplicates(["id"])
+        return texts.mapInArrow(_sets(self.shingle), "id long, n long, set binary").dropDuplicates(["id"])
 
     def confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs that are links: by signature, then by full sets."""
@@ -200,26 +208,38 @@ class MinHashJoin:
         both = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("xb")), "b")
         return both.select("a", "b", "xa", "xb").mapInArrow(_similar(self.percent), "a long, b long")
 
-    def rest(self, lists: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links between different components that share a posting list (post, id, comp)."""
-        one = F.min_by("comp", F.xxhash64("id")).alias("first")
-        sizes = lists.groupBy("post").agg(one, F.count(F.lit(1)).alias("n"))
-        at = lists.join(sizes, "post").withColumn("in_first", F.col("comp") == F.col("first"))
-        # Members of one component, most often the largest, lie in blocks of their own and aren't compared with each other.
-        k = F.floor(F.col("n") / self.block) + 1
+    def homes(self, lists: DataFrame) -> DataFrame:
+        """(id, home): the longest list of each member."""
+        at = lists.join(lists.groupBy("post").agg(F.count(F.lit(1)).alias("n")), "post")
+        return at.groupBy("id").agg(F.max(F.struct("n", "post")).getField("post").alias("home"))
+
+    def blocks(self, lists: DataFrame, sets: DataFrame) -> DataFrame:
+        """The members (post, id, comp, same) by the pairs of blocks (lo, hi) they are compared in; those that are ``same``
+        needn't be. A member counts 2 KB more than its set, which bounds the members of a block."""
+        at = lists.join(sets.select("id", (F.col("n") * 8 + 2048).alias("bytes")), "id")
+        sizes = at.groupBy("post").agg(
+            F.min_by("same", F.xxhash64("id")).alias("first"), F.sum("bytes").alias("bytes_all"), F.min("same").alias("s0"), F.max("same").alias("s1")
+        ).filter("s0 <> s1")
+        at = at.join(sizes, "post").withColumn("in_first", F.col("same") == F.col("first"))
+        # Members that are the same, most often the most, lie in blocks of their own and aren't compared with each other.
+        k = F.floor(F.col("bytes_all") / self.block) + 1
         blk = F.pmod(F.xxhash64("id"), k) + F.when(F.col("in_first"), 0).otherwise(k)
         at = at.withColumns({"blk": blk, "k": k})
         met = at.withColumn("other", F.explode(F.sequence(F.when(F.col("in_first"), F.col("k")).otherwise(0), 2 * F.col("k") - 1)))
         side = F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") < F.col("other"), 0).otherwise(1)
-        met = met.select("post", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), side.alias("side"), "id", "comp")
-        return met.join(sets, "id").groupBy("post", "lo", "hi").applyInArrow(_between(self.percent), "a long, b long")
+        return met.select("post", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), side.alias("side"), "id", "comp")
+
+    def rest(self, lists: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links between different components (comp) of members that share a posting list and aren't ``same``."""
+        met = self.blocks(lists, sets).join(sets.select("id", "set"), "id")
+        return met.groupBy("post", "lo", "hi").applyInArrow(_between(self.percent), "a long, b long")
 
     def links(self) -> DataFrame:
         """Confirmed links (a, b) that connect every class to all it is similar to, by one path or another."""
         posts = written(self.postings(), "minhash-posts")
         sets = written(self.sets(posts), "minhash-sets")
-        links, comp = None, None
-        for step in range(self.rounds + 1):
+        links, comp, homes = None, None, None
+        for step in range(self.rounds + 2):
             at = posts.withColumn("comp", F.col("id")) if comp is None else posts.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
             mixed = at.groupBy("post").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
             at = at.join(mixed.select("post"), "post", "left_semi")
@@ -230,8 +250,12 @@ class MinHashJoin:
                 at = at.join(at.filter("comp <> pc").groupBy("post").agg(F.min_by("id", order).alias("q")), "post")
                 at = at.withColumn("pivot", F.when(F.col("comp") == F.col("pc"), F.col("q")).otherwise(F.col("p")))
                 found = self.confirm(at.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), sets)
+            elif homes is None:
+                homes = written(self.homes(at), "minhash-homes")
+                mine = at.join(homes, "id").filter("post = home").drop("home")
+                found = self.rest(mine.withColumn("same", F.col("comp")), sets).distinct()
             else:
-                found = self.rest(at, sets).distinct()
+                found = self.rest(at.join(homes.withColumnRenamed("home", "same"), "id"), sets).distinct()
             links = written(found if links is None else found.union(links), "minhash-links")
             comp = components(links)
         return links

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from coordspark.llm import minhash_join, suffix_family
 from coordspark.llm.common import pack, unpack, utf8
@@ -153,7 +154,7 @@ def test_near_copies_of_one_text(spark):
     rows += [(1000 + i, f"common line of many words here {' '.join(f'y{i}_{k}' for k in range(30))}") for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     check_near(df)
-    check_near(df, rounds=0, block=16)
+    check_near(df, rounds=0, block=16 * 2500)  # about 16 members
 
 
 def test_near_edges(edge, empty):
@@ -166,6 +167,23 @@ def test_intersections_as_matrix_products():
     xs, ys = ([np.unique(r.integers(0, 60, n)).astype("<u8") for n in r.integers(0, 40, 9)] for _ in range(2))
     got = minhash_join._common(xs, ys, width=7)
     assert all(got[i, j] == len(np.intersect1d(x, y)) for i, x in enumerate(xs) for j, y in enumerate(ys))
+    got = minhash_join._common(xs, None, width=7)
+    assert all(got[i, j] == len(np.intersect1d(x, y)) for i, x in enumerate(xs) for j, y in enumerate(xs) if i != j)
+
+
+def test_members_of_many_hot_lists_meet_in_one(spark):
+    """Unlinked members that share 40 lists are compared in the longest; the other lists add those of other homes only."""
+    join = object.__new__(minhash_join.MinHashJoin)
+    join.block, n = 8 << 20, 300
+    lists = [(p, i, i) for p in range(40) for i in range(n)] + [(0, n, n), (1, n + 1, n + 1)]
+    at = spark.createDataFrame(lists, "post long, id long, comp long")
+    sets = spark.createDataFrame([(i, 60) for i in range(n + 2)], "id long, n long")
+    homes = join.homes(at)
+    assert {r["id"] for r in homes.collect()} == set(range(n + 2))
+    mine = at.join(homes, "id").filter("post = home").withColumn("same", F.col("comp"))
+    assert join.blocks(mine.drop("home"), sets).count() <= 2 * (n + 2)
+    rest = join.blocks(at.join(homes.withColumnRenamed("home", "same"), "id"), sets)
+    assert rest.select("post").distinct().count() <= 2 and rest.count() <= 2 * 2 * (n + 1)
 
 
 def test_shingles_of_short_and_mixed_texts():
