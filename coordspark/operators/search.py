@@ -26,7 +26,12 @@ def word_embed(text: Column, dim: int = 64) -> Column:
     made of SQL functions alone, so that any engine finds the same vectors."""
     words = F.filter(F.split(F.lower(text), "[^a-z0-9_]+", -1), lambda w: w != "")
     at = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int"), F.lit(dim)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(at, lambda b: b == i)).cast("float"))
+
+    def counts(a: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(a) - F.size(F.array_remove(a, i))).cast("float"))
+
+    # a lambda over one array: its words are split and hashed once, not once for each of the dimensions
+    return F.get(F.transform(F.array(at), counts), F.lit(0))
 
 
 def best_ids(points: DataFrame, query: list[float], k: int, min_score: float, pred: Column | None = None) -> DataFrame:
