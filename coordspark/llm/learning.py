@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coordspark.llm.common import doc_texts
+from coordspark.operators.common import checked_broadcast
+
+#: Labels that are sent to every task (16 bytes each and their hash map); above it the texts are shuffled to meet them.
+MAX_SENT_IDS = 4_000_000
 
 
 def fold(parts: int) -> Column:
@@ -14,12 +18,16 @@ def fold(parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, held: Column, most_bytes: int = 1 << 16) -> DataFrame:
-    """(doc_id, text, y): at most ``most`` documents of either label, none of them held out, chosen by a hash of
-    doc_id; documents of more than ``most_bytes`` are passed over. Labels other than 0 and 1 aren't used."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int | None, held: Column, most_bytes: int | None = None) -> DataFrame:
+    """(doc_id, text, y): the labelled documents, none of them held out. Labels other than 0 and 1 aren't used. With
+    ``most`` only that many of either label, chosen by a hash of doc_id; with ``most_bytes`` longer ones are passed over."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(~held)
-    y = y.groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = doc_texts(docs).filter(~held & (F.octet_length("text") <= most_bytes))
+    y = y.groupBy("doc_id").agg(F.max("y").alias("y")).filter(F.col("y").isin(0, 1))
+    rows = doc_texts(docs).filter(~held)
+    if most_bytes is not None:
+        rows = rows.filter(F.octet_length("text") <= most_bytes)
+    if most is None:  # no text is shuffled to meet its label, unless there are too many labels to send to every task
+        return rows.join(checked_broadcast(y, MAX_SENT_IDS), "doc_id")
     # picked from ids alone: no text is shuffled to meet its label
     ids = rows.select("doc_id").join(y, "doc_id").select("doc_id", "y", F.xxhash64("doc_id").alias("h"))
     picked = None

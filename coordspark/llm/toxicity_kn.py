@@ -12,8 +12,8 @@ that words of one family are known by each other. D is estimated for each level
 things have a count of 1 and of 2 there, n1 / (n1 + 2 n2), so that it lies between 0 and 1 and whatever
 was seen once is evidence. A pair counts once for each document that holds it, however often it is repeated there.
 
-Pairs are counted in at most ``most`` training documents of either class; shared(w) is counted in every
-document. All counts are kept under the full 64-bit hashes of words, pairs and stems, with no slots to fill up.
+Pairs are counted in every training document, however long (with ``most``: in that many of either class);
+shared(w) is counted in every document. All counts are kept under the full 64-bit hashes of words, pairs and stems, with no slots to fill up.
 The model that is shipped to the tasks has the pairs of the training documents, and the shared counts of their
 words and stems only: a word that neither class has seen has the same shared(w) in both, which cancels out.
 
@@ -175,7 +175,7 @@ class KneserNey:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, held: Column, most: int, discount: float | None, window: int) -> tuple[Broadcast, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, held: Column, most: int | None, discount: float | None, window: int) -> tuple[Broadcast, np.ndarray]:
     """The models (a KneserNey), and the curve's weights. A quarter of the training documents is kept out of the pair
     counts; on these the curve is fitted, as on texts that the models don't know."""
     rows = written(training_rows(_lower(docs), labels, "toxic", most, held).withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0), "toxic-train")
@@ -183,8 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, held: Column, most: int, discount:
     pairs = written(pairs, "toxic-pairs")
 
     def by_class(rows: DataFrame, *names: str) -> pa.Table:
-        """Sums of each class side by side: at most a row for each pair in the training documents."""
-        return rows.groupBy("h").agg(*[F.sum(F.when(F.col("c") == c, F.col(x)).otherwise(0)).alias(f"{x}{c}") for x in names for c in (0, 1)]).toArrow()
+        """Sums of each class side by side: a row for each pair in the training documents, so it grows with them."""
+        return rows.groupBy("h").agg(*[F.sum(F.when(F.col("c") == c, F.col(x)).otherwise(0)).cast("float").alias(f"{x}{c}") for x in names for c in (0, 1)]).toArrow()
 
     few = {r["c"]: estimated(r["n1"], r["n2"]) for r in pairs.groupBy("c").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()}
     cuts = [few.get(c, 0.5) if discount is None else float(discount) for c in (0, 1)]
@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, held: Column, most: int, discount:
     counts[shared["at"].to_numpy()] = shared["n"].to_numpy()
     model.ready(counts)
     sent = send(model)  # once for all that follows
-    got = rows.filter("fit").mapInArrow(_features(sent, "y"), "doc_id long, y int, f array<double>").toArrow()  # at most 2 * most rows
+    got = rows.filter("fit").mapInArrow(_features(sent, "y"), "doc_id long, y int, f array<double>").toArrow()  # five numbers a row
     y = got["y"].to_numpy().astype(float)
     alike = np.where(y == 1, (y == 0).sum() / max(1, (y == 1).sum()), 1.0)  # both classes weigh the same, as in the ratios
     return sent, logistic(_matrix(got["f"].combine_chunks()), y, alike)
@@ -220,7 +220,7 @@ def _features(model: Broadcast, *carry: str):
     return run
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, most: int = 3000, discount: float | None = None, window: int = 6, limit: float = 0.7) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, most: int | None = None, discount: float | None = None, window: int = 6, limit: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score below ``limit``, with all their columns: scored where they lie, without a join."""
     model, weights = train(docs, labels, fold(folds) == held_fold, most, discount, window)
     whole = docs.select(F.lower(F.col("text").cast("string")).alias("text"), F.struct(*docs.columns).alias("row"))
@@ -234,7 +234,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold:
     return whole.mapInArrow(run, f"row {whole.schema['row'].dataType.simpleString()}").select("row.*")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, most: int = 3000, discount: float | None = None, window: int = 6, limit: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, most: int | None = None, discount: float | None = None, window: int = 6, limit: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; documents of fold ``held_fold`` aren't learned from."""
     held = fold(folds) == held_fold
     model, weights = train(docs, labels, held, most, discount, window)
