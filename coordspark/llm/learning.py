@@ -19,11 +19,11 @@ def fold(parts: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int | None, held: Column, most_bytes: int | None = None) -> DataFrame:
-    """(doc_id, text, y): the labelled documents, none of them held out. Labels other than 0 and 1 aren't used. With
+    """(doc_id, text, y): the labelled documents with a text, none of them held out. Labels other than 0 and 1 aren't used. With
     ``most`` only that many of either label, chosen by a hash of doc_id; with ``most_bytes`` longer ones are passed over."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(~held)
     y = y.groupBy("doc_id").agg(F.max("y").alias("y")).filter(F.col("y").isin(0, 1))
-    rows = doc_texts(docs).filter(~held)
+    rows = doc_texts(docs).filter(~held & F.col("text").isNotNull())
     if most_bytes is not None:
         rows = rows.filter(F.octet_length("text") <= most_bytes)
     if most is None:  # no text is shuffled to meet its label, unless there are too many labels to send to every task

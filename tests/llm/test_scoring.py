@@ -262,9 +262,9 @@ def test_toxicity_learns_from_every_labelled_document(spark, monkeypatch):
 
     training_rows = toxicity_kn.training_rows
     monkeypatch.setattr(toxicity_kn, "training_rows", spy)
-    texts = [(i, f"calm w{i} talk") for i in range(3100)] + [(i, "vile " * 20000) for i in range(3100, 3110)] + [(9000, "no label")]
-    marks = [(i, int(i >= 3100)) for i in range(3110)] + [(9001, 1), (9000, None)]
+    texts = [(i, f"calm w{i} talk") for i in range(3100)] + [(i, "vile " * 20000) for i in range(3100, 3110)] + [(9000, "no label"), (9002, None)]
+    marks = [(i, int(i >= 3100)) for i in range(3110)] + [(9001, 1), (9000, None), (9002, 1)]
     docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
     scores = {r["doc_id"]: r["score"] for r in toxicity(docs, labels, folds=1, held_fold=1).collect()}
     assert taken == [{(i, int(i >= 3100)) for i in range(3110)}]
-    assert len(scores) == 3111 and min(scores[i] for i in range(3100, 3110)) > max(scores[i] for i in range(3100))
+    assert len(scores) == 3112 and min(scores[i] for i in range(3100, 3110)) > max(scores[i] for i in range(3100))
