@@ -14,8 +14,9 @@ was seen once is evidence. A pair counts once for each document that holds it, h
 
 Pairs are counted in every training document, however long (with ``most``: in that many of either class);
 shared(w) is counted in every document. All counts are kept under the full 64-bit hashes of words, pairs and stems, with no slots to fill up.
-The model that is shipped to the tasks has the pairs of the training documents, and the shared counts of their
-words and stems only: a word that neither class has seen has the same shared(w) in both, which cancels out.
+The model is a table in the shared folder, dealt into buckets by those hashes; no task and no driver holds all of it. Documents
+are gathered into blocks, a block asks each bucket once for what its texts hold, and the answers meet the texts again.
+A word that neither class has seen has the same shared(w) in both, which cancels out.
 
 Each word's log likelihood ratio, toxic to ordinary, given the word before it, is averaged over the text,
 and over windows of ``window`` words, of which the largest counts, so that one toxic line in a long text
@@ -33,15 +34,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import batch, blocks, doc_texts, utf8, written
+from coordspark.llm.common import batch, blocks, doc_texts, drop_folder, pack, save, text_size, unpack, utf8, written
 from coordspark.llm.learning import curve, fold, logistic, training_rows
 from coordspark.llm.words import ALNUM, comb, mix, words
+from coordspark.session import scratch_path
 
 STEM = 4
+#: What the model keeps, each kind in its own buckets: counts of pairs; of words what was seen after them, its cuts, their own
+#: shares and shared(w); of stems their shares. Each kind's columns are all of 4 bytes.
+PAIRS, WORDS, STEMS = range(3)
+WIDTH, TYPE = (2, 7, 2), (np.uint32, np.float32, np.float32)
+#: Bytes of text in a block; pairs of the model in a bucket, and bytes of the text that asks one.
+BLOCK, BUCKET_PAIRS, BUCKET_TEXT = 1 << 21, 1_000_000, 1 << 24
+#: Tables are scored in parts of this many bytes of text, in so many at most, so that only a part's questions lie on disk at a time.
+PASS, MOST_PASSES = 1 << 26, 8
 
 
 def _lower(docs: DataFrame) -> DataFrame:
@@ -64,40 +73,61 @@ def _pairs(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, mix(comb(before, h))
 
 
-def _count_words(known: Broadcast):
-    """(at, n): how often the task has each known word, each known stem (after the words), and any word at all (last)."""
+def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, stem) of the words of the rows, split in pieces that stay in the cache."""
+    parts = [(*words(data[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM, STEM), i) for i, j in blocks(off)]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate([x[0] for x in parts]), np.concatenate([x[1] + x[5] for x in parts]), np.concatenate([x[4] for x in parts])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_, stems = known.value
-        n, m, total = np.zeros(len(words_) + 1, np.int64), np.zeros(len(stems) + 1, np.int64), 0
-        for b in batches:
-            data, off = utf8(b["text"])
-            for i, j in blocks(off):
-                h, _, _, _, stem = words(data[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM, STEM)
-                np.add.at(n, _find(words_, h), 1)
-                np.add.at(m, _find(stems, stem), 1)
-                total += len(h)
-        n = np.concatenate([n[:-1], m[:-1], [total]])
-        at = np.flatnonzero(n)
-        for k in range(0, len(at), 1 << 16):
-            yield batch(at=at[k : k + (1 << 16)], n=n[at[k : k + (1 << 16)]])
 
-    return run
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, s, n): each word, its stem and how often it stands there; a task's words are summed before they leave."""
+
+    def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        u, first, at = np.unique(np.concatenate([x[0] for x in parts]), return_index=True, return_inverse=True)
+        return u, np.concatenate([x[1] for x in parts])[first], np.bincount(at, np.concatenate([x[2] for x in parts]), len(u)).astype(np.int64)
+
+    def rows(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        h, s, n = summed(parts)
+        for k in range(0, len(h), 1 << 16):
+            to = slice(k, k + (1 << 16))
+            yield batch(h=h[to].view(np.int64), s=s[to].view(np.int64), n=n[to])
+
+    held, size = [], 0
+    for b in batches:
+        data, off = utf8(b["text"])
+        for i, j in blocks(off):
+            h, _, _, _, stem = words(data[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM, STEM)
+            held.append(summed([(h, stem, np.ones(len(h), np.int64))]))
+            size += len(held[-1][0])
+            if size > 1 << 20:
+                held = [summed(held)]
+                size = len(held[0][0])
+                if size > 1 << 19:
+                    yield from rows(held)
+                    held, size = [], 0
+    if held:
+        yield from rows(held)
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, w, n0, n1): each pair, and how many documents of either class hold it."""
     for b in batches:
         data, off = utf8(b["text"])
         y = b["y"].to_numpy()
         for i, j in blocks(off, 1 << 22):
-            h, row, _, _, stem = words(data[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM, STEM)
+            h, row, _ = _tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
             v, pair = _pairs(h, row)
             once = np.unique(comb(pair, row.astype(np.uint64)), return_index=True)[1]
-            for c in (0, 1):
-                mine = once[y[i:j][row[once]] == c]
-                u, first, n = np.unique(pair[mine], return_index=True, return_counts=True)
-                at = mine[first]
-                yield batch(pair=u.view(np.int64), c=np.full(len(u), c, np.int32), v=v[at].view(np.int64), w=h[at].view(np.int64), s=stem[at].view(np.int64), n=n)
+            _, first, at = np.unique(pair[once], return_index=True, return_inverse=True)
+            n1 = np.bincount(at, y[i:j][row[once]], len(first)).astype(np.int64)
+            n0 = np.bincount(at, minlength=len(first)) - n1
+            v, w = v[once[first]], h[once[first]]
+            o = np.lexsort((w, v))
+            for k in range(0, len(o), 1 << 16):
+                to = o[k : k + (1 << 16)]
+                yield batch(v=v[to].view(np.int64), w=w[to].view(np.int64), n0=n0[to], n1=n1[to])
 
 
 def estimated(n1: float, n2: float) -> float:
@@ -105,41 +135,32 @@ def estimated(n1: float, n2: float) -> float:
     return min(max(n1 / max(n1 + 2 * n2, 1), 0.05), 0.95)
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """Rows of 4-byte values, byte plane by byte plane: what compresses lies together."""
+    a = np.ascontiguousarray(a)
+    return a.view(np.uint8).reshape(len(a), 4 * a.shape[1]).T.tobytes()
+
+
+def _unplanes(b: bytes, kind: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4 * WIDTH[kind], -1).T).view(TYPE[kind])
+
+
 class KneserNey:
-    """The two models: sorted hashes of pairs, words and stems, and their counts (one column more: of those not found)."""
+    """The two models, or as much of them as some texts need: sorted hashes of pairs, words and stems, and their
+    values (one column more: of those not found)."""
 
-    def __init__(self, discount: float | None, cuts: list[float], window: int, pairs: pa.Table, words_: pa.Table, stems: pa.Table) -> None:
-        """discount: for all levels, None to estimate it; cuts: that of the pairs, for each class."""
-        self.discount, self.cuts, self.window = discount, np.float32(cuts), window
-        self.pairs, self.pair = self._table(pairs, "n")
-        self.words, self.seen, self.cut, self.cont = self._table(words_, "seen", "cut", "cont")
-        self.stems, self.stem = self._table(stems, "cont")
+    def __init__(self, fixed: dict, tables: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """tables: of each kind, hashes in any order and a row of values for each."""
+        self.cuts, self.word_left, self.window = fixed["cuts"], fixed["word_left"], fixed["window"]
+        self.pairs, self.pair = self._table(*tables[PAIRS], [0, 0])
+        self.words, word = self._table(*tables[WORDS], [0, 0, 0, 0, 0, 0, 1])  # of an unknown word any share will do
+        self.seen, self.cut, self.word, self.shared = word[:2], word[2:4], word[4:6], word[6]
+        self.stems, self.stem = self._table(*tables[STEMS], fixed["no_stem"])
 
     @staticmethod
-    def _table(t: pa.Table, *names: str) -> list[np.ndarray]:
-        """Rows (h, and of each name a value for each class): the hashes in order, and of each name a 2 x n array."""
-        h = t["h"].to_numpy().view(np.uint64)
+    def _table(h: np.ndarray, values: np.ndarray, unknown: list) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(h)
-        return [h[order], *(np.stack([np.append(t[f"{x}{c}"].to_numpy()[order], 0) for c in (0, 1)]).astype(np.float32) for x in names)]
-
-    def ready(self, counts: np.ndarray) -> None:
-        """From counts to shares. counts: in all documents, of the words, of the stems, of any word.
-        The levels below a pair stand for the share of a word among those of its stem."""
-        share = counts / max(1, counts[-1])
-        self.shared = np.append(share[: len(self.words)], 1).astype(np.float32)  # of an unknown word any number will do
-        in_stem = np.append(share[len(self.words) : -1], 1)
-
-        def kept(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            d = [estimated((x == 1).sum(), (x == 2).sum()) if self.discount is None else self.discount for x in n]
-            p = np.maximum(n - np.array(d)[:, None], 0) / np.maximum(n.sum(1, dtype=np.float64), 1)[:, None]
-            return p, 1 - p.sum(1, keepdims=True)
-
-        word, self.word_left = kept(self.cont)
-        stem, left = kept(self.stem)
-        del self.cont
-        self.pair = self.pair.astype(np.uint16 if self.pair.max() < 1 << 16 else np.uint32)
-        in_stem[in_stem == 0] = 1  # the start of a text, which is no word
-        self.word, self.stem = word.astype(np.float32), (stem / in_stem + left).astype(np.float32)  # of the shared share
+        return h[order], np.ascontiguousarray(np.concatenate([values[order], np.array([unknown], values.dtype)]).T)
 
     def ratios(self, h: np.ndarray, row: np.ndarray, stem: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log p_toxic - log p_ordinary of each word: after the word before it, and by itself."""
@@ -150,7 +171,7 @@ class KneserNey:
         p[known] = _find(self.pairs, pair[known])
         after, alone = [], []
         for c in (0, 1):
-            below = self.word[c][w] + np.float32(self.word_left[c, 0]) * self.stem[c][s] * self.shared[w]
+            below = self.word[c][w] + self.word_left[c] * self.stem[c][s] * self.shared[w]
             n = self.seen[c][v]
             some = n > 0
             n = np.where(some, n, 1)
@@ -162,7 +183,7 @@ class KneserNey:
     def features(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Of each text, after the words before and of words alone: the mean ratio, and the largest mean of a window."""
         out = np.zeros((len(off) - 1, 4))
-        h, row, _, _, stem = words(data, off, ALNUM, STEM)
+        h, row, stem = _tokens(data, off)
         if len(h):
             n = np.bincount(row, minlength=len(out))
             some = np.flatnonzero(n)
@@ -175,73 +196,219 @@ class KneserNey:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, held: Column, most: int | None, discount: float | None, window: int) -> tuple[Broadcast, np.ndarray]:
-    """The models (a KneserNey), and the curve's weights. A quarter of the training documents is kept out of the pair
+def _stored(kind: int, buckets: int, *names: str):
+    """Rows (h, or a pair's v and w; values) to (bucket, keys, vals): each bucket's hashes and values as they come, packed."""
+
+    def packed(h: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = (h % np.uint64(buckets)).astype(np.int64)
+        o = np.lexsort((h, at))
+        cut = np.searchsorted(at[o], np.arange(buckets + 1))
+        some = [k for k in range(buckets) if cut[k] < cut[k + 1]]
+        for x in range(0, len(some), 64):
+            ours = [(k, o[cut[k] : cut[k + 1]]) for k in some[x : x + 64]]
+            yield batch(bucket=np.array([kind * buckets + k for k, _ in ours], np.int32), keys=pa.array([pack(h[m]) for _, m in ours], pa.binary()), vals=pa.array([_planes(values[m]) for _, m in ours], pa.binary()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            h = b["h"].to_numpy().view(np.uint64) if kind != PAIRS else mix(comb(b["v"].to_numpy().view(np.uint64), b["w"].to_numpy().view(np.uint64)))
+            held.append((h, np.stack([b[x].to_numpy() for x in names], 1).astype(TYPE[kind])))
+            size += len(h)
+            if size > 1 << 20:
+                yield from packed(*map(np.concatenate, zip(*held)))
+                held, size = [], 0
+        if size:
+            yield from packed(*map(np.concatenate, zip(*held)))
+
+    return run
+
+
+def _keys(h: np.ndarray, row: np.ndarray, stem: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, hashes in order): what texts need of the model. The same for the same texts, as answers go by position."""
+    before, pair = _pairs(h, row)
+    for kind, x in ((PAIRS, pair), (WORDS, np.concatenate([h, before[:1]])), (STEMS, stem)):
+        x = np.unique(x)
+        at = x % np.uint64(buckets)
+        o = np.argsort(at, kind="stable")
+        cut = np.searchsorted(at[o], np.arange(buckets + 1))
+        for k in range(buckets):
+            if cut[k] < cut[k + 1]:
+                yield kind * buckets + k, x[o[cut[k] : cut[k + 1]]]
+
+
+def _passes(size: int) -> int:
+    return min(MOST_PASSES, size // PASS + 1)
+
+
+class Model:
+    """Where the models lie: a table (bucket, keys, vals) in the shared folder, and the few numbers that all words share."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int, fixed: dict) -> None:
+        self.spark, self.path, self.buckets, self.fixed = spark, path, buckets, fixed
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema("bucket int, keys binary, vals binary").parquet(f"{self.path}/*")
+
+    @property
+    def value(self) -> KneserNey:
+        """All of it in this process: to look at small models only."""
+        rows = self.table().collect()
+        return KneserNey(self.fixed, [_joined([(r["keys"], r["vals"]) for r in rows if r["bucket"] // self.buckets == kind], kind) for kind in range(3)])
+
+    def features(self, docs: DataFrame, size: int, *carry: str) -> DataFrame:
+        """The carried columns (doc_id among them) and f, the four features of ``text``; size: bytes of all the texts."""
+        passes = _passes(size)
+        count = max(1, -(-size // (passes * BLOCK)))
+        texts = docs.select(*carry, "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).alias("_block"))
+        to = scratch_path(self.spark, "toxic-features")
+        schema = ", ".join(f"{x} {t}" for x, t in texts.select(*carry).dtypes)
+        for k in range(passes):
+            part = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(passes)) == k)
+            asked = part.groupBy("_block").applyInArrow(_ask(self.buckets), "bucket int, block long, keys binary")
+            answers = self.table().groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_answer(self.buckets), "block long, bucket int, found binary, vals binary")
+            got = part.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(_features(self.fixed, self.buckets, carry), f"{schema}, f array<double>")
+            save(got, f"{to}/part-{k}")
+        return self.spark.read.schema(f"{schema}, f array<double>").parquet(f"{to}/*")
+
+
+def _joined(rows: list[tuple[bytes, bytes]], kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and values of packed rows."""
+    keys = [unpack(k) for k, _ in rows]
+    vals = [_unplanes(v, kind) for _, v in rows]
+    return np.concatenate([*keys, np.zeros(0, np.uint64)]), np.concatenate([*vals, np.zeros((0, WIDTH[kind]), TYPE[kind])])
+
+
+def _ask(buckets: int):
+    """A block's texts to what it asks of each bucket."""
+
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table) -> pa.Table:
+        asked = list(_keys(*_tokens(*utf8(texts["text"])), buckets))
+        return pa.table({"bucket": pa.array([b for b, _ in asked], pa.int32()), "block": pa.array([key[0].as_py()] * len(asked), pa.int64()), "keys": pa.array([pack(k) for _, k in asked], pa.binary())})
+
+    return run
+
+
+def _answer(buckets: int):
+    """A bucket of the model, and what blocks ask of it, to which of the hashes are there (bits) and their values."""
+
+    def run(key: tuple[pa.Scalar, ...], model: pa.Table, asked: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        h, values = _joined([*zip(model["keys"].to_pylist(), model["vals"].to_pylist())], bucket // buckets)
+        order = np.argsort(h)
+        h, values = h[order], values[order]
+        found, vals = [], []
+        for x in asked["keys"]:
+            at = _find(h, unpack(x.as_py()))
+            there = at < len(h)
+            found.append(np.packbits(there).tobytes())
+            vals.append(_planes(values[at[there]]))
+        return pa.table({"block": asked["block"], "bucket": pa.array([bucket] * len(found), pa.int32()), "found": pa.array(found, pa.binary()), "vals": pa.array(vals, pa.binary())})
+
+    return run
+
+
+def _features(fixed: dict, buckets: int, carry: tuple[str, ...]):
+    """A block's texts, and the answers to it, to the features of each text."""
+
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
+        data, off = utf8(texts["text"])
+        got = {b: (f, v) for b, f, v in zip(*(answers[x].to_pylist() for x in ("bucket", "found", "vals")))}
+        tables = [([np.zeros(0, np.uint64)], [np.zeros((0, WIDTH[k]), TYPE[k])]) for k in range(3)]
+        for b, k in _keys(*_tokens(data, off), buckets):
+            if b in got:
+                tables[b // buckets][0].append(k[np.unpackbits(np.frombuffer(got[b][0], np.uint8), count=len(k)).astype(bool)])
+                tables[b // buckets][1].append(_unplanes(got[b][1], b // buckets))
+        f = KneserNey(fixed, [(np.concatenate(h), np.concatenate(v)) for h, v in tables]).features(data, off)
+        return pa.table({**{c: texts[c] for c in carry}, "f": pa.FixedSizeListArray.from_arrays(pa.array(f.reshape(-1)), f.shape[1]).cast(pa.list_(pa.float64()))})
+
+    return run
+
+
+def _level(rows: DataFrame, discount: float | None) -> tuple[list[float], list[float], list[float]]:
+    """For each class: the discount of cont, its sum, and what the discounts leave over."""
+    r = rows.agg(*[f(F.col(f"cont{c}")).alias(f"{x}{c}") for c in (0, 1) for x, f in (("one", lambda n: F.count_if(n == 1)), ("two", lambda n: F.count_if(n == 2)), ("all", F.sum))]).first()
+    cut = [estimated(r[f"one{c}"], r[f"two{c}"]) if discount is None else float(discount) for c in (0, 1)]
+    total = [max(r[f"all{c}"] or 0, 1) for c in (0, 1)]
+    kept = rows.agg(*[F.sum(F.greatest(F.col(f"cont{c}") - F.lit(cut[c]), F.lit(0.0))).alias(f"kept{c}") for c in (0, 1)]).first()
+    return cut, total, [1 - (kept[f"kept{c}"] or 0) / total[c] for c in (0, 1)]
+
+
+def train(docs: DataFrame, labels: DataFrame, held: Column, most: int | None, discount: float | None, window: int) -> tuple[Model, np.ndarray]:
+    """The models, and the curve's weights. A quarter of the training documents is kept out of the pair
     counts; on these the curve is fitted, as on texts that the models don't know."""
-    rows = written(training_rows(_lower(docs), labels, "toxic", most, held).withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0), "toxic-train")
-    pairs = rows.filter("NOT fit").mapInArrow(_count_pairs, "pair long, c int, v long, w long, s long, n long").groupBy("pair", "c").agg(F.sum("n").alias("n"), *[F.min(k).alias(k) for k in "vws"])
-    pairs = written(pairs, "toxic-pairs")
-
-    def by_class(rows: DataFrame, *names: str) -> pa.Table:
-        """Sums of each class side by side: a row for each pair in the training documents, so it grows with them."""
-        return rows.groupBy("h").agg(*[F.sum(F.when(F.col("c") == c, F.col(x)).otherwise(0)).cast("float").alias(f"{x}{c}") for x in names for c in (0, 1)]).toArrow()
-
-    few = {r["c"]: estimated(r["n1"], r["n2"]) for r in pairs.groupBy("c").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()}
-    cuts = [few.get(c, 0.5) if discount is None else float(discount) for c in (0, 1)]
-    cut = F.least(F.col("n").cast("double"), F.when(F.col("c") == 1, cuts[1]).otherwise(cuts[0]))
-    befores = pairs.select(F.col("v").alias("h"), "c", F.col("n").alias("seen"), cut.alias("cut"), F.lit(0).alias("cont"))
-    afters = pairs.select(F.col("w").alias("h"), "c", F.lit(0).alias("seen"), F.lit(0.0).alias("cut"), F.lit(1).alias("cont"))
-    stems = pairs.select(F.col("s").alias("h"), "c", F.lit(1).alias("cont"))
-    model = KneserNey(discount, cuts, window, by_class(pairs.select(F.col("pair").alias("h"), "c", "n"), "n"), by_class(befores.union(afters), "seen", "cut", "cont"), by_class(stems, "cont"))
-    send = docs.sparkSession.sparkContext.broadcast
-    shared = _lower(docs).mapInArrow(_count_words(send((model.words, model.stems))), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(len(model.words) + len(model.stems) + 1)
-    counts[shared["at"].to_numpy()] = shared["n"].to_numpy()
-    model.ready(counts)
-    sent = send(model)  # once for all that follows
-    got = rows.filter("fit").mapInArrow(_features(sent, "y"), "doc_id long, y int, f array<double>").toArrow()  # five numbers a row
+    spark, both, made = docs.sparkSession, (0, 1), []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(scratch_path(spark, name))
+        save(df, made[-1])
+        return spark.read.schema(df.schema).parquet(made[-1])
+
+    rows = kept(training_rows(_lower(docs), labels, "toxic", most, held).withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0), "toxic-train")
+    pairs = kept(rows.filter("NOT fit").mapInArrow(_count_pairs, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-pairs")
+    few = pairs.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"n{c}") == n).alias(f"{x}{c}") for c in both for x, n in (("one", 1), ("two", 2))], *[F.count_if(F.col(f"n{c}") > 0).alias(f"any{c}") for c in both]).first()
+    cuts = [float(discount) if discount is not None else estimated(few[f"one{c}"], few[f"two{c}"]) if few[f"any{c}"] else 0.5 for c in both]
+
+    befores = pairs.groupBy(F.col("v").alias("h")).agg(*[F.sum(f"n{c}").alias(f"seen{c}") for c in both], *[F.sum(F.least(F.col(f"n{c}").cast("double"), F.lit(cuts[c]))).alias(f"cut{c}") for c in both])
+    afters = pairs.groupBy(F.col("w").alias("h")).agg(*[F.count_if(F.col(f"n{c}") > 0).alias(f"cont{c}") for c in both])
+    corpus = kept(_lower(docs).mapInArrow(_count_words, "h long, s long, n long").groupBy("h").agg(F.min("s").alias("s"), F.sum("n").alias("n")), "toxic-corpus")
+    total = max(1, corpus.agg(F.sum("n")).first()[0] or 0)
+    counts = [*[f"seen{c}" for c in both], *[f"cut{c}" for c in both], *[f"cont{c}" for c in both]]
+    known = befores.join(afters, "h", "full_outer").join(corpus, "h", "left")
+    known = kept(known.select("h", "s", F.coalesce("n", F.lit(0)).alias("n"), *[F.coalesce(F.col(x), F.lit(0)).cast("float").alias(x) for x in counts]), "toxic-words")
+    d, sums, left = _level(known, discount)
+    own = known.select("h", *counts[:4], *[(F.greatest(F.col(f"cont{c}") - F.lit(d[c]), F.lit(0.0)) / F.lit(float(sums[c]))).alias(f"word{c}") for c in both], (F.col("n") / F.lit(float(total))).alias("shared"))
+
+    # a stem is followed by what its words follow; its share of the corpus is that of all words with it
+    stems = known.filter("s IS NOT NULL").groupBy(F.col("s").alias("h")).agg(*[F.sum(f"cont{c}").cast("float").alias(f"cont{c}") for c in both])
+    stems = kept(stems.join(corpus.groupBy(F.col("s").alias("h")).agg(F.sum("n").alias("n")), "h"), "toxic-stems")
+    d, sums, stem_left = _level(stems, discount)
+    stems = stems.select("h", *[(F.greatest(F.col(f"cont{c}") - F.lit(d[c]), F.lit(0.0)) / F.lit(float(sums[c])) / (F.col("n") / F.lit(float(total))) + F.lit(stem_left[c])).alias(f"stem{c}") for c in both])
+
+    size = text_size(docs)[1]
+    buckets = max(1, -(-few["n"] // BUCKET_PAIRS), -(-size // (_passes(size) * BUCKET_TEXT)))
+    model = Model(spark, scratch_path(spark, "toxic-model"), buckets, {"cuts": np.float32(cuts), "word_left": np.float32(left), "no_stem": stem_left, "window": window})
+    for kind, t, names in ((PAIRS, pairs, ("n0", "n1")), (WORDS, own, (*counts[:4], "word0", "word1", "shared")), (STEMS, stems, ("stem0", "stem1"))):
+        save(t.mapInArrow(_stored(kind, buckets, *names), "bucket int, keys binary, vals binary"), f"{model.path}/kind-{kind}")
+    for path in made[1:]:
+        drop_folder(spark, path)
+    fit = rows.filter("fit")
+    got = model.features(fit, text_size(fit)[1], "doc_id", "y").select("y", "f").toArrow()  # five numbers a row
+    drop_folder(spark, made[0])
     y = got["y"].to_numpy().astype(float)
     alike = np.where(y == 1, (y == 0).sum() / max(1, (y == 1).sum()), 1.0)  # both classes weigh the same, as in the ratios
-    return sent, logistic(_matrix(got["f"].combine_chunks()), y, alike)
+    return model, logistic(_matrix(got["f"].combine_chunks()), y, alike)
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy().reshape(-1, 4)
 
 
-def _features(model: Broadcast, *carry: str):
+def _scored(features: DataFrame, weights: np.ndarray, key: str) -> DataFrame:
+    """(key, score)"""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = utf8(b["text"])
-            for i, j in blocks(off):
-                f = model.value.features(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                yield batch(**{c: b[c].slice(i, j - i) for c in ("doc_id", *carry)}, f=pa.FixedSizeListArray.from_arrays(pa.array(f.reshape(-1)), f.shape[1]).cast(pa.list_(pa.float64())))
+            yield batch(**{key: b[key]}, score=curve(_matrix(b["f"]), weights))
 
-    return run
+    return features.mapInArrow(run, f"{key} {dict(features.dtypes)[key]}, score double")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, most: int | None = None, discount: float | None = None, window: int = 6, limit: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score below ``limit``, with all their columns: scored where they lie, without a join."""
+    """The rows of ``docs`` that score below ``limit``, with all their columns. A score follows from the lower-cased text
+    alone, so what goes is told by its hash."""
     model, weights = train(docs, labels, fold(folds) == held_fold, most, discount, window)
-    whole = docs.select(F.lower(F.col("text").cast("string")).alias("text"), F.struct(*docs.columns).alias("row"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, off = utf8(b["text"])
-            score = [curve(model.value.features(data[off[i] : off[j]], off[i : j + 1] - off[i]), weights) for i, j in blocks(off)]
-            yield batch(row=b["row"].filter(pa.array(np.concatenate([*score, np.zeros(0)]) < limit)))
+    def sha(text: Column) -> Column:
+        return F.unhex(F.sha2(F.coalesce(F.lower(text.cast("string")), F.lit("")).cast("binary"), 256))
 
-    return whole.mapInArrow(run, f"row {whole.schema['row'].dataType.simpleString()}").select("row.*")
+    found = model.features(_lower(docs).withColumn("gone_sha", sha(F.col("text"))), text_size(docs)[1], "doc_id", "gone_sha")
+    gone = _scored(found, weights, "gone_sha").filter(F.col("score") >= limit).select("gone_sha").distinct()
+    return docs.join(written(gone, "toxic-gone"), sha(docs["text"]) == F.col("gone_sha"), "left_anti")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, most: int | None = None, discount: float | None = None, window: int = 6, limit: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; documents of fold ``held_fold`` aren't learned from."""
     held = fold(folds) == held_fold
     model, weights = train(docs, labels, held, most, discount, window)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _features(model)(batches):
-            yield batch(doc_id=b["doc_id"], score=curve(_matrix(b["f"]), weights))
-
-    scored = _lower(docs).mapInArrow(run, "doc_id long, score double")
+    scored = _scored(model.features(_lower(docs), text_size(docs)[1], "doc_id"), weights, "doc_id")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))

@@ -268,3 +268,24 @@ def test_toxicity_learns_from_every_labelled_document(spark, monkeypatch):
     scores = {r["doc_id"]: r["score"] for r in toxicity(docs, labels, folds=1, held_fold=1).collect()}
     assert taken == [{(i, int(i >= 3100)) for i in range(3110)}]
     assert len(scores) == 3112 and min(scores[i] for i in range(3100, 3110)) > max(scores[i] for i in range(3100))
+
+
+def test_toxicity_asks_a_model_dealt_into_buckets(spark, monkeypatch):
+    """The model went whole through the driver to every task. Many buckets, blocks and parts give the scores of one."""
+    from coordspark.llm import toxicity_kn
+
+    r = random.Random(8)
+    rows = [(i, " ".join(f"w{r.randrange(300)}" for _ in range(40)) + (" vile line here" if i % 2 else "")) for i in range(120)]
+    docs = spark.createDataFrame(rows + [(None, "w1 w2 vile line here"), (500, None), (501, "")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+
+    def scores():
+        return {x.doc_id: x.score for x in toxicity(docs, labels).collect()}
+
+    one = scores()
+    monkeypatch.setattr(toxicity_kn.Model, "value", None)
+    for name, small in (("BLOCK", 2000), ("BUCKET_PAIRS", 900), ("PASS", 14_000)):
+        monkeypatch.setattr(toxicity_kn, name, small)
+    many, kept = scores(), {x.doc_id for x in without_toxic(docs, labels).collect()}
+    assert many.keys() == one.keys() and len(one) == 123 and all(abs(many[i] - one[i]) < 1e-9 for i in one)
+    assert kept == {i for i, x in one.items() if x < 0.7}
