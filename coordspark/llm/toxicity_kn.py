@@ -50,7 +50,7 @@ WIDTH, TYPE = (2, 7, 2), (np.uint32, np.float32, np.float32)
 #: Bytes of text in a block; pairs of the model in a bucket, and bytes of the text that asks one.
 BLOCK, BUCKET_PAIRS, BUCKET_TEXT = 1 << 21, 1_000_000, 1 << 24
 #: Tables are scored in parts of this many bytes of text, in so many at most, so that only a part's questions lie on disk at a time.
-PASS, MOST_PASSES = 1 << 26, 8
+PASS, MOST_PASSES = 1 << 26, 6
 
 
 def _lower(docs: DataFrame) -> DataFrame:
