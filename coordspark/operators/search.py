@@ -24,7 +24,8 @@ NO_KEY_FIELDS_TEXT = "*No decodable key fields found*"
 def word_embed(text: Column, dim: int = 64) -> Column:
     """V7 (d): counts of the text's words by the first 16 bits of their md5, modulo ``dim``: an embedder
     made of SQL functions alone, so that any engine finds the same vectors."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9_]+", -1), lambda w: w != "")
+    # unlike split's, this pattern is compiled once, not once a row
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
     at = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int"), F.lit(dim)))
 
     def counts(a: Column) -> Column:

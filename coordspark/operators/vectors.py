@@ -37,16 +37,12 @@ SCORE_DECIMALS = 12
 OVERSAMPLING = 2.0
 
 
-def _as_double(v: Column) -> Column:
-    return F.transform(v, lambda x: x.cast("double"))
-
-
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(_as_double(a), _as_double(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(F.transform(_as_double(a), lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
 def cosine(vec: Column, query: list[float]) -> Column:
@@ -55,8 +51,12 @@ def cosine(vec: Column, query: list[float]) -> Column:
     q = np.asarray(query, dtype=np.float64)
     qn = float(np.linalg.norm(q))
     qlit = F.array(*[F.lit(float(x)) for x in q])
-    both = norm(vec) * F.lit(qn)
-    return F.when(both == 0, F.lit(0.0)).otherwise(F.try_divide(dot(vec, qlit), both))
+
+    def score(both: Column) -> Column:
+        return F.when(both == 0, F.lit(0.0)).otherwise(F.try_divide(dot(vec, qlit), both))
+
+    # a lambda over one value: the vector's norm is taken once, not once for each use
+    return F.get(F.transform(F.array(norm(vec) * F.lit(qn)), score), F.lit(0))
 
 
 def knn_search(points: DataFrame, query: list[float], k: int = 10, min_score: float = DEFAULT_MIN_SCORE,
