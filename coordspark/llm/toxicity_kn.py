@@ -66,6 +66,28 @@ def _find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     return k
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The different hashes, sorted."""
+    x = np.sort(x)
+    return x[np.diff(x, prepend=~x[:1]) != 0]
+
+
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different hashes, sorted; a place of each; and the number of each place's hash."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.diff(ordered, prepend=~ordered[:1]) != 0
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], number
+
+
+def _edges(ordered: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins in sorted hashes, and the end; buckets are equal ranges of the hashes."""
+    first = [-(-(b << 64) // buckets) for b in range(buckets)]
+    return np.append(np.searchsorted(ordered, np.array(first, np.uint64)), len(ordered))
+
+
 def _pairs(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word with the one before it; the first word of a text follows 0."""
     before = np.concatenate([np.zeros(1, np.uint64), h[:-1]])
@@ -119,12 +141,13 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in blocks(off, 1 << 22):
             h, row, _ = _tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
             v, pair = _pairs(h, row)
-            once = np.unique(comb(pair, row.astype(np.uint64)), return_index=True)[1]
-            _, first, at = np.unique(pair[once], return_index=True, return_inverse=True)
-            n1 = np.bincount(at, y[i:j][row[once]], len(first)).astype(np.int64)
-            n0 = np.bincount(at, minlength=len(first)) - n1
-            v, w = v[once[first]], h[once[first]]
-            o = np.lexsort((w, v))
+            kinds, first, number = _numbered(pair)
+            once = _distinct(number.astype(np.uint64) << np.uint64(32) | row.astype(np.uint64))  # pairs of each document
+            at = (once >> np.uint64(32)).astype(np.int64)
+            n1 = np.bincount(at, y[i:j][once & np.uint64(0xFFFFFFFF)], len(kinds)).astype(np.int64)
+            n0 = np.bincount(at, minlength=len(kinds)) - n1
+            v, w = v[first], h[first]
+            o = np.argsort(v)
             for k in range(0, len(o), 1 << 16):
                 to = o[k : k + (1 << 16)]
                 yield batch(v=v[to].view(np.int64), w=w[to].view(np.int64), n0=n0[to], n1=n1[to])
@@ -159,37 +182,46 @@ class KneserNey:
 
     @staticmethod
     def _table(h: np.ndarray, values: np.ndarray, unknown: list) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(h)
-        return h[order], np.ascontiguousarray(np.concatenate([values[order], np.array([unknown], values.dtype)]).T)
+        if (h[1:] < h[:-1]).any():
+            order = np.argsort(h)
+            h, values = h[order], values[order]
+        return h, np.ascontiguousarray(np.concatenate([values, np.array([unknown], values.dtype)]).T)
 
     def ratios(self, h: np.ndarray, row: np.ndarray, stem: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log p_toxic - log p_ordinary of each word: after the word before it, and by itself."""
         before, pair = _pairs(h, row)
-        v, w, s = _find(self.words, before), _find(self.words, h), _find(self.stems, stem)
-        known = np.flatnonzero((v < len(self.words)) & (w < len(self.words)))
-        p = np.full(len(h), len(self.pairs))
-        p[known] = _find(self.pairs, pair[known])
-        after, alone = [], []
+        w = _find(self.words, h)
+        below = self.below(w, _find(self.stems, stem))
+        return self.after(_find(self.pairs, pair), _find(self.words, before), below), self.alone(below)
+
+    def below(self, w: np.ndarray, s: np.ndarray) -> list[np.ndarray]:
+        """p_c(w) of words with these places in the tables."""
+        return [self.word[c][w] + self.word_left[c] * self.stem[c][s] * self.shared[w] for c in (0, 1)]
+
+    def after(self, p: np.ndarray, v: np.ndarray, below: list[np.ndarray]) -> np.ndarray:
+        """The ratio of pairs with these places in the tables."""
+        out = []
         for c in (0, 1):
-            below = self.word[c][w] + self.word_left[c] * self.stem[c][s] * self.shared[w]
             n = self.seen[c][v]
             some = n > 0
             n = np.where(some, n, 1)
             left = np.where(some, self.cut[c][v] / n, 1)
-            after.append(np.log(np.where(some, np.maximum(self.pair[c][p].astype(np.float32) - self.cuts[c], 0) / n, 0) + left * below))
-            alone.append(np.log(below))
-        return after[1] - after[0], alone[1] - alone[0]
+            out.append(np.log(np.where(some, np.maximum(self.pair[c][p].astype(np.float32) - self.cuts[c], 0) / n, 0) + left * below[c]))
+        return out[1] - out[0]
+
+    @staticmethod
+    def alone(below: list[np.ndarray]) -> np.ndarray:
+        return np.log(below[1]) - np.log(below[0])
 
-    def features(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def features(self, row: np.ndarray, ratios: tuple[np.ndarray, np.ndarray], rows: int) -> np.ndarray:
         """Of each text, after the words before and of words alone: the mean ratio, and the largest mean of a window."""
-        out = np.zeros((len(off) - 1, 4))
-        h, row, stem = _tokens(data, off)
-        if len(h):
-            n = np.bincount(row, minlength=len(out))
+        out = np.zeros((rows, 4))
+        if len(row):
+            n = np.bincount(row, minlength=rows)
             some = np.flatnonzero(n)
             first = (np.cumsum(n) - n)[some]
-            end = np.minimum(np.arange(len(h)) + self.window, np.cumsum(n)[row])
-            for k, r in enumerate(self.ratios(h, row, stem)):
+            end = np.minimum(np.arange(len(row)) + self.window, np.cumsum(n)[row])
+            for k, r in enumerate(ratios):
                 out[some, 2 * k] = np.add.reduceat(r.astype(np.float64), first) / n[some]
                 total = np.concatenate([[0.0], np.cumsum(r, dtype=np.float64)])
                 out[some, 2 * k + 1] = np.maximum.reduceat((total[end] - total[:-1]) / self.window, first)
@@ -200,9 +232,8 @@ def _stored(kind: int, buckets: int, *names: str):
     """Rows (h, or a pair's v and w; values) to (bucket, keys, vals): each bucket's hashes and values as they come, packed."""
 
     def packed(h: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at = (h % np.uint64(buckets)).astype(np.int64)
-        o = np.lexsort((h, at))
-        cut = np.searchsorted(at[o], np.arange(buckets + 1))
+        o = np.argsort(h)
+        cut = _edges(h[o], buckets)
         some = [k for k in range(buckets) if cut[k] < cut[k + 1]]
         for x in range(0, len(some), 64):
             ours = [(k, o[cut[k] : cut[k + 1]]) for k in some[x : x + 64]]
@@ -223,17 +254,14 @@ def _stored(kind: int, buckets: int, *names: str):
     return run
 
 
-def _keys(h: np.ndarray, row: np.ndarray, stem: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, hashes in order): what texts need of the model. The same for the same texts, as answers go by position."""
-    before, pair = _pairs(h, row)
-    for kind, x in ((PAIRS, pair), (WORDS, np.concatenate([h, before[:1]])), (STEMS, stem)):
-        x = np.unique(x)
-        at = x % np.uint64(buckets)
-        o = np.argsort(at, kind="stable")
-        cut = np.searchsorted(at[o], np.arange(buckets + 1))
+def _keys(distinct: list[np.ndarray], buckets: int) -> Iterator[tuple[int, slice]]:
+    """(bucket, where its part lies in the sorted hashes of its kind): what texts need of the model. The same for the same
+    texts, as answers go by position."""
+    for kind, x in enumerate(distinct):
+        cut = _edges(x, buckets).tolist()
         for k in range(buckets):
             if cut[k] < cut[k + 1]:
-                yield kind * buckets + k, x[o[cut[k] : cut[k + 1]]]
+                yield kind * buckets + k, slice(cut[k], cut[k + 1])
 
 
 def _passes(size: int) -> int:
@@ -282,7 +310,10 @@ def _ask(buckets: int):
     """A block's texts to what it asks of each bucket."""
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table) -> pa.Table:
-        asked = list(_keys(*_tokens(*utf8(texts["text"])), buckets))
+        h, row, stem = _tokens(*utf8(texts["text"]))
+        before, pair = _pairs(h, row)
+        distinct = [_distinct(x) for x in (pair, np.append(h, before[:1]), stem)]
+        asked = [(b, distinct[b // buckets][at]) for b, at in _keys(distinct, buckets)]
         return pa.table({"bucket": pa.array([b for b, _ in asked], pa.int32()), "block": pa.array([key[0].as_py()] * len(asked), pa.int64()), "keys": pa.array([pack(k) for _, k in asked], pa.binary())})
 
     return run
@@ -311,14 +342,27 @@ def _features(fixed: dict, buckets: int, carry: tuple[str, ...]):
     """A block's texts, and the answers to it, to the features of each text."""
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
-        data, off = utf8(texts["text"])
-        got = {b: (f, v) for b, f, v in zip(*(answers[x].to_pylist() for x in ("bucket", "found", "vals")))}
-        tables = [([np.zeros(0, np.uint64)], [np.zeros((0, WIDTH[k]), TYPE[k])]) for k in range(3)]
-        for b, k in _keys(*_tokens(data, off), buckets):
+        h, row, stem = _tokens(*utf8(texts["text"]))
+        before, pair = _pairs(h, row)
+        pairs, at, number = _numbered(pair)  # ratios are worked out once for each of the block's pairs and words
+        words, word_at, word_number = _numbered(np.append(h, before[:1]))
+        stems, _, stem_number = _numbered(stem)
+        distinct, got = [pairs, words, stems], {b: (f, v) for b, f, v in zip(*(answers[x].to_pylist() for x in ("bucket", "found", "vals")))}
+        there, vals = [np.zeros(len(x), bool) for x in distinct], [[np.zeros((0, WIDTH[k]), TYPE[k])] for k in range(3)]
+        for b, part in _keys(distinct, buckets):
             if b in got:
-                tables[b // buckets][0].append(k[np.unpackbits(np.frombuffer(got[b][0], np.uint8), count=len(k)).astype(bool)])
-                tables[b // buckets][1].append(_unplanes(got[b][1], b // buckets))
-        f = KneserNey(fixed, [(np.concatenate(h), np.concatenate(v)) for h, v in tables]).features(data, off)
+                there[b // buckets][part] = np.unpackbits(np.frombuffer(got[b][0], np.uint8), count=part.stop - part.start).astype(bool)
+                vals[b // buckets].append(_unplanes(got[b][1], b // buckets))
+        model = KneserNey(fixed, [(x[t], np.concatenate(v)) for x, t, v in zip(distinct, there, vals)])
+        p, w, s = (np.where(t, np.cumsum(t) - 1, t.sum()) for t in there)
+        f = np.zeros((len(texts), 4))
+        if len(h):
+            # a word's stem is that of any of its places; the start of a text (the last of the words asked) has none, and needs none
+            below = model.below(w, s[np.append(stem_number, 0)[word_at]])
+            before_number = np.append(word_number[-1:], word_number[: len(h) - 1])
+            before_number[before == 0] = word_number[-1]
+            after = model.after(p, w[before_number[at]], [x[word_number[at]] for x in below])
+            f = model.features(row, (after[number], model.alone(below)[word_number[: len(h)]]), len(texts))
         return pa.table({**{c: texts[c] for c in carry}, "f": pa.FixedSizeListArray.from_arrays(pa.array(f.reshape(-1)), f.shape[1]).cast(pa.list_(pa.float64()))})
 
     return run

@@ -18,6 +18,9 @@ LOWER = np.where((_b >= 65) & (_b <= 90), _b + 32, _b).astype(np.uint8)
 NOT_SPACE = ~((_b == 32) | ((_b >= 9) & (_b <= 13)))
 #: ... or runs of letters and digits, where every byte of a multi-byte character counts as a letter.
 ALNUM = ((_b >= 48) & (_b <= 57)) | ((_b >= 65) & (_b <= 90)) | ((_b >= 97) & (_b <= 122)) | (_b >= 128)
+_LOWER_BYTE = BYTE[LOWER]
+_INVERSE = np.uint64(pow(int(MUL[0]), -1, 1 << 64))
+_kept = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -57,19 +60,29 @@ def words(data: np.ndarray, off: np.ndarray, of: np.ndarray = NOT_SPACE, stem: i
     last = w.copy()
     last[:-1] &= ~w[1:] | first[1:]
     e = np.flatnonzero(last) + 1
-    n = e - s
-    at = np.flatnonzero(w)
-    base = np.repeat(s, n)
-    power = np.multiply.accumulate(np.full(int(n.max()) + 1, MUL[0], np.uint64))
-    v = BYTE[LOWER[data[at]]] * power[at - base]
-    first_at = np.concatenate([[0], np.cumsum(n)[:-1]])
-    out = mix(np.add.reduceat(v, first_at)), np.searchsorted(off, s, "right") - 1, s, e
+    power, inverse = _powers(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LOWER_BYTE[data] * power, out=total[1:])
+    before, scale = total[s], inverse[s]  # a word's sum, as if it began at place 0
+    row = np.repeat(np.arange(-1, len(off)), np.diff(np.concatenate([[0], np.searchsorted(s, off), [len(s)]])))
+    out = mix((total[e] - before) * scale), row, s, e
     if stem:
-        v[at - base >= stem] = 0
-        out = (*out, mix(np.add.reduceat(v, first_at)))
+        out = (*out, mix((total[np.minimum(e, s + stem)] - before) * scale))
     return out
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """MUL[0] to the power of 1 to n, and 0 to 1 - n (modulo 2 ** 64); those for blocks are kept."""
+    global _kept
+    if n <= len(_kept[0]):
+        return _kept[0][:n], _kept[1][:n]
+    size = max(n, 1 << 16)
+    made = np.multiply.accumulate(np.full(size, MUL[0])), np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, _INVERSE)])
+    if size <= 1 << 20:
+        _kept = made
+    return made[0][:n], made[1][:n]
+
+
 def shingles(data: np.ndarray, off: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct word shingles of each row, in order; with fewer words the whole sequence is one."""
     h, row, _, _ = words(data, off)
