@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coordspark.llm.common import doc_texts, drop_folder, in_groups, pack, save, text_size, unpack, utf8, written
-from coordspark.llm.words import BYTE, comb, mix
+from coordspark.llm.words import MUL, comb, mix
 from coordspark.session import scratch_path
 
 LENGTH, WORD = 50, 24
@@ -59,29 +59,36 @@ def _slide(x: np.ndarray, width: int, of) -> np.ndarray:
     return of(x[: -(width - done)], x[width - done :]) if done < width else x
 
 
+def _hashes(data: np.ndarray) -> np.ndarray:
+    """The hash of the ``WORD`` bytes that begin at each place, taken eight at a time; its upper half is mixed best."""
+    x = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)).copy()
+    h = x[:-16] * MUL[0]
+    h ^= h >> np.uint64(32)
+    h += x[8:-8]
+    h *= MUL[1]
+    h ^= h >> np.uint64(32)
+    h += x[16:]
+    h ^= h >> np.uint64(29)
+    h *= MUL[2]
+    return h
+
+
 class _Block:
     """Some texts' anchors: hash and place of each, and the hashes of strings."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray) -> None:
-        self.h = self.low = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
+        self.h, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.rank = self.low = np.zeros(0, np.uint32)
         if len(data) < LENGTH:
             return
-        h = BYTE[data]
-        for step, gap in enumerate((1, 2, 4, 8)):
-            h = comb(h[:-gap], h[gap:], step)
-        h = comb(h[:-8], h[8:], 4)  # two overlapping halves of 16 bytes
-        self.h = h
-        self.low = _slide(h, WINDOW, np.minimum)  # of each string, the smallest hash of its words
-        valid = np.zeros(len(self.low) + 1, np.int32)
-        size = np.diff(off)
-        some = size >= LENGTH
-        np.add.at(valid, off[:-1][some], 1)
-        np.add.at(valid, off[1:][some] - LENGTH + 1, -1)
-        self.low[np.cumsum(valid)[:-1] == 0] = 0  # strings that cross the end of a text
-        edge = np.zeros(WINDOW - 1, np.uint64)
-        top = _slide(np.concatenate([edge, self.low, edge]), WINDOW, np.maximum)
-        self.at = np.flatnonzero((top == h) & (top > 0))
+        self.h = _hashes(np.ascontiguousarray(data))
+        self.rank = (self.h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)  # never 0
+        self.low = _slide(self.rank, WINDOW, np.minimum)  # of each string, the smallest rank of its words
+        last = np.minimum(np.diff(off), LENGTH - 1)  # a text's last places, where strings would cross its end
+        cross = np.repeat(off[1:] - np.cumsum(last), last) + np.arange(last.sum())
+        self.low[cross[cross < len(self.low)]] = 0
+        edge = np.zeros(WINDOW - 1, np.uint32)
+        self.at = np.flatnonzero(_slide(np.concatenate([edge, self.low, edge]), WINDOW, np.maximum) == self.rank)
 
     def strings(self, p: np.ndarray) -> np.ndarray:
         """The hash of the whole string that begins at each place."""
@@ -92,7 +99,7 @@ class _Block:
         """First and last of the strings that each anchor stands for."""
         p = at[:, None] - np.arange(WINDOW - 1, -1, -1)[None, :]
         ok = (p >= 0) & (p < len(self.low))
-        ok &= self.low[np.clip(p, 0, len(self.low) - 1)] == self.h[at][:, None]
+        ok &= self.low[np.clip(p, 0, len(self.low) - 1)] == self.rank[at][:, None]
         first = at - WINDOW + 1 + ok.argmax(1)
         return first, first + ok.sum(1) - 1
 
@@ -100,7 +107,7 @@ class _Block:
 class _Chunk:
     """The texts of one chunk, in blocks of about ``most`` bytes."""
 
-    def __init__(self, t: pa.Table, most: int = 1 << 19) -> None:
+    def __init__(self, t: pa.Table, most: int = 1 << 18) -> None:
         self.table, self.most = t, most
         self.data, self.off = utf8(t["text"])
         self.ids = pc.fill_null(t["doc_id"], _LAST).to_numpy().astype(np.int64)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from coordspark.llm import toxicity_kn
+from coordspark.llm import suffix_family, toxicity_kn
 from coordspark.llm.common import utf8
 from coordspark.llm.words import ALNUM, BYTE, LOWER, MUL, mix, words
 
@@ -62,3 +62,27 @@ def test_ratios_are_worked_out_once_for_each_pair_of_a_block(monkeypatch):
             want[d, 2 * k + 1] = max(mine[i : i + 6].sum() / 6 for i in range(len(mine)))
     assert got["doc_id"].to_pylist() == list(range(42))
     assert np.allclose(np.array(got["f"].to_pylist()), want, rtol=1e-5, atol=1e-6)
+
+
+def test_anchors_are_found_without_a_pass_for_every_doubling(monkeypatch):
+    """op1: each of four passes over the texts hashed its words in five rounds. Every string has its anchors, as by a loop."""
+    rounds, comb = [], suffix_family.comb
+    monkeypatch.setattr(suffix_family, "comb", lambda a, b, step=0: rounds.append(len(a)) or comb(a, b, step))
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcé ") for _ in range(n)) for n in (300, 0, 49, 50, 51, 7, 700)] + ["ab" * 90, "\0" * 120, "\0" * 49, ""]
+    data, off = utf8(pa.array(texts))
+    b = suffix_family._Block(data, off)
+    assert not [n for n in rounds if n > len(data) / 2]
+    raw, rank, want, strings = data.tobytes(), {}, set(), {}
+    for p, x in enumerate(b.rank.tolist()):
+        assert rank.setdefault(raw[p : p + 24], x) == x and x  # equal words rank alike
+    for i, j in zip(off[:-1].tolist(), off[1:].tolist()):
+        for p in range(i, j - 49):
+            ranks = [rank[raw[q : q + 24]] for q in range(p, p + 27)]
+            mine = [p + k for k, x in enumerate(ranks) if x == min(ranks)]
+            want.update(mine)
+            for q in mine:
+                strings.setdefault(q, []).append(p)
+    assert b.at.tolist() == sorted(want) and want
+    first, last = b.span(b.at)
+    assert [*zip(first.tolist(), last.tolist())] == [(strings[q][0], strings[q][-1]) for q in sorted(want)]
